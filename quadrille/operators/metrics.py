@@ -395,6 +395,27 @@ def _ordered(df: DataFrame, name: str, groups: Sequence[str], top: int | None, o
     return df if top is None else df.limit(top)
 
 
+def metric_set(specs: Sequence[MetricSpec], model: Model, tables: Mapping[str, DataFrame],
+               dimensions: Sequence[str], context: str | None = None) -> DataFrame:
+    """Several metrics of one entity and one filter in a single scan and shuffle.
+
+    Dimensions must be properties of the entity itself.
+    """
+    first = specs[0]
+    entity = model.entities[first.entity]
+    if any(s.entity != first.entity or s.default_filter != first.default_filter for s in specs):
+        raise ValueError("metrics computed together share their entity and filter")
+    fact = sql_filter(tables[entity.contexts.get(context, entity.table)].alias(entity.alias or entity.name.lower()),
+                      first.default_filter)
+    aggregates = []
+    for s in specs:
+        value = None if s.type == "custom" else (
+            F.expr(s.measure_sql) if s.measure_sql else property_column(entity, s.measure, context))
+        time = F.col(s.time_column) if s.type == "latest" else None
+        aggregates.append(_aggregate(s.type, value, time, s.measure_sql).alias(s.name))
+    return fact.groupBy(*[property_column(entity, d, context).alias(d) for d in dimensions]).agg(*aggregates)
+
+
 def metric_by_context(spec: MetricSpec, model: Model, tables: Mapping[str, DataFrame],
                       contexts: Sequence[str] | None = None, **kwargs) -> DataFrame:
     """The same metric in several contexts, side by side under a ``context`` column."""

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("metrics", "pilot",
+MODULES = ("metrics", "pilot", "graph", "shapes", "relational",
            )
 
 

@@ -45,9 +45,8 @@ def _(t):
     SELECT l_linestatus AS status, MIN(l_extendedprice) AS min_value, MAX(l_extendedprice) AS max_value
     FROM lineitem GROUP BY 1""")
 def _(t):
-    low = M.metric(_kind("min"), MODEL, t, ["status"])
-    high = M.metric(_kind("max"), MODEL, t, ["status"])
-    return _double(low.join(high, "status"), "min_value", "max_value")
+    df = M.metric_set([_kind("min"), _kind("max")], MODEL, t, ["status"])
+    return _double(df, "min_value", "max_value")
 
 
 @query("m1_metric_count_distinct", """
@@ -276,9 +275,9 @@ def _(t):
 
 @query("p12_computed_measures", """
     SELECT o_orderkey,
-           ROUND(l_extendedprice / NULLIF(l_quantity, 0), 6) AS unit_price,
-           ROUND(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge,
-           ROUND(l_extendedprice / NULLIF(l_linenumber - 1, 0), 6) AS guarded,
+           l_extendedprice / NULLIF(l_quantity, 0) AS unit_price,
+           l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge,
+           l_extendedprice / NULLIF(l_linenumber - 1, 0) AS guarded,
            CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INTEGER) AS days,
            ROUND((epoch(l_shipdate) - epoch(o_orderdate)) / 3600, 4) AS hours
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
@@ -286,8 +285,8 @@ def _(t):
     df = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return df.select(
         "o_orderkey",
-        F.round(C.ratio(F.col("l_extendedprice"), F.col("l_quantity")), 6).alias("unit_price"),
-        F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")), 6).alias("charge"),
-        F.round(C.ratio(F.col("l_extendedprice"), F.col("l_linenumber") - 1), 6).alias("guarded"),
+        C.ratio(F.col("l_extendedprice"), F.col("l_quantity")).alias("unit_price"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("charge"),
+        C.ratio(F.col("l_extendedprice"), F.col("l_linenumber") - 1).alias("guarded"),
         C.days_between(F.col("l_shipdate"), F.col("o_orderdate")).alias("days"),
         F.round(C.hours_between(F.col("l_shipdate"), F.col("o_orderdate")), 4).alias("hours"))

@@ -62,20 +62,20 @@ def _(t):
 
 
 @query("z3_suspicious_transfers", f"""
-    SELECT l_orderkey AS order_key, l_linenumber AS line, l_shipdate AS at, s_name AS from_name, c_name AS to_name,
+    SELECT l_orderkey AS order_key, l_linenumber AS line, l_shipdate AS shipped_at, s_name AS from_name, c_name AS to_name,
            l_extendedprice AS amount, {CURRENCY_SQL} AS currency, l_partkey AS part_key, l_quantity AS quantity
     FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey
     LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
     WHERE l_returnflag = 'R' AND {CURRENCY_SQL} = 'EUR' AND l_extendedprice > 100000
-    ORDER BY amount DESC, at, order_key, line, part_key, quantity LIMIT 100""")
+    ORDER BY amount DESC, shipped_at, order_key, line, part_key, quantity LIMIT 100""")
 def _(t):
-    order = [F.desc("amount"), F.asc("at"), F.asc("order_key"), F.asc("line"), F.asc("part_key"), F.asc("quantity")]
+    order = [F.desc("amount"), F.asc("shipped_at"), F.asc("order_key"), F.asc("line"), F.asc("part_key"), F.asc("quantity")]
     # The names are optional and unique per key, so the top 100 can be taken
     # before the left joins that add them.
     top = (t.lineitem.filter((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
                              & (F.col("l_extendedprice") > 100000))
            .select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"),
-                   F.col("l_shipdate").alias("at"), "l_suppkey", F.col("l_extendedprice").alias("amount"),
+                   F.col("l_shipdate").alias("shipped_at"), "l_suppkey", F.col("l_extendedprice").alias("amount"),
                    F.lit("EUR").alias("currency"), F.col("l_partkey").alias("part_key"),
                    F.col("l_quantity").alias("quantity"))
            .orderBy(*order).limit(100))
@@ -84,7 +84,7 @@ def _(t):
             .join(t.orders.select(F.col("o_orderkey").alias("order_key"), "o_custkey"), "order_key", "left")
             .join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("to_name")),
                   "o_custkey", "left")
-            .select("order_key", "line", "at", "from_name", "to_name", "amount", "currency", "part_key", "quantity")
+            .select("order_key", "line", "shipped_at", "from_name", "to_name", "amount", "currency", "part_key", "quantity")
             .orderBy(*order))
 
 
@@ -149,18 +149,12 @@ def _(t):
              .join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size"), "l_partkey"))
     asset = M.EntitySpec("Asset", "facts", (M.PropertySpec("line", "p_brand"),))
     model, tables = M.Model.of(asset), {"facts": facts}
-    # The three measures share a grain, so one custom expression each over one
-    # grouped pass would do; they are separate metrics by definition and joined
-    # on the dimension.
     hours = "(unix_timestamp(cast(l_shipdate as timestamp)) - unix_timestamp(cast(o_orderdate as timestamp))) / 3600"
     specs = {
         "effectiveness": ("avg", "(1 - l_discount) * (1 - l_tax) * (l_quantity / 50) * 100", 4),
         "elapsed_hours": ("sum", hours, 2),
         "throughput": ("avg", "l_quantity / nullif(p_size, 0)", 4),
     }
-    result = None
-    for name, (kind, sql, digits) in specs.items():
-        df = M.metric(M.MetricSpec(name, kind, "Asset", measure_sql=sql), model, tables, ["line"])
-        df = df.withColumn(name, F.round(name, digits))
-        result = df if result is None else result.join(df, "line")
-    return result
+    df = M.metric_set([M.MetricSpec(n, kind, "Asset", measure_sql=sql) for n, (kind, sql, _) in specs.items()],
+                      model, tables, ["line"])
+    return df.withColumns({n: F.round(n, digits) for n, (_, _, digits) in specs.items()})
