@@ -119,20 +119,21 @@ def validate(quads: DataFrame, shapes: Sequence[Shape], with_subclasses: bool =
     by_component: dict[str, list[Column]] = {}
     for component, failed in checks:
         by_component.setdefault(component, []).append(failed)
+    # Failed value checks and the value counts go through one aggregate. Its keys
+    # contain the join's, so Spark adds no shuffle after the join.
     out = ["focus", "path", "value", "shape", "component", "_message", "severity"]
-    parts = []
-    if by_component:
-        failures = F.array_compact(F.array(*[F.when(_any(c), name) for name, c in by_component.items()]))
-        parts.append(joined.select("focus", "path", "value", "shape", F.explode(failures).alias("component"),
-                                   "_message", "severity").select(*out))
-    if any(s.min_count or s.max_count is not None for s in shapes):
-        n = F.count("value")
-        counted = (joined.filter("_min IS NOT NULL OR _max IS NOT NULL")
-                   .groupBy("focus", "path", "shape", "_shape", "_message", "severity", "_min", "_max")
-                   .agg(n.alias("_n")))
-        which = F.when(F.col("_n") < F.col("_min"), "minCount").when(F.col("_n") > F.col("_max"), "maxCount")
-        parts.append(counted.withColumn("component", which).filter("component IS NOT NULL")
-                     .withColumn("value", F.lit(None).cast("string")).select(*out))
+    failures = F.array_compact(F.array(
+        *[F.when(_any(c), name) for name, c in by_component.items()],
+        F.when(F.col("_min").isNotNull() | F.col("_max").isNotNull(), "_n")))
+    counting = F.col("component") == "_n"
+    found = (joined.select("focus", "path", "_shape", "value", F.explode(failures).alias("component"))
+             .groupBy("focus", "path", "_shape", "component", F.when(~counting, F.col("value")).alias("_value"))
+             .agg(F.count("value").alias("_n"))
+             .join(listed, ["_shape", "path"]))
+    named = (F.when(~counting, F.col("component")).when(F.col("_n") < F.col("_min"), "minCount")
+             .when(F.col("_n") > F.col("_max"), "maxCount"))
+    parts = [found.select("focus", "path", F.col("_value").alias("value"), "shape", named.alias("component"),
+                          "_message", "severity").filter("component IS NOT NULL")]
     if any(s.node_class for s in shapes):
         classes = sorted({s.node_class for s in shapes if s.node_class})
         typed = focus_nodes(quads, classes, with_subclasses).select(

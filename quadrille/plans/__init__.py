@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("metrics", "pilot", "graph", "shapes", "relational",
+MODULES = ("metrics", "pilot", "graph", "shapes", "relational", "similarity",
            )
 
 
