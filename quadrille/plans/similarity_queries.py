@@ -64,31 +64,37 @@ def _(t):
 IRI = "http://kg.example/vector/"
 RESOLVE_SQL = f"""
     WITH {CENTRES_SQL},
-    near AS (SELECT c.label, arg_max(vec_id, (ROUND(s, 6), -vec_id)) AS vec_id, MAX(ROUND(s, 6)) AS score FROM (
-        SELECT c.label, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS s
-        FROM centres c JOIN embeddings e ON e.label = c.label) c GROUP BY 1),
+    probes AS (SELECT 'centre ' || label AS name, label, v FROM centres
+               UNION ALL SELECT 'copy ' || label, label, list_transform(arg_min(embedding, vec_id), lambda x: round(CAST(x AS DOUBLE), 2))
+               FROM embeddings GROUP BY label),
+    near AS (SELECT name, label, arg_max(vec_id, (ROUND(s, 6), -vec_id)) AS vec_id, MAX(ROUND(s, 6)) AS score FROM (
+        SELECT name, c.label, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(CAST(v AS FLOAT[]) AS DOUBLE[])) AS s
+        FROM probes c JOIN embeddings e ON e.label = c.label) c GROUP BY 1, 2),
     all_rows AS (
         SELECT '{IRI}' || vec_id AS label, 'http://o/c' || label AS ontology_class, '{IRI}' || vec_id AS canonical_iri,
                FALSE AS is_new, 1.0::DOUBLE AS confidence, NULL AS same_as_iri FROM embeddings
-        UNION ALL SELECT 'centre ' || label, 'http://o/c' || label,
-               CASE WHEN score >= 0.85 THEN '{IRI}' || vec_id ELSE 'kg://acme/entity/c' || label || '/' || left(sha256('centre ' || label), 8) END,
+        UNION ALL SELECT name, 'http://o/c' || label,
+               CASE WHEN score >= 0.85 THEN '{IRI}' || vec_id ELSE 'kg://acme/entity/c' || label || '/' || left(sha256(name), 8) END,
                score < 0.85, CASE WHEN score >= 0.85 THEN ROUND(score, 4) ELSE 1.0 END,
-               CASE WHEN score >= 0.85 THEN 'kg://acme/entity/c' || label || '/' || left(sha256('centre ' || label), 8) END FROM near
+               CASE WHEN score >= 0.85 THEN 'kg://acme/entity/c' || label || '/' || left(sha256(name), 8) END FROM near
         UNION ALL SELECT 'doc ' || doc_id, 'http://o#doc', 'kg://acme/entity/doc/' || left(sha256('doc ' || doc_id), 8), TRUE, 1.0, NULL
         FROM labels)
     """
 
 
 def _resolved(t):
-    """Known vectors by IRI, class centres by neighbourhood, labelled documents as new."""
+    """Known vectors by IRI, centres and coarse copies by neighbourhood, labelled documents as new."""
     cls = F.concat(F.lit("http://o/c"), "label")
     own = t.embeddings.select(F.concat(F.lit(IRI), "vec_id").alias("label"), cls.alias("ontology_class"), "embedding")
     centres = _centres(t).select(F.concat(F.lit("centre "), "label").alias("label"), cls.alias("ontology_class"),
                                  F.col("v").cast("array<float>").alias("embedding"))
+    copies = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")).select(
+        F.concat(F.lit("copy "), "label").alias("label"), cls.alias("ontology_class"),
+        F.transform("v", lambda x: F.round(x.cast("double"), 2)).cast("array<float>").alias("embedding"))
     documents = t.labels.select(F.concat(F.lit("doc "), "doc_id").alias("label"), F.lit("http://o#doc").alias("ontology_class"),
                                 F.lit(None).cast("array<float>").alias("embedding"))
     nodes = t.embeddings.select(F.concat(F.lit(IRI), "vec_id").alias("iri"), F.concat(F.lit("c"), "label").alias("class"), "embedding")
-    return S.resolve_entities(own.unionByName(centres).unionByName(documents), nodes, "acme")
+    return S.resolve_entities(own.unionByName(centres).unionByName(copies).unionByName(documents), nodes, "acme")
 
 
 @query("e3_resolution_cascade", RESOLVE_SQL + "SELECT * FROM all_rows")
