@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("metrics", "pilot", "graph", "shapes", "relational", "similarity", "documents", "governance", "audit",
+MODULES = ("metrics", "pilot", "graph", "shapes", "relational", "similarity", "documents", "governance", "audit", "sources", "streaming",
            )
 
 

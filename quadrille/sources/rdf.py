@@ -101,23 +101,37 @@ def render_quads(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(" ", node("subject"), node("predicate"), obj, graph, F.lit(".")).alias("line"))
 
 
-LINE = (r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:(<[^>]*>|_:\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)'
-        r'\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$')
+NODE = r"<[^>]*>|_:\S+"
+HEAD = rf"^\s*({NODE})\s+<([^>]*)>\s+"
+END = rf"\s*({NODE})?\s*\.\s*(?:#.*)?$"
+LITERAL_END = r"^(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?" + END
+NODE_END = rf"^({NODE})" + END
 
 
 def parse_lines(df: DataFrame, column: str = "value") -> DataFrame:
-    """N-Triples or N-Quads lines to quads; comments, blank and unreadable lines are skipped."""
+    """N-Triples or N-Quads lines to quads; comments, blank and unreadable lines are skipped.
+
+    A literal runs to the last quote of its line, as nothing after it may hold
+    one; so no expression has to step through a text of any length.
+    """
     line = F.col(column)
-    part = lambda i: F.regexp_extract(line, LINE, i)
+    head = F.regexp_extract(line, HEAD, 0)
+    rest = F.substr(line, F.length(head) + 1)
+    cut = df.select(
+        F.regexp_extract(line, HEAD, 1).alias("_s"), F.regexp_extract(line, HEAD, 2).alias("predicate"), rest.alias("_rest"),
+        F.when(rest.startswith('"'), F.substring_index(rest, '"', -1)).alias("_tail")).filter("_s <> ''")
+    literal, tail, whole = F.col("_tail").isNotNull(), F.col("_tail"), F.col("_rest")
+    body = F.substr(whole, F.lit(2), F.length(whole) - F.length(tail) - 2)
+    node = F.regexp_extract(whole, NODE_END, 1)
+    graph = F.when(literal, F.regexp_extract(tail, LITERAL_END, 3)).otherwise(F.regexp_extract(whole, NODE_END, 2))
     text = lambda c: F.when(c != "", c)
-    bare = lambda c: F.when(c.startswith("<"), F.substring(c, 2, 1_000_000_000)).otherwise(c)
-    strip = lambda c: F.regexp_replace(bare(c), ">$", "")
-    node = part(3)
-    kind = F.when(node.startswith("<"), "iri").when(node.startswith("_:"), "bnode").otherwise("literal")
-    return df.filter(line.rlike(LINE)).select(
-        strip(part(1)).alias("subject"), part(2).alias("predicate"),
-        F.when(node == "", _unescape(part(4))).otherwise(strip(node)).alias("object"), kind.alias("object_kind"),
-        text(part(5)).alias("datatype"), text(part(6)).alias("lang"), text(strip(part(7))).alias("graph"))
+    bare = lambda c: F.when(c.startswith("<"), F.substr(c, F.lit(2), F.length(c) - 2)).otherwise(c)
+    kind = F.when(literal, "literal").when(node.startswith("<"), "iri").otherwise("bnode")
+    readable = F.when(literal, tail.rlike(LITERAL_END)).otherwise(whole.rlike(NODE_END))
+    return cut.filter(readable).select(
+        bare(F.col("_s")).alias("subject"), "predicate", F.when(literal, _unescape(body)).otherwise(bare(node)).alias("object"),
+        kind.alias("object_kind"), F.when(literal, text(F.regexp_extract(tail, LITERAL_END, 1))).alias("datatype"),
+        F.when(literal, text(F.regexp_extract(tail, LITERAL_END, 2))).alias("lang"), text(bare(graph)).alias("graph"))
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
