@@ -75,20 +75,21 @@ def _roles(patterns: Sequence[Pattern]) -> tuple[set[str], set[str]]:
     return nodes, {v for v, n in objects.items() if n > 1 and v not in nodes}
 
 
-def _order(patterns: Sequence[Pattern], bound: set[str]) -> list[Pattern]:
+def _order(patterns: Sequence[Pattern]) -> list[Pattern]:
     """Most constants first, then always one connected to what is bound."""
     constants = lambda p: sum(not is_variable(t) for t in p)
     variables = lambda p: {t[1:] for t in p if is_variable(t)}
-    left, result, bound = list(patterns), [], set(bound)
+    ground = [p for p in patterns if not variables(p)]
+    left, result, bound = [p for p in patterns if variables(p)], [], set()
     while left:
-        linked = [p for p in left if not bound or variables(p) & bound or not variables(p)]
+        linked = [p for p in left if not bound or variables(p) & bound]
         if not linked:
             raise ValueError("patterns are not connected; join them explicitly")
         best = max(linked, key=constants)
         result.append(best)
         left.remove(best)
         bound |= variables(best)
-    return result
+    return result + ground
 
 
 def scope(quads: DataFrame, graph: str | None = None, kind: str | None = None) -> DataFrame:
@@ -111,7 +112,7 @@ def match(quads: DataFrame, patterns: Sequence[Pattern], graph: str | None = Non
     quads = scope(quads, graph)
     nodes, terms = _roles(patterns)
     result = None
-    for pattern in _order(patterns, set()):
+    for pattern in _order(patterns):
         step = _bindings(quads, pattern, nodes, terms, graph)
         if result is None:
             result = step

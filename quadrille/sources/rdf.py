@@ -73,7 +73,7 @@ def rdfxml_to_triples(df: DataFrame, column: str = "value", key: str | None = No
 
 def cim_xml_to_triples(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
     """CIM model files (RDF/XML), one file per row, to quads."""
-    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     return rdfxml_to_triples(files, "value", "file", graph)
 
 
