@@ -107,39 +107,41 @@ def validate(quads: DataFrame, shapes: Sequence[Shape], with_subclasses: bool =
     listed = F.broadcast(spark.createDataFrame(
         rows, "_shape int, class string, path string, _min int, _max int, _class string, "
               "shape string, _message string, severity string"))
-    focus = focus_nodes(quads, sorted({s.target_class for s in shapes}), with_subclasses).join(listed, "class")
+    focus = (focus_nodes(quads, sorted({s.target_class for s in shapes}), with_subclasses)
+             .join(listed.select("_shape", "class", "path"), "class").select("focus", "path", "_shape"))
     values = (quads.filter(F.col("predicate").isin(sorted({s.path for s in shapes})))
               .select(F.col("subject").alias("focus"), F.col("predicate").alias("path"), F.col("object").alias("value"),
-                      "object_kind", "datatype", "lang")
-              # A value stated in two graphs is one value.
-              .distinct())
-    joined = focus.join(values, ["focus", "path"], "left")
+                      "object_kind", "datatype", "lang"))
+    # Exploded quads are far larger than the files they come from, so the size
+    # estimate that would choose a broadcast is wrong here; the merge join also
+    # leaves rows by focus and path, where both aggregates below want them.
+    # A value stated in two graphs is one value, hence the distinct.
+    joined = focus.join(values.hint("merge"), ["focus", "path"], "left").distinct()
 
-    checks = [c for i, s in enumerate(shapes) for c in _failed_checks(i, s)]
     by_component: dict[str, list[Column]] = {}
-    for component, failed in checks:
-        by_component.setdefault(component, []).append(failed)
-    # Failed value checks and the value counts go through one aggregate. Its keys
-    # contain the join's, so Spark adds no shuffle after the join.
-    out = ["focus", "path", "value", "shape", "component", "_message", "severity"]
-    failures = F.array_compact(F.array(
+    for i, s in enumerate(shapes):
+        for component, failed in _failed_checks(i, s):
+            by_component.setdefault(component, []).append(failed)
+    counted = [i for i, s in enumerate(shapes) if s.min_count or s.max_count is not None]
+    classed = [i for i, s in enumerate(shapes) if s.node_class]
+    outcomes = F.array_compact(F.array(
         *[F.when(_any(c), name) for name, c in by_component.items()],
-        F.when(F.col("_min").isNotNull() | F.col("_max").isNotNull(), "_n")))
+        F.when(F.col("_shape").isin(counted), "_n"), F.when(F.col("_shape").isin(classed) & F.col("value").isNotNull(), "_c")))
     counting = F.col("component") == "_n"
-    found = (joined.select("focus", "path", "_shape", "value", F.explode(failures).alias("component"))
+    found = (joined.select("focus", "path", "_shape", "value", F.explode(outcomes).alias("component"))
              .groupBy("focus", "path", "_shape", "component", F.when(~counting, F.col("value")).alias("_value"))
-             .agg(F.count("value").alias("_n"))
-             .join(listed, ["_shape", "path"]))
+             .agg(F.count("value").alias("_n")))
+    detail = listed.select("_shape", "_min", "_max", "_class", "shape", "_message", "severity")
+    out = ["focus", "path", F.col("_value").alias("value"), "shape", "component", "_message", "severity"]
     named = (F.when(~counting, F.col("component")).when(F.col("_n") < F.col("_min"), "minCount")
              .when(F.col("_n") > F.col("_max"), "maxCount"))
-    parts = [found.select("focus", "path", F.col("_value").alias("value"), "shape", named.alias("component"),
-                          "_message", "severity").filter("component IS NOT NULL")]
-    if any(s.node_class for s in shapes):
+    parts = [found.filter("component <> '_c'").join(detail, "_shape").withColumn("component", named)
+             .filter("component IS NOT NULL").select(*out)]
+    if classed:
         classes = sorted({s.node_class for s in shapes if s.node_class})
         typed = focus_nodes(quads, classes, with_subclasses).select(
-            F.col("focus").alias("value"), F.col("class").alias("_class"))
-        parts.append(joined.filter("_class IS NOT NULL AND value IS NOT NULL")
-                     .join(typed, ["value", "_class"], "left_anti")
+            F.col("focus").alias("_value"), F.col("class").alias("_class"))
+        parts.append(found.filter("component = '_c'").join(detail, "_shape").join(typed, ["_value", "_class"], "left_anti")
                      .withColumn("component", F.lit("class")).select(*out))
     result = reduce(DataFrame.unionByName, parts)
     message = F.coalesce("_message", F.concat(F.lit("constraint "), "component", F.lit(" not met on "), "path"))

@@ -10,7 +10,13 @@ from quadrille.plans.kg import ONT, RES
 from quadrille.plans.registry import query
 from quadrille.vocab import PROV, TYPE, XSD
 
-K = F.get_json_object("props", "$.k").cast("int")
+
+
+def number():
+    """The number in an event's JSON."""
+    return F.get_json_object("props", "$.k").cast("int")
+
+
 K_SQL = "CAST(props ->> '$.k' AS INT)"
 HASH_SQL = "left(sha256('q' || event_id), 16)"
 ISO_SQL = "strftime(date_trunc('second', {}), '%Y-%m-%dT%H:%M:%S')"
@@ -24,7 +30,7 @@ def audit_log(t):
         F.concat(F.lit("u"), "user_id").alias("user_id"),
         F.when(e.isin("click", "view", "error"), "query").when(e == "purchase", "export").otherwise("login").alias("action"),
         F.when(e == "error", "error").when((e == "purchase") & (F.col("value") > 100), "denied").otherwise("success").alias("status"),
-        F.when(e != "signup", F.concat(F.lit("c"), (K / 10).cast("int"))).alias("context"), F.col("ts").alias("created_at"))
+        F.when(e != "signup", F.concat(F.lit("c"), (number() / 10).cast("int"))).alias("context"), F.col("ts").alias("created_at"))
 
 
 LOG_SQL = f"""log AS (SELECT event_id AS id, 't' || (user_id % 7) AS tenant_id, 'u' || user_id AS user_id,
@@ -40,7 +46,7 @@ def query_runs(t):
         F.substring(F.sha2(F.concat(F.lit("q"), "event_id"), 256), 1, 16).alias("query_hash"),
         F.concat(F.lit("t"), F.col("user_id") % 7).alias("tenant_id"), F.col("event_type").alias("context"),
         F.lit(None).cast("string").alias("query_text"), F.concat(F.lit(RES + "user/"), "user_id").alias("user_iri"),
-        F.array(F.concat(F.lit(RES + "graph/"), K)).alias("used_graphs"),
+        F.array(F.concat(F.lit(RES + "graph/"), number())).alias("used_graphs"),
         F.when(F.col("event_type") != "error", F.concat(F.lit(RES + "result/"), "event_id")).alias("result_iri"),
         start.alias("started_at"), (start + F.expr("INTERVAL 1 SECOND")).alias("ended_at"))
 
@@ -49,7 +55,7 @@ def prov_quads(t):
     """Query provenance, and the derivation of every result from its graph's dataset."""
     runs = A.query_triples(query_runs(t), "prov")
     derived = t.events.filter("event_type <> 'error'").select(
-        F.concat(F.lit(RES + "result/"), "event_id").alias("entity_iri"), F.concat(F.lit(RES + "dataset/"), (K / 10).cast("int")).alias("source_iri"),
+        F.concat(F.lit(RES + "result/"), "event_id").alias("entity_iri"), F.concat(F.lit(RES + "dataset/"), (number() / 10).cast("int")).alias("source_iri"),
         F.concat(F.lit(RES + "prov/query/"), F.substring(F.sha2(F.concat(F.lit("q"), "event_id"), 256), 1, 16)).alias("activity_iri"))
     return runs.unionByName(A.derivation_triples(derived, "prov"))
 
@@ -144,7 +150,7 @@ def _(t):
         'prov:wasGeneratedBy', json_object('@id', 'urn:run')) AS VARCHAR) AS document FROM events GROUP BY user_id""")
 def _(t):
     return A.derivation_documents(t.events.select(
-        F.concat(F.lit(RES + "user/"), "user_id").alias("entity_iri"), F.concat(F.lit(RES + "graph/"), K).alias("source_iri"),
+        F.concat(F.lit(RES + "user/"), "user_id").alias("entity_iri"), F.concat(F.lit(RES + "graph/"), number()).alias("source_iri"),
         F.lit("urn:run").alias("activity_iri")))
 
 
@@ -219,7 +225,7 @@ def lineage_json(t):
     message = F.to_json(F.struct(
         F.when(e == "purchase", "complete").when(e == "error", "FAIL").when(e == "signup", "START").otherwise("OTHER").alias("eventType"),
         F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("eventTime"),
-        F.struct(F.lit("ns").alias("namespace"), F.concat(F.lit("job"), K).alias("name")).alias("job"),
+        F.struct(F.lit("ns").alias("namespace"), F.concat(F.lit("job"), number()).alias("name")).alias("job"),
         F.struct(F.concat(F.lit("run"), "event_id").alias("runId"), F.struct(F.struct(
             F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("t"), F.col("user_id") % 7)).alias("tenant_id"),
             F.lit("structured").alias("source_type")).alias("ingestion")).alias("facets")).alias("run")))
@@ -282,7 +288,7 @@ def _(t):
 def indicators(t):
     e = F.col("event_type")
     return t.events.select("ts", (e == "error").alias("is_error"), (e == "click").alias("is_hit"), (e == "view").alias("is_miss"),
-                           F.when(e == "purchase", K).otherwise(0).alias("ingested"))
+                           F.when(e == "purchase", number()).otherwise(0).alias("ingested"))
 
 
 INDICATOR_SQL = f"""

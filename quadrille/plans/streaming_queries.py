@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.plans.audit_queries import AUDIT_FROM_LINEAGE_SQL, INDICATOR_SQL, K, lineage_json
+from quadrille.plans.audit_queries import AUDIT_FROM_LINEAGE_SQL, INDICATOR_SQL, lineage_json, number
 from quadrille.plans.registry import SCHEMAS, query
 from quadrille.session import scratch_path
 from quadrille.streaming import lineage as L
@@ -52,7 +52,7 @@ def _(t):
 def _(t):
     e = F.col("event_type")
     flags = _stream(t).select("ts", (e == "error").alias("is_error"), (e == "click").alias("is_hit"), (e == "view").alias("is_miss"),
-                              F.when(e == "purchase", K).otherwise(0).alias("ingested"))
+                              F.when(e == "purchase", number()).otherwise(0).alias("ingested"))
     return _plain(_run(t, L.sliding_indicators(flags), ["window_start"]), "window_start")
 
 

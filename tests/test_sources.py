@@ -30,7 +30,7 @@ def test_jdbc_with_cursor(spark, tmp_path):
 def test_json_pages(spark, tmp_path):
     for i, body in enumerate([{"data": [{"id": 1}, {"id": 2}], "next": "x"}, [{"id": 3}], {"error": "none"}, {"data": {"id": 9}}]):
         (tmp_path / f"{i}.json").write_text(json.dumps(body, indent=1))
-    assert rows(tables.read_json_pages(spark, str(tmp_path), "id: int"))) == [(1,), (2,), (3,)]
+    assert rows(tables.read_json_pages(spark, str(tmp_path), "id: int")) == [(1,), (2,), (3,)]
 
 
 def test_merge_keeps_the_latest(spark, tmp_path):
