@@ -115,14 +115,18 @@ def derivation_triples(derivations: DataFrame, graph: str) -> DataFrame:
         quad(e, PROV + "wasGeneratedBy", F.col("activity_iri"), "iri", graph=graph)]).distinct()
 
 
-def derivation_documents(derivations: DataFrame) -> DataFrame:
-    """One JSON-LD document per entity with the list of its sources.
+def derivation_documents(derivations: DataFrame, per_document: int = 10_000) -> DataFrame:
+    """JSON-LD documents of entities with the list of their sources.
 
-    The list is the content of the document, so it is gathered per entity;
-    duplicates go first, and an entity has as many entries as direct sources.
+    One document per entity, or several with the same ``@id`` (which JSON-LD
+    reads as one node) for an entity with more than ``per_document`` sources:
+    no list grows with the data.
     """
-    per = (derivations.select("entity_iri", "source_iri", "activity_iri").distinct().groupBy("entity_iri").agg(
-        F.array_sort(F.collect_set("source_iri")).alias("_s"), F.min("activity_iri").alias("_a")))
+    rows = derivations.select("entity_iri", "source_iri", "activity_iri").distinct()
+    sizes = rows.groupBy("entity_iri").agg(F.ceil(F.count("*") / per_document).alias("_parts"), F.min("activity_iri").alias("_a"))
+    part = F.pmod(F.xxhash64("source_iri"), F.col("_parts"))
+    per = (rows.select("entity_iri", "source_iri").distinct().join(sizes, "entity_iri").withColumn("_part", part)
+           .groupBy("entity_iri", "_part").agg(F.array_sort(F.collect_set("source_iri")).alias("_s"), F.min("_a").alias("_a")))
     return per.select("entity_iri", _document(
         F.col("entity_iri"), "prov:Entity", F.transform("_s", lambda x: F.struct(x.alias("@id"))).alias("prov:wasDerivedFrom"),
         _ref(F.col("_a")).alias("prov:wasGeneratedBy")).alias("document"))

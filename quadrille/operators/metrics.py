@@ -458,26 +458,35 @@ def resolve_requests(requests: DataFrame, catalogue: DataFrame, default: str | N
 def followed_within(events: DataFrame, id_col: str, key: str, start: str, end: str, days: int) -> DataFrame:
     """Rows for which another row of the same key starts in ``[end, end + days]``.
 
-    Each key's starts are laid on a time line of ``days``-wide buckets; a row
-    looks only at the buckets its interval touches, which splits a heavy key
-    over many tasks. The buckets keep one row per distinct start time and the
-    count behind it, so a popular key does not multiply pairs either.
+    No pairs are formed. Starts are summed up per key and ``days``-wide bucket
+    as their smallest and largest value. An interval touches two buckets: in
+    its own one any start at or after ``end`` is inside, so the largest start
+    decides; in the next one the smallest start decides. The row itself can
+    only be in the way when it starts exactly at its end, which a count of equal
+    starts settles, or after its end, and those rows are compared directly.
     """
     width = days * 86400
-    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    starts = (events.groupBy(key, F.col(start).alias("_s"))
-              .agg(F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi"))
-              .withColumn("_bucket", F.floor(F.unix_timestamp(F.col("_s").cast("timestamp")) / width)))
-    probes = events.withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(seconds(end) / width), F.floor(seconds(end) / width) + 1)))
-    e, s = probes.alias("e"), starts.alias("s")
-    hit = ((F.col(f"e.{key}") == F.col(f"s.{key}")) & (F.col("e._bucket") == F.col("s._bucket"))
-           & (F.col("s._s") >= F.col(f"e.{end}"))
-           & (F.col("s._s") <= F.col(f"e.{end}") + F.expr(f"INTERVAL {days} DAYS"))
-           # some row with that start has another id
-           & ((F.col("s._lo") != F.col(f"e.{id_col}")) | (F.col("s._hi") != F.col(f"e.{id_col}"))))
-    # A start lies in one bucket, but a row probes two, so a row may qualify twice.
-    return e.join(s, hit, "left_semi").drop("_bucket").dropDuplicates([id_col])
+    bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / width)
+    starts = (events.groupBy(F.col(key).alias("_k"), bucket(start).alias("_b"))
+              .agg(F.min(start).alias("_min"), F.max(start).alias("_max")))
+    proper = events.filter(F.col(start) <= F.col(end)).withColumn("_b", bucket(end))
+    until = F.col(end) + F.expr(f"INTERVAL {days} DAYS")
+    # One row per probe and bucket; both decide by an aggregate of that bucket.
+    probes = proper.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
+        "_b", F.col("_b") + F.when(F.col("_own"), 0).otherwise(1))
+    strictly = F.when(F.col("_own"), F.col("_max") > F.col(end)).otherwise(F.col("_min") <= until)
+    later = (probes.join(starts, (probes[key] == F.col("_k")) & (probes["_b"] == starts["_b"]))
+             .filter(strictly).select(id_col))
+    same = events.groupBy(F.col(key).alias("_k"), F.col(start).alias("_s")).agg(F.count("*").alias("_n"))
+    at_end = (proper.join(same, (proper[key] == F.col("_k")) & (proper[end] == F.col("_s")))
+              .filter(F.col("_n") > F.when(F.col(start) == F.col(end), 1).otherwise(0)).select(id_col))
+    # Rows that end before they start: as the condition is written.
+    odd, other = events.filter(F.col(start) > F.col(end)).alias("e"), events.alias("o")
+    reversed_ = odd.join(other, (F.col(f"e.{key}") == F.col(f"o.{key}")) & (F.col(f"e.{id_col}") != F.col(f"o.{id_col}"))
+                         & F.col(f"o.{start}").between(F.col(f"e.{end}"), F.col(f"e.{end}") + F.expr(f"INTERVAL {days} DAYS")),
+                         "left_semi").select(id_col)
+    hits = later.union(at_end).union(reversed_).distinct()
+    return events.join(hits, id_col, "left_semi")
 
 
 def in_cohort(df: DataFrame, key: str, cohort: DataFrame, cohort_key: str, condition: str) -> DataFrame:

@@ -81,6 +81,23 @@ def _(t):
     return _gated(t).groupBy("doc_id", "extraction_type", "text_span").agg(F.count("*").alias("n"))
 
 
+def _quoted_secrets(text: str) -> list[dict]:
+    """A caller's own extractor: quoted 40-digit tokens, without a confidence."""
+    import re
+
+    return [{"extraction_type": "Secret", "text_span": m.group(1), "attributes": {"class": "kg:Secret"},
+             "char_interval": {"start": m.start(1), "end": m.end(1)}} for m in re.finditer(r'"([0-9a-f]{40})"', text)]
+
+
+@query("f1_caller_function", """
+    SELECT doc_id, 'kg:Secret' AS ontology_class, 1.0::DOUBLE AS confidence_score, COUNT(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '"[0-9a-f]{40}"')) AS s FROM documents) GROUP BY 1""")
+def _(t):
+    chunks = D.chunk(spread(t.documents), "doc_id", overlap=0)
+    found = D.extract(chunks, "doc_id", extractor=_quoted_secrets, model_id="caller")
+    return found.groupBy("doc_id", "ontology_class", "confidence_score").agg(F.count("*").alias("n"))
+
+
 @query("d4_rebased_spans", f"""
     SELECT doc_id, extraction_type, TRUE AS exact, COUNT(*) AS n FROM ({COUNTS_SQL}) GROUP BY 1, 2""")
 def _(t):

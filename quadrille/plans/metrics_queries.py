@@ -290,3 +290,12 @@ def _(t):
         C.ratio(F.col("l_extendedprice"), F.col("l_linenumber") - 1).alias("guarded"),
         C.days_between(F.col("l_shipdate"), F.col("o_orderdate")).alias("days"),
         F.round(C.hours_between(F.col("l_shipdate"), F.col("o_orderdate")), 4).alias("hours"))
+
+
+@query("f2_sql_expressions", """
+    SELECT l_linestatus AS status, CAST(COUNT_IF(l_discount > 0.05) AS BIGINT) AS discounted FROM lineitem
+    WHERE l_tax < 0.04 AND l_shipdate > TIMESTAMP '1996-01-01' GROUP BY 1""")
+def _(t):
+    spec = M.MetricSpec("discounted", "custom", "Line", measure_sql="count_if(l_discount > 0.05)", default_filter="t.l_tax < 0.04",
+                        contexts={"late": M.MetricContext(filter="t.l_shipdate > timestamp_ntz'1996-01-01'")})
+    return M.metric(spec, MODEL, t, ["status"])

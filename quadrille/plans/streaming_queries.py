@@ -29,6 +29,17 @@ def _plain(df, *columns):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
+@query("s14_lineage_source", "SELECT COUNT(*) AS messages, COUNT(*) FILTER (WHERE event_type = 'view') AS unreadable FROM events")
+def _(t):
+    landed, out, state = (scratch_path(t.spark, n) for n in ("messages", "raw", "state"))
+    lineage_json(t).select("value").write.text(landed)
+    messages = L.lineage_stream(t.spark, "text", path=landed)
+    (messages.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True)
+     .start().awaitTermination())
+    stored = t.spark.read.schema("value string").parquet(out)
+    return stored.agg(F.count("*").alias("messages"), F.count_if(F.col("value") == "{not json").alias("unreadable"))
+
+
 @query("t1_lineage_to_audit_log", AUDIT_FROM_LINEAGE_SQL)
 def _(t):
     landed, out, state = (scratch_path(t.spark, n) for n in ("messages", "audit", "state"))

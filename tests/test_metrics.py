@@ -146,8 +146,8 @@ def test_followed_within_by_brute_force(spark):
     stays = []
     for i in range(300):
         # One key holds a third of the rows.
-        s = start + timedelta(days=rng.randrange(400))
-        stays.append((i, 0 if i % 3 == 0 else rng.randrange(30), s, s + timedelta(days=rng.randrange(10))))
+        s = start + timedelta(days=rng.randrange(4000) if i % 3 else rng.randrange(9000))
+        stays.append((i, 0 if i % 3 == 0 else rng.randrange(60), s, s + timedelta(days=rng.randrange(-2, 10))))
     df = spark.createDataFrame(stays, "id int, key int, s timestamp_ntz, e timestamp_ntz")
     got = [r["id"] for r in M.followed_within(df, "id", "key", "s", "e", 30).collect()]
     want = [a[0] for a in stays if any(b[1] == a[1] and b[0] != a[0] and a[3] <= b[2] <= a[3] + timedelta(days=30) for b in stays)]
