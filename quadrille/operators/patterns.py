@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.operators.triples import graph_type
+from quadrille.operators.triples import QuadSource, graph_type, of_predicates
 
 Pattern = tuple
 
@@ -32,9 +32,10 @@ def _identity() -> Column:
     return F.concat_ws("|", F.col("object_kind"), F.coalesce("datatype", F.lit("")), F.coalesce("lang", F.lit("")))
 
 
-def _bindings(quads: DataFrame, pattern: Pattern, as_node: set[str], as_term: set[str], graph: str | None) -> DataFrame:
+def _bindings(source: QuadSource, pattern: Pattern, as_node: set[str], as_term: set[str], graph: str | None) -> DataFrame:
     """Solutions of one pattern: a filter and a projection of the quad table."""
     columns: dict[str, Column] = {}
+    quads = scope(of_predicates(source, None if is_variable(pattern[1]) else [pattern[1]]), graph)
     for position, term in zip(("subject", "predicate", "object"), pattern):
         col = F.col(position)
         if isinstance(term, Literal):
@@ -101,7 +102,7 @@ def scope(quads: DataFrame, graph: str | None = None, kind: str | None = None) -
     return quads
 
 
-def match(quads: DataFrame, patterns: Sequence[Pattern], graph: str | None = None) -> DataFrame:
+def match(quads: QuadSource, patterns: Sequence[Pattern], graph: str | None = None) -> DataFrame:
     """Solutions of a basic graph pattern, one column per variable.
 
     Terms: ``?name`` is a variable, other strings are IRIs, ``Literal`` a
@@ -109,7 +110,6 @@ def match(quads: DataFrame, patterns: Sequence[Pattern], graph: str | None = Non
     graph and return it. All patterns on one subject join on the same key, so
     Spark shuffles each of them once and never the intermediate result again.
     """
-    quads = scope(quads, graph)
     nodes, terms = _roles(patterns)
     result = None
     for pattern in _order(patterns):
@@ -123,7 +123,7 @@ def match(quads: DataFrame, patterns: Sequence[Pattern], graph: str | None = Non
     return result.drop(*[c for c in result.columns if c.startswith("_id_") or c == "_ask"])
 
 
-def optional(solutions: DataFrame, quads: DataFrame, patterns: Sequence[Pattern], graph: str | None = None) -> DataFrame:
+def optional(solutions: DataFrame, quads: QuadSource, patterns: Sequence[Pattern], graph: str | None = None) -> DataFrame:
     """Left join with further patterns on the shared variables."""
     right = match(quads, patterns, graph)
     shared = [c for c in right.columns if c in solutions.columns]
@@ -140,7 +140,7 @@ def union(branches: Sequence[DataFrame]) -> DataFrame:
     return result
 
 
-def path(quads: DataFrame, start: str, predicates: Sequence[str], end: str, graph: str | None = None) -> DataFrame:
+def path(quads: QuadSource, start: str, predicates: Sequence[str], end: str, graph: str | None = None) -> DataFrame:
     """Sequence path ``p/q/r`` from ``start`` to ``end`` (variables or IRIs)."""
     stops = [start, *[f"?_hop{i}" for i in range(1, len(predicates))], end]
     steps = [(a, p, b) for a, p, b in zip(stops, predicates, stops[1:])]

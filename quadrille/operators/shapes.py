@@ -18,7 +18,7 @@ from quadrille import vocab
 from quadrille.functions.columns import SPARK_TYPES, quoted
 from quadrille.operators.metrics import EntitySpec
 from quadrille.operators.traverse import edges_of, reach
-from quadrille.operators.triples import explode_quads, quad
+from quadrille.operators.triples import QuadSource, explode_quads, of_predicates, quad
 from quadrille.vocab import TYPE
 
 STRING = vocab.XSD + "string"
@@ -68,9 +68,9 @@ def _any(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def focus_nodes(quads: DataFrame, classes: Sequence[str], with_subclasses: bool = True) -> DataFrame:
+def focus_nodes(quads: QuadSource, classes: Sequence[str], with_subclasses: bool = True) -> DataFrame:
     """Distinct (focus, class) of the target classes, subclasses included."""
-    types = quads.filter(F.col("predicate") == TYPE).select(F.col("subject").alias("focus"), F.col("object").alias("_type"))
+    types = of_predicates(quads, [TYPE]).select(F.col("subject").alias("focus"), F.col("object").alias("_type"))
     direct = types.filter(F.col("_type").isin(list(classes))).select("focus", F.col("_type").alias("class"))
     if not with_subclasses:
         return direct.distinct()
@@ -97,9 +97,10 @@ def _failed_checks(i: int, s: Shape) -> list[tuple[str, Column]]:
     return checks
 
 
-def validate(quads: DataFrame, shapes: Sequence[Shape], with_subclasses: bool = True) -> DataFrame:
+def validate(quads: QuadSource, shapes: Sequence[Shape], with_subclasses: bool = True) -> DataFrame:
     """One row per violation: focus, path, value, shape, component, message, severity."""
-    spark = quads.sparkSession
+    values = of_predicates(quads, sorted({s.path for s in shapes}))
+    spark = values.sparkSession
     rows = [(i, s.target_class, s.path, s.min_count, s.max_count, s.node_class,
              s.shape or s.target_class.rsplit("/", 1)[-1].rsplit("#", 1)[-1] + "Shape", s.message, s.severity)
             for i, s in enumerate(shapes)]
@@ -109,9 +110,8 @@ def validate(quads: DataFrame, shapes: Sequence[Shape], with_subclasses: bool =
               "shape string, _message string, severity string"))
     focus = (focus_nodes(quads, sorted({s.target_class for s in shapes}), with_subclasses)
              .join(listed.select("_shape", "class", "path"), "class").select("focus", "path", "_shape"))
-    values = (quads.filter(F.col("predicate").isin(sorted({s.path for s in shapes})))
-              .select(F.col("subject").alias("focus"), F.col("predicate").alias("path"), F.col("object").alias("value"),
-                      "object_kind", "datatype", "lang"))
+    values = values.select(F.col("subject").alias("focus"), F.col("predicate").alias("path"), F.col("object").alias("value"),
+                           "object_kind", "datatype", "lang")
     # Exploded quads are far larger than the files they come from, so the size
     # estimate that would choose a broadcast is wrong here; the merge join also
     # leaves rows by focus and path, where both aggregates below want them.
@@ -174,11 +174,11 @@ def violation_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("shape", "path", "component").agg(F.count("*").alias("violations"))
 
 
-def violation_rates(report: DataFrame, quads: DataFrame, shapes: Sequence[Shape]) -> DataFrame:
+def violation_rates(report: DataFrame, quads: QuadSource, shapes: Sequence[Shape]) -> DataFrame:
     """Violating focus nodes per shape property, as a share of the focus nodes of its class."""
     classes = {(s.shape or s.target_class.rsplit("/", 1)[-1].rsplit("#", 1)[-1] + "Shape"): s.target_class for s in shapes}
     totals = focus_nodes(quads, sorted(set(classes.values())), False).groupBy("class").agg(F.count("*").alias("nodes"))
-    names = quads.sparkSession.createDataFrame(list(classes.items()), "shape string, class string")
+    names = report.sparkSession.createDataFrame(list(classes.items()), "shape string, class string")
     per_shape = totals.join(F.broadcast(names), "class").select("shape", "nodes")
     bad = report.groupBy("shape", "path").agg(F.count_distinct("focus").alias("failing"))
     return bad.join(per_shape, "shape").withColumn("rate", F.col("failing") / F.col("nodes"))

@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 
 from quadrille import vocab
 from quadrille.session import materialise
+from quadrille.operators.triples import QuadSource, of_predicates, quad
 from quadrille.vocab import QUAD_COLUMNS, TYPE
 
 
-def edges_of(quads: DataFrame, predicates: Sequence[str] | None = None) -> DataFrame:
+def edges_of(quads: QuadSource, predicates: Sequence[str] | None = None) -> DataFrame:
     """Node-to-node quads as edges."""
-    edges = quads.filter(F.col("object_kind") != "literal")
-    if predicates is not None:
-        edges = edges.filter(F.col("predicate").isin(list(predicates)))
+    edges = of_predicates(quads, predicates).filter(F.col("object_kind") != "literal")
     return edges.select(F.col("subject").alias("src"), F.col("predicate").alias("rel"), F.col("object").alias("tgt"))
 
 
@@ -44,17 +43,16 @@ def reach(edges: DataFrame, seeds: DataFrame | None = None, reflexive: bool = Fa
         frontier = (seeds.select("src").distinct().join(links, F.col("src") == F.col("_mid"))
                     .select("src", F.col("_next").alias("tgt")))
     frontier = materialise(frontier.withColumn("depth", F.lit(1)), "reach")
-    found = [frontier]
-    for depth in range(2, max_rounds + 2):
+    found, depth = [frontier], 1
+    while not frontier.isEmpty():
+        depth += 1
+        if depth > max_rounds + 1:
+            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
         step = (frontier.join(links, frontier["tgt"] == links["_mid"])
                 .select("src", F.col("_next").alias("tgt")).distinct()
                 .join(_union(found).select("src", "tgt"), ["src", "tgt"], "left_anti")
                 .withColumn("depth", F.lit(depth)))
         frontier = materialise(step, "reach")
-        if frontier.isEmpty():
-            break
-        if depth > max_rounds:
-            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
         found.append(frontier)
     result = _union(found)
     if reflexive:
@@ -150,43 +148,56 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 def rdfs_closure(quads: DataFrame) -> DataFrame:
     """RDFS entailment for data whose schema is not itself derived.
 
-    Order matters and each layer is complete before the next: sub-properties,
-    then domain and range, then sub-classes. Only the two schema hierarchies
-    are fixpoints; the data is joined with them once each.
+    The schema is closed first: per predicate its super-properties and the
+    classes its domain and range imply, per class its super-classes. These
+    tables are as large as the schema. The data then meets them in one pass and
+    every quad emits what follows from it.
     """
     terms = [vocab.SUBPROPERTY, vocab.SUBCLASS, vocab.DOMAIN, vocab.RANGE]
-    # Four small selections of a large table: read it once.
+    # Small selections of a large table: read it once.
     links = materialise(edges_of(quads, terms), "schema")
-    schema = lambda p: links.filter(F.col("rel") == p)
-    graph = F.lit(None).cast("string").alias("graph")
-    super_property = reach(schema(vocab.SUBPROPERTY)).select(F.col("src").alias("predicate"), F.col("tgt").alias("_up"))
-    super_class = reach(schema(vocab.SUBCLASS)).select(F.col("src").alias("object"), F.col("tgt").alias("_up"))
-
-    lifted = (quads.join(super_property, "predicate")
-              .select("subject", F.col("_up").alias("predicate"), *QUAD_COLUMNS[2:]))
-    known = quads.unionByName(lifted)
-
-    domain = schema(vocab.DOMAIN).select(F.col("src").alias("predicate"), F.col("tgt").alias("_class")).distinct()
-    range_ = schema(vocab.RANGE).select(F.col("src").alias("predicate"), F.col("tgt").alias("_class")).distinct()
-    typed = lambda df, node: df.select(
-        F.col(node).alias("subject"), F.lit(TYPE).alias("predicate"), F.col("_class").alias("object"),
-        F.lit("iri").alias("object_kind"), F.lit(None).cast("string").alias("datatype"),
-        F.lit(None).cast("string").alias("lang"), "graph")
-    from_domain = typed(known.join(domain, "predicate"), "subject")
-    from_range = typed(known.filter(F.col("object_kind") != "literal").join(range_, "predicate"), "object")
-
-    types = _union([known.filter(F.col("predicate") == TYPE), from_domain, from_range])
-    lifted_types = types.join(super_class, "object").select(
-        "subject", "predicate", F.col("_up").alias("object"), *QUAD_COLUMNS[3:])
-    hierarchy = _union([
-        pairs.select(F.col(a).alias("subject"), F.lit(p).alias("predicate"), F.col("_up").alias("object"),
-                     F.lit("iri").alias("object_kind"), F.lit(None).cast("string").alias("datatype"),
-                     F.lit(None).cast("string").alias("lang"), graph)
-        for pairs, a, p in ((super_class, "object", vocab.SUBCLASS), (super_property, "predicate", vocab.SUBPROPERTY))])
+    direct = lambda p: links.filter(F.col("rel") == p).select("src", "tgt")
+    super_property = reach(direct(vocab.SUBPROPERTY)).select("src", "tgt")
+    super_class = reach(direct(vocab.SUBCLASS)).select("src", "tgt")
+
+    def implied(term: str) -> DataFrame:
+        """Predicate to every class its domain or range makes a node a member of."""
+        own = direct(term)
+        inherited = super_property.withColumnRenamed("tgt", "_up").join(
+            own.select(F.col("src").alias("_up"), "tgt"), "_up").select("src", "tgt")
+        classes = own.union(inherited)
+        above = classes.withColumnRenamed("tgt", "_c").join(
+            super_class.select(F.col("src").alias("_c"), "tgt"), "_c").select("src", "tgt")
+        return classes.union(above)
+
+    tagged = _union([df.withColumn("_k", F.lit(k)) for k, df in (
+        ("up", super_property), ("domain", implied(vocab.DOMAIN)), ("range", implied(vocab.RANGE)))])
+    listed = lambda k: F.collect_set(F.when(F.col("_k") == k, F.col("tgt"))).alias(f"_{k}")
+    by_predicate = tagged.groupBy(F.col("src").alias("predicate")).agg(listed("up"), listed("domain"), listed("range"))
+    by_class = super_class.groupBy(F.col("src").alias("_class")).agg(F.collect_set("tgt").alias("_classes"))
+
+    none = F.array().cast("array<string>")
+    rows = quads.select(*QUAD_COLUMNS).join(by_predicate, "predicate", "left")
+    is_type = (F.col("predicate") == TYPE) | F.array_contains(F.coalesce("_up", none), TYPE)
+    rows = rows.withColumn("_class", F.when(is_type, F.col("object"))).join(by_class, "_class", "left")
+    each = lambda name, make: F.transform(F.coalesce(name, none), make)
+    g = F.col("graph")
+    s, o = F.col("subject"), F.col("object")
+    emitted = F.concat(
+        F.array(quad(s, F.col("predicate"), o, F.col("object_kind"), F.col("datatype"), F.col("lang"), g)),
+        each("_up", lambda p: quad(s, p, o, F.col("object_kind"), F.col("datatype"), F.col("lang"), g)),
+        each("_classes", lambda c: quad(s, TYPE, c, "iri", graph=g)),
+        each("_domain", lambda c: quad(s, TYPE, c, "iri", graph=g)),
+        F.when(F.col("object_kind") != "literal", each("_range", lambda c: quad(o, TYPE, c, "iri", graph=g))).otherwise(
+            F.array().cast("array<struct<subject:string,predicate:string,object:string,object_kind:string,datatype:string,"
+                           "lang:string,graph:string>>")))
+    entailed = rows.select(F.inline(emitted))
     # A schema link keeps the graph it was stated in; only new links have none.
-    stated = links.select(F.col("src").alias("subject"), F.col("rel").alias("predicate"), F.col("tgt").alias("object"))
-    hierarchy = hierarchy.join(stated, ["subject", "predicate", "object"], "left_anti")
-    return _union([known, from_domain, from_range, lifted_types, hierarchy]).dropDuplicates(QUAD_COLUMNS)
+    new_links = _union([
+        pairs.withColumn("rel", F.lit(p)) for pairs, p in ((super_class, vocab.SUBCLASS), (super_property, vocab.SUBPROPERTY))
+    ]).join(links.select("src", "tgt", "rel"), ["src", "tgt", "rel"], "left_anti")
+    hierarchy = new_links.select(quad(F.col("src"), F.col("rel"), F.col("tgt"), "iri").alias("_q")).select("_q.*")
+    return entailed.unionByName(hierarchy).dropDuplicates(QUAD_COLUMNS)
 
 
 def import_closure(imports: DataFrame, roots: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,18 @@ from quadrille import vocab
 from quadrille.functions.columns import local_name, quoted, template
 from quadrille.vocab import QUAD_COLUMNS, TYPE
 
+# Quads are a table, or a function from a list of predicates (None for all) to
+# one. The function lets a mapped source build only what a pattern can use.
+QuadSource = DataFrame | Callable[[Sequence[str] | None], DataFrame]
+
+
+def of_predicates(quads: QuadSource, predicates: Sequence[str] | None) -> DataFrame:
+    """The quads with these predicates, all without a list."""
+    if not isinstance(quads, DataFrame):
+        quads = quads(predicates)
+    return quads if predicates is None else quads.filter(F.col("predicate").isin(list(predicates)))
+
+
 # Substrings of SQL type names and the XSD type they mean, tested in this order.
 XSD_BY_SQL_TYPE = (
     (("int", "serial", "bigint", "smallint"), "integer"),
@@ -86,6 +99,11 @@ def quad(subject: Column, predicate: Column | str, obj: Column, kind: Column | s
 
 def explode_quads(df: DataFrame, quads: Sequence[Column], keep: Sequence[str] = ()) -> DataFrame:
     """One row per non-null quad of each input row."""
+    if len(quads) == 1:
+        # Without a generator Catalyst sees through to the columns: constant
+        # predicates fold and filters reach the scan.
+        rows = df.select(*keep, quads[0].alias("_q")).select(*keep, "_q.*")
+        return rows.filter("subject IS NOT NULL AND object IS NOT NULL")
     if not quads:
         empty = [F.lit(None).cast("string").alias(c) for c in QUAD_COLUMNS]
         return df.limit(0).select(*keep, *empty)
@@ -173,6 +191,17 @@ def property_table(quads: DataFrame, class_iri: str, predicates: Mapping[str, st
             .filter("_member").drop("_member"))
 
 
+def mapped(tables: Mapping[str, DataFrame], mappings: Mapping[str, RowMapping],
+           graphs: Mapping[str, str]) -> Callable[[Sequence[str] | None], DataFrame]:
+    """Tables as quads without storing them: a pattern on one predicate reads one column."""
+
+    def build(predicates: Sequence[str] | None) -> DataFrame:
+        return reduce(DataFrame.unionByName, [
+            rows_to_triples(tables[n], m, graphs.get(n), predicates) for n, m in mappings.items()])
+
+    return build
+
+
 def construct(bindings: DataFrame, templates: Sequence[tuple], graph: str | None = None) -> DataFrame:
     """Triples from bindings. A template is (s, p, o) or (s, p, o, kind, datatype);
     parts starting with ``?`` name binding columns."""

@@ -8,7 +8,7 @@ from quadrille import vocab
 from quadrille.operators import patterns as P
 from quadrille.operators import traverse as V
 from quadrille.operators import triples as T
-from quadrille.plans.kg import BANK, ONT, RES, graph_of, quads, sql_quads
+from quadrille.plans.kg import BANK, ONT, RES, graph, graph_of, quads, sql_quads
 from quadrille.plans.registry import query
 from quadrille.session import scratch_path
 from quadrille.vocab import TYPE
@@ -64,7 +64,7 @@ EXPOSURE_PATTERN = [
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
     WHERE o_orderstatus = 'F' GROUP BY 1, 2 ORDER BY 4 DESC, 1 LIMIT 20""")
 def _(t):
-    found = P.match(quads(t), EXPOSURE_PATTERN)
+    found = P.match(graph(t), EXPOSURE_PATTERN)
     return (found.groupBy("name", "jurisdiction")
             .agg(F.count("*").alias("transactions"), F.sum(F.col("amount").cast("decimal(18,4)")).alias("exposure"))
             .withColumn("exposure", F.col("exposure").cast("double"))
@@ -76,7 +76,7 @@ def _(t):
            n_name AS country
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 def _(t):
-    return P.match(quads(t), [("?tx", ONT + "fromAccount", "?account"), ("?account", ONT + "inNation", "?nation"),
+    return P.match(graph(t), [("?tx", ONT + "fromAccount", "?account"), ("?account", ONT + "inNation", "?nation"),
                               ("?nation", ONT + "name", "?country")])
 
 
@@ -84,21 +84,21 @@ def _(t):
     SELECT subject AS a, predicate AS p, object AS x FROM ({sql_quads()}) WHERE predicate = '{ONT}name'""")
 def _(t):
     # The object is shared, so value, kind, datatype and language must agree.
-    return P.match(quads(t), [("?a", ONT + "name", "?x"), ("?a", "?p", "?x")])
+    return P.match(graph(t), [("?a", ONT + "name", "?x"), ("?a", "?p", "?x")])
 
 
 @query("g6_graph_variable", f"""
     SELECT graph AS g, COUNT(*) AS named, COUNT(DISTINCT object) AS names
     FROM ({sql_quads()}) WHERE predicate IN ('{ONT}name') GROUP BY 1""")
 def _(t):
-    found = P.match(quads(t), [("?s", ONT + "name", "?n"), ("?s", TYPE, "?c")], graph="?g")
+    found = P.match(graph(t), [("?s", ONT + "name", "?n"), ("?s", TYPE, "?c")], graph="?g")
     return found.groupBy("g").agg(F.count("*").alias("named"), F.count_distinct("n").alias("names"))
 
 
 @query("g6_one_graph", f"""
     SELECT '{RES}customer/' || c_custkey AS s, c_name AS n FROM customer""")
 def _(t):
-    return P.match(quads(t), [("?s", ONT + "name", "?n")], graph=graph_of("customer"))
+    return P.match(graph(t), [("?s", ONT + "name", "?n")], graph=graph_of("customer"))
 
 
 @query("g6_graph_type", f"SELECT COUNT(*) AS triples FROM ({sql_quads()})")
@@ -115,7 +115,7 @@ def _(t):
            CASE WHEN o_orderstatus <> 'P' AND c_acctbal > 0 THEN c_name END AS name
     FROM a JOIN orders ON tx = '{RES}order/' || o_orderkey LEFT JOIN customer ON o_custkey = c_custkey""")
 def _(t):
-    q = quads(t)
+    q = graph(t)
     amount = F.col("amount").cast("decimal(18,4)")
     base = [("?tx", ONT + "amount", "?amount")]
     high = P.match(q, base).filter(amount > 400000).withColumn("tier", F.lit("high"))
@@ -138,7 +138,7 @@ def _(t):
     SELECT '{RES}order/' || o_orderkey, '{ONT}payer', c_name, 'literal', '{vocab.XSD}string', NULL, '{graph_of('derived')}'
     FROM orders JOIN customer ON o_custkey = c_custkey""")
 def _(t):
-    found = P.match(quads(t), [("?tx", ONT + "fromAccount", "?a"), ("?a", ONT + "inNation", "?n"), ("?a", ONT + "name", "?name")])
+    found = P.match(graph(t), [("?tx", ONT + "fromAccount", "?a"), ("?a", ONT + "inNation", "?n"), ("?a", ONT + "name", "?name")])
     return T.construct(found, [("?a", ONT + "paidFrom", "?n"), ("?tx", ONT + "payer", "?name", "literal", vocab.XSD + "string")],
                        graph_of("derived"))
 
@@ -172,7 +172,7 @@ def _(t):
     SELECT '{RES}region/' || n_regionkey AS region, COUNT(*) AS transactions
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def _(t):
-    walked = P.path(quads(t), "?tx", [ONT + "fromAccount", ONT + "inNation", ONT + "inRegion"], "?region")
+    walked = P.path(graph(t), "?tx", [ONT + "fromAccount", ONT + "inNation", ONT + "inRegion"], "?region")
     return walked.groupBy("region").agg(F.count("*").alias("transactions"))
 
 
@@ -185,7 +185,7 @@ UPWARD = [ONT + "fromAccount", ONT + "inNation", ONT + "inRegion"]
     r AS (SELECT src, tgt, 1 AS depth FROM e UNION SELECT r.src, e.tgt, depth + 1 FROM r JOIN e ON r.tgt = e.src)
     SELECT src, tgt, MIN(depth) AS depth FROM r GROUP BY 1, 2""")
 def _(t):
-    return V.reach(V.edges_of(quads(t, predicates=UPWARD), UPWARD))
+    return V.reach(V.edges_of(graph(t), UPWARD))
 
 
 # Turns of a conversation follow each other: paths as long as a conversation.
@@ -221,7 +221,7 @@ def _(t):
            '{RES}order/' || o_orderkey, 3
            FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey""")
 def _(t):
-    down = V.edges_of(quads(t, predicates=UPWARD)).select(F.col("tgt").alias("src"), "rel", F.col("src").alias("tgt"))
+    down = V.edges_of(graph(t), UPWARD).select(F.col("tgt").alias("src"), "rel", F.col("src").alias("tgt"))
     seeds = t.region.select(F.concat(F.lit(RES + "region/"), "r_regionkey").alias("seed"))
     return V.traverse(down, seeds, 3, UPWARD)
 
@@ -232,16 +232,15 @@ def _(t):
     UNION ALL SELECT '{RES}nation/' || s_nationkey, '{RES}supplier/' || s_suppkey, 1 FROM supplier
     UNION ALL SELECT '{RES}nation/' || c_nationkey, '{RES}order/' || o_orderkey, 2 FROM customer JOIN orders ON o_custkey = c_custkey""")
 def _(t):
-    down = V.edges_of(quads(t, predicates=UPWARD)).select(F.col("tgt").alias("src"), "rel", F.col("src").alias("tgt"))
+    down = V.edges_of(graph(t), UPWARD).select(F.col("tgt").alias("src"), "rel", F.col("src").alias("tgt"))
     seeds = t.nation.select(F.concat(F.lit(RES + "nation/"), "n_nationkey").alias("seed"))
     return V.subgraph_nodes(V.traverse(down, seeds, 2))
 
 
 @query("g15_entity_detail", f"SELECT subject, predicate, object, object_kind, datatype, lang, graph FROM ({sql_quads('supplier')})")
 def _(t):
-    q = quads(t)
-    banks = P.match(q, [("?subject", TYPE, BANK)])
-    return V.entity_detail(q, banks)
+    banks = P.match(graph(t), [("?subject", TYPE, BANK)])
+    return V.entity_detail(quads(t), banks)
 
 
 @query("g15_entity_types", f"""

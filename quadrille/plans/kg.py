@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille import vocab
-from quadrille.operators.triples import Field, Link, RowMapping, rows_to_triples
+from quadrille.operators.triples import Field, Link, RowMapping, mapped, rows_to_triples
 
 RES, ONT, XSD = vocab.RESOURCE, vocab.ONTOLOGY, vocab.XSD
 BANK = vocab.PREFIXES["fibo-fbc-fi"] + "CommercialBank"
@@ -56,6 +56,12 @@ def quads(t, *names: str, predicates=None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def graph(t, *names: str):
+    """The same quads as a function of the predicates wanted: patterns read the tables directly."""
+    chosen = names or tuple(MAPPINGS)
+    return mapped({n: source(t, n) for n in chosen}, {n: MAPPINGS[n] for n in chosen}, {n: graph_of(n) for n in chosen})
+
+
 def _sql_quads(name: str) -> str:
     rows = {
         "region": [("type", f"'{ONT}Region'", "iri", None), (ONT + "name", "r_name", "literal", None)],

@@ -8,7 +8,7 @@ from quadrille import vocab
 from quadrille.operators import shapes as S
 from quadrille.operators import triples as T
 from quadrille.operators.metrics import EntitySpec, PropertySpec
-from quadrille.plans.kg import ONT, RES, quads, sql_quads
+from quadrille.plans.kg import ONT, RES, graph, quads, sql_quads
 from quadrille.plans.registry import query
 from quadrille.vocab import TYPE, XSD
 
@@ -65,21 +65,21 @@ def _(t):
            CAST(CAST(o_totalprice AS DECIMAL(18,4)) AS VARCHAR) AS value, 'datatype' AS component FROM orders""")
 def _(t):
     # Amounts are decimals, so none of them is an integer.
-    return _only(t, quads(t, "orders"), _violation(TX, path=ONT + "amount", datatype=XSD + "integer"))
+    return _only(t, graph(t, "orders"), _violation(TX, path=ONT + "amount", datatype=XSD + "integer"))
 
 
 @query("v4_pattern", f"""
     SELECT '{RES}customer/' || c_custkey AS focus, '{ONT}name' AS path, c_name AS value, 'pattern' AS component
     FROM customer WHERE NOT regexp_matches(c_name, '^Customer#[0-9]*[02468]$')""")
 def _(t):
-    return _only(t, quads(t, "customer"), _violation(CUSTOMER, path=ONT + "name", pattern="^Customer#[0-9]*[02468]$"))
+    return _only(t, graph(t, "customer"), _violation(CUSTOMER, path=ONT + "name", pattern="^Customer#[0-9]*[02468]$"))
 
 
 @query("v5_in", f"""
     SELECT '{RES}customer/' || c_custkey AS focus, '{ONT}segment' AS path, c_mktsegment AS value, 'in' AS component
     FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""")
 def _(t):
-    return _only(t, quads(t, "customer"), _violation(CUSTOMER, path=ONT + "segment", values=("BUILDING", "MACHINERY")))
+    return _only(t, graph(t, "customer"), _violation(CUSTOMER, path=ONT + "segment", values=("BUILDING", "MACHINERY")))
 
 
 @query("v6_class", f"""
@@ -94,7 +94,7 @@ def _(t):
 @query("v7_node_kind", f"""
     SELECT '{RES}customer/' || c_custkey AS focus, '{ONT}name' AS path, c_name AS value, 'nodeKind' AS component FROM customer""")
 def _(t):
-    return _only(t, quads(t, "customer"), _violation(CUSTOMER, path=ONT + "name", node_kind="BlankNodeOrIRI"))
+    return _only(t, graph(t, "customer"), _violation(CUSTOMER, path=ONT + "name", node_kind="BlankNodeOrIRI"))
 
 
 SHAPES = [
@@ -126,7 +126,7 @@ REPORT_SQL = f"""
 
 
 def report(t):
-    return S.validate(quads(t), SHAPES, with_subclasses=False)
+    return S.validate(graph(t), SHAPES, with_subclasses=False)
 
 
 @query("v8_shape_report", REPORT_SQL)
@@ -188,4 +188,4 @@ def _(t):
     SELECT r.shape, path, COUNT(DISTINCT focus) AS failing, ANY_VALUE(nodes) AS nodes, COUNT(DISTINCT focus) / ANY_VALUE(nodes) AS rate
     FROM ({REPORT_SQL}) r JOIN total ON r.shape = total.shape GROUP BY 1, 2""")
 def _(t):
-    return S.violation_rates(report(t), quads(t), SHAPES)
+    return S.violation_rates(report(t), graph(t), SHAPES)
