@@ -94,24 +94,42 @@ def _failed_checks(i: int, s: Shape) -> list[tuple[str, Column]]:
         allowed = {"IRI": ["iri"], "BlankNodeOrIRI": ["iri", "bnode"], "Literal": ["literal"],
                    "BlankNode": ["bnode"]}[s.node_kind]
         checks.append(("nodeKind", mine & ~kind.isin(allowed)))
+    if s.node_class:
+        checks.append(("class", mine & ~F.coalesce(F.array_contains("_types", s.node_class), F.lit(False))))
     return checks
 
 
+def _values(quads: QuadSource, shapes: Sequence[Shape], with_subclasses: bool) -> DataFrame:
+    """Values of the listed properties; those under a class constraint carry which of the classes they have."""
+    columns = [F.col("subject").alias("focus"), F.col("predicate").alias("path"), F.col("object").alias("value"),
+               "object_kind", "datatype", "lang"]
+    classed = sorted({s.path for s in shapes if s.node_class})
+    plain = sorted({s.path for s in shapes} - set(classed))
+    parts = []
+    if plain:
+        parts.append(of_predicates(quads, plain).select(*columns).withColumn("_types", F.lit(None).cast("array<string>")))
+    if classed:
+        # One array per node, as long as the list of classes in the shapes.
+        types = (focus_nodes(quads, sorted({s.node_class for s in shapes if s.node_class}), with_subclasses)
+                 .groupBy(F.col("focus").alias("value")).agg(F.array_sort(F.collect_set("class")).alias("_types")))
+        parts.append(of_predicates(quads, classed).select(*columns).join(types, "value", "left")
+                     .select("focus", "path", "value", "object_kind", "datatype", "lang", "_types"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def validate(quads: QuadSource, shapes: Sequence[Shape], with_subclasses: bool = True) -> DataFrame:
     """One row per violation: focus, path, value, shape, component, message, severity."""
-    values = of_predicates(quads, sorted({s.path for s in shapes}))
+    values = _values(quads, shapes, with_subclasses)
     spark = values.sparkSession
-    rows = [(i, s.target_class, s.path, s.min_count, s.max_count, s.node_class,
+    rows = [(i, s.target_class, s.path, s.min_count, s.max_count,
              s.shape or s.target_class.rsplit("/", 1)[-1].rsplit("#", 1)[-1] + "Shape", s.message, s.severity)
             for i, s in enumerate(shapes)]
     # As large as the list of shapes the caller wrote, never as the data.
     listed = F.broadcast(spark.createDataFrame(
-        rows, "_shape int, class string, path string, _min int, _max int, _class string, "
+        rows, "_shape int, class string, path string, _min int, _max int, "
               "shape string, _message string, severity string"))
     focus = (focus_nodes(quads, sorted({s.target_class for s in shapes}), with_subclasses)
              .join(listed.select("_shape", "class", "path"), "class").select("focus", "path", "_shape"))
-    values = values.select(F.col("subject").alias("focus"), F.col("predicate").alias("path"), F.col("object").alias("value"),
-                           "object_kind", "datatype", "lang")
     # Exploded quads are far larger than the files they come from, so the size
     # estimate that would choose a broadcast is wrong here; the merge join also
     # leaves rows by focus and path, where both aggregates below want them.
@@ -123,27 +141,19 @@ def validate(quads: QuadSource, shapes: Sequence[Shape], with_subclasses: bool =
         for component, failed in _failed_checks(i, s):
             by_component.setdefault(component, []).append(failed)
     counted = [i for i, s in enumerate(shapes) if s.min_count or s.max_count is not None]
-    classed = [i for i, s in enumerate(shapes) if s.node_class]
     outcomes = F.array_compact(F.array(
         *[F.when(_any(c), name) for name, c in by_component.items()],
-        F.when(F.col("_shape").isin(counted), "_n"), F.when(F.col("_shape").isin(classed) & F.col("value").isNotNull(), "_c")))
+        F.when(F.col("_shape").isin(counted), "_n")))
     counting = F.col("component") == "_n"
     found = (joined.select("focus", "path", "_shape", "value", F.explode(outcomes).alias("component"))
              .groupBy("focus", "path", "_shape", "component", F.when(~counting, F.col("value")).alias("_value"))
              .agg(F.count("value").alias("_n")))
-    detail = listed.select("_shape", "_min", "_max", "_class", "shape", "_message", "severity")
+    detail = listed.select("_shape", "_min", "_max", "shape", "_message", "severity")
     out = ["focus", "path", F.col("_value").alias("value"), "shape", "component", "_message", "severity"]
     named = (F.when(~counting, F.col("component")).when(F.col("_n") < F.col("_min"), "minCount")
              .when(F.col("_n") > F.col("_max"), "maxCount"))
-    parts = [found.filter("component <> '_c'").join(detail, "_shape").withColumn("component", named)
-             .filter("component IS NOT NULL").select(*out)]
-    if classed:
-        classes = sorted({s.node_class for s in shapes if s.node_class})
-        typed = focus_nodes(quads, classes, with_subclasses).select(
-            F.col("focus").alias("_value"), F.col("class").alias("_class"))
-        parts.append(found.filter("component = '_c'").join(detail, "_shape").join(typed, ["_value", "_class"], "left_anti")
-                     .withColumn("component", F.lit("class")).select(*out))
-    result = reduce(DataFrame.unionByName, parts)
+    result = (found.join(detail, "_shape").withColumn("component", named)
+              .filter("component IS NOT NULL").select(*out))
     message = F.coalesce("_message", F.concat(F.lit("constraint "), "component", F.lit(" not met on "), "path"))
     return result.select("focus", "path", "value", "shape", "component", message.alias("message"), "severity")
 

@@ -71,6 +71,9 @@ class RowMapping:
     fields: tuple[Field, ...] = ()
     links: tuple[Link, ...] = ()
 
+    def predicates(self) -> set[str]:
+        return {TYPE, *(f.predicate for f in self.fields), *(x.predicate for x in self.links)}
+
 
 def lexical(col: Column, datatype: str | None) -> Column:
     """Lexical form of a value; decimals never in exponent notation."""
@@ -196,8 +199,9 @@ def mapped(tables: Mapping[str, DataFrame], mappings: Mapping[str, RowMapping],
     """Tables as quads without storing them: a pattern on one predicate reads one column."""
 
     def build(predicates: Sequence[str] | None) -> DataFrame:
+        able = [n for n, m in mappings.items() if predicates is None or set(predicates) & m.predicates()]
         return reduce(DataFrame.unionByName, [
-            rows_to_triples(tables[n], m, graphs.get(n), predicates) for n, m in mappings.items()])
+            rows_to_triples(tables[n], mappings[n], graphs.get(n), predicates) for n in able or list(mappings)[:1]])
 
     return build
 
