@@ -174,10 +174,20 @@ def quarantine_triples(report: DataFrame, graph: str, base: str = vocab.RESOURCE
         quad(node, vocab.SH + "resultMessage", F.col("message"), graph=graph)])
 
 
+def flag_quarantine(quads: DataFrame, report: DataFrame) -> DataFrame:
+    """Quads with ``quarantined``: whether their subject has a violation.
+
+    One join serves both parts; write it once with ``partitionBy("quarantined")``.
+    """
+    failing = (report.filter("severity = 'Violation'").select(F.col("focus").alias("subject")).distinct()
+               .withColumn("quarantined", F.lit(True)))
+    return quads.join(failing, "subject", "left").withColumn("quarantined", F.coalesce("quarantined", F.lit(False)))
+
+
 def split_quarantine(quads: DataFrame, report: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, held): quads of subjects without and with a violation."""
-    failing = report.filter("severity = 'Violation'").select(F.col("focus").alias("subject")).distinct()
-    return quads.join(failing, "subject", "left_anti"), quads.join(failing, "subject", "left_semi")
+    flagged = flag_quarantine(quads, report)
+    return flagged.filter("NOT quarantined").drop("quarantined"), flagged.filter("quarantined").drop("quarantined")
 
 
 def violation_counts(report: DataFrame) -> DataFrame:

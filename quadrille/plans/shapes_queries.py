@@ -150,9 +150,9 @@ def _(t):
     SELECT graph, CASE WHEN subject IN (SELECT focus FROM bad) THEN 'held' ELSE 'kept' END AS part, COUNT(*) AS triples
     FROM ({sql_quads()}) GROUP BY 1, 2""")
 def _(t):
-    kept, held = S.split_quarantine(quads(t), report(t))
-    parts = kept.withColumn("part", F.lit("kept")).unionByName(held.withColumn("part", F.lit("held")))
-    return parts.groupBy("graph", "part").agg(F.count("*").alias("triples"))
+    flagged = S.flag_quarantine(quads(t), report(t))
+    part = F.when(F.col("quarantined"), "held").otherwise("kept").alias("part")
+    return flagged.groupBy("graph", part).agg(F.count("*").alias("triples"))
 
 
 @query("v10_table_validation", """

@@ -10,7 +10,7 @@ from quadrille.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "tests")
+    session = local_session(8, "tests", **{"spark.sql.shuffle.partitions": "3"})
     yield session
     session.stop()
 
