@@ -243,6 +243,31 @@ def drop_graph(quads: DataFrame, graph: str) -> DataFrame:
     return quads.filter(~F.col("graph").eqNullSafe(F.lit(graph)))
 
 
+def drop_stored_graph(spark, path: str, graph: str) -> None:
+    """Removes a graph from a stored quad table; other predicates' files are not touched.
+
+    Partitions that keep quads are rewritten through the shared folder with
+    dynamic overwrite; those left empty are deleted.
+    """
+    from quadrille.session import materialise
+
+    # As many rows as the graph has predicates.
+    mine = read_quads(spark, path).filter(F.col("graph") == graph).select("predicate").distinct()
+    touched = [r["predicate"] for r in mine.collect()]
+    stored = spark.read.schema(vocab.QUAD_DDL).parquet(path).filter(F.col("predicate").isin(touched))
+    folders = {r["predicate"]: r["_dir"] for r in stored.select(
+        "predicate", F.regexp_extract("_metadata.file_path", "^(.*)/[^/]+$", 1).alias("_dir")).distinct().collect()}
+    kept = materialise(drop_graph(stored.select(*QUAD_COLUMNS), graph), "kept")
+    alive = {r["predicate"] for r in kept.select("predicate").distinct().collect()}
+    if alive:
+        (kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("predicate").parquet(path))
+    for predicate in set(touched) - alive:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folders[predicate]))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    # Spark remembers file lists.
+    spark.catalog.refreshByPath(path)
+
+
 def upsert_nodes(nodes: DataFrame, key: str = "iri", order: str = "seq") -> DataFrame:
     """Merge versions of a node: the latest non-null value of each property wins."""
     properties = [c for c in nodes.columns if c not in (key, order)]

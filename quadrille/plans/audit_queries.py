@@ -201,6 +201,17 @@ def _(t):
     return render_quads(A.export_window(prov_quads(t), "t3", "2024-01-05T00:00:00", "2024-01-20T12:00:00"))
 
 
+@query("l8_export_window_jsonld", f"""
+    WITH q AS ({RUN_TRIPLES_SQL})
+    SELECT '{{"@id":"prov","@graph":[{{"@id":"' || subject || '","' || predicate || '":{{' || CASE WHEN object_kind = 'iri' THEN '"@id":"' || object || '"'
+           ELSE '"@value":"' || object || '"' || COALESCE(',"@type":"' || datatype || '"', '') END || '}}}}]}}' AS line
+    FROM q JOIN events USING (event_id) WHERE user_id % 7 = 3 AND {START_SQL} >= '2024-01-05T00:00:00' AND {START_SQL} <= '2024-01-20T12:00:00'""")
+def _(t):
+    from quadrille.sources.rdf import render_jsonld
+
+    return render_jsonld(A.export_window(prov_quads(t), "t3", "2024-01-05T00:00:00", "2024-01-20T12:00:00"))
+
+
 @query("l9_audit_listing", f"""
     WITH {LOG_SQL} SELECT * FROM log WHERE tenant_id = 't3' AND action = 'query' AND status = 'success'
       AND created_at >= TIMESTAMP '2024-01-05' AND created_at <= TIMESTAMP '2024-01-25' ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET 20""")

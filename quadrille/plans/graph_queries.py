@@ -168,6 +168,16 @@ def _(t):
     return T.graph_counts(T.drop_graph(quads(t), graph_of("orders")))
 
 
+@query("g10_drop_stored_graph", f"""
+    SELECT graph, predicate, COUNT(*) AS triples FROM ({sql_quads('customer', 'supplier')}) WHERE graph <> '{graph_of('customer')}' GROUP BY 1, 2""")
+def _(t):
+    path = scratch_path(t.spark, "quads")
+    T.write_quads(quads(t, "customer", "supplier"), path)
+    # Some predicates belong to the dropped graph only, others to both.
+    T.drop_stored_graph(t.spark, path, graph_of("customer"))
+    return T.read_quads(t.spark, path).groupBy("graph", "predicate").agg(F.count("*").alias("triples"))
+
+
 @query("g11_sequence_path", f"""
     SELECT '{RES}region/' || n_regionkey AS region, COUNT(*) AS transactions
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")

@@ -101,6 +101,24 @@ def render_quads(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(" ", node("subject"), node("predicate"), obj, graph, F.lit(".")).alias("line"))
 
 
+def render_jsonld(df: DataFrame) -> DataFrame:
+    """One JSON-LD node object per quad, as ``line``.
+
+    Objects with the same ``@id`` describe one node, so a subject's quads need
+    not be brought together.
+    """
+    string = (F.col("object_kind") == "literal")
+    value = F.to_json(F.struct(
+        F.when(~string, F.col("object")).alias("@id"), F.when(string, F.col("object")).alias("@value"),
+        F.when(string, F.col("datatype")).alias("@type"), F.when(string, F.col("lang")).alias("@language")))
+    name = lambda c: F.to_json(F.array(F.col(c)))
+    inner = lambda j: F.substr(j, F.lit(2), F.length(j) - 2)
+    node = F.concat(F.lit('{"@id":'), inner(name("subject")), F.lit(","), inner(name("predicate")), F.lit(":"), value, F.lit("}"))
+    line = F.when(F.col("graph").isNull(), node).otherwise(
+        F.concat(F.lit('{"@id":'), inner(name("graph")), F.lit(',"@graph":['), node, F.lit("]}")))
+    return df.select(line.alias("line"))
+
+
 NODE = r"<[^>]*>|_:\S+"
 HEAD = rf"^\s*({NODE})\s+<([^>]*)>\s+"
 END = rf"\s*({NODE})?\s*\.\s*(?:#.*)?$"

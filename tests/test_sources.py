@@ -102,6 +102,13 @@ def test_lines_round_trip(spark, tmp_path):
     assert rows(rdf.read_ntriples(spark, str(tmp_path / "nt"))) == sorted(quads, key=repr)
 
 
+def test_jsonld_lines_read_back(spark):
+    quads = [("http://s", "http://p", 'a "q" \\ \n ü', "literal", None, None, "http://g"), ("http://s", "http://p", "5", "literal", XSD + "integer", None, None),
+             ("http://s", "http://p", "v", "literal", None, "en", None), ("http://s", "http://p", "http://o", "iri", None, None, None)]
+    lines = rdf.render_jsonld(spark.createDataFrame(quads, QUAD_DDL)).withColumnRenamed("line", "value")
+    assert rows(rdf.jsonld_to_triples(lines).drop("graph")) == sorted([q[:6] for q in quads], key=repr)
+
+
 def test_lines_of_others(spark):
     lines = ["# comment", "", "<s> <p> <o> . # tail", "<s> <p> \"\\u00e9\\'x\"@fr .", "broken <p> <o> .", "<s> <p> \"x\"^^<t> <g> ."]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
