@@ -20,6 +20,7 @@ from quadrille import vocab
 from quadrille.functions.columns import short_class
 from quadrille.functions.text import chunk_spans, parse_html
 from quadrille.operators.triples import explode_quads, quad
+from quadrille.session import materialise
 from quadrille.vocab import TYPE
 
 SECTIONS = "array<struct<heading:string,level:int,char_start:int,char_end:int>>"
@@ -303,12 +304,19 @@ def run_summary(chunks: DataFrame, gated: DataFrame, key: str) -> DataFrame:
 
 def document_run(df: DataFrame, key: str, rules: Sequence[Rule] = RULES, html: str | None = None, threshold: float = 0.5,
                  size: int = 512, overlap: int = 50, job_id: str = "job", source: Column | None = None,
-                 graph: str = f"{vocab.SCHEME}://default/instance/documents/v1") -> dict[str, DataFrame]:
-    """All steps as lazy results: chunks, gated extractions, vertices and triples."""
+                 graph: str = f"{vocab.SCHEME}://default/instance/documents/v1", store: bool = False) -> dict[str, DataFrame]:
+    """All steps as lazy results: chunks, gated extractions, vertices and triples.
+
+    Texts are read again for every result that is used. With ``store`` the
+    extractions, which are far smaller than the texts, are written once to the
+    shared folder and the later results start from them.
+    """
     if html is not None:
         df = parse_pages(df.select(key, html), html)
     chunks = chunk(df, key, size=size, overlap=overlap)
     gated = confidence_gate(rebase(extract(chunks, key, rules)), threshold)
+    if store:
+        gated = materialise(gated, "extractions")
     kept = passed(gated)
     where = source if source is not None else F.concat(F.lit(vocab.RESOURCE + "document/"), F.col(key).cast("string"))
     return {"chunks": chunks, "gated": gated, "vertices": vertices(kept, key),

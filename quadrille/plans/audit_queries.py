@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quadrille import vocab
 from quadrille.operators import audit as A
 from quadrille.plans.kg import ONT, RES
 from quadrille.plans.registry import query

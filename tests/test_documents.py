@@ -95,7 +95,7 @@ def test_caller_supplied_extractor(spark):
 
 def test_vertices_and_triples(spark):
     text = "Paid EUR 5 and EUR 5."
-    run = D.document_run(spark.createDataFrame([(1, text)], "id int, text string"), "id", job_id="j")
+    run = D.document_run(spark.createDataFrame([(1, text)], "id int, text string"), "id", job_id="j", store=True)
     v = run["vertices"].collect()
     assert len(v) == 1 and v[0]["mentions"] == 2 and v[0]["vertex_type"] == "MonetaryAmount" and v[0]["char_start"] == 15
     t = run["triples"]

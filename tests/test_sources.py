@@ -1,8 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from quadrille import session
 from quadrille.sources import rdf, tables
 from quadrille.streaming import lineage as L
