@@ -68,17 +68,15 @@ def query_triples(runs: DataFrame, graph: Column | str, base: str = vocab.ONTOLO
         rows = rows.withColumn("tenant_id", F.lit(None).cast("string"))
     g = graph if isinstance(graph, Column) else F.lit(graph)
     rows = rows.withColumn("_g", g)
-    single = explode_quads(rows, [
+    used = F.transform("used_graphs", lambda u: quad(a, PROV + "used", u, "iri", graph=c("_g")))
+    return explode_quads(rows, [
         quad(a, TYPE, F.lit(PROV + "Activity"), "iri", graph=c("_g")),
         quad(a, PROV + "startedAtTime", _iso(c("started_at")), "literal", dt, graph=c("_g")),
         quad(a, PROV + "endedAtTime", _iso(c("ended_at")), "literal", dt, graph=c("_g")),
         quad(a, base + "queryHash", c("query_hash"), graph=c("_g")), quad(a, base + "context", c("context"), graph=c("_g")),
         quad(a, base + "tenantId", c("tenant_id"), graph=c("_g")),
         quad(a, PROV + "wasAssociatedWith", c("user_iri"), "iri", graph=c("_g")),
-        quad(a, PROV + "generated", c("result_iri"), "iri", graph=c("_g"))])
-    used = explode_quads(rows.select("_a", "_g", F.explode("used_graphs").alias("_u")),
-                         [quad(a, PROV + "used", c("_u"), "iri", graph=c("_g"))])
-    return single.unionByName(used)
+        quad(a, PROV + "generated", c("result_iri"), "iri", graph=c("_g"))], more=[used])
 
 
 def ingestion_documents(runs: DataFrame, base: str = vocab.RESOURCE) -> DataFrame:

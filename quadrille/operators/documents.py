@@ -263,20 +263,18 @@ def extraction_triples(extractions: DataFrame, job_id: str, source: Column, grap
         subject.alias("s"), class_iri(F.col("ontology_class"), base=base).alias("cls"), "text_span", source.alias("src"),
         F.col("char_interval.start").cast("string").alias("a"), F.col("char_interval.end").cast("string").alias("b"),
         F.col("confidence_score").cast("decimal(9,6)").cast("string").alias("score"),
-        F.transform(F.map_entries("attributes"), lambda e: F.struct(F.concat(F.lit(base), e["key"]).alias("p"),
-                                                                    e["value"].alias("v"))).alias("attributes"))
+        "attributes")
     s = F.col("s")
-    fixed = explode_quads(rows, [
+    attributes = F.transform(F.map_entries("attributes"), lambda e: quad(s, F.concat(F.lit(base), e["key"]), e["value"], graph=graph))
+    # Attributes go through the same pass, so that texts are read once.
+    return explode_quads(rows, [
         quad(s, TYPE, F.col("cls"), "iri", graph=graph), quad(s, TYPE, F.lit(vocab.NAMED_INDIVIDUAL), "iri", graph=graph),
         quad(s, vocab.LABEL, F.col("text_span"), graph=graph),
         quad(s, vocab.PROV + "wasGeneratedBy", F.lit(activity), "iri", graph=graph),
         quad(s, vocab.PROV + "wasDerivedFrom", F.col("src"), "iri", graph=graph),
         quad(s, base + "charStart", F.col("a"), "literal", integer, graph=graph),
         quad(s, base + "charEnd", F.col("b"), "literal", integer, graph=graph),
-        quad(s, base + "confidenceScore", F.col("score"), "literal", decimal, graph=graph)])
-    attributes = rows.select("s", F.inline("attributes"))
-    attributes = explode_quads(attributes, [quad(F.col("s"), F.col("p"), F.col("v"), graph=graph)])
-    return fixed.unionByName(attributes).distinct()
+        quad(s, base + "confidenceScore", F.col("score"), "literal", decimal, graph=graph)], more=[attributes]).distinct()
 
 
 def run_triples(spark, job_id: str, model_id: str, started: str, graph: str, base: str = vocab.ONTOLOGY) -> DataFrame:

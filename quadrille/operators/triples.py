@@ -91,6 +91,9 @@ def lexical(col: Column, datatype: str | None) -> Column:
     return col.cast("string")
 
 
+_QUADS = "array<struct<" + ",".join(f"{c}:string" for c in QUAD_COLUMNS) + ">>"
+
+
 def quad(subject: Column, predicate: Column | str, obj: Column, kind: Column | str = "literal",
          datatype: Column | str | None = None, lang: Column | str | None = None,
          graph: Column | str | None = None) -> Column:
@@ -100,8 +103,12 @@ def quad(subject: Column, predicate: Column | str, obj: Column, kind: Column | s
     return F.struct(*[as_col(v).alias(n) for v, n in zip(values, QUAD_COLUMNS)])
 
 
-def explode_quads(df: DataFrame, quads: Sequence[Column], keep: Sequence[str] = ()) -> DataFrame:
-    """One row per non-null quad of each input row."""
+def explode_quads(df: DataFrame, quads: Sequence[Column], keep: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
+    """One row per non-null quad of each input row; ``more`` are arrays of quads, for repeated values."""
+    if more:
+        empty = F.array().cast(_QUADS)
+        every = F.concat(F.array(*quads), *[F.coalesce(m, empty) for m in more])
+        return df.select(*keep, F.inline(every)).filter("subject IS NOT NULL AND object IS NOT NULL")
     if len(quads) == 1:
         # Without a generator Catalyst sees through to the columns: constant
         # predicates fold and filters reach the scan.

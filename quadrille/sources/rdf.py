@@ -30,17 +30,18 @@ def fhir_to_triples(df: DataFrame, column: str = "value", base: str = vocab.ONTO
     kind, rid = F.col("resourceType"), F.col("id")
     subject = F.concat(F.lit(base), kind, F.lit("/"), rid)
     patient, observation = kind == "Patient", kind == "Observation"
-    single = explode_quads(r, [
+    full = lambda n: F.trim(F.concat(F.coalesce(F.array_join(n["given"], " "), F.lit("")), F.lit(" "),
+                                     F.coalesce(n["family"], F.lit(""))))
+    names = F.when(patient, F.transform("name", lambda n: quad(subject, FHIR + "name", full(n), graph=graph)))
+    # Names go through the same pass, so that bundles are parsed once.
+    return explode_quads(r, [
         quad(subject, TYPE, F.concat(F.lit(FHIR), kind), "iri", graph=graph),
         quad(subject, FHIR + "birthDate", F.when(patient, F.col("birthDate")), "literal", XSD + "date", graph=graph),
         quad(subject, FHIR + "status", F.when(observation, F.col("status")), graph=graph),
         quad(subject, FHIR + "subject", F.when(observation & (F.col("subject.reference") != ""), F.concat(
             F.lit(base), F.replace(F.col("subject.reference"), F.lit("#"), F.lit("")))), "iri", graph=graph),
         quad(subject, FHIR + "valueQuantity", F.when(observation, plain_decimal(F.col("valueQuantity.value"))), "literal",
-             XSD + "decimal", graph=graph)])
-    names = r.filter(patient).select(subject.alias("s"), F.explode("name").alias("n"))
-    full = F.trim(F.concat(F.coalesce(F.array_join("n.given", " "), F.lit("")), F.lit(" "), F.coalesce("n.family", F.lit(""))))
-    return single.unionByName(explode_quads(names, [quad(F.col("s"), FHIR + "name", full, graph=graph)])).distinct()
+             XSD + "decimal", graph=graph)], more=[names]).distinct()
 
 
 def plain_decimal(col: Column) -> Column:
