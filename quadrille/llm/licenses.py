@@ -10,8 +10,9 @@ A template with bigrams T and a stretch of a document with bigrams A agree by
   for the stretch into a largest-sum search over the places of common bigrams.
 
 Documents without an anchor leave in the scan; of the rest the common bigrams
-are joined, the best stretch of each document and template is found with
-window functions over their places, and the coefficient over multisets of bigrams decides. Everything is DataFrame expressions.
+are joined; window functions over their places leave out the templates that no
+stretch can reach, and of the rest take the stretch with the largest
+coefficient over multisets of bigrams. Everything is DataFrame expressions.
 
 Defined results: words are runs of letters and digits in lower case; a null or
 empty text matches nothing, nor does a template of fewer than two words; of
@@ -100,24 +101,30 @@ def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
     ordered = own.orderBy("place")
     half = threshold / 2
     hits = hits.withColumn("hits", F.count("*").over(own)).filter(F.col("hits") >= F.col("size") * share - 1e-9)
-    number = F.row_number().over(ordered)
-    hits = hits.withColumn("i", number)
-    # The stretch that ends here gains most if it begins where the sum before was least.
-    before = F.min(F.struct((F.col("i") - 1 - half * F.col("place")).alias("sum"), F.col("place").alias("first"))).over(
-        ordered.rowsBetween(W.unboundedPreceding, W.currentRow))
-    hits = hits.withColumn("b", before).withColumn("gain", F.col("i") - half * (F.col("place") + 1) - F.col("b.sum"))
-    best = F.max(F.struct(F.round("gain", 9).alias("gain"), (-F.col("b.first")).alias("first"), (-F.col("place")).alias("last"))).over(own)
-    inside = (hits.withColumn("best", best).withColumn("first", -F.col("best.first")).withColumn("last", -F.col("best.last"))
-              .filter(F.col("place").between(F.col("first"), F.col("last"))))
-    length = F.col("last") - F.col("first") + 1
-    inside = inside.filter((length >= F.col("size") * share - 1e-9) & (length <= F.col("size") / share + 1e-9))
-    common = (inside.groupBy("n", "template", "license", "size", "first", "last", "pair")
-              .agg(F.count("*").alias("found"), F.first("times").alias("times"), F.first("row").alias("row"))
-              .groupBy("n", "template", "license", "size", "first", "last")
-              .agg(F.sum(F.least("found", "times")).alias("common"), F.first("row").alias("row")))
-    dice = 2.0 * F.col("common") / (F.col("last") - F.col("first") + 1 + F.col("size"))
-    return (common.withColumn("dice", dice).filter(F.col("dice") >= threshold - 1e-9)
-            .select("row", "license", "template", "dice", F.col("first").cast("long").alias("first_word"), (F.col("last") + 1).cast("long").alias("last_word")))
+    # The stretch that ends here gains most if it begins where the sum before was least. Repeats of a bigram
+    # count in full here, so this is an upper bound, which leaves out what cannot reach the threshold.
+    hits = hits.withColumn("i", F.row_number().over(ordered))
+    before = F.min(F.col("i") - 1 - half * F.col("place")).over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow))
+    gain = F.max(F.col("i") - half * (F.col("place") + 1) - F.col("before")).over(own)
+    hits = hits.withColumn("before", before).withColumn("gain", gain).filter(F.col("gain") >= half * F.col("size") - 1e-9)
+
+    # A hit counts for a stretch unless the stretch already has as many of its bigram as the template.
+    most = max((r[4] for r in rows), default=1)
+    same = W.partitionBy("n", "template", "pair").orderBy("place").rowsBetween(-most, -1)
+    earlier = F.collect_list("place").over(same)
+    hits = hits.withColumn("full", F.when(F.size(earlier) >= F.col("times"), F.element_at(earlier, -F.col("times"))).otherwise(-1))
+    longest = int(max((r[2] for r in rows), default=1) / share + 1e-9)
+    ahead = F.collect_list(F.struct("place", "full")).over(ordered.rangeBetween(0, longest - 1))
+    # From each hit on: the best end by the coefficient itself, within the size bounds.
+    best = F.expr(f"""aggregate(ahead, struct(0 as common, cast(0 as double) as dice, -1 as last), (a, h) ->
+      aggregate(array(a.common + if(h.full < place, 1, 0)), a, (o, c) -> aggregate(
+        array(if(h.place - place + 1 between size * {share} - 1e-9 and size / {share} + 1e-9, 2.0D * c / (h.place - place + 1 + size), 0.0D)), o,
+        (q, d) -> struct(c as common, greatest(q.dice, d) as dice, if(d > q.dice, h.place, q.last) as last))))""")
+    found = hits.withColumn("ahead", ahead).withColumn("best", best).filter(F.col("best.dice") >= threshold - 1e-9)
+    top = F.max(F.struct(F.round("best.dice", 12).alias("dice"), (-F.col("place")).alias("first"), (-F.col("best.last")).alias("last")))
+    return (found.groupBy("n", "template", "license").agg(top.alias("top"), F.first("row").alias("row"))
+            .select("row", "license", "template", F.col("top.dice").alias("dice"), (-F.col("top.first")).cast("long").alias("first_word"),
+                    (1 - F.col("top.last")).cast("long").alias("last_word")))
 
 
 def report(found: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -169,7 +169,7 @@ def test_repeated_lines(spark, documents, threshold, hot, monkeypatch):
 
 
 def test_cleaned_documents(spark, documents):
-    docs = spark.createDataFrame([(i, t, len(t) if t else None, "x") for i, t in documents], "doc_id long, text string, n_chars long, lines string")
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t), "x") for i, t in documents], "doc_id long, text string, n_chars long, lines string")
     out = line_dedup.without_repeats(docs)
     assert out.columns == docs.columns
     rows = out.collect()
@@ -181,6 +181,6 @@ def test_cleaned_documents(spark, documents):
         own = gone.get((doc_id is None, doc_id or 0, digest - (1 << 64) if digest >> 63 else digest), set())
         texts.setdefault(doc_id, []).append(text if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in own))
     for r in rows:
-        assert r["text"] in texts[r["doc_id"]] and r["n_chars"] == (len(r["text"]) if r["text"] else None if r["text"] is None else 0) or r["text"] is None
+        assert r["text"] in texts[r["doc_id"]] and r["n_chars"] == (None if r["text"] is None else len(r["text"]))
     assert line_dedup.without_repeats(docs.limit(0)).count() == 0
     assert line_dedup.report(docs).count() == len(documents)
