@@ -13,6 +13,7 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from quadrille import vocab
 
@@ -20,14 +21,44 @@ from quadrille import vocab
 SPARK_TYPES = {
     "string": "string",
     "integer": "bigint",
-    "decimal": "decimal(18,4)",
     "date": "date",
     "datetime": "timestamp",
     "boolean": "boolean",
     "anyURI": "string",
-    "float": "float",
+    "float": "double",
 }
 
+# Text read as a plain "decimal" keeps this much; declare "decimal(p,s)" for more.
+TEXT_DECIMAL = "decimal(38,18)"
+
+
+def spark_type(declared: str) -> str:
+    """The Spark type of a declared one; ``decimal(p,s)`` stands for itself."""
+    if declared == "decimal":
+        return TEXT_DECIMAL
+    return declared if declared.startswith("decimal(") else SPARK_TYPES[declared]
+
+
+def plain_number(col: Column) -> Column:
+    """A number, or the text of one, in full: every digit it has, no exponent."""
+    text = F.upper(F.trim(col.cast("string")))
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    mantissa = F.regexp_extract(text, r"^[+-]?([0-9]*\.?[0-9]*)E", 1)
+    whole, part = F.substring_index(mantissa, ".", 1), F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
+    exponent = F.regexp_extract(text, r"E([+-]?[0-9]+)$", 1).try_cast("int")
+    # Places before the point once it has moved.
+    digits, at = F.concat(whole, part), F.length(whole) + exponent
+    n = F.length(digits)
+    moved = (F.when(at <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits))
+             .when(at >= n, F.concat(digits, F.repeat(F.lit("0"), at - n), F.lit(".0")))
+             .otherwise(F.concat(F.substring(digits, F.lit(1), at), F.lit("."), F.substring(digits, at + 1, n))))
+    return F.when(text.contains("E"), F.concat(sign, moved)).otherwise(col.cast("string"))
+
+
+def iso_time(col: Column) -> Column:
+    """A time as ``yyyy-MM-ddTHH:mm:ss``, with as much of a second's fraction as there is."""
+    return F.replace(col.cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T"))
+
 COMPARISONS = {
     "=": lambda c, v: c == v,
     "!=": lambda c, v: c != v,
@@ -66,7 +97,9 @@ def map_columns(df: DataFrame, mapping: Sequence[ColumnMap], annotate: bool = Tr
         elif m.type in ("string", "anyURI"):
             value = source.cast("string")
         else:
-            value = source.try_cast(SPARK_TYPES[m.type])
+            kind = df.schema[m.source].dataType
+            # Numbers keep the type they have, unless a precision is declared.
+            value = source if m.type == "decimal" and isinstance(kind, NumericType) else source.try_cast(spark_type(m.type))
         columns.append(value.alias(m.target))
     if annotate:
         columns += [F.lit(m.annotation).alias(f"_class_{m.target}") for m in mapping if m.annotation]

@@ -13,6 +13,7 @@ _HIDDEN = {"script", "style", "template", "noscript", "title"}
 _BREAKS = {"p", "div", "li", "ul", "ol", "article", "section", "nav", "header", "footer", "main", "br", "tr", "table",
            "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "caption", "body", "html", "form"}
 _SPACE = re.compile(r"\s+")
+_SPAN = re.compile("[1-9][0-9]{0,5}")
 _TOKEN = re.compile(r"\S+")
 _SENTENCE_END = re.compile(r"[.!?]+[\"')\]]*(?=\s|$)|\n+")
 
@@ -28,6 +29,7 @@ class _Blocks(HTMLParser):
         self.level = 0
         self.table: dict | None = None
         self.cell: dict | None = None
+        self.inner = 0
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
@@ -45,10 +47,16 @@ class _Blocks(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in _HIDDEN:
             self.hidden += 1
+        elif tag == "table" and self.cell is not None:
+            # The text of a table inside a cell belongs to the cell.
+            self.inner += 1
+            self.text.append(" ")
+        elif self.inner:
+            self.text.append(" ")
         elif tag == "table":
             self.flush()
             if self.table is None:
-                self.table = {"caption": None, "cells": [], "row": -1, "taken": {}}
+                self.table = {"caption": None, "cells": [], "row": -1, "taken": []}
         elif self.table is not None and tag == "tr":
             self.close_cell()
             self.table["row"] += 1
@@ -66,14 +74,15 @@ class _Blocks(HTMLParser):
         self.text = []
         t = self.table
         t["row"] = max(t["row"], 0)
-        span = lambda k: int(attrs[k]) if str(attrs.get(k) or "").isdigit() and int(attrs[k]) > 0 else 1
+        span = lambda k: int(attrs[k]) if _SPAN.fullmatch(str(attrs.get(k) or "")) else 1
+        # Ranges of columns that earlier cells occupy, each up to a last row.
+        t["taken"] = [x for x in t["taken"] if x[2] >= t["row"]]
         col = 0
-        while t["taken"].get((t["row"], col)):
-            col += 1
+        for first, end, _ in sorted(t["taken"]):
+            if first <= col < end:
+                col = end
         self.cell = {"row": t["row"], "col": col, "row_span": span("rowspan"), "col_span": span("colspan")}
-        for r in range(self.cell["row_span"]):
-            for c in range(self.cell["col_span"]):
-                t["taken"][(t["row"] + r, col + c)] = True
+        t["taken"].append((col, col + self.cell["col_span"], t["row"] + self.cell["row_span"] - 1))
 
     def close_cell(self) -> None:
         if self.cell is not None:
@@ -84,6 +93,9 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
+        elif self.inner:
+            self.inner -= tag == "table"
+            self.text.append(" ")
         elif self.table is not None and tag in ("td", "th", "tr"):
             self.close_cell()
         elif self.table is not None and tag == "table":
@@ -94,6 +106,7 @@ class _Blocks(HTMLParser):
                 self.level = 0
 
     def close_table(self) -> None:
+        self.inner = 0
         self.close_cell()
         if self.table["cells"]:
             self.blocks.append(("table", self.table["caption"], self.table["cells"]))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille import vocab
+from quadrille.functions.columns import iso_time
 from quadrille.operators import patterns as P
 from quadrille.operators.quality import page
 from quadrille.operators.traverse import reach
@@ -19,16 +21,12 @@ CONTEXT = {"prov": PROV, "xsd": XSD, "kg": vocab.ONTOLOGY}
 AUDIT_ACTIONS = ("query", "ingest", "export", "login", "logout", "schema_change", "policy_change")
 
 LINEAGE_EVENT = ("eventType string, eventTime string, job struct<namespace:string,name:string>, "
-                 "run struct<runId:string,facets:struct<ingestion:struct<tenant_id:string,source_type:string,record_count:bigint,"
+                 "run struct<runId:string,facets:struct<`{facet}`:struct<tenant_id:string,source_type:string,record_count:bigint,"
                  "triples_added:bigint,triples_quarantined:bigint,shacl_violations:bigint>>>")
 
 
-def _iso(col: Column) -> Column:
-    return F.date_format(col.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
-
-
 def _typed(col: Column) -> Column:
-    return F.struct(_iso(col).alias("@value"), F.lit("xsd:dateTime").alias("@type"))
+    return F.struct(iso_time(col).alias("@value"), F.lit("xsd:dateTime").alias("@type"))
 
 
 def _ref(col: Column) -> Column:
@@ -71,8 +69,8 @@ def query_triples(runs: DataFrame, graph: Column | str, base: str = vocab.ONTOLO
     used = F.transform("used_graphs", lambda u: quad(a, PROV + "used", u, "iri", graph=c("_g")))
     return explode_quads(rows, [
         quad(a, TYPE, F.lit(PROV + "Activity"), "iri", graph=c("_g")),
-        quad(a, PROV + "startedAtTime", _iso(c("started_at")), "literal", dt, graph=c("_g")),
-        quad(a, PROV + "endedAtTime", _iso(c("ended_at")), "literal", dt, graph=c("_g")),
+        quad(a, PROV + "startedAtTime", iso_time(c("started_at")), "literal", dt, graph=c("_g")),
+        quad(a, PROV + "endedAtTime", iso_time(c("ended_at")), "literal", dt, graph=c("_g")),
         quad(a, base + "queryHash", c("query_hash"), graph=c("_g")), quad(a, base + "context", c("context"), graph=c("_g")),
         quad(a, base + "tenantId", c("tenant_id"), graph=c("_g")),
         quad(a, PROV + "wasAssociatedWith", c("user_iri"), "iri", graph=c("_g")),
@@ -94,8 +92,8 @@ def ingestion_triples(runs: DataFrame, graph: str, base: str = vocab.ONTOLOGY, r
     a, c = F.concat(F.lit(resource + "prov/ingest/"), "job_id"), F.col
     return explode_quads(runs, [
         quad(a, TYPE, F.lit(PROV + "Activity"), "iri", graph=graph),
-        quad(a, PROV + "startedAtTime", _iso(c("started_at")), "literal", XSD + "dateTime", graph=graph),
-        quad(a, PROV + "endedAtTime", _iso(c("ended_at")), "literal", XSD + "dateTime", graph=graph),
+        quad(a, PROV + "startedAtTime", iso_time(c("started_at")), "literal", XSD + "dateTime", graph=graph),
+        quad(a, PROV + "endedAtTime", iso_time(c("ended_at")), "literal", XSD + "dateTime", graph=graph),
         quad(a, PROV + "used", c("source_iri"), "iri", graph=graph),
         quad(a, PROV + "wasAssociatedWith", c("tenant_iri"), "iri", graph=graph),
         quad(a, base + "triplesAdded", c("triples_added").cast("string"), "literal", XSD + "integer", graph=graph),
@@ -113,20 +111,15 @@ def derivation_triples(derivations: DataFrame, graph: str) -> DataFrame:
         quad(e, PROV + "wasGeneratedBy", F.col("activity_iri"), "iri", graph=graph)]).distinct()
 
 
-def derivation_documents(derivations: DataFrame, per_document: int = 10_000) -> DataFrame:
-    """JSON-LD documents of entities with the list of their sources.
+def derivation_documents(derivations: DataFrame) -> DataFrame:
+    """JSON-LD documents, one for each entity and source: (entity_iri, source_iri, document).
 
-    One document per entity, or several with the same ``@id`` (which JSON-LD
-    reads as one node) for an entity with more than ``per_document`` sources:
-    no list grows with the data.
+    Documents of one entity have the same ``@id``, which JSON-LD reads as one
+    node with all the sources; so no list grows with the data.
     """
-    rows = derivations.select("entity_iri", "source_iri", "activity_iri").distinct()
-    sizes = rows.groupBy("entity_iri").agg(F.ceil(F.count("*") / per_document).alias("_parts"), F.min("activity_iri").alias("_a"))
-    part = F.pmod(F.xxhash64("source_iri"), F.col("_parts"))
-    per = (rows.select("entity_iri", "source_iri").distinct().join(sizes, "entity_iri").withColumn("_part", part)
-           .groupBy("entity_iri", "_part").agg(F.array_sort(F.collect_set("source_iri")).alias("_s"), F.min("_a").alias("_a")))
-    return per.select("entity_iri", _document(
-        F.col("entity_iri"), "prov:Entity", F.transform("_s", lambda x: F.struct(x.alias("@id"))).alias("prov:wasDerivedFrom"),
+    rows = derivations.groupBy("entity_iri", "source_iri").agg(F.min("activity_iri").alias("_a"))
+    return rows.select("entity_iri", "source_iri", _document(
+        F.col("entity_iri"), "prov:Entity", F.array(F.struct(F.col("source_iri").alias("@id"))).alias("prov:wasDerivedFrom"),
         _ref(F.col("_a")).alias("prov:wasGeneratedBy")).alias("document"))
 
 
@@ -185,7 +178,8 @@ def export_window(quads: DataFrame, tenant: str, start: str, end: str, base: str
     """Quads of the tenant's activities started in the inclusive window (ISO times)."""
     picked = P.match(quads, [("?activity", TYPE, PROV + "Activity"), ("?activity", base + "tenantId", P.Literal(tenant)),
                              ("?activity", PROV + "startedAtTime", "?t")])
-    picked = picked.filter((F.col("t") >= start) & (F.col("t") <= end)).select(F.col("activity").alias("subject")).distinct()
+    at = F.col("t").cast("timestamp_ntz")
+    picked = picked.filter((at >= F.lit(start).cast("timestamp_ntz")) & (at <= F.lit(end).cast("timestamp_ntz"))).select(F.col("activity").alias("subject")).distinct()
     return quads.join(picked, "subject", "left_semi")
 
 
@@ -224,18 +218,28 @@ def audit_statistics(log: DataFrame, tenant_id: str | None = None, top: int = 10
     return counts.filter("measure NOT IN ('user', 'context')").unionByName(ranked.drop("_r"))
 
 
-def lineage_to_audit(events: DataFrame, value: str = "value") -> DataFrame:
-    """Lineage event JSON to audit rows; other event types and unreadable records are dropped."""
-    e = F.from_json(F.col(value).cast("string"), LINEAGE_EVENT, {"mode": "PERMISSIVE"})
+def lineage_to_audit(events: DataFrame, value: str = "value", facet: str = "ingestion") -> DataFrame:
+    """Lineage event JSON to audit rows; ``facet`` names the run facet with the tenant.
+
+    Other event types are left out, and so are records that cannot be read:
+    ``unreadable_events`` gives those.
+    """
+    e = F.from_json(F.col(value).cast("string"), LINEAGE_EVENT.replace("{facet}", facet), {"mode": "PERMISSIVE"})
     parsed = events.withColumn("_e", e).withColumn("_type", F.upper("_e.eventType"))
     status = F.when(F.col("_type") == "COMPLETE", "success").when(F.col("_type") == "FAIL", "error").otherwise("started")
     return parsed.filter(F.col("_type").isin("COMPLETE", "FAIL", "START")).select(
-        F.coalesce("_e.run.facets.ingestion.tenant_id", F.lit("unknown")).alias("tenant_id"), F.lit("ingest").alias("action"),
+        F.coalesce(F.col(f"_e.run.facets.`{facet}`.tenant_id"), F.lit("unknown")).alias("tenant_id"), F.lit("ingest").alias("action"),
         status.alias("status"), F.col("_e.job.name").alias("context"), F.col("_e.run.runId").alias("query_hash"),
         F.col("_e.eventTime").try_cast("timestamp").alias("created_at"), F.col(value).cast("string").alias("prov_jsonld"),
         F.to_json(F.struct(F.col("_type").alias("event_type"), F.col("_e.job").alias("job"))).alias("metadata"))
 
 
+def unreadable_events(events: DataFrame, value: str = "value") -> DataFrame:
+    """Records that are no JSON object, or have no event type."""
+    e = F.from_json(F.col(value).cast("string"), "eventType string", {"mode": "PERMISSIVE"})
+    return events.filter(e["eventType"].isNull())
+
+
 def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """(column, type, rows, nulls, distinct) in one pass.
 
@@ -276,7 +280,11 @@ def version_diff(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFram
         parts = [F.to_json(F.struct(F.col(c).alias("v"))) if c in df.columns else F.lit("absent") for c in values]
         return df.select(*key, F.xxhash64(*parts).alias(name))
 
-    joined = hashed(old, "_o").join(hashed(new, "_n"), list(key), "full_outer")
+    a, b = hashed(old, "_o"), hashed(new, "_n")
+    # Null keys meet null keys.
+    renamed = b.withColumnsRenamed({k: f"_{i}" for i, k in enumerate(key)})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(key)])
+    joined = a.join(renamed, same, "full_outer").withColumns({k: F.when(F.col("_o").isNull(), F.col(f"_{i}")).otherwise(F.col(k)) for i, k in enumerate(key)})
     change = (F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed")
               .when(F.col("_o") != F.col("_n"), "modified"))
     return joined.select(*key, change.alias("change")).filter("change IS NOT NULL")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille import vocab
-from quadrille.functions.columns import short_class
+from quadrille.functions.columns import plain_number, short_class
 from quadrille.functions.text import chunk_spans, parse_html
 from quadrille.operators.triples import explode_quads, quad
 from quadrille.session import materialise
@@ -37,30 +37,15 @@ MIME = {
     ".htm": "text/html",
 }
 
-# Vertex types of known classes.
-VERTEX_TYPES = {
-    "fibo:LegalEntity": "LegalEntity",
-    "fibo:Account": "FinancialAccount",
-    "fibo:Transaction": "FinancialTransaction",
-    "fibo:Counterparty": "Counterparty",
-    "fibo:MonetaryAmount": "MonetaryAmount",
-    "fhir:Patient": "Patient",
-    "fhir:Observation": "ClinicalObservation",
-    "fhir:Medication": "Medication",
-}
+@dataclass(frozen=True)
+class KnownClass:
+    """What the caller's graph calls a class: its vertex type and its IRI, either of them if known."""
+
+    vertex_type: str | None = None
+    iri: str | None = None
 
-# Full IRIs of known classes.
-CLASS_IRIS = {
-    "fibo:LegalEntity": vocab.FIBO + "BE/LegalEntities/LegalPersons/LegalEntity",
-    "fibo:Account": vocab.FIBO + "FBC/ProductsAndServices/FinancialProductsAndServices/Account",
-    "fibo:CommercialBank": vocab.FIBO + "FBC/FunctionalEntities/FinancialInstitutions/CommercialBank",
-    "fibo:Transaction": vocab.FIBO + "FBC/FinancialInstruments/FinancialInstruments/FinancialInstrument",
-    "fibo:Counterparty": vocab.FIBO + "FBC/FunctionalEntities/BusinessCentersAndExchanges/Counterparty",
-    "fibo:MonetaryAmount": vocab.FIBO + "FND/Accounting/CurrencyAmount/MonetaryAmount",
-    "fhir:Patient": vocab.FHIR + "Patient",
-    "fhir:Observation": vocab.FHIR + "Observation",
-    "fhir:Medication": vocab.FHIR + "Medication",
-}
+
+Classes = Mapping[str, KnownClass]
 
 
 @dataclass(frozen=True)
@@ -179,6 +164,19 @@ def rebase(extractions: DataFrame) -> DataFrame:
     return extractions.withColumn("char_interval", F.when(F.col("char_interval").isNotNull(), moved)).drop("_offset")
 
 
+def distinct_mentions(extractions: DataFrame, key: str) -> DataFrame:
+    """Each mention once: chunks that overlap find what lies in both. The first chunk's finding stays.
+
+    Ungrounded extractions have no place and all stay.
+    """
+    rest = [c for c in extractions.columns if c not in (key, "extraction_type", "ontology_class", "char_interval", "text_span")]
+    grounded = extractions.filter("char_interval IS NOT NULL")
+    once = grounded.groupBy(key, "extraction_type", "ontology_class", "char_interval", "text_span").agg(
+        F.min_by(F.struct(*rest), "chunk_index").alias("_rest"))
+    once = once.select(key, "extraction_type", "ontology_class", "char_interval", "text_span", "_rest.*").select(*extractions.columns)
+    return once.unionByName(extractions.filter("char_interval IS NULL"))
+
+
 def confidence_gate(extractions: DataFrame, confidence_threshold: float = 0.5) -> DataFrame:
     """Adds ``decision`` (PASS or QUARANTINE) and ``reason``, rules in order."""
     if not 0.0 <= confidence_threshold <= 1.0:
@@ -209,50 +207,62 @@ def entity_iri(ontology_class: Column, text: Column, scheme: str = vocab.SCHEME,
                     F.substring(digest, 1, length))
 
 
-def _lookup(col: Column, table: Mapping[str, str]) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())]), col)
-
-
-def _by_short_name(table: Mapping[str, str]) -> dict[str, str]:
-    short: dict[str, str] = {}
-    for name, value in table.items():
-        short.setdefault(name.rsplit(":", 1)[-1].rsplit("/", 1)[-1], value)
-    return short
+def known_class(ontology_class: Column, classes: Classes) -> Column:
+    """The entry of a class as a struct, by its name or else by its short name; null without one."""
+    entries = dict(classes)
+    for name, entry in classes.items():
+        entries.setdefault(re.split("[:/#]", name)[-1], entry)
+    if not entries:
+        return F.lit(None).cast("struct<vertex_type:string,iri:string>")
+    struct = lambda c: F.struct(F.lit(c.vertex_type).cast("string").alias("vertex_type"), F.lit(c.iri).cast("string").alias("iri"))
+    table = F.create_map(*chain.from_iterable((F.lit(name), struct(c)) for name, c in entries.items()))
+    return F.coalesce(F.element_at(table, ontology_class), F.element_at(table, short_class(ontology_class)))
 
 
-def vertex_type(ontology_class: Column, table: Mapping[str, str] = VERTEX_TYPES) -> Column:
-    """Mapped type by full name, then by short name, else the short name itself."""
+def vertex_type(ontology_class: Column, classes: Classes) -> Column:
+    """The known vertex type, else the short name of the class."""
     short = short_class(ontology_class)
-    return F.coalesce(_lookup(ontology_class, table), _lookup(short, _by_short_name(table)),
-                      F.when(short != "", short), F.lit("Entity"))
+    return F.coalesce(known_class(ontology_class, classes)["vertex_type"], F.when(short != "", short), F.lit("Entity"))
 
 
-def class_iri(ontology_class: Column, table: Mapping[str, str] = CLASS_IRIS, base: str = vocab.ONTOLOGY) -> Column:
-    short = short_class(ontology_class)
-    return F.coalesce(_lookup(ontology_class, table), _lookup(short, _by_short_name(table)),
-                      F.when(ontology_class.startswith("http"), ontology_class), F.concat(F.lit(base), short))
+def class_iri(ontology_class: Column, classes: Classes, base: str = vocab.ONTOLOGY) -> Column:
+    """The known IRI, else the class itself if it is one, else the short name below ``base``."""
+    own = F.when(ontology_class.startswith("http"), ontology_class).otherwise(F.concat(F.lit(base), short_class(ontology_class)))
+    return F.coalesce(known_class(ontology_class, classes)["iri"], own)
 
 
-def vertices(extractions: DataFrame, key: str, scheme: str = vocab.SCHEME, length: int = 8) -> DataFrame:
+def vertices(extractions: DataFrame, key: str, classes: Classes, scheme: str = vocab.SCHEME, length: int = 8,
+             embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """One vertex per IRI; of several extractions the latest in reading order describes it.
 
-    The choice is a ``max_by`` with map-side combine: an entity named in a third
-    of all documents is one row per task before the shuffle.
+    Attributes of earlier mentions stay unless a later one sets them anew.
+    Every choice is a ``max_by`` with map-side combine: an entity named in a
+    third of all documents is one row per task and attribute before the
+    shuffle. ``embed`` makes a vector column of the label, for example a pandas UDF over a model.
     """
     iri = entity_iri(F.col("ontology_class"), F.col("text_span"), scheme, length)
     order = F.struct(F.col(key), F.col("char_interval.start").alias("at"), F.col("chunk_index").alias("chunk"),
                      F.col("extraction_type").alias("type"))
     described = extractions.select(
         iri.alias("iri"), order.alias("_order"),
-        F.struct(vertex_type(F.col("ontology_class")).alias("vertex_type"), "ontology_class", F.col("text_span").alias("label"),
-                 F.map_filter("attributes", lambda k, v: v.isNotNull()).alias("attributes"), "model_id", "confidence_score",
-                 F.col("char_interval.start").alias("char_start"), F.col("char_interval.end").alias("char_end"),
-                 F.col(key)).alias("_v"))
-    return described.groupBy("iri").agg(F.max_by("_v", "_order").alias("_v"), F.count("*").alias("mentions")).select(
-        "iri", "_v.*", "mentions")
-
-
-def extraction_triples(extractions: DataFrame, job_id: str, source: Column, graph: str,
+        F.struct(vertex_type(F.col("ontology_class"), classes).alias("vertex_type"), "ontology_class", F.col("text_span").alias("label"),
+                 "model_id", "confidence_score", F.col("char_interval.start").alias("char_start"), F.col("char_interval.end").alias("char_end"),
+                 F.col(key)).alias("_v"),
+        F.map_entries(F.map_filter(F.coalesce("attributes", F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull())).alias("_a"))
+    # One row for the mention (without an attribute) and one per attribute.
+    none = F.array(F.lit(None).cast("struct<key:string,value:string>"))
+    each = described.select("iri", "_order", "_v", F.explode(F.concat(none, "_a")).alias("_e"))
+    mention = F.col("_e").isNull()
+    parts = each.groupBy("iri", F.col("_e.key").alias("_key")).agg(
+        F.max_by(F.col("_e.value"), "_order").alias("_value"), F.max_by(F.when(mention, F.col("_v")), "_order").alias("_v"),
+        F.count_if(mention).alias("_n"))
+    attributes = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("_key").isNotNull(), F.struct("_key", "_value")))))
+    whole = parts.groupBy("iri").agg(F.first("_v", ignorenulls=True).alias("_v"), attributes.alias("attributes"), F.sum("_n").alias("mentions"))
+    out = whole.select("iri", "_v.*", "attributes", "mentions")
+    return out if embed is None else out.withColumn("embedding", embed(F.col("label")))
+
+
+def extraction_triples(extractions: DataFrame, job_id: str, source: Column, graph: str, classes: Classes,
                        base: str = vocab.ONTOLOGY, scheme: str = vocab.SCHEME, length: int = 8) -> DataFrame:
     """Entity and provenance triples of grounded extractions; IRIs as in ``vertices``."""
     activity = f"{vocab.RESOURCE}activity/{job_id}"
@@ -260,9 +270,9 @@ def extraction_triples(extractions: DataFrame, job_id: str, source: Column, grap
     subject = entity_iri(F.col("ontology_class"), F.col("text_span"), scheme, length)
     decimal, integer = vocab.XSD + "decimal", vocab.XSD + "integer"
     rows = grounded.select(
-        subject.alias("s"), class_iri(F.col("ontology_class"), base=base).alias("cls"), "text_span", source.alias("src"),
+        subject.alias("s"), class_iri(F.col("ontology_class"), classes, base).alias("cls"), "text_span", source.alias("src"),
         F.col("char_interval.start").cast("string").alias("a"), F.col("char_interval.end").cast("string").alias("b"),
-        F.col("confidence_score").cast("decimal(9,6)").cast("string").alias("score"),
+        plain_number(F.col("confidence_score")).alias("score"),
         "attributes")
     s = F.col("s")
     attributes = F.transform(F.map_entries("attributes"), lambda e: quad(s, F.concat(F.lit(base), e["key"]), e["value"], graph=graph))
@@ -300,7 +310,7 @@ def run_summary(chunks: DataFrame, gated: DataFrame, key: str) -> DataFrame:
     return n.withColumn("_k", F.lit(1)).join(counts.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-def document_run(df: DataFrame, key: str, rules: Sequence[Rule] = RULES, html: str | None = None, threshold: float = 0.5,
+def document_run(df: DataFrame, key: str, classes: Classes, rules: Sequence[Rule] = RULES, html: str | None = None, threshold: float = 0.5,
                  size: int = 512, overlap: int = 50, job_id: str = "job", source: Column | None = None,
                  graph: str = f"{vocab.SCHEME}://default/instance/documents/v1", store: bool = False) -> dict[str, DataFrame]:
     """All steps as lazy results: chunks, gated extractions, vertices and triples.
@@ -312,10 +322,10 @@ def document_run(df: DataFrame, key: str, rules: Sequence[Rule] = RULES, html: s
     if html is not None:
         df = parse_pages(df.select(key, html), html)
     chunks = chunk(df, key, size=size, overlap=overlap)
-    gated = confidence_gate(rebase(extract(chunks, key, rules)), threshold)
+    gated = confidence_gate(distinct_mentions(rebase(extract(chunks, key, rules)), key), threshold)
     if store:
         gated = materialise(gated, "extractions")
     kept = passed(gated)
     where = source if source is not None else F.concat(F.lit(vocab.RESOURCE + "document/"), F.col(key).cast("string"))
-    return {"chunks": chunks, "gated": gated, "vertices": vertices(kept, key),
-            "triples": extraction_triples(kept, job_id, where, graph)}
+    return {"chunks": chunks, "gated": gated, "vertices": vertices(kept, key, classes),
+            "triples": extraction_triples(kept, job_id, where, graph, classes)}

@@ -16,33 +16,13 @@ from quadrille.functions.columns import quoted, sql_filter
 CLEARANCES = ("public", "internal", "confidential", "restricted", "top_secret")
 HIGH = ("restricted", "top_secret")
 
-PII_FIELDS = ("customer_name", "account_holder", "ssn", "date_of_birth", "email", "phone")
-UNMASKED_ROLES = ("auditor", "admin")
-SENSITIVE_CONTEXTS = ("clinical", "pii", "restricted")
-RETENTION_YEARS = {"audit_log": 7, "query_log": 2, "ingestion_log": 5}
-
-# (role, action, context); None allows any. Anything else is denied.
-ACCESS_RULES = (
-    ("admin", None, None),
-    ("auditor", "read", None),
-    ("finance_analyst", "read", "finance"),
-    ("finance_analyst", "read", "reporting"),
-    ("finance_analyst", "read", "consolidation"),
-    ("risk_analyst", "read", "risk"),
-    ("risk_analyst", "read", "compliance"),
-    ("risk_analyst", "read", "stress_testing"),
-    ("clinician", "read", "clinical"),
-    ("researcher", "read", "research"),
-    ("data_steward", "read", None),
-    ("data_steward", "write", None),
-)
-
-
-def decide(requests: DataFrame, rules: Sequence[tuple] = ACCESS_RULES) -> DataFrame:
+
+def decide(requests: DataFrame, rules: Sequence[tuple[str, str | None, str | None]]) -> DataFrame:
     """Adds ``allow`` to requests with ``role``, ``action`` and ``context``.
 
-    The rules become one row per role, so a request is matched once and never
-    multiplied, and a missing role is a denial.
+    A rule is (role, action, context), None allowing any; what no rule allows is
+    denied. The rules become one row per role, so a request is matched once and
+    never multiplied, and a missing role is a denial.
     """
     table = requests.sparkSession.createDataFrame(list(rules), "role string, _action string, _context string")
     per_role = table.groupBy("role").agg(F.collect_list(F.struct("_action", "_context")).alias("_rules"))
@@ -54,13 +34,15 @@ def decide(requests: DataFrame, rules: Sequence[tuple] = ACCESS_RULES) -> DataFr
 
 
 def clearance_rank(level: Column) -> Column:
-    """Position among the levels, 1 for public; 0 for an unknown level."""
-    return F.coalesce(F.array_position(F.array(*[F.lit(c) for c in CLEARANCES]), level), F.lit(0))
+    """Position among the levels, 1 for public; null for an unknown level."""
+    return F.nullif(F.array_position(F.array(*[F.lit(c) for c in CLEARANCES]), level), F.lit(0).cast("long"))
 
 
 def decide_by_policy(requests: DataFrame, policies: DataFrame) -> DataFrame:
     """Adds ``allow``: the role is listed for the action and the clearance suffices.
 
+    An unknown or missing level, of the reader or of the policy, denies.
+
     ``requests``: ``policy``, ``role``, ``action``, ``clearance``; ``policies``:
     ``policy``, ``read`` and ``write`` arrays, ``required`` clearance.
     """
@@ -79,29 +61,26 @@ def _bind_tenant(text: str, tenant: str) -> str:
     return _TENANT.sub(lambda m: literal, text)
 
 
-def row_filter(df: DataFrame, filters: Mapping[str, str], role: str, tenant: str) -> DataFrame:
+def row_filter(df: DataFrame, role: str, tenant: str, columns: Mapping[str, str] | None = None,
+               predicates: Mapping[str, str] | None = None) -> DataFrame:
     """Applies the filters of a policy, AND-ed.
 
-    A key that is a column of the table means equality with the value; any
-    other key is a role, and its value a SQL predicate that applies to it.
-    ``{{tenant}}`` stands for the caller's tenant, always as a literal.
+    ``columns``: column and the value it has to equal; a column that the table
+    does not have is an error, never an open door. ``predicates``: role and the
+    SQL predicate that applies to it. ``{{tenant}}`` stands for the caller's
+    tenant, always as a literal.
     """
-    for name, value in filters.items():
-        if name in df.columns:
-            bound = tenant if _TENANT.fullmatch(value) else value
-            df = df.filter(quoted(name) == F.lit(bound))
-        elif name == role:
-            df = sql_filter(df, _bind_tenant(value, tenant))
-    return df
-
-
-def sees_pii(role: str, clearance: str) -> bool:
-    return clearance in HIGH or role in UNMASKED_ROLES
+    absent = sorted(set(columns or {}) - set(df.columns))
+    if absent:
+        raise ValueError(f"row filter on unknown columns: {', '.join(absent)}")
+    for name, value in (columns or {}).items():
+        df = df.filter(quoted(name) == F.lit(tenant if _TENANT.fullmatch(value) else value))
+    return sql_filter(df, _bind_tenant(predicates[role], tenant)) if role in (predicates or {}) else df
 
 
-def mask(df: DataFrame, role: str, clearance: str, fields: Sequence[str] = PII_FIELDS) -> DataFrame:
+def mask(df: DataFrame, role: str, clearance: str, fields: Sequence[str], unmasked_roles: Sequence[str] = ()) -> DataFrame:
     """Listed fields become ``***`` unless the reader may see them; absent ones are ignored."""
-    if sees_pii(role, clearance):
+    if clearance in HIGH or role in unmasked_roles:
         return df
     return df.withColumns({f: F.lit("***") for f in fields if f in df.columns})
 
@@ -135,7 +114,7 @@ def visible_fields(df: DataFrame, policies: Sequence[FieldPolicy], context: str,
     return df.withColumns({f: F.lit("***") for f in hidden}) if masked else df.drop(*hidden)
 
 
-def retain(df: DataFrame, kind: str, time: str, now: Column, years: Mapping[str, int] = RETENTION_YEARS) -> DataFrame:
+def retain(df: DataFrame, kind: str, time: str, now: Column, years: Mapping[str, int]) -> DataFrame:
     """Drops rows older than the retention of their kind; kinds without one stay.
 
     Written as one bound per kind, so that the time filter reaches the scan.
@@ -147,8 +126,8 @@ def retain(df: DataFrame, kind: str, time: str, now: Column, years: Mapping[str,
     return df
 
 
-def consented(df: DataFrame, key: str, consents: DataFrame, context: str) -> DataFrame:
+def consented(df: DataFrame, key: str, consents: DataFrame, context: str, sensitive: Sequence[str]) -> DataFrame:
     """In sensitive contexts only rows whose subject consented (``consents`` has the key)."""
-    if context not in SENSITIVE_CONTEXTS:
+    if context not in sensitive:
         return df
     return df.join(consents.select(key), key, "left_semi")

@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.columns import (
-    SPARK_TYPES,
     filter_condition,
     operator_condition,
     sql_filter,
     time_range,
+    spark_type,
 )
 
 AGGREGATES = ("sum", "count", "avg", "min", "max", "count_distinct", "approx_count_distinct", "latest", "custom")
@@ -201,7 +201,8 @@ def join_path(model: Model, start: str, goal: str, via: Sequence[str] | None = N
 def property_column(entity: EntitySpec, name: str, context: str | None) -> Column:
     prop = entity.property(name)
     col = F.expr(prop.expression(context))
-    return col if prop.type in ("string", "anyURI") else col.cast(SPARK_TYPES[prop.type])
+    # A plain decimal is what the column is; a precision has to be declared.
+    return col if prop.type in ("string", "anyURI", "decimal") else col.cast(spark_type(prop.type))
 
 
 def _aggregate(kind: str, value: Column | None, time: Column | None, sql: str | None) -> Column:

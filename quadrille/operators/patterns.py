@@ -107,13 +107,16 @@ def match(quads: QuadSource, patterns: Sequence[Pattern], graph: str | None = No
 
     Terms: ``?name`` is a variable, other strings are IRIs, ``Literal`` a
     constant value. ``graph`` is a graph name, or ``?g`` to require one common
-    graph and return it. All patterns on one subject join on the same key, so
+    graph and return it; without it the graphs count as one set, in which a
+    triple stands once (a source given as a function has to see to that itself). All patterns on one subject join on the same key, so
     Spark shuffles each of them once and never the intermediate result again.
     """
     nodes, terms = _roles(patterns)
     result = None
     for pattern in _order(patterns):
         step = _bindings(quads, pattern, nodes, terms, graph)
+        if graph is None and isinstance(quads, DataFrame) and "_ask" not in step.columns:
+            step = step.distinct()
         if result is None:
             result = step
         elif "_ask" in step.columns:

@@ -52,7 +52,7 @@ def _content_sum(*columns: str) -> Column:
     return F.sum(F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)"))
 
 
-def hyperedges(rows: DataFrame, by: tuple[str, ...] = ("question",), length: int = 8) -> DataFrame:
+def hyperedges(rows: DataFrame, by: tuple[str, ...] = ("question",), length: int = 64) -> DataFrame:
     """Summary per question and class: triples, entities and a content id.
 
     The id is a hash of the set of triples, whatever their order; it is summed

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille import vocab
-from quadrille.functions.columns import SPARK_TYPES, quoted
+from quadrille.functions.columns import quoted, spark_type
 from quadrille.operators.metrics import EntitySpec
 from quadrille.operators.traverse import edges_of, reach
 from quadrille.operators.triples import QuadSource, explode_quads, of_predicates, quad
@@ -194,12 +194,15 @@ def violation_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("shape", "path", "component").agg(F.count("*").alias("violations"))
 
 
-def violation_rates(report: DataFrame, quads: QuadSource, shapes: Sequence[Shape]) -> DataFrame:
-    """Violating focus nodes per shape property, as a share of the focus nodes of its class."""
-    classes = {(s.shape or s.target_class.rsplit("/", 1)[-1].rsplit("#", 1)[-1] + "Shape"): s.target_class for s in shapes}
-    totals = focus_nodes(quads, sorted(set(classes.values())), False).groupBy("class").agg(F.count("*").alias("nodes"))
-    names = report.sparkSession.createDataFrame(list(classes.items()), "shape string, class string")
-    per_shape = totals.join(F.broadcast(names), "class").select("shape", "nodes")
+def violation_rates(report: DataFrame, quads: QuadSource, shapes: Sequence[Shape], with_subclasses: bool = True) -> DataFrame:
+    """Violating focus nodes per shape property, as a share of the focus nodes of its classes.
+
+    A node of several classes of one shape name counts once. ``with_subclasses`` has to be as it was for the report.
+    """
+    classes = sorted({((s.shape or s.target_class.rsplit("/", 1)[-1].rsplit("#", 1)[-1] + "Shape"), s.target_class) for s in shapes})
+    nodes = focus_nodes(quads, sorted({c for _, c in classes}), with_subclasses)
+    names = report.sparkSession.createDataFrame(classes, "shape string, class string")
+    per_shape = nodes.join(F.broadcast(names), "class").groupBy("shape").agg(F.count_distinct("focus").alias("nodes"))
     bad = report.groupBy("shape", "path").agg(F.count_distinct("focus").alias("failing"))
     return bad.join(per_shape, "shape").withColumn("rate", F.col("failing") / F.col("nodes"))
 
@@ -223,7 +226,7 @@ def validate_table(df: DataFrame, entity: EntitySpec, key: str, tables: Mapping[
         if p.allowed:
             checks.append(fail("allowed", raw.isNotNull() & ~text.isin(list(p.allowed))))
         if p.type not in ("string", "anyURI"):
-            checks.append(fail("type", raw.isNotNull() & text.try_cast(SPARK_TYPES[p.type]).isNull()))
+            checks.append(fail("type", raw.isNotNull() & text.try_cast(spark_type(p.type)).isNull()))
         if p.pattern:
             checks.append(fail("pattern", raw.isNotNull() & ~text.rlike(p.pattern)))
     parts = []

@@ -160,11 +160,11 @@ def nearest_class(items: DataFrame, classes: DataFrame, block: int = QUERY_BLOCK
 
 
 def canonical_iri(tenant: str | Column, ontology_class: Column, label: Column, scheme: str = vocab.SCHEME,
-                  length: int = 8) -> Column:
+                  length: int = 64) -> Column:
     """``{scheme}://{tenant}/entity/{local class}/{hash of the label}``.
 
-    Eight digits collide beyond some ten thousand labels; pass a larger
-    ``length`` for large graphs.
+    ``length`` shortens the digest; eight digits collide beyond some ten
+    thousand labels and would merge them.
     """
     tenant = F.lit(tenant) if isinstance(tenant, str) else tenant
     name = F.substring_index(F.substring_index(ontology_class, "/", -1), "#", -1)
@@ -173,14 +173,16 @@ def canonical_iri(tenant: str | Column, ontology_class: Column, label: Column, s
 
 
 def resolve_entities(candidates: DataFrame, nodes: DataFrame, tenant: str, scheme: str = vocab.SCHEME,
-                     threshold: float = RESOLUTION_THRESHOLD, length: int = 8) -> DataFrame:
+                     threshold: float = RESOLUTION_THRESHOLD, length: int = 64) -> DataFrame:
     """Canonical IRI of each candidate: exact node, near node, or a new one.
 
     ``candidates``: ``label``, ``ontology_class``, nullable ``embedding``;
-    ``nodes``: ``iri``, ``class`` (local name), ``embedding``.
+    ``nodes``: ``iri``, ``class`` (local name), ``embedding``. A candidate given
+    with several embeddings is resolved with each, and its best hit counts.
     """
-    c = candidates.select("label", "ontology_class", "embedding").dropDuplicates(["label", "ontology_class"])
-    c = c.withColumn("query", F.sha2(F.concat_ws("\u001f", "ontology_class", "label"), 256))
+    named = candidates.select("label", "ontology_class", "embedding").withColumn(
+        "query", F.sha2(F.concat_ws("\u001f", "ontology_class", "label"), 256))
+    c = named.select("label", "ontology_class", "query").distinct()
     known = nodes.select(F.col("iri").alias("label")).distinct()
     is_iri = F.col("label").startswith("http") | F.col("label").startswith(f"{scheme}://")
     flagged = c.join(known.withColumn("_known", F.lit(True)), "label", "left")
@@ -188,10 +190,16 @@ def resolve_entities(candidates: DataFrame, nodes: DataFrame, tenant: str, schem
              .select("label", "ontology_class", F.col("label").alias("canonical_iri"), F.lit(False).alias("is_new"),
                      F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("same_as_iri")))
     rest = flagged.filter(~(is_iri & F.col("_known").isNotNull())).drop("_known")
+    vectors = named.join(rest.select("query"), "query", "left_semi").filter("embedding IS NOT NULL").select(
+        F.concat("query", F.lit(":"), F.xxhash64("embedding").cast("string")).alias("query"), F.col("embedding").alias("vector"),
+        local_name(F.col("ontology_class")).alias("class")).dropDuplicates(["query"])
     near = nearest(
-        rest.select("query", F.col("embedding").alias("vector"), local_name(F.col("ontology_class")).alias("class")),
+        vectors,
         nodes.select(F.col("iri").alias("node"), F.col("embedding").alias("vector"), "class"), 5, by_class=True)
-    hit = near.filter((F.col("rank") == 1) & (F.col("score") >= threshold)).select("query", "node", "score")
+    near = near.filter((F.col("rank") == 1) & (F.col("score") >= threshold))
+    # Of equal scores the smaller IRI.
+    hit = near.groupBy(F.substring_index("query", ":", 1).alias("query")).agg(F.min(F.struct((-F.col("score")).alias("s"), "node")).alias("b")).select(
+        "query", "b.node", (-F.col("b.s")).alias("score"))
     own = canonical_iri(tenant, F.col("ontology_class"), F.col("label"), scheme, length)
     found = F.col("node").isNotNull()
     others = rest.join(hit, "query", "left").select(

@@ -30,7 +30,7 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return result
 
 
-def reach(edges: DataFrame, seeds: DataFrame | None = None, reflexive: bool = False, max_rounds: int = 1000) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame | None = None, reflexive: bool = False) -> DataFrame:
     """``p+`` (or ``p*``): all (src, tgt) with a path, and its shortest length.
 
     ``seeds`` has a column ``src``; without it every source starts. Each round
@@ -46,8 +46,6 @@ def reach(edges: DataFrame, seeds: DataFrame | None = None, reflexive: bool = Fa
     found, depth = [frontier], 1
     while not frontier.isEmpty():
         depth += 1
-        if depth > max_rounds + 1:
-            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
         step = (frontier.join(links, frontier["tgt"] == links["_mid"])
                 .select("src", F.col("_next").alias("tgt")).distinct()
                 .join(_union(found).select("src", "tgt"), ["src", "tgt"], "left_anti")
@@ -109,7 +107,7 @@ def entity_types(quads: DataFrame) -> DataFrame:
             .agg(F.array_sort(F.collect_set("object")).alias("types")))
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components: (node, component), component = smallest node.
 
     Alternates the large-star and small-star contractions of Kiveris et al.
@@ -122,7 +120,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     # Larger node first.
     state = materialise(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("_m", "u"))
         # Larger neighbours move to the smallest one known.
@@ -139,8 +137,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components not stable after {max_rounds} rounds")
     labels = state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("_c"))
     return nodes.join(labels, "node", "left").select("node", F.coalesce("_c", "node").alias("component"))
 

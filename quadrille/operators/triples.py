@@ -9,9 +9,10 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrille import vocab
-from quadrille.functions.columns import local_name, quoted, template
+from quadrille.functions.columns import iso_time, local_name, plain_number, quoted, template
 from quadrille.vocab import QUAD_COLUMNS, TYPE
 
 # Quads are a table, or a function from a list of predicates (None for all) to
@@ -26,23 +27,12 @@ def of_predicates(quads: QuadSource, predicates: Sequence[str] | None) -> DataFr
     return quads if predicates is None else quads.filter(F.col("predicate").isin(list(predicates)))
 
 
-# Substrings of SQL type names and the XSD type they mean, tested in this order.
-XSD_BY_SQL_TYPE = (
-    (("int", "serial", "bigint", "smallint"), "integer"),
-    (("float", "double", "numeric", "decimal", "real"), "decimal"),
-    (("bool",), "boolean"),
-    (("timestamp", "datetime"), "dateTime"),
-    (("date",), "date"),
-)
-
-
-def xsd_type(sql_type: str) -> str | None:
-    """XSD datatype IRI for a SQL type name; text has none."""
-    name = sql_type.lower()
-    for words, xsd in XSD_BY_SQL_TYPE:
-        if any(w in name for w in words):
-            return vocab.XSD + xsd
-    return None
+def xsd_type(kind: T.DataType) -> str | None:
+    """XSD datatype IRI of a Spark type; text and nested types have none."""
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return vocab.XSD + "decimal"
+    names = {T.IntegralType: "integer", T.BooleanType: "boolean", T.DateType: "date", T.TimestampType: "dateTime", T.TimestampNTZType: "dateTime"}
+    return next((vocab.XSD + name for base, name in names.items() if isinstance(kind, base)), None)
 
 
 @dataclass(frozen=True)
@@ -79,11 +69,11 @@ def lexical(col: Column, datatype: str | None) -> Column:
     """Lexical form of a value; decimals never in exponent notation."""
     match (datatype or "").rsplit("#", 1)[-1]:
         case "decimal":
-            return col.cast("decimal(18,4)").cast("string")
+            return plain_number(col)
         case "integer":
             return col.cast("bigint").cast("string")
         case "dateTime":
-            return F.date_format(col.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
+            return iso_time(col)
         case "date":
             return col.cast("date").cast("string")
         case "boolean":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quadrille.functions import columns as C
 from quadrille.operators import audit as A
 from quadrille.plans.kg import ONT, RES
 from quadrille.plans.registry import query
@@ -18,7 +19,7 @@ def number():
 
 K_SQL = "CAST(props ->> '$.k' AS INT)"
 HASH_SQL = "left(sha256('q' || event_id), 16)"
-ISO_SQL = "strftime(date_trunc('second', {}), '%Y-%m-%dT%H:%M:%S')"
+ISO_SQL = "replace(CAST({} AS VARCHAR), ' ', 'T')"
 
 
 def audit_log(t):
@@ -40,7 +41,7 @@ LOG_SQL = f"""log AS (SELECT event_id AS id, 't' || (user_id % 7) AS tenant_id,
 
 def query_runs(t):
     """Events as query runs that used one graph and produced one result."""
-    start = F.date_trunc("second", "ts").cast("timestamp_ntz")
+    start = F.col("ts")
     return t.events.select(
         F.substring(F.sha2(F.concat(F.lit("q"), "event_id"), 256), 1, 16).alias("query_hash"),
         F.concat(F.lit("t"), F.col("user_id") % 7).alias("tenant_id"), F.col("event_type").alias("context"),
@@ -144,9 +145,10 @@ def _(t):
 
 
 @query("l3_derivation_documents", f"""
-    SELECT '{RES}user/' || user_id AS entity_iri, CAST(json_object('@context', {CONTEXT_SQL}, '@id', '{RES}user/' || user_id, '@type', 'prov:Entity',
-        'prov:wasDerivedFrom', to_json(list_transform(list_sort(list(DISTINCT '{RES}graph/' || {K_SQL})), lambda x: {{'@id': x}})),
-        'prov:wasGeneratedBy', json_object('@id', 'urn:run')) AS VARCHAR) AS document FROM events GROUP BY user_id""")
+    SELECT '{RES}user/' || u AS entity_iri, '{RES}graph/' || k AS source_iri,
+        CAST(json_object('@context', {CONTEXT_SQL}, '@id', '{RES}user/' || u, '@type', 'prov:Entity',
+        'prov:wasDerivedFrom', to_json([{{'@id': '{RES}graph/' || k}}]),
+        'prov:wasGeneratedBy', json_object('@id', 'urn:run')) AS VARCHAR) AS document FROM (SELECT DISTINCT user_id AS u, {K_SQL} AS k FROM events)""")
 def _(t):
     return A.derivation_documents(t.events.select(
         F.concat(F.lit(RES + "user/"), "user_id").alias("entity_iri"), F.concat(F.lit(RES + "graph/"), number()).alias("source_iri"),
@@ -234,7 +236,7 @@ def lineage_json(t):
     e = F.col("event_type")
     message = F.to_json(F.struct(
         F.when(e == "purchase", "complete").when(e == "error", "FAIL").when(e == "signup", "START").otherwise("OTHER").alias("eventType"),
-        F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("eventTime"),
+        C.iso_time(F.col("ts")).alias("eventTime"),
         F.struct(F.lit("ns").alias("namespace"), F.concat(F.lit("job"), number()).alias("name")).alias("job"),
         F.struct(F.concat(F.lit("run"), "event_id").alias("runId"), F.struct(F.struct(
             F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("t"), F.col("user_id") % 7)).alias("tenant_id"),
@@ -245,7 +247,7 @@ def lineage_json(t):
 AUDIT_FROM_LINEAGE_SQL = f"""
     SELECT CASE WHEN user_id % 2 = 0 THEN 't' || (user_id % 7) ELSE 'unknown' END AS tenant_id, 'ingest' AS action,
            CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'error' ELSE 'started' END AS status,
-           'job' || {K_SQL} AS context, 'run' || event_id AS query_hash, date_trunc('second', ts) AS created_at
+           'job' || {K_SQL} AS context, 'run' || event_id AS query_hash, ts AS created_at
     FROM events WHERE event_type IN ('purchase', 'error', 'signup')"""
 
 
@@ -254,6 +256,11 @@ def _(t):
     return A.lineage_to_audit(lineage_json(t)).drop("prov_jsonld", "metadata").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
+@query("l11_unreadable_events", "SELECT event_id FROM events WHERE event_type = 'view'")
+def _(t):
+    return A.unreadable_events(lineage_json(t)).select("event_id")
+
+
 @query("l12_snapshot_drift", """
     SELECT * FROM (VALUES ('o_orderkey', 'same'), ('o_custkey', 'retyped'), ('o_orderstatus', 'removed'), ('o_totalprice', 'same'),
         ('o_orderdate', 'same'), ('o_orderpriority', 'same'), ('channel', 'added')) v("column", change)

@@ -18,11 +18,14 @@ from quadrille.vocab import TYPE, XSD
 # the patterns spans white space, so chunk borders never cut a match.
 DOC_RULES = (
     D.Rule("NetworkAddress", "kg:Address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", {"scheme": "ipv4"}, 0.9),
-    D.Rule("CardNumber", "fibo:Account", r"[0-9]{16}", {"scheme": "card"}),
+    D.Rule("CardNumber", "own:Account", r"[0-9]{16}", {"scheme": "card"}),
     D.Rule("Token", "kg:Secret", r"[0-9a-f]{40}", {}, 0.4),
     D.Rule("Mail", "kg:Contact", r"(?P<user>[a-z0-9.]+)@(?P<host>[a-z0-9.]+)", {}, 0.0),
 )
 
+CLASSES = {"kg:Address": D.KnownClass("NetworkPlace", ONT + "net/Address"), "kg:Firm": D.KnownClass(iri=ONT + "org/Firm"),
+           "own:Account": D.KnownClass("LedgerAccount", ONT + "ledger/Account"), "own:Patient": D.KnownClass("CareRecipient")}
+
 
 @query("d1_parse_html")
 def _(t):
@@ -64,9 +67,9 @@ def _(t):
     return both.groupBy("doc_id").agg(F.bool_and(same).alias("exact"), F.sum("token_count").alias("tokens"))
 
 
-def _gated(t, overlap=0, threshold=0.5):
-    chunks = D.chunk(spread(t.documents), "doc_id", overlap=overlap)
-    return D.confidence_gate(D.rebase(D.extract(chunks, "doc_id", DOC_RULES)), threshold)
+def _gated(t, threshold=0.5):
+    found = D.rebase(D.extract(D.chunk(spread(t.documents), "doc_id"), "doc_id", DOC_RULES))
+    return D.confidence_gate(D.distinct_mentions(found, "doc_id"), threshold)
 
 
 COUNTS_SQL = " UNION ALL ".join(
@@ -75,6 +78,14 @@ COUNTS_SQL = " UNION ALL ".join(
     for r in DOC_RULES)
 
 
+# Where the passing matches begin: what lies between matches and the matches before add up to it.
+PLACES_SQL = " UNION ALL ".join(
+    f"SELECT extraction_type, text_span, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda m: length(m))), 0) AS place "
+    f"FROM (SELECT '{r.extraction_type}' AS extraction_type, found[i] AS text_span, gaps, found, i FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM "
+    f"(SELECT regexp_extract_all(text, '{r.pattern}') AS found, string_split_regex(text, '{r.pattern}') AS gaps FROM documents)))"
+    for r in DOC_RULES if r.confidence is None or r.confidence >= 0.5)
+
+
 @query("d3_rule_extraction", f"""
     SELECT doc_id, extraction_type, text_span, COUNT(*) AS n FROM ({COUNTS_SQL}) GROUP BY 1, 2, 3""")
 def _(t):
@@ -93,8 +104,8 @@ def _quoted_secrets(text: str) -> list[dict]:
     SELECT doc_id, 'kg:Secret' AS ontology_class, 1.0::DOUBLE AS confidence_score, COUNT(*) AS n
     FROM (SELECT doc_id, unnest(regexp_extract_all(text, '"[0-9a-f]{40}"')) AS s FROM documents) GROUP BY 1""")
 def _(t):
-    chunks = D.chunk(spread(t.documents), "doc_id", overlap=0)
-    found = D.extract(chunks, "doc_id", extractor=_quoted_secrets, model_id="caller")
+    chunks = D.chunk(spread(t.documents), "doc_id")
+    found = D.distinct_mentions(D.rebase(D.extract(chunks, "doc_id", extractor=_quoted_secrets, model_id="caller")), "doc_id")
     return found.groupBy("doc_id", "ontology_class", "confidence_score").agg(F.count("*").alias("n"))
 
 
@@ -131,42 +142,76 @@ def _named(t):
     """Customers as extractions; those in debt are ungrounded."""
     return t.customer.select(
         "c_custkey", F.lit("Account").alias("extraction_type"), F.col("c_name").alias("text_span"),
-        F.when(F.col("c_mktsegment") == "BUILDING", "fibo:Account").when(F.col("c_mktsegment") == "MACHINERY", "x/Patient")
+        F.when(F.col("c_mktsegment") == "BUILDING", "own:Account").when(F.col("c_mktsegment") == "MACHINERY", "x/Patient")
         .otherwise("kg:Firm").alias("ontology_class"),
         F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("attributes"),
         F.when(F.col("c_acctbal") >= 0, F.struct(F.lit(0).alias("start"), F.length("c_name").alias("end"))).alias("char_interval"),
         F.lit(0.75).alias("confidence_score"), F.lit("rules").alias("model_id"), F.lit(0).alias("chunk_index"))
 
 
-CLASS_SQL = "CASE c_mktsegment WHEN 'BUILDING' THEN 'fibo:Account' WHEN 'MACHINERY' THEN 'x/Patient' ELSE 'kg:Firm' END"
+CLASS_SQL = "CASE c_mktsegment WHEN 'BUILDING' THEN 'own:Account' WHEN 'MACHINERY' THEN 'x/Patient' ELSE 'kg:Firm' END"
 SHORT_SQL = "CASE c_mktsegment WHEN 'BUILDING' THEN 'Account' WHEN 'MACHINERY' THEN 'Patient' ELSE 'Firm' END"
 ENTITY_SQL = f"'kg://entity/' || {SHORT_SQL} || '/' || replace(lower(trim(c_name)), ' ', '-') || '-' || left(sha256({CLASS_SQL} || ':' || c_name), 8)"
 
 
 @query("d6_entity_iris", f"""
-    SELECT c_custkey, {ENTITY_SQL} AS iri, CASE c_mktsegment WHEN 'BUILDING' THEN 'FinancialAccount' WHEN 'MACHINERY' THEN 'Patient'
+    SELECT c_custkey, {ENTITY_SQL} AS iri, CASE c_mktsegment WHEN 'BUILDING' THEN 'LedgerAccount' WHEN 'MACHINERY' THEN 'CareRecipient'
         ELSE 'Firm' END AS vertex_type FROM customer""")
 def _(t):
     cls = F.col("ontology_class")
-    return _named(t).select("c_custkey", D.entity_iri(cls, F.col("text_span")).alias("iri"), D.vertex_type(cls).alias("vertex_type"))
+    return _named(t).select("c_custkey", D.entity_iri(cls, F.col("text_span")).alias("iri"), D.vertex_type(cls, CLASSES).alias("vertex_type"))
+
+
+@query("d7_vertices", f"""
+    WITH m AS (SELECT doc_id, extraction_type, text_span FROM ({COUNTS_SQL}) WHERE confidence >= 0.5)
+    SELECT 'kg://entity/' || CASE extraction_type WHEN 'NetworkAddress' THEN 'Address' ELSE 'Account' END || '/' || text_span || '-'
+             || left(sha256(CASE extraction_type WHEN 'NetworkAddress' THEN 'kg:Address:' ELSE 'own:Account:' END || text_span), 8) AS iri,
+           CASE extraction_type WHEN 'NetworkAddress' THEN 'NetworkPlace' ELSE 'LedgerAccount' END AS vertex_type, text_span AS label,
+           'scheme=' || CASE extraction_type WHEN 'NetworkAddress' THEN 'ipv4' ELSE 'card' END AS attributes,
+           MAX(doc_id) AS doc_id, COUNT(*) AS mentions FROM m GROUP BY extraction_type, text_span""")
+def _(t):
+    # All types; attributes as text.
+    made = D.vertices(D.passed(_gated(t)), "doc_id", CLASSES)
+    shown = F.array_join(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return made.select("iri", "vertex_type", "label", shown.alias("attributes"), "doc_id", "mentions")
 
 
-@query("d7_vertices", """
-    SELECT 'kg://entity/Address/' || lower(text_span) || '-' || left(sha256('kg:Address:' || text_span), 8) AS iri,
-           'Address' AS vertex_type, text_span AS label, MAX(doc_id) AS doc_id, COUNT(*) AS mentions
-    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')) AS text_span FROM documents)
-    GROUP BY text_span""")
+@query("d7_attributes_of_all_mentions", """
+    SELECT c_mktsegment AS label, COUNT(*) AS mentions, 'n' || max(c_custkey) AS last,
+           arg_max(c_nationkey, c_custkey) FILTER (c_acctbal < 0) AS debt_in FROM customer GROUP BY 1""")
+def _(t):
+    # Only mentions in debt set the second attribute; later ones without it leave it alone.
+    found = t.customer.select(
+        F.lit("Segment").alias("extraction_type"), F.col("c_mktsegment").alias("text_span"), F.lit("kg:Segment").alias("ontology_class"),
+        F.map_from_arrays(F.array(F.lit("last"), F.lit("debt_in")), F.array(
+            F.concat(F.lit("n"), "c_custkey"), F.when(F.col("c_acctbal") < 0, F.col("c_nationkey").cast("string")))).alias("attributes"),
+        F.struct(F.lit(0).alias("start"), F.lit(5).alias("end")).alias("char_interval"), F.lit(1.0).alias("confidence_score"),
+        F.lit("rules").alias("model_id"), F.lit(0).alias("chunk_index"), "c_custkey")
+    made = D.vertices(found, "c_custkey", {})
+    return made.select("label", "mentions", F.element_at("attributes", "last").alias("last"), F.try_element_at("attributes", F.lit("debt_in")).cast("int").alias("debt_in"))
+
+
+@query("f1_caller_embedder", """
+    SELECT c_mktsegment AS label, COUNT(*) AS mentions, length(c_mktsegment)::DOUBLE AS x, 1.0::DOUBLE AS y FROM customer GROUP BY 1, 3""")
 def _(t):
-    kept = D.passed(_gated(t)).filter("extraction_type = 'NetworkAddress'")
-    return D.vertices(kept, "doc_id").select("iri", "vertex_type", "label", "doc_id", "mentions")
+    def embed(label):
+        """Stands for a model: any function from the label's column to a vector's."""
+        return F.array(F.length(label).cast("double"), F.lit(1.0))
+
+    found = t.customer.select(
+        F.lit("Segment").alias("extraction_type"), F.col("c_mktsegment").alias("text_span"), F.lit("kg:Segment").alias("ontology_class"),
+        F.create_map().cast("map<string,string>").alias("attributes"), F.struct(F.lit(0).alias("start"), F.lit(5).alias("end")).alias("char_interval"),
+        F.lit(1.0).alias("confidence_score"), F.lit("rules").alias("model_id"), F.lit(0).alias("chunk_index"), "c_custkey")
+    made = D.vertices(found, "c_custkey", {}, embed=embed)
+    return made.select("label", "mentions", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
 
 
 @query("d8_extraction_triples", f"""
     WITH e AS (SELECT {ENTITY_SQL} AS s, * FROM customer WHERE c_acctbal >= 0)
     SELECT s AS subject, p AS predicate, o AS object, k AS object_kind, CAST(d AS VARCHAR) AS datatype,
            CAST(NULL AS VARCHAR) AS lang, 'g' AS graph FROM (
-    SELECT s, '{TYPE}' AS p, CASE c_mktsegment WHEN 'BUILDING' THEN '{D.CLASS_IRIS["fibo:Account"]}' WHEN 'MACHINERY' THEN '{vocab.FHIR}Patient'
-           ELSE '{ONT}Firm' END AS o, 'iri' AS k, NULL AS d FROM e
+    SELECT s, '{TYPE}' AS p, CASE c_mktsegment WHEN 'BUILDING' THEN '{ONT}ledger/Account' WHEN 'MACHINERY' THEN '{ONT}Patient'
+           ELSE '{ONT}org/Firm' END AS o, 'iri' AS k, NULL AS d FROM e
     UNION ALL SELECT s, '{TYPE}', '{vocab.NAMED_INDIVIDUAL}', 'iri', NULL FROM e
     UNION ALL SELECT s, '{vocab.LABEL}', c_name, 'literal', NULL FROM e
     UNION ALL SELECT s, '{ONT}segment', c_mktsegment, 'literal', NULL FROM e
@@ -174,9 +219,9 @@ def _(t):
     UNION ALL SELECT s, '{vocab.PROV}wasDerivedFrom', 'file:' || c_custkey, 'iri', NULL FROM e
     UNION ALL SELECT s, '{ONT}charStart', '0', 'literal', '{XSD}integer' FROM e
     UNION ALL SELECT s, '{ONT}charEnd', CAST(length(c_name) AS VARCHAR), 'literal', '{XSD}integer' FROM e
-    UNION ALL SELECT s, '{ONT}confidenceScore', '0.750000', 'literal', '{XSD}decimal' FROM e)""")
+    UNION ALL SELECT s, '{ONT}confidenceScore', '0.75', 'literal', '{XSD}decimal' FROM e)""")
 def _(t):
-    return D.extraction_triples(_named(t), "job-1", F.concat(F.lit("file:"), "c_custkey"), "g")
+    return D.extraction_triples(_named(t), "job-1", F.concat(F.lit("file:"), "c_custkey"), "g", CLASSES)
 
 
 @query("d9_run_summary", f"""
@@ -184,27 +229,28 @@ def _(t):
            CAST(COUNT_IF(confidence < 0.5) AS BIGINT) AS quarantined,
            COUNT(DISTINCT CASE WHEN confidence >= 0.5 THEN extraction_type || text_span END) AS entities FROM ({COUNTS_SQL})""")
 def _(t):
-    chunks = D.chunk(spread(t.documents), "doc_id", overlap=0)
-    return D.run_summary(chunks, _gated(t), "doc_id").drop("chunks")
+    return D.run_summary(D.chunk(spread(t.documents), "doc_id"), _gated(t), "doc_id").drop("chunks")
 
 
 @query("d10_document_run", f"""
-    WITH e AS (SELECT DISTINCT doc_id, extraction_type, text_span FROM ({COUNTS_SQL}) WHERE confidence >= 0.5),
-    u AS (SELECT DISTINCT extraction_type, text_span FROM e)
+    WITH x AS (SELECT doc_id, extraction_type, text_span, confidence FROM ({COUNTS_SQL}) WHERE confidence >= 0.5),
+    e AS (SELECT DISTINCT doc_id, extraction_type, text_span FROM x), u AS (SELECT DISTINCT extraction_type, text_span FROM x)
     SELECT '{vocab.PROV}wasDerivedFrom' AS predicate, COUNT(*) AS triples FROM e
     UNION ALL SELECT '{vocab.PROV}wasGeneratedBy', COUNT(*) FROM u UNION ALL SELECT '{vocab.LABEL}', COUNT(*) FROM u
-    UNION ALL SELECT '{ONT}scheme', COUNT(*) FROM u UNION ALL SELECT '{TYPE}', 2 * COUNT(*) FROM u""")
+    UNION ALL SELECT '{ONT}scheme', COUNT(*) FROM u UNION ALL SELECT '{TYPE}', 2 * COUNT(*) FROM u
+    UNION ALL SELECT '{ONT}confidenceScore', COUNT(*) FROM u
+    UNION ALL SELECT '{ONT}charStart', COUNT(*) FROM (SELECT DISTINCT extraction_type, text_span, place FROM ({PLACES_SQL}))
+    UNION ALL SELECT '{ONT}charEnd', COUNT(*) FROM (SELECT DISTINCT extraction_type, text_span, place + length(text_span) FROM ({PLACES_SQL}))""")
 def _(t):
-    run = D.document_run(spread(t.documents), "doc_id", DOC_RULES, overlap=0, job_id="job-1")
-    counted = run["triples"].groupBy("predicate").agg(F.count("*").alias("triples"))
-    return counted.filter(F.col("predicate").isin(vocab.PROV + "wasDerivedFrom", vocab.PROV + "wasGeneratedBy", vocab.LABEL,
-                                                  ONT + "scheme", TYPE))
+    run = D.document_run(spread(t.documents), "doc_id", CLASSES, DOC_RULES, job_id="job-1")
+    return run["triples"].groupBy("predicate").agg(F.count("*").alias("triples"))
 
 
 @query("d10_html_run")
 def _(t):
     rules = (*D.RULES, *DOC_RULES)
-    return D.document_run(spread(t.pages.select("page_id", "html")), "page_id", rules, html="html")["vertices"].drop("attributes")
+    return D.document_run(spread(t.pages.select("page_id", "html")), "page_id", CLASSES, rules, html="html")["vertices"].withColumn(
+        "attributes", F.to_json("attributes"))
 
 
 @query("r1_question_neighbourhoods", f"""
@@ -254,7 +300,11 @@ def _(t):
     return R.hyperedges(_hyper_rows(t)).select("class", "triples", "entities")
 
 
-@query("r4_content_ids")
+@query("r4_content_ids", HYPER_SQL + """
+    SELECT class, 'he_' || sha256(n || ':' || total) AS id FROM (
+        SELECT COALESCE(class, 'owl:Thing') AS class, COUNT(*) AS n,
+               SUM(('0x' || left(sha256(x.s || chr(31) || x.p || chr(31) || x.o), 15))::HUGEINT) AS total
+        FROM (SELECT DISTINCT s, p, o FROM x) x LEFT JOIN c ON x.s = c.s GROUP BY 1)""")
 def _(t):
     return R.hyperedges(_hyper_rows(t)).select("class", "id")
 

@@ -43,7 +43,7 @@ def _(t):
 
 @query("g4_property_table", f"""
     SELECT '{RES}customer/' || c_custkey AS subject, c_name AS name, c_mktsegment AS segment,
-           CAST(CAST(c_acctbal AS DECIMAL(18,4)) AS VARCHAR) AS balance, '{RES}nation/' || c_nationkey AS nation
+           CAST(c_acctbal AS VARCHAR) AS balance, '{RES}nation/' || c_nationkey AS nation
     FROM customer""")
 def _(t):
     return T.property_table(quads(t), ONT + "Account", {

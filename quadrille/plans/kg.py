@@ -11,7 +11,7 @@ from quadrille import vocab
 from quadrille.operators.triples import Field, Link, RowMapping, mapped, rows_to_triples
 
 RES, ONT, XSD = vocab.RESOURCE, vocab.ONTOLOGY, vocab.XSD
-BANK = vocab.PREFIXES["fibo-fbc-fi"] + "CommercialBank"
+BANK = ONT + "finance/Bank"
 CURRENCY = {"F": "EUR", "O": "USD", "P": "GBP"}
 
 
@@ -69,14 +69,14 @@ def _sql_quads(name: str) -> str:
                    (ONT + "inRegion", f"'{RES}region/' || n_regionkey", "iri", None)],
         "customer": [("type", f"'{ONT}Account'", "iri", None), (ONT + "name", "c_name", "literal", None),
                      (ONT + "segment", "c_mktsegment", "literal", None),
-                     (ONT + "balance", "CAST(CAST(c_acctbal AS DECIMAL(18,4)) AS VARCHAR)", "literal", "decimal"),
+                     (ONT + "balance", "CAST(c_acctbal AS VARCHAR)", "literal", "decimal"),
                      (ONT + "inNation", f"'{RES}nation/' || c_nationkey", "iri", None)],
         "supplier": [("type", f"'{BANK}'", "iri", None), (ONT + "legalName", "s_name", "literal", None),
-                     (ONT + "balance", "CAST(CAST(s_acctbal AS DECIMAL(18,4)) AS VARCHAR)", "literal", "decimal"),
+                     (ONT + "balance", "CAST(s_acctbal AS VARCHAR)", "literal", "decimal"),
                      (ONT + "inNation", f"'{RES}nation/' || s_nationkey", "iri", None)],
         "orders": [("type", f"'{ONT}FinancialTransaction'", "iri", None),
                    (ONT + "transactionId", "CAST(o_orderkey AS VARCHAR)", "literal", "integer"),
-                   (ONT + "amount", "CAST(CAST(o_totalprice AS DECIMAL(18,4)) AS VARCHAR)", "literal", "decimal"),
+                   (ONT + "amount", "CAST(o_totalprice AS VARCHAR)", "literal", "decimal"),
                    (ONT + "currency", "CASE o_orderstatus WHEN 'F' THEN 'EUR' WHEN 'O' THEN 'USD' WHEN 'P' THEN 'GBP' END",
                     "literal", None),
                    (ONT + "timestamp", "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')", "literal", "dateTime"),

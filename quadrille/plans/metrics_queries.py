@@ -29,6 +29,18 @@ def _(t):
     return _double(M.metric(_kind("sum"), MODEL, t, ["flag"]), "sum_value")
 
 
+@query("m1_metric_exact_values", """
+    SELECT l_returnflag AS flag, CAST(SUM(CAST(l_quantity AS DECIMAL(10,2)) * CAST('0.000000123' AS DECIMAL(9,9))) AS VARCHAR) AS small,
+           CAST(SUM(CAST(l_extendedprice AS DECIMAL(20,2)) * CAST(1000000000000 AS DECIMAL(14,0))) AS VARCHAR) AS large FROM lineitem GROUP BY 1""")
+def _(t):
+    # Nine decimals and more, sums beyond 1e15: a plain decimal keeps the type of its column.
+    entity = M.EntitySpec("Fine", "fine", (M.PropertySpec("small", "small", "decimal"), M.PropertySpec("large", "large", "decimal"), M.PropertySpec("flag", "l_returnflag")))
+    fine = t.lineitem.select("l_returnflag", F.expr("cast(l_quantity AS decimal(10,2)) * cast('0.000000123' AS decimal(9,9))").alias("small"),
+                             F.expr("cast(l_extendedprice AS decimal(20,2)) * cast(1000000000000 AS decimal(14,0))").alias("large"))
+    each = [M.metric(M.MetricSpec(n, "sum", "Fine", n), M.Model.of(entity), {"fine": fine}, ["flag"]).withColumn(n, F.col(n).cast("string")) for n in ("small", "large")]
+    return each[0].join(each[1], "flag")
+
+
 @query("m1_metric_count", "SELECT l_returnflag AS flag, COUNT(l_extendedprice) AS count_value FROM lineitem GROUP BY 1")
 def _(t):
     return M.metric(_kind("count"), MODEL, t, ["flag"])

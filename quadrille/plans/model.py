@@ -20,7 +20,7 @@ MODEL = Model.of(
         P("customer_key", "c_custkey", "integer", nullable=False),
         P("name", "c_name"),
         P("segment", "c_mktsegment"),
-        P("balance", None, "decimal", contexts={
+        P("balance", None, "decimal(18,4)", contexts={
             "risk": "c_acctbal", "finance": "CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE 0 END"}),
         P("nation", "c_nationkey", "integer", references=("Nation", "nation_key")),
     )),
@@ -39,11 +39,11 @@ MODEL = Model.of(
         P("order_key", "o_orderkey", "integer", nullable=False),
         P("status", "o_orderstatus"),
         P("priority", "o_orderpriority"),
-        P("amount", "o_totalprice", "decimal"),
+        P("amount", "o_totalprice", "decimal(18,4)"),
         P("customer", "o_custkey", "integer", references=("Customer", "customer_key")),
     ), alias="o"),
     EntitySpec("Line", "lineitem", (
-        P("amount", "l_extendedprice", "decimal"),
+        P("amount", "l_extendedprice", "decimal(18,4)"),
         P("flag", "l_returnflag"),
         P("status", "l_linestatus"),
         P("part_key", "l_partkey", "integer", references=("Part", "part_key")),

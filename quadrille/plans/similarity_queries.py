@@ -74,10 +74,10 @@ RESOLVE_SQL = f"""
         SELECT '{IRI}' || vec_id AS label, 'http://o/c' || label AS ontology_class, '{IRI}' || vec_id AS canonical_iri,
                FALSE AS is_new, 1.0::DOUBLE AS confidence, NULL AS same_as_iri FROM embeddings
         UNION ALL SELECT name, 'http://o/c' || label,
-               CASE WHEN score >= 0.85 THEN '{IRI}' || vec_id ELSE 'kg://acme/entity/c' || label || '/' || left(sha256(name), 8) END,
+               CASE WHEN score >= 0.85 THEN '{IRI}' || vec_id ELSE 'kg://acme/entity/c' || label || '/' || sha256(name) END,
                score < 0.85, CASE WHEN score >= 0.85 THEN ROUND(score, 4) ELSE 1.0 END,
-               CASE WHEN score >= 0.85 THEN 'kg://acme/entity/c' || label || '/' || left(sha256(name), 8) END FROM near
-        UNION ALL SELECT 'doc ' || doc_id, 'http://o#doc', 'kg://acme/entity/doc/' || left(sha256('doc ' || doc_id), 8), TRUE, 1.0, NULL
+               CASE WHEN score >= 0.85 THEN 'kg://acme/entity/c' || label || '/' || sha256(name) END FROM near
+        UNION ALL SELECT 'doc ' || doc_id, 'http://o#doc', 'kg://acme/entity/doc/' || sha256('doc ' || doc_id), TRUE, 1.0, NULL
         FROM labels)
     """
 
@@ -103,7 +103,7 @@ def _(t):
 
 
 @query("e4_canonical_iri", """
-    SELECT c_custkey, 'kg://acme/entity/' || c_mktsegment || '/' || left(sha256(c_name), 8) AS iri,
+    SELECT c_custkey, 'kg://acme/entity/' || c_mktsegment || '/' || sha256(c_name) AS iri,
            'kg://acme/entity/' || c_mktsegment || '/' || left(sha256(c_name), 16) AS longer FROM customer""")
 def _(t):
     cls = F.concat(F.lit("https://o/x#"), "c_mktsegment")

@@ -105,6 +105,17 @@ def _(t):
     return rdf.read_ntriples(t.spark, path)
 
 
+@query("s8_unreadable_lines", """
+    SELECT CASE event_type WHEN 'view' THEN 'no end' ELSE 'no predicate' END AS fault, COUNT(*) AS n FROM events WHERE event_type IN ('view', 'error') GROUP BY 1""")
+def _(t):
+    e, subject = F.col("event_type"), F.concat(F.lit("<http://e/"), "event_id", F.lit("> "))
+    line = (F.when(e == "view", F.concat(subject, F.lit('<http://p> "open'))).when(e == "error", F.concat(subject, F.lit('"value" .')))
+            .when(e == "click", F.concat(subject, F.lit('<http://p> "a\\"b\\\\" . # said \"so\"'))).otherwise(F.lit("# nothing but a comment")))
+    lost = rdf.unreadable_lines(t.events.select(line.alias("value")))
+    fault = F.when(F.col("line").contains("<http://p>"), "no end").otherwise("no predicate")
+    return lost.groupBy(fault.alias("fault")).agg(F.count("*").alias("n"))
+
+
 @query("s9_write_replace_and_merge", """
     SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0::DOUBLE ELSE c_acctbal END AS c_acctbal,
            CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END AS version FROM customer
@@ -148,7 +159,7 @@ def _(t):
 
 
 @query("p1_column_mapping", """
-    SELECT o_orderkey AS transaction_id, CAST(o_totalprice AS FLOAT) AS amount, o_orderpriority = '1-URGENT' AS flagged, o_orderstatus AS status,
+    SELECT o_orderkey AS transaction_id, o_totalprice AS amount, o_orderpriority = '1-URGENT' AS flagged, o_orderstatus AS status,
            'https://class/Amount' AS _class_amount FROM orders""")
 def _(t):
     raw = t.orders.withColumn("urgent", F.when(F.col("o_orderpriority") == "1-URGENT", "1").otherwise("0"))
@@ -201,8 +212,9 @@ def _(t):
     SELECT c_custkey, 'skos:' || c_mktsegment AS curie, '{vocab.SKOS}' || c_mktsegment AS iri, c_mktsegment AS name FROM customer""")
 def _(t):
     iri = F.concat(F.lit(vocab.SKOS), "c_mktsegment")
-    curie = C.compact_iri(iri)
-    return t.customer.select("c_custkey", curie.alias("curie"), C.expand_curie(curie).alias("iri"), C.local_name(iri).alias("name"))
+    prefixes = {**vocab.PREFIXES, "kg": ONT}
+    curie = C.compact_iri(iri, prefixes)
+    return t.customer.select("c_custkey", curie.alias("curie"), C.expand_curie(curie, prefixes).alias("iri"), C.local_name(iri).alias("name"))
 
 
 @query("p14_term_kinds", """

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille import vocab
+from quadrille.functions.columns import plain_number
 from quadrille.functions.rdf_text import jsonld_triples, rdfxml_triples
 from quadrille.operators.triples import explode_quads, quad
 from quadrille.vocab import FHIR, QUAD_COLUMNS, QUAD_DDL, TYPE, XSD
 
 FHIR_BUNDLE = """entry array<struct<resource:struct<resourceType:string,id:string,birthDate:string,
     name:array<struct<given:array<string>,family:string>>,status:string,subject:struct<reference:string>,
-    valueQuantity:struct<value:decimal(38,9)>>>>"""
+    valueQuantity:struct<value:string>>>>"""
 
 
 def fhir_to_triples(df: DataFrame, column: str = "value", base: str = vocab.ONTOLOGY, graph: str | None = None) -> DataFrame:
@@ -40,7 +41,7 @@ def fhir_to_triples(df: DataFrame, column: str = "value", base: str = vocab.ONTO
         quad(subject, FHIR + "status", F.when(observation, F.col("status")), graph=graph),
         quad(subject, FHIR + "subject", F.when(observation & (F.col("subject.reference") != ""), F.concat(
             F.lit(base), F.replace(F.col("subject.reference"), F.lit("#"), F.lit("")))), "iri", graph=graph),
-        quad(subject, FHIR + "valueQuantity", F.when(observation, plain_decimal(F.col("valueQuantity.value"))), "literal",
+        quad(subject, FHIR + "valueQuantity", F.when(observation, plain_decimal(plain_number(F.col("valueQuantity.value")))), "literal",
              XSD + "decimal", graph=graph)], more=[names]).distinct()
 
 
@@ -84,11 +85,30 @@ def _escape(col: Column) -> Column:
     return col
 
 
+def _code_points(part: Column, mark: str, digits: int) -> Column:
+    """Replaces ``mark`` and so many hexadecimal digits by the character they number; surrogates stay as they are."""
+    def one(piece: Column) -> Column:
+        code = F.substring(piece, 1, digits)
+        valid = code.rlike(f"^[0-9A-Fa-f]{{{digits}}}$") & ~code.rlike("^(0000)?[Dd][89A-Fa-f]") & (F.lpad(code, 8, "0") <= "0010ffff")
+        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        return F.when(valid, F.concat(char, F.substr(piece, F.lit(digits + 1)))).otherwise(F.concat(F.lit(mark), piece))
+
+    pieces = F.split(part, mark.replace("\\", "\\\\"))
+    return F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), one), ""))
+
+
 def _unescape(col: Column) -> Column:
-    """Escapes of the line format are those of a JSON string but for ``\\'``."""
-    text = F.concat(F.lit('["'), F.replace(col, F.lit("\\'"), F.lit("'")), F.lit('"]'))
-    parsed = F.from_json(text, "array<string>", {"allowUnquotedControlChars": "true"})
-    return F.when(col.contains("\\"), F.coalesce(parsed[0], col)).otherwise(col)
+    """Escapes of the line format, read from left to right.
+
+    Cutting at doubled backslashes first leaves pieces in which every backslash begins an escape.
+    """
+    def plain(part: Column) -> Column:
+        part = _code_points(_code_points(part, "\\U", 8), "\\u", 4)
+        for escaped, raw in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'")):
+            part = F.replace(part, F.lit(escaped), F.lit(raw))
+        return part
+
+    return F.when(col.contains("\\"), F.array_join(F.transform(F.split(col, r"\\\\"), plain), "\\")).otherwise(col)
 
 
 def render_quads(df: DataFrame) -> DataFrame:
@@ -127,32 +147,46 @@ LITERAL_END = r"^(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?" + END
 NODE_END = rf"^({NODE})" + END
 
 
-def parse_lines(df: DataFrame, column: str = "value") -> DataFrame:
-    """N-Triples or N-Quads lines to quads; comments, blank and unreadable lines are skipped.
+def _cut_lines(df: DataFrame, column: str) -> DataFrame:
+    """Subject, predicate and rest of each line, a literal's body and tail, and whether the line can be read.
 
-    A literal runs to the last quote of its line, as nothing after it may hold
-    one; so no expression has to step through a text of any length.
+    A literal ends at the first quote that no backslash escapes: with doubled
+    backslashes and escaped quotes blotted out, at the first quote.
     """
     line = F.col(column)
-    head = F.regexp_extract(line, HEAD, 0)
-    rest = F.substr(line, F.length(head) + 1)
-    cut = df.select(
-        F.regexp_extract(line, HEAD, 1).alias("_s"), F.regexp_extract(line, HEAD, 2).alias("predicate"), rest.alias("_rest"),
-        F.when(rest.startswith('"'), F.substring_index(rest, '"', -1)).alias("_tail")).filter("_s <> ''")
-    literal, tail, whole = F.col("_tail").isNotNull(), F.col("_tail"), F.col("_rest")
-    body = F.substr(whole, F.lit(2), F.length(whole) - F.length(tail) - 2)
+    rest = F.substr(line, F.length(F.regexp_extract(line, HEAD, 0)) + 1)
+    blotted = F.replace(F.replace(rest, F.lit("\\\\"), F.lit("__")), F.lit('\\"'), F.lit("__"))
+    end = F.locate('"', blotted, 2)
+    cut = df.select(line.alias("_line"), F.regexp_extract(line, HEAD, 1).alias("_s"), F.regexp_extract(line, HEAD, 2).alias("predicate"), rest.alias("_rest"),
+                    F.when(rest.startswith('"') & (end > 0), end).alias("_end"))
+    literal = F.col("_end").isNotNull()
+    tail = F.when(literal, F.substr(F.col("_rest"), F.col("_end") + 1)).alias("_tail")
+    cut = cut.select("*", tail)
+    readable = (F.col("_s") != "") & F.when(literal, F.col("_tail").rlike(LITERAL_END)).otherwise(F.col("_rest").rlike(NODE_END))
+    return cut.withColumn("_readable", F.coalesce(readable, F.lit(False)))
+
+
+def parse_lines(df: DataFrame, column: str = "value") -> DataFrame:
+    """N-Triples or N-Quads lines to quads; comments and blank lines are skipped, ``unreadable_lines`` gives the others without a quad."""
+    cut = _cut_lines(df, column).filter("_readable")
+    literal, tail, whole = F.col("_end").isNotNull(), F.col("_tail"), F.col("_rest")
+    body = F.substr(whole, F.lit(2), F.col("_end") - 2)
     node = F.regexp_extract(whole, NODE_END, 1)
     graph = F.when(literal, F.regexp_extract(tail, LITERAL_END, 3)).otherwise(F.regexp_extract(whole, NODE_END, 2))
     text = lambda c: F.when(c != "", c)
     bare = lambda c: F.when(c.startswith("<"), F.substr(c, F.lit(2), F.length(c) - 2)).otherwise(c)
     kind = F.when(literal, "literal").when(node.startswith("<"), "iri").otherwise("bnode")
-    readable = F.when(literal, tail.rlike(LITERAL_END)).otherwise(whole.rlike(NODE_END))
-    return cut.filter(readable).select(
+    return cut.select(
         bare(F.col("_s")).alias("subject"), "predicate", F.when(literal, _unescape(body)).otherwise(bare(node)).alias("object"),
         kind.alias("object_kind"), F.when(literal, text(F.regexp_extract(tail, LITERAL_END, 1))).alias("datatype"),
         F.when(literal, text(F.regexp_extract(tail, LITERAL_END, 2))).alias("lang"), text(bare(graph)).alias("graph"))
 
 
+def unreadable_lines(df: DataFrame, column: str = "value") -> DataFrame:
+    """Lines that are neither blank nor a comment and give no quad, as ``line``."""
+    return _cut_lines(df, column).filter(~F.col("_readable") & ~F.col("_line").rlike(r"^\s*(#|$)")).select(F.col("_line").alias("line"))
+
+
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(spark.read.text(path))
 

@@ -95,7 +95,7 @@ def test_caller_supplied_extractor(spark):
 
 def test_vertices_and_triples(spark):
     text = "Paid EUR 5 and EUR 5."
-    run = D.document_run(spark.createDataFrame([(1, text)], "id int, text string"), "id", job_id="j", store=True)
+    run = D.document_run(spark.createDataFrame([(1, text)], "id int, text string"), "id", {"fibo:MonetaryAmount": D.KnownClass("MonetaryAmount")}, job_id="j", store=True)
     v = run["vertices"].collect()
     assert len(v) == 1 and v[0]["mentions"] == 2 and v[0]["vertex_type"] == "MonetaryAmount" and v[0]["char_start"] == 15
     t = run["triples"]
@@ -114,7 +114,7 @@ def test_hyperedges_ignore_order_and_repeats(spark):
     first = R.hyperedges(spark.createDataFrame(a, schema))
     again = R.hyperedges(spark.createDataFrame(a[::-1] + a, schema))
     assert rows(first) == rows(again)
-    assert all(r["id"].startswith("he_") and len(r["id"]) == 11 for r in first.collect())
+    assert all(r["id"].startswith("he_") and len(r["id"]) == 67 for r in first.collect())
     scores = spark.createDataFrame([("q", "D", 0.4)], "question string, class string, score double")
     ranked = rows(R.rank_hyperedges(first, scores, 2), "class", "score", "rank")
     assert ranked == [("C", 0.0, 2), ("D", 0.4, 1)]
@@ -127,3 +127,26 @@ def test_seeds_are_capped_per_question(spark):
     assert R.first_seeds(seeds).count() == 6
     with pytest.raises(ValueError):
         R.neighbourhood(seeds, seeds, 5)
+
+
+def test_odd_spans_and_tables_in_cells():
+    from quadrille.functions.text import parse_html
+
+    page = ('<table><tr><td colspan="²">a<table><tr><td>in</td><td>ner</td></tr></table>b</td><td rowspan="99999" colspan="2">c</td></tr>'
+            "<tr><td>d</td><td>e</td></tr></table><p>after</p>")
+    parsed = parse_html(page)
+    cells = [(c["row"], c["col"], c["text"]) for c in parsed["tables"][0]["cells"]]
+    assert cells == [(0, 0, "a in ner b"), (0, 1, "c"), (1, 0, "d"), (1, 3, "e")] and len(parsed["tables"]) == 1
+    assert parsed["text"].endswith("after")
+
+
+def test_overlap_finds_a_mention_once_and_attributes_stay(spark):
+    text = " ".join(f"word{i}." for i in range(40)) + " EUR 12 here. " + " ".join(f"tail{i}." for i in range(40))
+    chunks = D.chunk(spark.createDataFrame([(1, text)], "id int, text string"), "id", size=50, overlap=30)
+    found = D.rebase(D.extract(chunks, "id"))
+    assert found.count() > 1 and D.distinct_mentions(found, "id").count() == 1
+    rows = [("T", "x", "kg:C", {"a": "1", "b": "2"}, 0, 1), ("T", "x", "kg:C", {"b": "3", "c": None}, 5, 2)]
+    made = D.vertices(spark.createDataFrame([(*r[:4], (r[4], r[4] + 1), 1.0, "m", 0, r[5]) for r in rows],
+                      "extraction_type string, text_span string, ontology_class string, attributes map<string,string>, "
+                      "char_interval struct<start:int,end:int>, confidence_score double, model_id string, chunk_index int, id int"), "id", {}).collect()
+    assert len(made) == 1 and made[0]["attributes"] == {"a": "1", "b": "3"} and made[0]["mentions"] == 2 and made[0]["char_start"] == 5

@@ -9,25 +9,39 @@ from quadrille.operators import governance as G
 from tests.conftest import rows
 
 
+RULES = [("owner", None, None), ("reviewer", "read", None), ("buyer", "read", "orders")]
+
+
 def test_access_cases(spark):
     requests = spark.createDataFrame(
-        [(1, "finance_analyst", "read", "finance"), (2, "risk_analyst", "read", "finance"), (3, "auditor", "read", "anywhere"),
-         (4, "auditor", "write", "finance"), (5, "admin", "write", None), (6, None, "read", "finance"), (7, "data_steward", "delete", "x")],
+        [(1, "buyer", "read", "orders"), (2, "buyer", "read", "stock"), (3, "reviewer", "read", "anywhere"),
+         (4, "reviewer", "write", "orders"), (5, "owner", "write", None), (6, None, "read", "orders"), (7, "stranger", "read", "x")],
         "id int, role string, action string, context string")
-    assert {r["id"]: r["allow"] for r in G.decide(requests).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False, 7: False}
+    assert {r["id"]: r["allow"] for r in G.decide(requests, RULES).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False, 7: False}
+
+
+def test_unknown_levels_deny(spark):
+    policies = spark.createDataFrame([("a", ["buyer"], [], "internal"), ("b", ["buyer"], [], "lowest"), ("c", ["buyer"], [], None)],
+                                     "policy string, read array<string>, write array<string>, required string")
+    requests = spark.createDataFrame([(i, p, "buyer", "read", c) for i, (p, c) in enumerate(
+        [("a", "internal"), ("a", "odd"), ("a", None), ("b", "top_secret"), ("c", "top_secret"), ("b", "odd"), ("d", "top_secret")])],
+        "id int, policy string, role string, action string, clearance string")
+    assert [r["id"] for r in G.decide_by_policy(requests, policies).filter("allow").collect()] == [0]
 
 
 def test_row_filter_binds_the_tenant_as_a_literal(spark):
     df = spark.createDataFrame([("a'b", 1), ("x", 2)], "tenant string, n int")
-    assert rows(G.row_filter(df, {"tenant": "{{tenant}}"}, "r", "a'b")) == [("a'b", 1)]
-    assert rows(G.row_filter(df, {"r": "tenant = '{{tenant}}'"}, "r", "x' OR '1'='1")) == []
-    assert G.row_filter(df, {"other": "1 = 0"}, "r", "x").count() == 2
+    assert rows(G.row_filter(df, "r", "a'b", {"tenant": "{{tenant}}"})) == [("a'b", 1)]
+    assert rows(G.row_filter(df, "r", "x' OR '1'='1", predicates={"r": "tenant = '{{tenant}}'"})) == []
+    assert G.row_filter(df, "r", "x", predicates={"other": "1 = 0"}).count() == 2
+    with pytest.raises(ValueError, match="tenant_id"):
+        G.row_filter(df, "r", "x", {"tenant_id": "x"})
 
 
 def test_mask(spark):
     df = spark.createDataFrame([("Ann", "1")], "customer_name string, n string")
-    assert rows(G.mask(df, "analyst", "confidential")) == [("***", "1")]
-    assert rows(G.mask(df, "auditor", "public")) == rows(G.mask(df, "analyst", "restricted")) == [("Ann", "1")]
+    assert rows(G.mask(df, "buyer", "confidential", ["customer_name", "none"])) == [("***", "1")]
+    assert rows(G.mask(df, "reviewer", "public", ["customer_name"], ["reviewer"])) == rows(G.mask(df, "buyer", "restricted", ["n"])) == [("Ann", "1")]
 
 
 def test_tenancy(spark):
@@ -36,9 +50,9 @@ def test_tenancy(spark):
 
 
 def test_retention(spark):
-    df = spark.createDataFrame([("audit_log", datetime(2017, 6, 1)), ("query_log", datetime(2021, 6, 1)), ("query_log", datetime(2023, 6, 1)),
-                                ("other", datetime(1999, 1, 1)), ("query_log", None)], "kind string, at timestamp_ntz")
-    got = G.retain(df, "kind", "at", F.lit("2024-01-01").cast("date"))
+    df = spark.createDataFrame([("long", datetime(2017, 6, 1)), ("short", datetime(2021, 6, 1)), ("short", datetime(2023, 6, 1)),
+                                ("other", datetime(1999, 1, 1)), ("short", None)], "kind string, at timestamp_ntz")
+    got = G.retain(df, "kind", "at", F.lit("2024-01-01").cast("date"), {"long": 7, "short": 2})
     assert got.count() == 4
 
 
@@ -89,3 +103,15 @@ def test_row_ids_follow_the_order(spark):
     df = spark.range(50).selectExpr("id", "concat('t', id) AS at").repartition(7)
     got = {r["id"]: r["transaction_id"] for r in C.row_ids(df, ["id"], "at").collect()}
     assert got == {i: str(uuid.uuid5(uuid.NAMESPACE_URL, f"aml-{i}-t{i}")) for i in range(50)}
+
+
+def test_null_keys_meet_in_version_diff(spark):
+    old = spark.createDataFrame([(None, "a"), (1, "b")], "id int, v string")
+    new = spark.createDataFrame([(None, "c"), (1, "b"), (2, "d")], "id int, v string")
+    assert sorted(rows(A.version_diff(old, new, ["id"])), key=repr) == sorted([(None, "modified"), (2, "added")], key=repr)
+
+
+def test_facet_name_and_unreadable_events(spark):
+    df = spark.createDataFrame([('{"eventType":"START","run":{"facets":{"myFacet":{"tenant_id":"t"}}}}',), ("{no",), (None,)], "value string")
+    assert rows(A.lineage_to_audit(df, facet="myFacet"), "tenant_id") == [("t",)]
+    assert A.unreadable_events(df).count() == 2

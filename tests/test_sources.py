@@ -166,3 +166,19 @@ def test_kafka_source_is_an_option(spark):
     # The connector is not on the class path here; the reader is still built for it.
     with pytest.raises(Exception, match="(?i)kafka"):
         L.lineage_stream(spark, **{"kafka.bootstrap.servers": "none:9092", "subscribe": "lineage"})
+
+
+def test_lines_with_every_kind_of_escape(spark):
+    from quadrille.sources import rdf
+
+    lines = [
+        (r'<s> <p> "x" . # it is "quoted"', "x"), (r'<s> <p> "a\\" .', "a\\"), (r'<s> <p> "a\\\"b" .', 'a\\"b'), (r'<s> <p> "\U0001F600\u00e9" .', "😀é"),
+        (r'<s> <p> "it\'s \\\'" .', "it's \\'"), (r'<s> <p> "\\n\n\t" .', "\\n\n\t"), (r'<s> <p> "\\\\u0041 \uD800" .', r"\\u0041 \uD800"), ('<s> <p> "" .', ""),
+        (r'<s> <p> "x\\"@en <g> . # "c"', "x\\")]
+    df = spark.createDataFrame([(v,) for v, _ in lines], "value string")
+    assert sorted(r["object"] for r in rdf.parse_lines(df).collect()) == sorted(o for _, o in lines)
+    quads = spark.createDataFrame([("s", "p", o, "literal", None, None, None) for _, o in lines], rdf.QUAD_DDL)
+    back = rdf.parse_lines(rdf.render_quads(quads).withColumnRenamed("line", "value"))
+    assert sorted(r["object"] for r in back.collect()) == sorted(o for _, o in lines)
+    odd = spark.createDataFrame([("<s> <p> \"open",), ("words",), ("# fine",), ("  ",), ("<s> <p> <o> .",)], "value string")
+    assert sorted(r["line"] for r in rdf.unreadable_lines(odd).collect()) == ['<s> <p> "open', "words"]
