@@ -13,7 +13,7 @@ from quadrille.functions.columns import iso_time
 from quadrille.operators import patterns as P
 from quadrille.operators.quality import page
 from quadrille.operators.traverse import reach
-from quadrille.operators.triples import explode_quads, quad
+from quadrille.operators.triples import QuadSource, explode_quads, of_predicates, quad
 from quadrille.vocab import PROV, TYPE, XSD
 
 CONTEXT = {"prov": PROV, "xsd": XSD, "kg": vocab.ONTOLOGY}
@@ -58,23 +58,20 @@ def query_documents(runs: DataFrame) -> DataFrame:
         _ref(c("result_iri")).alias("prov:generated")).alias("document"))
 
 
-def query_triples(runs: DataFrame, graph: Column | str, base: str = vocab.ONTOLOGY) -> DataFrame:
-    """The same provenance as quads, with the tenant where the runs carry one."""
+def query_triples(runs: DataFrame, graph: Column | str, base: str = vocab.ONTOLOGY, predicates: Sequence[str] | None = None) -> DataFrame:
+    """The same provenance as quads, with the tenant where the runs carry one; with ``predicates`` only those are made."""
     a, c, dt = F.col("_a"), F.col, XSD + "dateTime"
     rows = runs.withColumn("_a", query_activity_iri())
     if "tenant_id" not in rows.columns:
         rows = rows.withColumn("tenant_id", F.lit(None).cast("string"))
-    g = graph if isinstance(graph, Column) else F.lit(graph)
-    rows = rows.withColumn("_g", g)
-    used = F.transform("used_graphs", lambda u: quad(a, PROV + "used", u, "iri", graph=c("_g")))
-    return explode_quads(rows, [
-        quad(a, TYPE, F.lit(PROV + "Activity"), "iri", graph=c("_g")),
-        quad(a, PROV + "startedAtTime", iso_time(c("started_at")), "literal", dt, graph=c("_g")),
-        quad(a, PROV + "endedAtTime", iso_time(c("ended_at")), "literal", dt, graph=c("_g")),
-        quad(a, base + "queryHash", c("query_hash"), graph=c("_g")), quad(a, base + "context", c("context"), graph=c("_g")),
-        quad(a, base + "tenantId", c("tenant_id"), graph=c("_g")),
-        quad(a, PROV + "wasAssociatedWith", c("user_iri"), "iri", graph=c("_g")),
-        quad(a, PROV + "generated", c("result_iri"), "iri", graph=c("_g"))], more=[used])
+    rows = rows.withColumn("_g", graph if isinstance(graph, Column) else F.lit(graph))
+    made = [(TYPE, F.lit(PROV + "Activity"), "iri", None), (PROV + "startedAtTime", iso_time(c("started_at")), "literal", dt),
+            (PROV + "endedAtTime", iso_time(c("ended_at")), "literal", dt), (base + "queryHash", c("query_hash"), "literal", None),
+            (base + "context", c("context"), "literal", None), (base + "tenantId", c("tenant_id"), "literal", None),
+            (PROV + "wasAssociatedWith", c("user_iri"), "iri", None), (PROV + "generated", c("result_iri"), "iri", None)]
+    wanted = lambda p: predicates is None or p in predicates
+    used = [F.transform("used_graphs", lambda u: quad(a, PROV + "used", u, "iri", graph=c("_g")))] if wanted(PROV + "used") else []
+    return explode_quads(rows, [quad(a, p, o, kind, datatype, graph=c("_g")) for p, o, kind, datatype in made if wanted(p)], more=used)
 
 
 def ingestion_documents(runs: DataFrame, base: str = vocab.RESOURCE) -> DataFrame:
@@ -102,13 +99,11 @@ def ingestion_triples(runs: DataFrame, graph: str, base: str = vocab.ONTOLOGY, r
         quad(a, PROV + "generated", c("named_graph_iri"), "iri", graph=graph)])
 
 
-def derivation_triples(derivations: DataFrame, graph: str) -> DataFrame:
-    """(entity_iri, source_iri, nullable activity_iri) to ``prov:wasDerivedFrom`` and ``prov:wasGeneratedBy``."""
+def derivation_triples(derivations: DataFrame, graph: str, predicates: Sequence[str] | None = None) -> DataFrame:
+    """(entity_iri, source_iri, nullable activity_iri) to ``prov:wasDerivedFrom`` and ``prov:wasGeneratedBy``; only ``predicates`` if given."""
     e = F.col("entity_iri")
-    return explode_quads(derivations, [
-        quad(e, TYPE, F.lit(PROV + "Entity"), "iri", graph=graph),
-        quad(e, PROV + "wasDerivedFrom", F.col("source_iri"), "iri", graph=graph),
-        quad(e, PROV + "wasGeneratedBy", F.col("activity_iri"), "iri", graph=graph)]).distinct()
+    made = [(TYPE, F.lit(PROV + "Entity")), (PROV + "wasDerivedFrom", F.col("source_iri")), (PROV + "wasGeneratedBy", F.col("activity_iri"))]
+    return explode_quads(derivations, [quad(e, p, o, "iri", graph=graph) for p, o in made if predicates is None or p in predicates]).distinct()
 
 
 def derivation_documents(derivations: DataFrame) -> DataFrame:
@@ -123,7 +118,7 @@ def derivation_documents(derivations: DataFrame) -> DataFrame:
         _ref(F.col("_a")).alias("prov:wasGeneratedBy")).alias("document"))
 
 
-def provenance_chain(quads: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+def provenance_chain(quads: QuadSource, entities: DataFrame | None = None) -> DataFrame:
     """(entity, activity, agent, time, source) of generated entities; all but the activity optional."""
     base = P.match(quads, [("?entity", PROV + "wasGeneratedBy", "?activity")])
     if entities is not None:
@@ -133,7 +128,7 @@ def provenance_chain(quads: DataFrame, entities: DataFrame | None = None) -> Dat
     return base
 
 
-def lineage_trace(quads: DataFrame, iri: str | None = None, limit: int | None = 100) -> DataFrame:
+def lineage_trace(quads: QuadSource, iri: str | None = None, limit: int | None = 100) -> DataFrame:
     """Activities that used an entity: (entity, activity, agent, start_time, end_time).
 
     With ``iri`` the newest ``limit`` steps of that entity; without it all
@@ -148,17 +143,17 @@ def lineage_trace(quads: DataFrame, iri: str | None = None, limit: int | None =
     return found if limit is None else found.orderBy(F.desc("start_time"), "activity").limit(limit)
 
 
-def lineage_edges(quads: DataFrame) -> DataFrame:
+def lineage_edges(quads: QuadSource) -> DataFrame:
     """From each thing to what it came from: derivation, generation, use."""
     directs = [PROV + "wasDerivedFrom", PROV + "wasGeneratedBy", PROV + "used"]
-    forward = quads.filter(F.col("predicate").isin(directs)).select(
+    forward = of_predicates(quads, directs).select(
         F.col("subject").alias("src"), F.col("predicate").alias("rel"), F.col("object").alias("tgt"))
-    back = quads.filter(F.col("predicate") == PROV + "generated").select(
+    back = of_predicates(quads, [PROV + "generated"]).select(
         F.col("object").alias("src"), F.col("predicate").alias("rel"), F.col("subject").alias("tgt"))
     return forward.unionByName(back)
 
 
-def transitive_lineage(quads: DataFrame, entities: DataFrame) -> DataFrame:
+def transitive_lineage(quads: QuadSource, entities: DataFrame) -> DataFrame:
     """(entity, origin, depth): everything an entity came from, directly or not."""
     seeds = entities.select(F.col("entity").alias("src"))
     return reach(lineage_edges(quads), seeds).select(F.col("src").alias("entity"), F.col("tgt").alias("origin"), "depth")

@@ -1,14 +1,14 @@
 """Shape constraints on quads and entity constraints on tables.
 
-All shapes are checked together: one join brings the values of every listed
-property to its focus nodes, one aggregate counts them, and the value checks
-are expressions on the same rows.
+All shapes are checked together: value checks are expressions where values are
+read, and only failing values and one count per node and property are joined to
+the focus nodes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -64,10 +64,6 @@ def well_formed(value: Column, datatype: str) -> Column:
     return F.lit(True)
 
 
-def _any(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
 def focus_nodes(quads: QuadSource, classes: Sequence[str], with_subclasses: bool = True) -> DataFrame:
     """Distinct (focus, class) of the target classes, subclasses included."""
     types = of_predicates(quads, [TYPE]).select(F.col("subject").alias("focus"), F.col("object").alias("_type"))
@@ -79,10 +75,10 @@ def focus_nodes(quads: QuadSource, classes: Sequence[str], with_subclasses: bool
     return direct.union(types.join(above, "_type").select("focus", "class")).distinct()
 
 
-def _failed_checks(i: int, s: Shape) -> list[tuple[str, Column]]:
-    """(component, failed) for the value checks of shape number ``i``."""
+def _failed_checks(s: Shape) -> list[tuple[str, Column]]:
+    """(component, failed) for the value checks of a shape."""
     value, kind, datatype = F.col("value"), F.col("object_kind"), F.coalesce("datatype", F.lit(STRING))
-    mine, checks = (F.col("_shape") == i) & value.isNotNull(), []
+    mine, checks = value.isNotNull(), []
     if s.datatype:
         ok = (kind == "literal") & (datatype == s.datatype) & well_formed(value, s.datatype)
         checks.append(("datatype", mine & ~F.coalesce(ok, F.lit(False))))
@@ -118,44 +114,49 @@ def _values(quads: QuadSource, shapes: Sequence[Shape], with_subclasses: bool) -
 
 
 def validate(quads: QuadSource, shapes: Sequence[Shape], with_subclasses: bool = True) -> DataFrame:
-    """One row per violation: focus, path, value, shape, component, message, severity."""
-    values = _values(quads, shapes, with_subclasses)
-    spark = values.sparkSession
-    rows = [(i, s.target_class, s.path, s.min_count, s.max_count,
-             s.shape or s.target_class.rsplit("/", 1)[-1].rsplit("#", 1)[-1] + "Shape", s.message, s.severity)
-            for i, s in enumerate(shapes)]
-    # As large as the list of shapes the caller wrote, never as the data.
-    listed = F.broadcast(spark.createDataFrame(
-        rows, "_shape int, class string, path string, _min int, _max int, "
-              "shape string, _message string, severity string"))
-    focus = (focus_nodes(quads, sorted({s.target_class for s in shapes}), with_subclasses)
-             .join(listed.select("_shape", "class", "path"), "class").select("focus", "path", "_shape"))
-    # Exploded quads are far larger than the files they come from, so the size
-    # estimate that would choose a broadcast is wrong here; the merge join also
-    # leaves rows by focus and path, where both aggregates below want them.
-    # A value stated in two graphs is one value, hence the distinct.
-    joined = focus.join(values.hint("merge"), ["focus", "path"], "left").distinct()
-
-    by_component: dict[str, list[Column]] = {}
-    for i, s in enumerate(shapes):
-        for component, failed in _failed_checks(i, s):
-            by_component.setdefault(component, []).append(failed)
+    """One row per violation: focus, path, value, shape, component, message, severity.
+
+    Values are checked where they are read, and only failing ones are joined to
+    the focus nodes. Of the others the joins see one count per focus node and
+    path, so a node with a large part of all values is one row.
+    """
+    named = [s.shape or s.target_class.rsplit("/", 1)[-1].rsplit("#", 1)[-1] + "Shape" for s in shapes]
+    # Focus nodes with the numbers of their shapes; as many entries as the caller wrote shapes.
+    numbers = {c: F.array(*[F.lit(i) for i, s in enumerate(shapes) if s.target_class == c]) for c in sorted({s.target_class for s in shapes})}
+    own = reduce(lambda col, c: F.when(F.col("class") == c, numbers[c]).otherwise(col), numbers, F.array().cast("array<int>"))
+    focus = focus_nodes(quads, list(numbers), with_subclasses).select("focus", F.explode(own).alias("_shape"))
+
+    checked = [i for i, s in enumerate(shapes) if _failed_checks(s)]
     counted = [i for i, s in enumerate(shapes) if s.min_count or s.max_count is not None]
-    outcomes = F.array_compact(F.array(
-        *[F.when(_any(c), name) for name, c in by_component.items()],
-        F.when(F.col("_shape").isin(counted), "_n")))
-    counting = F.col("component") == "_n"
-    found = (joined.select("focus", "path", "_shape", "value", F.explode(outcomes).alias("component"))
-             .groupBy("focus", "path", "_shape", "component", F.when(~counting, F.col("value")).alias("_value"))
-             .agg(F.count("value").alias("_n")))
-    detail = listed.select("_shape", "_min", "_max", "shape", "_message", "severity")
-    out = ["focus", "path", F.col("_value").alias("value"), "shape", "component", "_message", "severity"]
-    named = (F.when(~counting, F.col("component")).when(F.col("_n") < F.col("_min"), "minCount")
-             .when(F.col("_n") > F.col("_max"), "maxCount"))
-    result = (found.join(detail, "_shape").withColumn("component", named)
-              .filter("component IS NOT NULL").select(*out))
-    message = F.coalesce("_message", F.concat(F.lit("constraint "), "component", F.lit(" not met on "), "path"))
-    return result.select("focus", "path", "value", "shape", "component", message.alias("message"), "severity")
+    parts = []
+    if checked:
+        outcomes = []
+        for i in checked:
+            at = F.col("path") == shapes[i].path
+            outcomes += [F.when(at & failed, F.struct(F.lit(i).alias("_shape"), F.lit(component).alias("component")))
+                         for component, failed in _failed_checks(shapes[i])]
+        failing = (_values(quads, [shapes[i] for i in checked], with_subclasses)
+                   .select("focus", "path", "value", F.explode(F.array_compact(F.array(*outcomes))).alias("_o"))
+                   .select("focus", "path", "value", "_o.*").distinct())
+        parts.append(failing.join(focus.filter(F.col("_shape").isin(checked)), ["focus", "_shape"]).select("focus", "path", "value", "_shape", "component"))
+    if counted:
+        # A value stated in two graphs is one value.
+        terms = _values(quads, [replace(shapes[i], node_class=None) for i in counted], with_subclasses)
+        counts = terms.groupBy("focus", "path").agg(F.count_distinct(F.xxhash64("value", "object_kind", "datatype", "lang")).alias("_n"))
+        of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_shape") + 1)
+        wanted = focus.filter(F.col("_shape").isin(counted)).withColumn("path", of([s.path for s in shapes]))
+        n = F.coalesce("_n", F.lit(0))
+        least, most = of([s.min_count or 0 for s in shapes]), of([2 ** 62 if s.max_count is None else s.max_count for s in shapes])
+        component = F.when(n < least, "minCount").when(n > most, "maxCount")
+        # The size estimate of exploded quads is wrong, so no broadcast is chosen by it.
+        parts.append(wanted.join(counts.hint("merge"), ["focus", "path"], "left").withColumn("component", component).filter("component IS NOT NULL")
+                     .select("focus", "path", F.lit(None).cast("string").alias("value"), "_shape", "component"))
+    if not parts:
+        parts = [focus.select("focus", F.lit("").alias("path"), F.lit("").alias("value"), "_shape", F.lit("").alias("component")).limit(0)]
+    text = lambda values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), F.col("_shape") + 1)
+    message = F.coalesce(text([s.message for s in shapes]), F.concat(F.lit("constraint "), "component", F.lit(" not met on "), "path"))
+    return reduce(DataFrame.unionByName, parts).select(
+        "focus", "path", "value", text(named).alias("shape"), "component", message.alias("message"), text([s.severity for s in shapes]).alias("severity"))
 
 
 def conforms(report: DataFrame) -> bool:

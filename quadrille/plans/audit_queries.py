@@ -51,13 +51,18 @@ def query_runs(t):
         start.alias("started_at"), (start + F.expr("INTERVAL 1 SECOND")).alias("ended_at"))
 
 
-def prov_quads(t):
+def prov_quads(t, predicates=None):
     """Query provenance, and the derivation of every result from its graph's dataset."""
-    runs = A.query_triples(query_runs(t), "prov")
+    runs = A.query_triples(query_runs(t), "prov", predicates=predicates)
     derived = t.events.filter("event_type <> 'error'").select(
         F.concat(F.lit(RES + "result/"), "event_id").alias("entity_iri"), F.concat(F.lit(RES + "dataset/"), (number() / 10).cast("int")).alias("source_iri"),
         F.concat(F.lit(RES + "prov/query/"), F.substring(F.sha2(F.concat(F.lit("q"), "event_id"), 256), 1, 16)).alias("activity_iri"))
-    return runs.unionByName(A.derivation_triples(derived, "prov"))
+    return runs.unionByName(A.derivation_triples(derived, "prov", predicates))
+
+
+def prov_source(t):
+    """The same as a function of the predicates wanted, so that a pattern makes its own quads only."""
+    return lambda predicates: prov_quads(t, predicates)
 
 
 ACTIVITY_SQL = f"'{RES}prov/query/' || {HASH_SQL}"
@@ -159,21 +164,21 @@ def _(t):
     SELECT '{RES}result/' || event_id AS entity, {ACTIVITY_SQL} AS activity, '{RES}user/' || user_id AS agent, {END_SQL} AS time,
            '{RES}graph/' || {K_SQL} AS source FROM events WHERE event_type <> 'error'""")
 def _(t):
-    return A.provenance_chain(prov_quads(t))
+    return A.provenance_chain(prov_source(t))
 
 
 @query("l5_lineage_trace", f"""
     SELECT '{RES}graph/' || {K_SQL} AS entity, {ACTIVITY_SQL} AS activity, '{RES}user/' || user_id AS agent, {START_SQL} AS start_time,
            {END_SQL} AS end_time FROM events""")
 def _(t):
-    return A.lineage_trace(prov_quads(t))
+    return A.lineage_trace(prov_source(t))
 
 
 @query("l5_lineage_trace_one", f"""
     SELECT '{RES}graph/42' AS entity, {ACTIVITY_SQL} AS activity, '{RES}user/' || user_id AS agent, {START_SQL} AS start_time, {END_SQL} AS end_time
     FROM events WHERE {K_SQL} = 42 ORDER BY start_time DESC, activity LIMIT 100""")
 def _(t):
-    return A.lineage_trace(prov_quads(t), RES + "graph/42")
+    return A.lineage_trace(prov_source(t), RES + "graph/42")
 
 
 @query("l6_transitive_lineage", f"""
@@ -181,7 +186,7 @@ def _(t):
         ({ACTIVITY_SQL}, 1), ('{RES}dataset/' || ({K_SQL} // 10), 1), ('{RES}graph/' || {K_SQL}, 2)) v(o, d) WHERE event_type <> 'error'""")
 def _(t):
     results = t.events.filter("event_type <> 'error'").select(F.concat(F.lit(RES + "result/"), "event_id").alias("entity"))
-    return A.transitive_lineage(prov_quads(t), results)
+    return A.transitive_lineage(prov_source(t), results)
 
 
 @query("l7_provenance_by_hash", f"""
