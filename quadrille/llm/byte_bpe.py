@@ -34,7 +34,7 @@ from quadrille.llm.common import bound_batches, with_row
 from quadrille.llm.pretokens import pattern
 
 # Characters of text in one block, and in one slice of a very long text.
-BLOCK_CHARS = 1 << 25
+BLOCK_CHARS = 1 << 23
 SLICE = 1 << 20
 # Distinct words a task remembers while it encodes lists.
 MEMORY = 1_000_000
