@@ -122,11 +122,12 @@ def within(a: str, b: str, threshold: int) -> Column:
 
 
 def _distinct_lines(docs: DataFrame, text: str, id_column: str, least: int) -> DataFrame:
-    """(id, line, first, n): digest, text, first occurrence and number of occurrences of each distinct line."""
+    """(id, line, first, n, size, letters): digest, text, first occurrence and number of occurrences, length and letter counts of each distinct line."""
     spark = docs.sparkSession
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line_no")
     own = (_occurrences(docs, text, id_column, least).groupBy("id")
-           .agg(F.first("line").alias("line"), F.min(at).alias("first"), F.count("*").alias("n")))
+           .agg(F.first("line").alias("line"), F.min(at).alias("first"), F.count("*").alias("n"))
+           .withColumns({"size": F.length("line"), "letters": counts("line")}))
     name = f"lines_{uuid.uuid4().hex}"
     (own.write.option("path", scratch_path(spark, "lines")).option("compression", "zstd")
      .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").saveAsTable(name))
@@ -141,9 +142,8 @@ def _occurrences(docs: DataFrame, text: str, id_column: str, least: int) -> Data
 
 
 def near_pairs(lines: DataFrame, threshold: int = THRESHOLD, hot: int = HOT) -> DataFrame:
-    """(src, tgt): digests of distinct lines within the edit distance; ``lines`` has id and line."""
-    n = F.length("line")
-    cells = lines.select("id", n.alias("n"), counts("line").alias("letters"), "line")
+    """(src, tgt): pairs of distinct lines to be verified; ``lines`` has id, line, size and letters."""
+    cells = lines.select("id", F.col("size").alias("n"), "letters", "line")
     keyed = lambda keys, side: cells.select("id", "n", "letters", F.explode(keys("line", F.col("n"), threshold)).alias("k"), F.lit(side).alias("side"), "line")
     index, probe = keyed(segment_keys, 0), keyed(probe_keys, 1)
     crowded = materialise(index.groupBy("k.key").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("key"), "hot_segments")
@@ -173,7 +173,7 @@ def _met(index: DataFrame, probe: DataFrame, threshold: int) -> DataFrame:
 def line_classes(docs: DataFrame, text: str = "text", id_column: str = "doc_id", threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """(id, first): for each distinct line that has an equal or near one, the first occurrence of its group."""
     lines = _distinct_lines(docs, text, id_column, least)
-    pairs = materialise(near_pairs(lines.select("id", "line"), threshold), "line_pairs")
+    pairs = materialise(near_pairs(lines, threshold), "line_pairs")
     whole = lines.select("id", "line")
     near = (pairs.join(whole.select(F.col("id").alias("src"), F.col("line").alias("a")), "src")
             .join(whole.select(F.col("id").alias("tgt"), F.col("line").alias("b")), "tgt")
