@@ -203,11 +203,13 @@ def _encode_lists(path: str):
 def _gather(starts: np.ndarray, counts: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Positions of the runs ``order`` one after another, run ``i`` being ``starts[i]`` and on."""
     n = counts[order]
-    ends = np.cumsum(n)
-    return np.repeat(starts[order] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+    ends = np.cumsum(n, dtype=starts.dtype)
+    out = np.repeat(starts[order] - (ends - n), n)
+    out += np.arange(len(out), dtype=starts.dtype)
+    return out
 
 
-def _assemble(path: str, row_type: pa.DataType):
+def _assemble(path: str):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         payload = next(p for b, p in zip(left.column("bucket").to_pylist(), left.column("payload").to_pylist(), strict=True) if b < 0)
         sizes = np.frombuffer(payload, np.uint64, 4).astype(int)
@@ -217,8 +219,9 @@ def _assemble(path: str, row_type: pa.DataType):
         lengths, places, bucket = _unpacked(parts[1], np.uint32), _unpacked(parts[2], np.uint32), _unpacked(parts[3], np.uint16)
         vocabulary_size = len(token_bytes(path))
         # Runs of ids: one id each for the vocabulary, then the block's words in its own order.
-        counts = np.ones(vocabulary_size + len(bucket), np.int64)
-        starts = np.zeros(vocabulary_size + len(bucket), np.int64)
+        # A block has fewer than 2 ** 31 ids, as its lists could not hold more.
+        counts = np.ones(vocabulary_size + len(bucket), np.int32)
+        starts = np.zeros(vocabulary_size + len(bucket), np.int32)
         starts[:vocabulary_size] = np.arange(vocabulary_size)
         pool, base = [np.arange(vocabulary_size, dtype=np.int32)], vocabulary_size
         order = np.argsort(bucket, kind="stable")
@@ -226,7 +229,7 @@ def _assemble(path: str, row_type: pa.DataType):
         for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
             data = by_bucket[int(bucket[own[0]])]
             size = int(np.frombuffer(data, np.uint64, 1)[0])
-            n, ids = _unpacked(data[8:8 + size], np.uint32).astype(np.int64), _unpacked(data[8 + size:], np.uint32).astype(np.int32)
+            n, ids = _unpacked(data[8:8 + size], np.uint32).astype(np.int32), _unpacked(data[8 + size:], np.uint32).astype(np.int32)
             counts[vocabulary_size + own] = n
             starts[vocabulary_size + own] = base + np.cumsum(n) - n
             pool.append(ids)
@@ -234,7 +237,8 @@ def _assemble(path: str, row_type: pa.DataType):
         pooled = np.concatenate(pool)
         tokens = pooled[_gather(starts, counts, places)]
         # Tokens of each document: the sum over its places.
-        done = np.r_[0, np.cumsum(counts[places])]
+        done = np.zeros(len(places) + 1, np.int32)
+        np.cumsum(counts[places], out=done[1:])
         offsets = done[np.r_[0, np.cumsum(lengths, dtype=np.int64)]].astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, pa.int32()))
         return pa.table({"row": rows.combine_chunks(), "ids": ids})
@@ -256,7 +260,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", block_chars: int = BL
     merged = lists.mapInArrow(_only_lists, kind).repartition(partitions, "bucket").mapInArrow(_encode_lists(path), kind)
     row = rows.schema["row"]
     out = StructType([StructField("row", row.dataType), StructField("ids", ArrayType(IntegerType()))])
-    return cut.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(_assemble(path, None), out)
+    return cut.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(_assemble(path), out)
 
 
 def _only_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
