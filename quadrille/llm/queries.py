@@ -78,12 +78,83 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@named("op3_secret_scan")
+def _found_sql(kind: str, pattern: str, group: int, condition: str) -> str:
+    """Matches with their places: the gaps before a match and the matches before it add up to its start."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, hits[i] AS hit, groups[i] AS part,
+        list_sum([length(g) FOR g IN gaps[1:i]]) + coalesce(list_sum([length(h) FOR h IN hits[1:i - 1]]), 0) AS s
+      FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS hits,
+        regexp_extract_all(text, '{p}', {group}) AS groups, string_split_regex(text, '{p}') AS gaps FROM d)) WHERE {condition}"""
+
+
+def _tail_sql(z: str) -> str:
+    return f"(1.0 / (1.0 + exp(1.5976 * {z} + 0.07056 * {z} * {z} * {z})))"
+
+
+ALPHABETS_SQL = "CASE encoding " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in secrets.ALPHABETS.items()) + " END"
+SIZES_SQL = "CASE encoding " + " ".join(f"WHEN '{k}' THEN {len(v)}" for k, v in secrets.ALPHABETS.items()) + " END"
+RANK_SQL = "CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END"
+
+
+@named("op3_secret_scan", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS (SELECT doc_id, kind, CAST(s AS BIGINT) AS s, CAST(s + length(hit) AS BIGINT) AS e FROM (
+  {_found_sql('assign', secrets.ASSIGN, 2, 'length(part) >= 6')}
+  UNION ALL {_found_sql('access', secrets.ACCESS, 0, 'TRUE')} UNION ALL {_found_sql('hex', secrets.HEX, 0, 'TRUE')})),
+found AS (SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(s + length(hit) AS BIGINT) AS e, hit,
+    CASE WHEN regexp_full_match(lower(hit), '[0-9a-f]+') THEN 'hex' WHEN regexp_full_match(hit, '[A-Z2-7]+=*') THEN 'base32'
+         WHEN regexp_full_match(hit, '[A-Za-z0-9]+') THEN 'alnum' ELSE 'base64' END AS encoding
+  FROM ({_found_sql('random', secrets.CANDIDATE, 0, "regexp_matches(hits[i], '[0-9]') AND regexp_matches(hits[i], '[A-Za-z]')")}) f
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.s <= f.s AND f.s + length(f.hit) <= b.e)),
+texts AS (SELECT *, CASE encoding WHEN 'hex' THEN lower(hit) ELSE translate(rtrim(hit, '='), '-_', '+/') END AS t, {SIZES_SQL} AS m FROM found),
+chars AS (SELECT doc_id, s, e, encoding, m, length(t) AS n, i, strpos({ALPHABETS_SQL}, t[i]) - 1 AS v FROM (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM texts)),
+sums AS (SELECT doc_id, s, e, m, n, SUM(v) AS v, SUM(v * v) AS q, SUM(coalesce(before * v, 0)) AS w, COUNT_IF(2 * v >= m) AS above,
+    COUNT_IF(before IS NOT NULL AND (2 * before >= m) <> (2 * v >= m)) AS changes, arg_min(v, i) AS a, arg_max(v, i) AS z
+  FROM (SELECT *, lag(v) OVER (PARTITION BY doc_id, s ORDER BY i) AS before FROM chars) GROUP BY 1, 2, 3, 4, 5),
+squares AS (SELECT doc_id, s, SUM(c * c) AS sq FROM (SELECT doc_id, s, v, COUNT(*) AS c FROM chars GROUP BY 1, 2, 3) GROUP BY 1, 2),
+deviates AS (SELECT doc_id, s, e, n,
+    (pow(greatest(CAST(m * sq AS DOUBLE) / n - n, 0.0) / (m - 1), CAST(1.0 AS DOUBLE) / 3) - (1 - CAST(2.0 AS DOUBLE) / (9 * (m - 1)))) / sqrt(CAST(2.0 AS DOUBLE) / (9 * (m - 1))) AS z1,
+    CASE WHEN above = 0 OR above = n THEN sqrt(n) ELSE abs(changes - CAST(2 * above * (n - above) AS DOUBLE) / n)
+      / sqrt(greatest(CAST(2 * above * (n - above) AS DOUBLE) * (2 * above * (n - above) - n) / (CAST(n AS DOUBLE) * n * (n - 1)), 1e-9)) END AS z2,
+    CASE WHEN n * q = v * v THEN sqrt(n) ELSE abs((w - (CAST(v AS DOUBLE) / n) * (2 * v - a - z) + (n - 1) * (CAST(v AS DOUBLE) / n) * (CAST(v AS DOUBLE) / n))
+      / (q - CAST(v AS DOUBLE) * v / n)) * sqrt(n) END AS z3
+  FROM sums JOIN squares USING (doc_id, s)),
+fisher AS (SELECT doc_id, s, e, n, -ln(greatest({_tail_sql('z1')}, 1e-30)) - ln(greatest(least(2 * {_tail_sql('z2')}, 1.0), 1e-30))
+    - ln(greatest(least(2 * {_tail_sql('z3')}, 1.0), 1e-30)) AS l FROM deviates),
+stepped AS (SELECT doc_id, s, e, length(bin(n)) AS class, CAST(least(400, floor(20 * -log10(greatest(exp(-l) * (1 + l + l * l / 2), 1e-30)) + 1e-9)) AS INT) AS step FROM fisher),
+histogram AS (SELECT class, step, COUNT(*) AS n FROM stepped GROUP BY 1, 2),
+limits AS (SELECT class, MIN(step) AS cut FROM (SELECT class, step, SUM(n) OVER (PARTITION BY class ORDER BY step DESC) AS beyond,
+    SUM(n) OVER (PARTITION BY class) AS total FROM histogram) WHERE pow(10, -step / 20) <= 0.05 * beyond / total GROUP BY 1),
+spans AS (SELECT * FROM base UNION ALL SELECT doc_id, 'random', s, e FROM stepped LEFT JOIN limits USING (class) WHERE cut IS NULL OR step < cut),
+listed AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, {RANK_SQL}, e) AS spans,
+    coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, {RANK_SQL}, e) FILTER (kind <> 'random'), '') AS base,
+    COUNT_IF(kind = 'assign') AS n_assign, COUNT_IF(kind = 'access') AS n_access, COUNT_IF(kind = 'hex') AS n_hex FROM spans GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed USING (doc_id)
+""")
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-@named("op4_line_dedup")
+# Two lines at one edit share a half; a place is a document and a line in one number.
+@named("op4_line_dedup", """
+WITH RECURSIVE s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i - 1 AS line_no, lines[i] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM s)),
+u AS (SELECT line, length(line) AS n, MIN(doc_id * 10000000 + line_no) AS first, COUNT(*) AS c, row_number() OVER (ORDER BY line) AS id
+      FROM l WHERE length(line) >= 20 GROUP BY line),
+p AS (SELECT DISTINCT a.id AS x, b.id AS y FROM u a JOIN (SELECT *, n - k AS shorter FROM u, (VALUES (0), (1)) v(k)) b
+      ON a.n = b.shorter AND left(a.line, a.n // 2) = left(b.line, a.n // 2) AND a.id <> b.id
+      UNION SELECT DISTINCT a.id, b.id FROM u a JOIN (SELECT *, n - k AS shorter FROM u, (VALUES (0), (1)) v(k)) b
+      ON a.n = b.shorter AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) AND a.id <> b.id),
+e AS (SELECT x, y FROM p JOIN u a ON a.id = x JOIN u b ON b.id = y
+      WHERE len([k FOR k IN range(0, a.n + 1) IF left(a.line, k) = left(b.line, k) AND substr(a.line, k + CASE WHEN a.n = b.n THEN 2 ELSE 1 END) = substr(b.line, k + 2)]) > 0),
+both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT x AS id, x AS other FROM both_ways UNION SELECT r.id, w.y FROM r JOIN both_ways w ON r.other = w.x),
+g AS (SELECT r.id, MIN(u.first) AS first FROM r JOIN u ON u.id = r.other GROUP BY 1),
+gone AS (SELECT l.doc_id, l.line_no FROM l JOIN u USING (line) LEFT JOIN g USING (id) WHERE l.doc_id * 10000000 + l.line_no <> coalesce(g.first, u.first)),
+listed AS (SELECT doc_id, COUNT(*) AS n_repeats, string_agg(line_no, ',' ORDER BY line_no) AS repeats FROM gone GROUP BY 1)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(n_repeats, 0) AS n_repeats, coalesce(repeats, '') AS repeats FROM s LEFT JOIN listed USING (doc_id)
+""")
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -152,6 +223,28 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
-@named("op10_license_scan")
+TEMPLATES_SQL = ", ".join(f"({i}, '{name}', '{body.replace(chr(39), chr(39) * 2)}')" for i, (name, body) in enumerate(licenses.TEMPLATES))
+SHARE_SQL = "(CAST(0.8 AS DOUBLE) / (2 - CAST(0.8 AS DOUBLE)))"
+
+
+@named("op10_license_scan", rf"""
+WITH t AS (SELECT template, license, string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS words
+           FROM (VALUES {TEMPLATES_SQL}) v(template, license, body)),
+tb AS (SELECT template, license, len(words) - 1 AS size, pair, COUNT(*) AS times
+       FROM (SELECT *, unnest([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS pair FROM t) GROUP BY ALL),
+b AS (SELECT doc_id, i - 1 AS place, words[i] || ' ' || words[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(words))) AS i
+      FROM (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+') AS words FROM documents))),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template, pair ORDER BY place) AS r FROM b JOIN tb USING (pair)
+      QUALIFY COUNT(*) OVER (PARTITION BY doc_id, template) >= size * {SHARE_SQL} - 1e-9),
+f AS (SELECT h.*, coalesce(p.place, -1) AS filled FROM h LEFT JOIN h p ON p.doc_id = h.doc_id AND p.template = h.template AND p.pair = h.pair AND p.r = h.r - h.times),
+seg AS (SELECT a.doc_id, a.template, a.license, a.size, a.place AS first, z.place AS last FROM f a JOIN f z ON z.doc_id = a.doc_id AND z.template = a.template
+        AND z.place >= a.place AND z.place - a.place + 1 BETWEEN a.size * {SHARE_SQL} - 1e-9 AND a.size / {SHARE_SQL} + 1e-9),
+scored AS (SELECT s.doc_id, s.template, s.license, first, last, round(CAST(2 * COUNT(*) AS DOUBLE) / (last - first + 1 + s.size), 12) AS dice
+           FROM seg s JOIN f c ON c.doc_id = s.doc_id AND c.template = s.template AND c.place BETWEEN first AND last AND c.filled < first
+           GROUP BY s.doc_id, s.template, s.license, s.size, first, last)
+SELECT doc_id, license, template, round(dice, 6) AS dice, CAST(first AS BIGINT) AS first_word, CAST(last + 1 AS BIGINT) AS last_word
+FROM scored WHERE dice >= 0.8 - 1e-9
+QUALIFY row_number() OVER (PARTITION BY doc_id, template ORDER BY dice DESC, first, last) = 1
+""")
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.license_matches(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -104,7 +104,7 @@ def tested(candidates: str) -> Column:
         f"transform({{0}}, x -> struct(x.s as s, x.e as e, x.encoding as encoding, x.n as n, {size} as m, {squares} as sq, {sums} as f))",
         # The three statistics as normal deviates.
         """transform({0}, x -> struct(x.s as s, x.e as e, x.encoding as encoding, x.n as n,
-             (pow((x.m * x.sq / x.n - x.n) / (x.m - 1), 1.0D / 3) - (1 - 2.0D / (9 * (x.m - 1)))) / sqrt(2.0D / (9 * (x.m - 1))) as z1,
+             (pow(greatest(1.0D * x.m * x.sq / x.n - x.n, 0.0D) / (x.m - 1), 1.0D / 3) - (1 - 2.0D / (9 * (x.m - 1)))) / sqrt(2.0D / (9 * (x.m - 1))) as z1,
              case when x.f.above = 0 or x.f.above = x.n then sqrt(cast(x.n as double)) else
                abs(x.f.changes - 2.0D * x.f.above * (x.n - x.f.above) / x.n)
                / sqrt(greatest(2.0D * x.f.above * (x.n - x.f.above) * (2.0D * x.f.above * (x.n - x.f.above) - x.n) / (1.0D * x.n * x.n * (x.n - 1)), 1e-9)) end as z2,
@@ -136,7 +136,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _class(n: str) -> str:
-    return f"cast(floor(log2({n})) as int)"
+    return f"length(bin({n}))"
 
 
 def _step(p: str) -> str:
