@@ -134,14 +134,18 @@ def _grid(q: DataFrame, n: DataFrame, k: int, by_class: bool, query_block: int,
 def nearest_class(items: DataFrame, classes: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
     """Best class of every item: (query, candidate, score), ties to the smallest.
 
-    ``items``: ``query``, ``vector``; ``classes``: ``candidate``, ``vector``.
+    ``items``: ``query``, ``vector``; ``classes``: ``candidate``, ``vector``. Rows
+    without a vector are passed over; an empty catalogue gives no rows.
     A catalogue of up to ``block`` classes travels with the tasks and every
     item is scored where it lies; a larger one goes through ``nearest``.
     """
-    head = classes.select("candidate", "vector").limit(block + 1).toPandas()
+    classes = classes.select("candidate", "vector").filter("vector IS NOT NULL")
+    head = classes.limit(block + 1).toPandas()
     if len(head) > block:
         found = nearest(items, classes.select(F.col("candidate").alias("node"), "vector"), 1)
         return found.select("query", F.col("node").alias("candidate"), "score")
+    if head.empty:
+        return items.join(classes.select("candidate"), F.lit(False)).select("query", "candidate", F.lit(0.0).alias("score"))
     head = head.sort_values("candidate", kind="stable")
     shared = items.sparkSession.sparkContext.broadcast((head["candidate"].to_numpy(), _unit(head["vector"])))
     schema = T.StructType([T.StructField("query", items.schema["query"].dataType),

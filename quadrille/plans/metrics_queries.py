@@ -98,11 +98,7 @@ def _(t):
            CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS volume
     FROM lineitem GROUP BY 1, 2, 3""" for g in M.GRAINS))
 def _(t):
-    parts = [M.metric(LINES, MODEL, t, ["flag"], grain=g).withColumn("grain", F.lit(g)) for g in M.GRAINS]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return _double(result, "volume")
+    return _double(M.metric_by_grain(LINES, MODEL, t, ["flag"]), "volume")
 
 
 @query("m6_metric_cross_entity", """

@@ -147,6 +147,16 @@ def _(t):
     return tables.load_stats({"orders": t.orders, "customer": t.customer})
 
 
+@query("s12_load_report", """
+    SELECT 'orders' AS "table", COUNT(*) AS "rows", NULL AS seen, FALSE AS timed FROM orders UNION ALL SELECT 'customer', COUNT(*), NULL, FALSE FROM customer
+    UNION ALL SELECT '*', (SELECT COUNT(*) FROM orders) + (SELECT COUNT(*) FROM customer), 'customer,orders', TRUE""")
+def _(t):
+    from datetime import datetime, timezone
+
+    report = tables.load_report({"orders": t.orders, "customer": t.customer}, datetime.now(timezone.utc))
+    return report.select("table", "rows", F.array_join("seen", ",").alias("seen"), F.coalesce(F.col("seconds").between(0, 3600), F.lit(False)).alias("timed"))
+
+
 @query("s13_append_only_audit", f"""
     WITH {LOG_SQL} SELECT tenant_id, COUNT(*) AS n, COUNT(DISTINCT id) AS ids FROM log GROUP BY 1""")
 def _(t):

@@ -140,3 +140,18 @@ def test_mapping_gate_and_statistics(spark):
 def test_page_bounds(spark):
     with pytest.raises(ValueError):
         K.page(spark.range(3), "id", "id", limit=501)
+
+
+def test_empty_catalogue_and_missing_vectors(spark):
+    items = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], "query string, vector array<double>")
+    classes = spark.createDataFrame([("x", [1.0, 0.0]), ("y", None)], "candidate string, vector array<double>")
+    assert rows(S.nearest_class(items, classes)) == [("a", "x", 1.0)]
+    assert S.nearest_class(items, classes.limit(0)).count() == 0
+
+
+def test_every_embedding_of_a_candidate_counts(spark):
+    found = [("name", "http://o#c", e) for e in ([1.0, 0.0], [0.0, 1.0], None)]
+    candidates = spark.createDataFrame(found, "label string, ontology_class string, embedding array<double>")
+    nodes = spark.createDataFrame([("http://n/1", "c", [0.1, 1.0]), ("http://n/2", "c", [-1.0, -1.0])], "iri string, class string, embedding array<double>")
+    got = S.resolve_entities(candidates, nodes, "t").collect()
+    assert len(got) == 1 and got[0]["canonical_iri"] == "http://n/1" and not got[0]["is_new"]

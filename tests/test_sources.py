@@ -182,3 +182,13 @@ def test_lines_with_every_kind_of_escape(spark):
     assert sorted(r["object"] for r in back.collect()) == sorted(o for _, o in lines)
     odd = spark.createDataFrame([("<s> <p> \"open",), ("words",), ("# fine",), ("  ",), ("<s> <p> <o> .",)], "value string")
     assert sorted(r["line"] for r in rdf.unreadable_lines(odd).collect()) == ['<s> <p> "open', "words"]
+
+
+def test_merge_ties_have_one_outcome(spark):
+    from quadrille.sources import tables
+
+    old = spark.createDataFrame([(1, 5, "a")], "k int, c int, v string")
+    new = [(1, 5, "b"), (1, 5, "d"), (1, 5, "c")]
+    for order in (new, new[::-1]):
+        got = tables.merge_rows(old, spark.createDataFrame(order, "k int, c int, v string"), ["k"], "c").collect()
+        assert [tuple(r) for r in got] == [(1, 5, "d")]
