@@ -233,8 +233,11 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def merge_confidence(iris: DataFrame, group: str, iri: str, prefix: str, exact: bool = True) -> DataFrame:
-    """Canonical IRI per group and the mean ratio of the others against it, rounded to 4."""
+def merge_confidence(iris: DataFrame, group: str, iri: str, prefix: str, exact: bool = False) -> DataFrame:
+    """Canonical IRI per group and the mean ratio of the others against it, rounded to 4.
+
+    The ratio is ``edit_ratio``; ``exact`` asks for that of matching blocks, which runs in Python.
+    """
     from quadrille.operators.quality import canonical
 
     best = canonical(iris.select(group, iri), group, iri, prefix)

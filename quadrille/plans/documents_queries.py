@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quadrille import vocab
@@ -51,6 +52,22 @@ def _(t):
     return t.pages.select("page_id", D.mime_type(F.col("url")).alias("mime"), F.length("html").cast("bigint").alias("size"))
 
 
+@query("d2_chunks_with_overlap", r"""
+    SELECT doc_id, length(regexp_extract(text, '^\s*')) AS first, length(text) - length(regexp_extract(text, '\s*$')) AS last,
+           TRUE AS gapless, TRUE AS exact, TRUE AS bounded FROM documents WHERE regexp_matches(text, '\S')""")
+def _(t):
+    # With the default overlap: chunks reach from the first token to the last, leave no token out, equal their spans and keep to the size.
+    chunks = D.chunk(spread(t.documents), "doc_id").join(t.documents.select("doc_id", F.col("text").alias("body")), "doc_id")
+    part = lambda a, b: F.substr(F.col("body"), a + 1, b - a)
+    before = F.lag("char_end").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
+    checked = chunks.withColumn("before", before).select(
+        "doc_id", "char_start", "char_end", (part(F.col("char_start"), F.col("char_end")) == F.col("text")).alias("exact"),
+        (F.col("token_count") <= 512).alias("bounded"),
+        F.coalesce((F.col("char_start") <= F.col("before")) | (F.trim(F.regexp_replace(part(F.col("before"), F.col("char_start")), r"\s", "")) == ""), F.lit(True)).alias("gapless"))
+    return checked.groupBy("doc_id").agg(F.min("char_start").cast("long").alias("first"), F.max("char_end").cast("long").alias("last"),
+                                         *[F.bool_and(c).alias(c) for c in ("gapless", "exact", "bounded")])
+
+
 @query("d2_chunks")
 def _(t):
     return D.chunk(spread(t.documents), "doc_id").drop("text")

@@ -129,6 +129,17 @@ def _(t):
 
 
 @query("e6_merge_confidence")
+def _(t):
+    return S.merge_confidence(t.part.select("p_brand", "p_name"), "p_brand", "p_name", "red", exact=True)
+
+
+@query("e6_merge_confidence_by_edits", """
+    WITH d AS (SELECT DISTINCT p_brand, p_name FROM part),
+    c AS (SELECT p_brand, p_name AS canonical FROM d QUALIFY row_number() OVER (
+        PARTITION BY p_brand ORDER BY NOT starts_with(p_name, 'red'), length(p_name), p_name) = 1)
+    SELECT p_brand, canonical, COUNT(r) AS merged, ROUND(coalesce(AVG(r), 1.0), 4) AS confidence FROM (
+        SELECT c.p_brand, canonical, CASE WHEN p_name <> canonical THEN 1 - levenshtein(lower(canonical), lower(p_name)) / greatest(length(canonical), length(p_name)) END AS r
+        FROM c JOIN d ON d.p_brand = c.p_brand) GROUP BY 1, 2""")
 def _(t):
     return S.merge_confidence(t.part.select("p_brand", "p_name"), "p_brand", "p_name", "red")
 

@@ -9,8 +9,8 @@ from quadrille.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "tests", **{"spark.sql.shuffle.partitions": "3"})
+def spark(tmp_path_factory):
+    session = local_session(8, "tests", **{"spark.sql.shuffle.partitions": "3", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield session
     session.stop()
 

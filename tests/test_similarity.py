@@ -82,7 +82,7 @@ def test_resolve_near_match_and_below_threshold(spark, known):
 
 def test_string_ratio_and_merge(spark):
     df = spark.createDataFrame([("g", "https://own/abc"), ("g", "https://own/abcd"), ("g", "http://x"), ("h", "only")], "g string, iri string")
-    got = {r["g"]: r for r in S.merge_confidence(df, "g", "iri", "https://own/").collect()}
+    got = {r["g"]: r for r in S.merge_confidence(df, "g", "iri", "https://own/", exact=True).collect()}
     assert got["g"]["canonical"] == "https://own/abc" and got["g"]["merged"] == 2 and 0 < got["g"]["confidence"] < 1
     assert got["h"]["confidence"] == 1.0
     pair = spark.createDataFrame([("ABCD", "bcde")], "a string, b string")
