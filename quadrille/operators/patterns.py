@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,37 +27,43 @@ def is_variable(term: object) -> bool:
     return isinstance(term, str) and term.startswith("?")
 
 
-def _identity() -> Column:
-    """What beside the value makes two object terms equal."""
-    return F.concat_ws("|", F.col("object_kind"), F.coalesce("datatype", F.lit("")), F.coalesce("lang", F.lit("")))
-
-
-def _bindings(source: QuadSource, pattern: Pattern, as_node: set[str], as_term: set[str], graph: str | None) -> DataFrame:
-    """Solutions of one pattern: a filter and a projection of the quad table."""
-    columns: dict[str, Column] = {}
-    quads = scope(of_predicates(source, None if is_variable(pattern[1]) else [pattern[1]]), graph)
+def _constrained(quads: DataFrame, pattern: Pattern, get: Callable[[str], Column], columns: dict[str, Column],
+                 as_node: set[str], as_term: set[str]) -> DataFrame:
+    """Filters for the constants of a pattern whose quad ``get`` reads; its variables are added to ``columns``."""
+    identity = F.concat_ws("|", get("object_kind"), F.coalesce(get("datatype"), F.lit("")), F.coalesce(get("lang"), F.lit("")))
     for position, term in zip(("subject", "predicate", "object"), pattern):
-        col = F.col(position)
+        col = get(position)
         if isinstance(term, Literal):
-            quads = quads.filter((col == term.value) & (F.col("object_kind") == "literal"))
+            quads = quads.filter((col == term.value) & (get("object_kind") == "literal"))
             if term.datatype:
-                quads = quads.filter(F.col("datatype") == term.datatype)
+                quads = quads.filter(get("datatype") == term.datatype)
             if term.lang:
-                quads = quads.filter(F.col("lang") == term.lang)
+                quads = quads.filter(get("lang") == term.lang)
         elif is_variable(term):
             name = term[1:]
             if position == "object" and name in as_node:
-                quads = quads.filter(F.col("object_kind") != "literal")
+                quads = quads.filter(get("object_kind") != "literal")
             if name in columns:
                 quads = quads.filter(columns[name] == col)
+                if position == "object" and f"_id_{name}" in columns:
+                    quads = quads.filter(columns[f"_id_{name}"] == identity)
             else:
                 columns[name] = col
                 if position == "object" and name in as_term:
-                    columns[f"_id_{name}"] = _identity()
+                    # What beside the value makes two object terms equal.
+                    columns[f"_id_{name}"] = identity
         else:
             quads = quads.filter(col == term)
             if position == "object":
-                quads = quads.filter(F.col("object_kind") != "literal")
+                quads = quads.filter(get("object_kind") != "literal")
+    return quads
+
+
+def _bindings(source: QuadSource, pattern: Pattern, as_node: set[str], as_term: set[str], graph: str | None) -> DataFrame:
+    """Solutions of one pattern: a filter and a projection of the quad table."""
+    columns: dict[str, Column] = {}
+    quads = scope(of_predicates(source, None if is_variable(pattern[1]) else [pattern[1]]), graph)
+    quads = _constrained(quads, pattern, F.col, columns, as_node, as_term)
     if is_variable(graph):
         columns[graph[1:]] = F.col("graph")
     # A fully constant pattern still restricts the result.
@@ -66,6 +72,24 @@ def _bindings(source: QuadSource, pattern: Pattern, as_node: set[str], as_term:
     return quads.select(*[c.alias(n) for n, c in columns.items()])
 
 
+def _star(source: QuadSource, patterns: Sequence[Pattern], as_node: set[str], as_term: set[str], graph: str | None) -> DataFrame | None:
+    """Solutions of all patterns on one subject from single rows, where the source can tell; else None."""
+    predicates = [p for _, p, _ in patterns]
+    if len(patterns) < 2 or not hasattr(source, "star") or len(set(predicates)) < len(predicates) or any(map(is_variable, predicates)) or is_variable(graph):
+        return None
+    rows = source.star(predicates)
+    if rows is None:
+        return None
+    columns: dict[str, Column] = {}
+    for i, pattern in enumerate(patterns):
+        get = lambda part, i=i: F.col(f"q{i}.{part}")
+        rows = rows.filter(get("subject").isNotNull() & get("object").isNotNull())
+        if graph is not None:
+            rows = rows.filter(get("graph") == graph)
+        rows = _constrained(rows, pattern, get, columns, as_node, as_term)
+    return rows.select(*[c.alias(n) for n, c in columns.items()])
+
+
 def _roles(patterns: Sequence[Pattern]) -> tuple[set[str], set[str]]:
     """Variables that must be nodes, and object variables compared as whole terms."""
     nodes, objects = set(), Counter()
@@ -112,9 +136,17 @@ def match(quads: QuadSource, patterns: Sequence[Pattern], graph: str | None = No
     Spark shuffles each of them once and never the intermediate result again.
     """
     nodes, terms = _roles(patterns)
-    result = None
-    for pattern in _order(patterns):
-        step = _bindings(quads, pattern, nodes, terms, graph)
+    result, ordered, done = None, _order(patterns), set()
+    for at, pattern in enumerate(ordered):
+        if at in done:
+            continue
+        # Patterns on one subject that single rows of a table answer are one step.
+        own = [i for i in range(at, len(ordered)) if ordered[i][0] == pattern[0]] if is_variable(pattern[0]) else [at]
+        step = _star(quads, [ordered[i] for i in own], nodes, terms, graph)
+        if step is None:
+            step = _bindings(quads, pattern, nodes, terms, graph)
+        else:
+            done.update(own)
         if graph is None and isinstance(quads, DataFrame) and "_ask" not in step.columns:
             step = step.distinct()
         if result is None:

@@ -60,10 +60,23 @@ class RowMapping:
     classes: tuple[str, ...]
     fields: tuple[Field, ...] = ()
     links: tuple[Link, ...] = ()
+    # Whether each row has a subject of its own.
+    unique: bool = False
 
     def predicates(self) -> set[str]:
         return {TYPE, *(f.predicate for f in self.fields), *(x.predicate for x in self.links)}
 
+    def quads(self, graph: str | None = None) -> list[tuple[str, Column]]:
+        """(predicate, quad) of every triple a row gives."""
+        subject = template(self.subject)
+        made = [(TYPE, quad(subject, TYPE, F.lit(c), "iri", graph=graph)) for c in self.classes]
+        for f in self.fields:
+            value = quoted(f.column)
+            if f.values is not None:
+                value = F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(f.values.items())]), value.cast("string"))
+            made.append((f.predicate, quad(subject, f.predicate, lexical(value, f.datatype), "literal", f.datatype, f.lang, graph)))
+        return made + [(x.predicate, quad(subject, x.predicate, template(x.target), "iri", graph=graph)) for x in self.links]
+
 
 def lexical(col: Column, datatype: str | None) -> Column:
     """Lexical form of a value; decimals never in exponent notation."""
@@ -117,21 +130,7 @@ def rows_to_triples(df: DataFrame, mapping: RowMapping, graph: str | None = None
     ``predicates`` limits the output before rows are exploded, so a plan that
     needs two predicates reads two columns.
     """
-    subject = template(mapping.subject)
-    wanted = lambda p: predicates is None or p in predicates
-    quads = [quad(subject, TYPE, F.lit(c), "iri", graph=graph) for c in mapping.classes if wanted(TYPE)]
-    for f in mapping.fields:
-        if not wanted(f.predicate):
-            continue
-        value = quoted(f.column)
-        if f.values is not None:
-            value = F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(f.values.items())]),
-                                 value.cast("string"))
-        quads.append(quad(subject, f.predicate, lexical(value, f.datatype), "literal", f.datatype, f.lang, graph))
-    for link in mapping.links:
-        if wanted(link.predicate):
-            quads.append(quad(subject, link.predicate, template(link.target), "iri", graph=graph))
-    return explode_quads(df, quads)
+    return explode_quads(df, [q for p, q in mapping.quads(graph) if predicates is None or p in predicates])
 
 
 def merge_quads(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -191,16 +190,36 @@ def property_table(quads: DataFrame, class_iri: str, predicates: Mapping[str, st
             .filter("_member").drop("_member"))
 
 
-def mapped(tables: Mapping[str, DataFrame], mappings: Mapping[str, RowMapping],
-           graphs: Mapping[str, str]) -> Callable[[Sequence[str] | None], DataFrame]:
+class mapped:  # noqa: N801 - reads as a function of predicates
     """Tables as quads without storing them: a pattern on one predicate reads one column."""
 
-    def build(predicates: Sequence[str] | None) -> DataFrame:
-        able = [n for n, m in mappings.items() if predicates is None or set(predicates) & m.predicates()]
-        return reduce(DataFrame.unionByName, [
-            rows_to_triples(tables[n], mappings[n], graphs.get(n), predicates) for n in able or list(mappings)[:1]])
+    def __init__(self, tables: Mapping[str, DataFrame], mappings: Mapping[str, RowMapping], graphs: Mapping[str, str]):
+        self.tables, self.mappings, self.graphs = tables, mappings, graphs
 
-    return build
+    def __call__(self, predicates: Sequence[str] | None) -> DataFrame:
+        able = [n for n, m in self.mappings.items() if predicates is None or set(predicates) & m.predicates()]
+        return reduce(DataFrame.unionByName, [
+            rows_to_triples(self.tables[n], self.mappings[n], self.graphs.get(n), predicates) for n in able or list(self.mappings)[:1]])
+
+    def star(self, predicates: Sequence[str]) -> DataFrame | None:
+        """The quads of one subject with each of these predicates side by side, as columns ``q0``, ``q1``, ...
+
+        None where a row does not tell all of a subject: rows must have subjects
+        of their own, no two tables may share a subject, and each predicate may
+        stand for one triple of a row only.
+        """
+        touching = [n for n, m in self.mappings.items() if set(predicates) & m.predicates()]
+        starts = [self.mappings[n].subject.partition("{")[0] for n in touching]
+        apart = all(not a.startswith(b) for i, a in enumerate(starts) for k, b in enumerate(starts) if i != k)
+        able = [n for n in touching if set(predicates) <= self.mappings[n].predicates()]
+        once = all(self.mappings[n].unique and [p for p, _ in self.mappings[n].quads()].count(wanted) == 1 for n in able for wanted in predicates)
+        if not able or not apart or not once:
+            return None
+        parts = []
+        for n in able:
+            made = dict(self.mappings[n].quads(self.graphs.get(n)))
+            parts.append(self.tables[n].select(*[made[p].alias(f"q{i}") for i, p in enumerate(predicates)]))
+        return reduce(DataFrame.unionByName, parts)
 
 
 def construct(bindings: DataFrame, templates: Sequence[tuple], graph: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ MAPPINGS = {
          Field("suspicious", ONT + "isSuspicious", XSD + "boolean")),
         (Link(ONT + "fromAccount", RES + "customer/{o_custkey}"),)),
 }
+# Subjects are made of primary keys.
+MAPPINGS = {n: replace(m, unique=True) for n, m in MAPPINGS.items()}
 
 
 def source(t, name: str) -> DataFrame:

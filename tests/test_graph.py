@@ -255,3 +255,28 @@ def test_rates_count_subclass_members(spark):
     shapes = [S.Shape("c:Top", "p", min_count=1)]
     rate = S.violation_rates(S.validate(q, shapes), q, shapes).first()
     assert (rate["failing"], rate["nodes"], rate["rate"]) == (3, 3, 1.0)
+
+
+def test_stars_over_tables_equal_joins_of_quads(spark):
+    from dataclasses import replace
+
+    people = spark.createDataFrame([(1, "Ann", 10, 3.0), (2, "Bo", 20, None), (3, None, 10, 1.0)], "id int, name string, town int, x double")
+    towns = spark.createDataFrame([(10, "A"), (20, "Bo")], "id int, name string")
+    mappings = {
+        "people": T.RowMapping("p/{id}", ("Person",), (T.Field("name", "name"), T.Field("x", "x", XSD + "decimal")), (T.Link("town", "t/{town}"),), unique=True),
+        "towns": T.RowMapping("t/{id}", ("Town",), (T.Field("name", "name"),), unique=True)}
+    tables = {"people": people, "towns": towns}
+    source = T.mapped(tables, mappings, {"people": "g1", "towns": "g2"})
+    stored = source(None)
+    assert source.star(["name", "town"]) is not None and source.star(["town", "name", TYPE]) is not None
+    loose = T.mapped(tables, {n: replace(m, unique=False) for n, m in mappings.items()}, {})
+    assert loose.star(["name", "town"]) is None
+    for pattern in ([("?p", TYPE, "Person"), ("?p", "name", "?n"), ("?p", "town", "?t"), ("?t", "name", "?m"), ("?t", TYPE, "?c")],
+                    [("?p", "name", "?n"), ("?p", "town", "?t"), ("?t", "name", "?n")], [("?a", "name", "?n"), ("?a", TYPE, "?c")],
+                    [("?p", "x", "?x"), ("?p", "town", "t/10")], [("?p", "name", P.Literal("Bo")), ("?p", TYPE, "Town")]):
+        a, b = P.match(source, pattern), P.match(stored, pattern)
+        order = sorted(a.columns)
+        assert sorted(b.columns) == order and rows(a, *order) == rows(b, *order)
+        for graph in ("g1", "?g"):
+            a, b = P.match(source, pattern, graph), P.match(stored, pattern, graph)
+            assert rows(a, *sorted(a.columns)) == rows(b, *sorted(b.columns))
