@@ -58,6 +58,41 @@ def _(t):
     return _plain(_run(t, L.request_counts(requests, limit=2), ["minute", "tenant_id"]), "minute")
 
 
+def _in_batches(t, repeated: bool):
+    """The events as a stream of one batch per four days; the last five minutes of each come with the next, too or instead."""
+    landed = scratch_path(t.spark, "landing")
+    four_days = 4 * 86_400
+    second = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000)
+    late = second % four_days >= four_days - 300
+    part = F.floor(second / four_days)
+    rows = t.events.withColumn("part", part)
+    moved = rows.filter(late).withColumn("part", F.col("part") + 1)
+    rows = (rows if repeated else rows.filter(~late)).unionByName(moved)
+    first, last = rows.agg(F.min("part"), F.max("part")).first()
+    for p in range(first, last + 1):
+        rows.filter(F.col("part") == p).drop("part").coalesce(1).write.mode("append").parquet(landed)
+    schema = T.StructType.fromDDL(SCHEMAS["events"])
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("t2_request_counts_in_batches", """
+    SELECT date_trunc('minute', ts) AS minute, 't' || (user_id % 3) AS tenant_id, COUNT(*) AS requests, COUNT(*) > 2 AS over_limit,
+           GREATEST(2 - COUNT(*), 0) AS remaining FROM events GROUP BY 1, 2""")
+def _(t):
+    # Many batches, rows out of order within the watermark.
+    requests = _in_batches(t, repeated=False).withColumn("tenant_id", F.concat(F.lit("t"), F.col("user_id") % 3))
+    return _plain(_run(t, L.request_counts(requests, limit=2), ["minute", "tenant_id"]), "minute")
+
+
+@query("t4_duplicates_across_batches", "SELECT event_id, event_type FROM events")
+def _(t):
+    out, state = scratch_path(t.spark, "once"), scratch_path(t.spark, "state")
+    once = L.suppress_duplicates(_in_batches(t, repeated=True), ["event_id"]).select("event_id", "event_type")
+    (once.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True)
+     .start().awaitTermination())
+    return t.spark.read.schema(once.schema).parquet(out)
+
+
 @query("t3_sliding_rates", INDICATOR_SQL.format(
     seconds=300, source="(SELECT *, unnest([date_trunc('minute', ts) - to_minutes(i) FOR i IN range(0, 5)]) AS window_start FROM events)"))
 def _(t):

@@ -45,7 +45,8 @@ def request_counts(requests: DataFrame, time: str = "ts", tenant: str = "tenant_
     """Requests per tenant and minute, the over-limit flag and what remains.
 
     A busy tenant is counted on the map side first; state is one row per tenant
-    and open minute.
+    and open minute. A row that arrives later than the watermark allows is not
+    counted any more: its minute is closed.
     """
     counted = (requests.withWatermark(time, watermark).groupBy(F.window(time, "1 minute").alias("window"), tenant)
                .agg(F.count("*").alias("requests")))
@@ -59,7 +60,7 @@ def sliding_indicators(requests: DataFrame, time: str = "ts", watermark: str = W
 
 
 def suppress_duplicates(events: DataFrame, key: Sequence[str], time: str = "ts", watermark: str = WATERMARK) -> DataFrame:
-    """First delivery of each event; later ones within the watermark are dropped."""
+    """First delivery of each event; later ones within the watermark are dropped, and rows beyond it altogether."""
     return events.withWatermark(time, watermark).dropDuplicatesWithinWatermark(list(key))
 
 

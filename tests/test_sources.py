@@ -192,3 +192,19 @@ def test_merge_ties_have_one_outcome(spark):
     for order in (new, new[::-1]):
         got = tables.merge_rows(old, spark.createDataFrame(order, "k int, c int, v string"), ["k"], "c").collect()
         assert [tuple(r) for r in got] == [(1, 5, "d")]
+
+
+def test_rows_beyond_the_watermark_are_not_counted(spark, tmp_path):
+    from datetime import datetime
+
+    from quadrille.streaming import lineage as L
+
+    landed, schema = str(tmp_path / "landed"), "ts timestamp, tenant_id string"
+    for batch in ([datetime(2024, 1, 1, 12, 0), datetime(2024, 1, 1, 13, 0)], [datetime(2024, 1, 1, 12, 55)],
+                  [datetime(2024, 1, 1, 13, 1), datetime(2024, 1, 1, 12, 30)], [datetime(2024, 1, 1, 12, 55)]):
+        spark.createDataFrame([(ts, "t") for ts in batch], schema).coalesce(1).write.mode("append").parquet(landed)
+    counts = L.request_counts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed))
+    L.start_updates(counts, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {r["minute"].strftime("%H:%M"): r["requests"] for r in L.latest_updates(spark, str(tmp_path / "out"), counts.schema, ["minute", "tenant_id"]).collect()}
+    # 12:30 came when the watermark had passed it, 12:55 both times before.
+    assert got == {"12:00": 1, "13:00": 1, "12:55": 2, "13:01": 1}
