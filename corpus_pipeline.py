@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import byte_bpe, decontaminate, line_dedup, simhash, toxicity
+from quadrille.llm import byte_bpe, decontaminate, line_dedup, near_copies, toxicity
 from quadrille.llm.queries import RANKS
 from quadrille.plans.registry import table
 from quadrille.session import materialise
@@ -28,8 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group linked by five-word Jaccard similarity of 0.8 or more stays; fingerprints find the candidates."""
+    return near_copies.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

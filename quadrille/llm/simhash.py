@@ -34,19 +34,22 @@ TILE = 4096
 HASH_BLOCK = 1 << 15
 
 
-def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64-bit majority of the shingle hashes of a text, A-Z in lower case."""
+def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
+    """Hashes of the shingles of a text, A-Z in lower case; a text of fewer words is one shingle, one without words has none."""
     from xxhash import xxh64_intdigest as digest
 
     # On bytes, lower() and split() touch A-Z and \x20\x09-\x0D only.
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     join = b" ".join
     if len(words) < shingle:
-        hashes = [digest(join(words), seed)]
-    else:
-        hashes = [digest(join(s), seed) for s in zip(*(words[i:] for i in range(shingle)), strict=False)]
+        return [digest(join(words), seed)]
+    return [digest(join(s), seed) for s in zip(*(words[i:] for i in range(shingle)), strict=False)]
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """Bits that more than half of the hashes have; zero if there are none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), HASH_BLOCK):
         part = np.array(hashes[at:at + HASH_BLOCK], np.uint64)
@@ -54,6 +57,11 @@ def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """64-bit majority of the shingle hashes of a text."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprinted(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(row, fp): all columns of ``docs`` as ``row`` and its fingerprint as a signed long."""
     bound_batches(docs.sparkSession)
@@ -160,7 +168,11 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, words: int |
 def near_groups(marked: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(fp, component, component_id) of (id, fp) rows: a label and the smallest id of each linked group."""
     heads = materialise(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash_heads")
-    found = materialise(links(heads.select("fp"), radius, tile), "simhash_links")
+    return linked_groups(heads, materialise(links(heads.select("fp"), radius, tile), "simhash_links"))
+
+
+def linked_groups(heads: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, component, component_id) of all ``heads`` (fp, least), grouped by the links ``found``."""
     groups = components(found.withColumn("rel", F.lit("near"))).select(F.col("node").alias("fp"), "component")
     joined = heads.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -187,7 +199,12 @@ def one_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     Of rows that repeat it in id and text, any one stays.
     """
     marked = _marked(docs, text, id_column)
-    chosen = (marked.join(near_groups(marked, radius), "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
+    return first_of_each(docs, marked, near_groups(marked, radius), text, id_column)
+
+
+def first_of_each(docs: DataFrame, marked: DataFrame, groups: DataFrame, text: str, id_column: str) -> DataFrame:
+    """``docs`` with one row of each group, by the (id, key, fp) of its rows and the groups of each fp."""
+    chosen = (marked.join(groups, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
               .groupBy("component", "key").agg(F.count("*").alias("n"))
               .groupBy("component").agg(F.min(F.struct("key", "n")).alias("c")))
     chosen = materialise(chosen.select("c.key", "c.n"), "simhash_kept")

@@ -10,7 +10,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.llm import byte_bpe, chat, decontaminate, exact_dedup, simhash, token_counts, toxicity
+import corpus_pipeline
+from quadrille.llm import byte_bpe, chat, decontaminate, exact_dedup, near_copies, simhash, token_counts, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -109,6 +110,39 @@ def test_simhash_components(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [near_copies.TILE, 6])
+def test_near_copies_by_exact_similarity(spark, tile, monkeypatch):
+    monkeypatch.setattr(near_copies.candidates, "__defaults__", (near_copies.SIMILARITY, near_copies.RADIUS, tile))
+    rng = random.Random(7)
+    texts = ODD[:] + ["Two words", "two  WORDS"]
+    for size in (12, 60, 90, 300, 1500):
+        for copies in (3, 6):
+            words = [f"w{rng.randrange(5000)}" for _ in range(size)]
+            for _ in range(copies):
+                copy = words[:]
+                for _ in range(rng.randrange(0, max(2, size // 60))):
+                    copy[rng.randrange(size)] = f"w{rng.randrange(5000)}"
+                texts.append(" ".join(copy))
+    ids = [i if i != 3 else None for i in range(len(texts))]
+
+    def shingles(text):
+        words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} - {()}
+
+    sets = [shingles(t) for t in texts]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9]
+    assert sum(sets[i] != sets[j] for i, j in near) >= 10
+    group = list(range(len(texts)))
+    for i, j in near:
+        group = [group[j] if g == group[i] else g for g in group]
+    want = [min((ids[i] for i in range(len(texts)) if group[i] == g and ids[i] is not None), default=None) for g in set(group)]
+    docs = spark.createDataFrame(list(zip(ids, texts, ["x"] * len(texts), strict=True)), "doc_id long, text string, fp string")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
+
+
 @pytest.mark.parametrize("words, tile", [(1, 7), (2, 50), (4, 3)])
 def test_links_connect_what_is_near(spark, words, tile):
     rng = random.Random(words)
