@@ -7,12 +7,12 @@ that does not begin with the first one rewrites history: the turn is marked
 with the number of characters taken back. The text's own span inside a piece is
 found the same way, by rendering the turn with other texts in its place.
 
-A template that looks at the whole history has to be rendered with all of it
-(``context=None``), whose cost grows with the square of a conversation's
-length and which holds one conversation in a task. With ``context=n`` only the
-last n turns are rendered before each turn, and each piece is rendered again
-with one turn more: a difference marks the turn as well. Then a conversation
-of any length streams through its task, ordered, one turn at a time.
+Whole prefixes are rendered, whose cost grows with the square of a
+conversation's length and which holds one conversation in a task. For templates
+that the caller knows to append only, ``context=n`` renders just the last n turns
+before each turn, and each piece again with one turn more: a difference marks
+the turn as well, but what is rewritten further back is not seen. Then a
+conversation of any length streams through its task, ordered, one turn at a time.
 
 Defined results: null roles and texts are empty; null turns come first, equal
 ones in the order of role and text; rows with a null conversation form one
@@ -111,7 +111,7 @@ SCHEMA = ("conv_id long, position long, role string, piece string, start long, e
           "taken_back long, agrees boolean")
 
 
-def format_turns(turns: DataFrame, template: Template, context: int | None = 1, loss_role: str = "assistant") -> DataFrame:
+def format_turns(turns: DataFrame, template: Template, context: int | None = None, loss_role: str = "assistant") -> DataFrame:
     """One row per turn, in order within its task: its piece, the span in the conversation, the span of text under the loss mask.
 
     ``turns`` has conv_id, turn, role and text. ``taken_back`` counts characters

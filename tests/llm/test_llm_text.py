@@ -281,6 +281,16 @@ def test_templates_that_rewrite_history_are_found(spark):
     assert all(r["taken_back"] == 0 for r in chat.format_turns(turns_of(spark, rows), numbered, context=None).collect())
 
 
+def test_history_rewritten_far_back_is_found_by_default(spark):
+    def last_two_assistants(turns):
+        shown = [i for i, t in enumerate(turns) if t[0] == "assistant"][-2:]
+        return "".join(f"<{r}>{t if r == 'user' or i in shown else '-'}" for i, (r, t) in enumerate(turns))
+
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(8)]
+    found = chat.format_turns(turns_of(spark, rows), last_two_assistants).collect()
+    assert [r["taken_back"] > 0 for r in sorted(found, key=lambda r: r["position"])] == [False] * 5 + [True, False, True]
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(1)
     counts = rng.poisson(0.15, (700, 40)).astype(float)
