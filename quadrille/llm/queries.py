@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import (byte_bpe, chat, decontaminate, exact_dedup, licenses, line_dedup, secrets, simhash, token_counts,
-                           toxicity)
+from quadrille.llm import (byte_bpe, chat, decontaminate, exact_dedup, licenses, line_dedup, periodic, quality_rules, repair, secrets,
+                           simhash, token_counts, toxicity)
 from quadrille.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,3 +248,43 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, template ORDER BY dice DESC, fir
 """)
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.license_matches(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@named("op11_quality_rules")
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    judged = quality_rules.verdicts(docs, table(spark, sf_dir, "labels"))
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Texts of one id in ten (by crc32) end in a repeated stretch, as the query's contract says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    g, n = F.floor(h / 10).cast("long"), F.size("words").cast("long")
+    a = F.col("g") % F.col("n")
+    p = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("long")
+    some = docs.filter(h % 10 == 0).select("doc_id", "text", words.alias("words"), g.alias("g")).withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, a))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    tail = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("words", place(i).cast("int")))
+    changed = some.withColumn("p", p).select("doc_id", F.when(F.col("n") > 0, F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
+    return changed.unionByName(docs.filter(F.coalesce(h % 10 != 0, F.lit(True))).select("doc_id", "text"))
+
+
+@named("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    # Greatest length, then smallest start, then period.
+    longest = F.get(F.sort_array(F.transform("runs", lambda r: F.struct((-r["length"]).alias("a"), r["start"].alias("b"), r["period"].alias("c")))), F.lit(0))
+    return found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"),
+                        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", F.col("top.b").alias("start"), (-F.col("top.a")).alias("length"), F.col("top.c").alias("period"),
+        F.floor(-1000 * F.col("top.a") / F.col("top.c")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@named("op13_structure_repair")
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = repair.damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return repair.report(turns, repair.audits(turns))
