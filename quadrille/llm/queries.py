@@ -250,7 +250,48 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.license_matches(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-@named("op11_quality_rules")
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+SHARE_OF = "CASE WHEN {1} > 0 THEN least(1000, 1000 * {0} // ({1})) ELSE 0 END"
+RULES_SQL = ", ".join(f"'{s}'" for s in quality_rules.SIGNALS)
+
+
+@named("op11_quality_rules", rf"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS text, {WORDS_SQL} AS w FROM documents),
+grams AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+often AS (SELECT doc_id, i FROM grams QUALIFY COUNT(*) OVER (PARTITION BY doc_id, g) > 1),
+again AS (SELECT doc_id, COUNT(DISTINCT i + k) AS n FROM often, range(3) t(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, COUNT(*) AS n, COUNT(*) - COUNT(DISTINCT line) AS copied
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+c AS (SELECT d.doc_id, stratum, len(w) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
+             length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(copied, 0) AS n_dup_lines,
+             coalesce(again.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z!]', '', 'g')) AS shouts
+      FROM d LEFT JOIN again USING (doc_id) LEFT JOIN lines USING (doc_id)),
+s AS (SELECT *, {SHARE_OF.format('n_symbols', 'n_words')} AS symbols, {SHARE_OF.format('n_repeat_words', 'n_words')} AS repeated,
+             {SHARE_OF.format('n_dup_lines', 'n_lines')} AS copied_lines, {SHARE_OF.format('shouts', 'word_chars')} AS shouting,
+             {SHARE_OF.format('word_chars', '50 * n_words')} AS long_words,
+             n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+long AS (UNPIVOT (SELECT doc_id, stratum, {', '.join(f'CAST({x} AS BIGINT) AS {x}' for x in quality_rules.SIGNALS)} FROM s) ON {', '.join(quality_rules.SIGNALS)} INTO NAME rule VALUE value),
+lab AS (SELECT doc_id, MIN(quality) = 1 AS good, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '5' AS fit FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+counts AS (SELECT stratum, rule, value, COUNT_IF(good) AS good, COUNT_IF(NOT good) AS bad FROM long JOIN lab USING (doc_id) WHERE fit GROUP BY ALL),
+reached AS (SELECT stratum, rule, value, SUM(good) OVER a AS good, SUM(bad) OVER a AS bad, SUM(good) OVER r AS all_good, SUM(bad) OVER r AS all_bad,
+              coalesce(lead(value) OVER a + 1, 0) AS cut FROM counts
+            WINDOW a AS (PARTITION BY stratum, rule ORDER BY value DESC), r AS (PARTITION BY stratum, rule)),
+cuts AS (SELECT stratum, rule, step, coalesce(MIN(cut) FILTER (good * 1000 <= step * all_good), MAX(value) + 1) AS cut,
+           coalesce(MAX(good) FILTER (good * 1000 <= step * all_good), 0) AS good, coalesce(MAX(bad) FILTER (good * 1000 <= step * all_good), 0) AS bad,
+           MAX(all_good) AS all_good, MAX(all_bad) AS all_bad FROM reached, range({quality_rules.STEPS + 1}) t(step) GROUP BY 1, 2, 3),
+useful AS (SELECT stratum, rule FROM cuts WHERE step = {quality_rules.STEPS} AND bad * all_good > good * all_bad),
+steps AS (SELECT doc_id, stratum, MIN(step) AS step FROM (SELECT doc_id, l.stratum, l.rule, COUNT(*) FILTER (u.rule IS NULL OR cut > value) AS step
+          FROM long l JOIN cuts USING (stratum, rule) LEFT JOIN useful u ON u.stratum = l.stratum AND u.rule = l.rule GROUP BY 1, 2, 3) GROUP BY 1, 2),
+held AS (SELECT stratum, step FROM steps JOIN lab USING (doc_id) WHERE NOT fit AND good),
+lost AS (SELECT stratum, t.step, (SELECT COUNT(*) FROM held h WHERE h.stratum = p.stratum AND h.step <= t.step) AS k, p.n, COUNT(DISTINCT stratum) OVER () AS strata
+         FROM (SELECT stratum, COUNT(*) AS n FROM held GROUP BY 1) p, range({quality_rules.STEPS + 1}) t(step)),
+chosen AS (SELECT stratum, coalesce(MIN(step) FILTER (list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - CASE WHEN j = n THEN 0 ELSE lgamma(n - j + 1) END
+             + j * ln(CAST({quality_rules.LIMIT} AS DOUBLE)) + (n - j) * ln(CAST({1 - quality_rules.LIMIT} AS DOUBLE))) FOR j IN range(0, k + 1)]) > {quality_rules.RISK} / strata),
+             {quality_rules.STEPS + 1}) - 1 AS chosen FROM lost GROUP BY 1)
+SELECT s.doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND coalesce(step, 99) > coalesce(chosen, -1) AS kept
+FROM s LEFT JOIN steps USING (doc_id) LEFT JOIN chosen ON chosen.stratum = s.stratum
+""")
 def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     judged = quality_rules.verdicts(docs, table(spark, sf_dir, "labels"))
@@ -271,7 +312,39 @@ def with_periods(docs: DataFrame) -> DataFrame:
     return changed.unionByName(docs.filter(F.coalesce(h % 10 != 0, F.lit(True))).select("doc_id", "text"))
 
 
-@named("op12_periodic_runs")
+# CRC-32 of ASCII text, from its table.
+CRC_SQL = """bytes AS (SELECT i, i AS c, 0 AS k FROM range(256) t(i) UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bytes WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bytes WHERE k = 8)"""
+
+
+def _crc_sql(text: str) -> str:
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ord(({text})[j]) AS BIGINT) FOR j IN range(1, length({text}) + 1)]), "
+            "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+# Equal stretches of four words, d apart, side by side.
+@named("op12_periodic_runs", rf"""
+WITH RECURSIVE {CRC_SQL},
+h AS (SELECT doc_id, {WORDS_SQL} AS w, {_crc_sql('CAST(doc_id AS VARCHAR)')} AS h FROM documents, crc),
+a AS (SELECT *, (h // 10) % len(w) AS a, h // 10 AS g FROM h),
+d AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // (3 + g % 8)) END] FOR i IN range(0, len(w))] ELSE w END AS w FROM a),
+grams AS (SELECT doc_id, i, w[i + 1:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 3)) AS i FROM d)),
+shared AS (SELECT * FROM grams QUALIFY COUNT(*) OVER (PARTITION BY doc_id, g) > 1),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS d FROM shared x JOIN shared y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i),
+islands AS (SELECT doc_id, d, MIN(i) AS s, MAX(i) + 4 + d AS e
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS island FROM pairs) GROUP BY doc_id, d, island),
+runs AS (SELECT doc_id, s, e, MIN(d) AS q FROM islands WHERE e - s >= greatest(12, 2 * d) GROUP BY doc_id, s, e),
+listed AS (SELECT doc_id, COUNT(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS text,
+                  arg_min(struct_pack(s := s, e := e, q := q), (s - e, s, q)) AS top FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM runs),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.e - top.s AS length, top.q AS period,
+       CAST(1000 * (top.e - top.s) // top.q AS BIGINT) AS exponent_milli, sha256(coalesce(listed.text, '')) AS runs_sha256,
+       sha256(coalesce(left_over.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN left_over USING (doc_id)
+""")
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.periodic_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
     line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
@@ -284,7 +357,49 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(-1000 * F.col("top.a") / F.col("top.c")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-@named("op13_structure_repair")
+# States of the grammar: 0 nothing yet, 1 after the system turn, 2 after a user turn, 3 after an assistant turn.
+# One insertion at most can help before a turn, two at the end.
+@named("op13_structure_repair", rf"""
+WITH RECURSIVE {CRC_SQL},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations, crc),
+damaged AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE k WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE k <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS i FROM damaged),
+f AS (SELECT *, left(role, 1) AS initial, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM n),
+r AS (SELECT *, CASE WHEN last = '' THEN 1 WHEN again THEN 2 WHEN NOT contains('.!?', last) THEN 3 ELSE 0 END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM f),
+keep(q, initial, z) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+moves(q, pre, m, z) AS (SELECT q, '', 0, q FROM range(4) t(q) UNION ALL SELECT q, 'I', 2, CASE q WHEN 2 THEN 3 ELSE 2 END FROM range(4) t(q)),
+dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS q, CAST(0 AS BIGINT) AS cost, '' AS audit FROM (SELECT DISTINCT conv_id FROM r)
+  UNION ALL
+  SELECT conv_id, i, z, cost, audit FROM (
+    SELECT dp.conv_id, r.i, CASE e.e WHEN 'D' THEN moves.z WHEN 'R' THEN CASE moves.z WHEN 2 THEN 3 ELSE 2 END ELSE keep.z END AS z,
+           dp.cost + m + CASE e.e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN fault = 3 AND e.e <> 'D' THEN 1 ELSE 0 END AS cost, audit || pre || e.e AS audit
+    FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1 JOIN moves ON moves.q = dp.q
+      CROSS JOIN (VALUES ('D'), ('K'), ('R')) e(e) LEFT JOIN keep ON keep.q = moves.z AND keep.initial = r.initial
+    WHERE e.e = 'D' OR fault IN (0, 3) AND (e.e = 'R' OR keep.z IS NOT NULL))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, z ORDER BY cost, audit) = 1),
+best AS (SELECT conv_id, cost, audit FROM (
+    SELECT dp.conv_id, cost + CASE q WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END AS cost, audit || CASE q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit
+    FROM dp JOIN (SELECT conv_id, MAX(i) AS n FROM r GROUP BY 1) z ON z.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = z.n)
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+edits AS (SELECT conv_id, k, e, COUNT(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS i
+          FROM (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS k, unnest(string_split(audit, '')) AS e FROM best)),
+outs AS (SELECT edits.conv_id, k, e, role, text, initial, row_number() OVER w AS place,
+           first_value(e = 'K' AND initial = 's') OVER w AS headed
+         FROM edits JOIN r ON r.conv_id IS NOT DISTINCT FROM edits.conv_id AND r.i = greatest(edits.i, 1) WHERE e <> 'D' WINDOW w AS (PARTITION BY edits.conv_id ORDER BY k)),
+texts AS (SELECT conv_id, string_agg(CASE e WHEN 'K' THEN role ELSE CASE WHEN (place + CAST(headed AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END END
+            || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS text FROM outs GROUP BY 1),
+counts AS (SELECT conv_id, coalesce(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT_IF(fault = 1) AS blank, COUNT_IF(fault = 2) AS duplicate,
+             COUNT_IF(fault = 3) AS truncated, COUNT_IF(i > 1 AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(texts.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id
+  LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN texts ON texts.conv_id IS NOT DISTINCT FROM o.conv_id
+""")
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = repair.damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return repair.report(turns, repair.audits(turns))
