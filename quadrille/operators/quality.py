@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 MAPPING_THRESHOLD = 0.75
 
 
+def settled(mean: Column, places: int) -> Column:
+    """A mean of doubles rounded half up, the same whatever the order of its partial sums.
+
+    Sums differ in the last bits by the order of addition; rounded to 9 places
+    first, as a decimal, ties come out alike.
+    """
+    return F.round(F.round(mean.cast("double"), 9).cast("decimal(38,9)"), places).cast("double")
+
+
 def score_stats(df: DataFrame, column: str = "confidence") -> DataFrame:
     """Mean, min and max rounded to 4 places, and the count; zeros for no rows."""
     c = F.col(column)
-    value = lambda a: F.coalesce(F.round(a, 4), F.lit(0.0))
+    value = lambda a: F.coalesce(settled(a, 4), F.lit(0.0))
     return df.agg(value(F.avg(c)).alias("mean"), value(F.min(c)).alias("min"), value(F.max(c)).alias("max"),
                   F.count(c).alias("count"))
 

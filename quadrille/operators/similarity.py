@@ -177,9 +177,12 @@ def canonical_iri(tenant: str | Column, ontology_class: Column, label: Column, s
 
 
 def resolve_entities(candidates: DataFrame, nodes: DataFrame, tenant: str, scheme: str = vocab.SCHEME,
-                     threshold: float = RESOLUTION_THRESHOLD, length: int = 64) -> DataFrame:
+                     threshold: float = RESOLUTION_THRESHOLD, length: int = 64, index=None) -> DataFrame:
     """Canonical IRI of each candidate: exact node, near node, or a new one.
 
+    With a stored ``index`` of the nodes (``vector_index.build`` with their IRIs and
+    classes) candidates visit only the cells of their class that can hold their nearest node.
+
     ``candidates``: ``label``, ``ontology_class``, nullable ``embedding``;
     ``nodes``: ``iri``, ``class`` (local name), ``embedding``. A candidate given
     with several embeddings is resolved with each, and its best hit counts.
@@ -197,9 +200,12 @@ def resolve_entities(candidates: DataFrame, nodes: DataFrame, tenant: str, schem
     vectors = named.join(rest.select("query"), "query", "left_semi").filter("embedding IS NOT NULL").select(
         F.concat("query", F.lit(":"), F.xxhash64("embedding").cast("string")).alias("query"), F.col("embedding").alias("vector"),
         local_name(F.col("ontology_class")).alias("class")).dropDuplicates(["query"])
-    near = nearest(
-        vectors,
-        nodes.select(F.col("iri").alias("node"), F.col("embedding").alias("vector"), "class"), 5, by_class=True)
+    if index is None:
+        near = nearest(vectors, nodes.select(F.col("iri").alias("node"), F.col("embedding").alias("vector"), "class"), 5, by_class=True)
+    else:
+        from quadrille.operators.vector_index import search as search_index
+
+        near = search_index(vectors, index, 1, by_class=True, exact=True)
     near = near.filter((F.col("rank") == 1) & (F.col("score") >= threshold))
     # Of equal scores the smaller IRI.
     hit = near.groupBy(F.substring_index("query", ":", 1).alias("query")).agg(F.min(F.struct((-F.col("score")).alias("s"), "node")).alias("b")).select(
@@ -238,7 +244,7 @@ def merge_confidence(iris: DataFrame, group: str, iri: str, prefix: str, exact:
 
     The ratio is ``edit_ratio``; ``exact`` asks for that of matching blocks, which runs in Python.
     """
-    from quadrille.operators.quality import canonical
+    from quadrille.operators.quality import canonical, settled
 
     best = canonical(iris.select(group, iri), group, iri, prefix)
     pairs = iris.select(group, iri).distinct().join(best, group).filter(F.col(iri) != F.col("canonical"))
@@ -246,7 +252,7 @@ def merge_confidence(iris: DataFrame, group: str, iri: str, prefix: str, exact:
     scored = pairs.withColumn("_r", ratio).groupBy(group).agg(F.avg("_r").alias("_mean"), F.count("*").alias("merged"))
     return best.join(scored, group, "left").select(
         group, "canonical", F.coalesce("merged", F.lit(0)).alias("merged"),
-        F.round(F.coalesce("_mean", F.lit(1.0)), 4).alias("confidence"))
+        settled(F.coalesce("_mean", F.lit(1.0)), 4).alias("confidence"))
 
 
 def words(col: Column) -> Column:

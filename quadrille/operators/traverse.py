@@ -33,26 +33,16 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame | None = None, reflexive: bool = False) -> DataFrame:
     """``p+`` (or ``p*``): all (src, tgt) with a path, and its shortest length.
 
-    ``seeds`` has a column ``src``; without it every source starts. Each round
-    extends only the pairs found in the last one and drops those already seen.
+    Without ``seeds`` every source starts and paths double: a shortest path of
+    n + 1 to 2 n links is one of n links and a shorter one, so the pairs at a distance of n meet all
+    pairs found so far, and a path of any length takes the logarithm of it in rounds.
+
+    ``seeds`` has a column ``src``. Then each round extends only the pairs found in the
+    last one; when this has not ended after ``PATIENCE`` rounds, stretches of nodes with one link in
+    and one out are replaced by one long link (found by doubling) and filled in at the end.
     """
     links = edges.select(F.col("src").alias("_mid"), F.col("tgt").alias("_next")).distinct()
-    if seeds is None:
-        frontier = links.select(F.col("_mid").alias("src"), F.col("_next").alias("tgt"))
-    else:
-        frontier = (seeds.select("src").distinct().join(links, F.col("src") == F.col("_mid"))
-                    .select("src", F.col("_next").alias("tgt")))
-    frontier = materialise(frontier.withColumn("depth", F.lit(1)), "reach")
-    found, depth = [frontier], 1
-    while not frontier.isEmpty():
-        depth += 1
-        step = (frontier.join(links, frontier["tgt"] == links["_mid"])
-                .select("src", F.col("_next").alias("tgt")).distinct()
-                .join(_union(found).select("src", "tgt"), ["src", "tgt"], "left_anti")
-                .withColumn("depth", F.lit(depth)))
-        frontier = materialise(step, "reach")
-        found.append(frontier)
-    result = _union(found)
+    result = _doubled(links) if seeds is None else _extended(links, seeds.select("src").distinct())
     if reflexive:
         own = (seeds.select("src") if seeds is not None
                else edges.select("src").union(edges.select(F.col("tgt").alias("src")))).distinct()
@@ -61,6 +51,101 @@ def reach(edges: DataFrame, seeds: DataFrame | None = None, reflexive: bool = Fa
     return result
 
 
+def _doubled(links: DataFrame) -> DataFrame:
+    """All pairs with a path, by doubling."""
+    found = [materialise(links.select(F.col("_mid").alias("src"), F.col("_next").alias("tgt"), F.lit(1).alias("depth")), "reach")]
+    length = 1
+    while True:
+        # A pair at a distance of ``length`` and a pair of any distance so far.
+        head = found[-1].filter(F.col("depth") == length).select("src", F.col("tgt").alias("_mid"))
+        tail = _union(found).select(F.col("src").alias("_mid"), "tgt", F.col("depth").alias("_rest"))
+        step = (head.join(tail, "_mid").groupBy("src", "tgt").agg((F.min("_rest") + length).cast("int").alias("depth"))
+                .join(_union(found).select("src", "tgt"), ["src", "tgt"], "left_anti"))
+        step = materialise(step, "reach")
+        if step.isEmpty():
+            return _union(found)
+        found.append(step)
+        length *= 2
+
+
+# Rounds of single links before long stretches are looked for.
+PATIENCE = 8
+
+
+def _extended(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Pairs reached from the seeds, link by link, or stretch by stretch where that takes long."""
+    frontier = materialise(seeds.join(links, F.col("src") == F.col("_mid"))
+                           .select("src", F.col("_next").alias("tgt"), F.lit(1).alias("depth")), "reach")
+    found = [frontier]
+    for depth in range(2, PATIENCE + 2):
+        if frontier.isEmpty():
+            return _union(found)
+        step = (frontier.join(links, frontier["tgt"] == links["_mid"])
+                .select("src", F.col("_next").alias("tgt")).distinct()
+                .join(_union(found).select("src", "tgt"), ["src", "tgt"], "left_anti")
+                .withColumn("depth", F.lit(depth)))
+        frontier = materialise(step, "reach")
+        found.append(frontier)
+    return _union(found) if frontier.isEmpty() else _by_stretches(materialise(links, "links"), seeds)
+
+
+def _stretches(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Inner nodes of stretches with the node before and after their stretch and the links to each: (node, head, up, end, down).
+
+    An inner node has one link in and one link out and is no seed. Pointers double until
+    they leave the stretch; rings of inner nodes cannot be reached and are left out.
+    """
+    into = links.groupBy(F.col("_next").alias("node")).agg(F.count("*").alias("n"), F.min("_mid").alias("head"))
+    out = links.groupBy(F.col("_mid").alias("node")).agg(F.count("*").alias("n"), F.min("_next").alias("end"))
+    single = into.filter("n = 1").drop("n").join(out.filter("n = 1").drop("n"), "node").filter("node <> head")
+    inner = single.join(seeds.select(F.col("src").alias("node")), "node", "left_anti")
+    state = materialise(inner.select("node", "head", F.lit(1).alias("up"), "end", F.lit(1).alias("down")), "stretch")
+    size = state.count()
+    done, span = [], 1
+    while True:
+        names = state.select("node")
+        back = state.select(F.col("node").alias("head"), F.col("head").alias("_h"), F.col("up").alias("_u"))
+        on = state.select(F.col("node").alias("end"), F.col("end").alias("_e"), F.col("down").alias("_d"))
+        step = (state.join(back, "head", "left").join(on, "end", "left").select(
+            "node", F.coalesce("_h", "head").alias("head"), (F.col("up") + F.coalesce("_u", F.lit(0))).alias("up"),
+            F.coalesce("_e", "end").alias("end"), (F.col("down") + F.coalesce("_d", F.lit(0))).alias("down"),
+            (F.col("_h").isNull() & F.col("_e").isNull()).alias("_done")))
+        step = materialise(step, "stretch")
+        if span > size or step.filter("NOT _done").isEmpty():
+            ended = step.drop("_done")
+            return (ended.join(names.select(F.col("node").alias("head")), "head", "left_anti")
+                    .join(names.select(F.col("node").alias("end")), "end", "left_anti").select("node", "head", "up", "end", "down"))
+        state, span = step.drop("_done"), span * 2
+
+
+def _by_stretches(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    inner = materialise(_stretches(links, seeds), "inner")
+    names = inner.select(F.col("node").alias("_next"))
+    direct = (links.join(names, "_next", "left_anti").join(inner.select(F.col("node").alias("_mid")), "_mid", "left_anti")
+              .select("_mid", "_next", F.lit(1).alias("length")))
+    long = inner.filter("up = 1").select(F.col("head").alias("_mid"), F.col("end").alias("_next"), (F.col("down") + 1).alias("length"))
+    outer = materialise(direct.unionByName(long).groupBy("_mid", "_next").agg(F.min("length").alias("length")), "outer")
+    # Shortest lengths over links of several lengths: what got shorter is extended again.
+    known = materialise(seeds.select("src", F.col("src").alias("tgt"), F.lit(0).alias("depth"), F.lit(True).alias("new")), "known")
+    while True:
+        more = (known.filter("new").join(outer, known["tgt"] == outer["_mid"])
+                .groupBy("src", F.col("_next").alias("tgt")).agg(F.min(F.col("depth") + F.col("length")).cast("int").alias("_d")))
+        # The way back to a seed is not its empty path, so it has a row of its own name.
+        old = known.select("src", "tgt", "depth")
+        known = materialise(old.join(more, ["src", "tgt"], "full").select(
+            "src", "tgt", F.least("depth", "_d").alias("depth"), (F.coalesce(F.col("_d") < F.col("depth"), F.col("depth").isNull())).alias("new")), "known")
+        if known.filter("new").isEmpty():
+            break
+    reached = known.select("src", "tgt", "depth")
+    inside = inner.join(reached.select("src", F.col("tgt").alias("head"), "depth"), "head").select(
+        "src", F.col("node").alias("tgt"), (F.col("depth") + F.col("up")).cast("int").alias("depth"))
+    # Back at a seed after at least one link.
+    back = (reached.join(outer, reached["tgt"] == outer["_mid"]).filter("_next = src")
+            .groupBy("src").agg(F.min(F.col("depth") + F.col("length")).cast("int").alias("depth"))
+            .select("src", F.col("src").alias("tgt"), "depth"))
+    return reached.filter("depth > 0").unionByName(inside).unionByName(back)
+
+
 def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 2, rel_types: Sequence[str] | None = None) -> DataFrame:
     """Edges within ``depth`` hops of each seed: (seed, src, rel, tgt, depth).
 

@@ -98,7 +98,7 @@ def _(t):
 
 
 @query("a5_score_statistics", """
-    SELECT ROUND(AVG(value / 500), 4) AS mean, ROUND(MIN(value / 500), 4) AS min, ROUND(MAX(value / 500), 4) AS max, COUNT(*) AS count
+    SELECT CAST(ROUND(CAST(ROUND(AVG(value / 500), 9) AS DECIMAL(38,9)), 4) AS DOUBLE) AS mean, CAST(ROUND(CAST(ROUND(MIN(value / 500), 9) AS DECIMAL(38,9)), 4) AS DOUBLE) AS min, CAST(ROUND(CAST(ROUND(MAX(value / 500), 9) AS DECIMAL(38,9)), 4) AS DOUBLE) AS max, COUNT(*) AS count
     FROM events""")
 def _(t):
     return K.score_stats(t.events.select((F.col("value") / 500).alias("confidence")))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from quadrille import vocab
 from quadrille.operators import quality as K
 from quadrille.operators import similarity as S
+from quadrille.operators import text_index as I
+from quadrille.operators import vector_index as X
 from quadrille.plans.registry import query
+from quadrille.session import scratch_path
 
 # The mean vector of each class, rounded so that both engines hold equal numbers.
 CENTRES_SQL = """centres AS (SELECT label, list(m ORDER BY i) AS v FROM (
@@ -61,6 +64,39 @@ def _(t):
     return S.nearest(queries, _nodes(t), 10, query_block=4)
 
 
+# Every 50th vector searches all vectors.
+PROBED_SQL = """
+    WITH s AS (SELECT q.vec_id AS query, e.vec_id AS node,
+        ROUND(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
+        FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0{same})
+    SELECT query, node, score, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank FROM s) WHERE rank <= 10"""
+
+
+def _index(t):
+    return X.build(_nodes(t), scratch_path(t.spark, "index"))
+
+
+def _probing(t):
+    return _nodes(t).filter("node % 50 = 0").withColumnRenamed("node", "query")
+
+
+@query("e2_vector_top_k_indexed", PROBED_SQL.format(same=""))
+def _(t):
+    return X.search(_probing(t), _index(t), 10, exact=True)
+
+
+@query("j9_nearest_in_class_indexed", PROBED_SQL.format(same=" AND e.label = q.label"))
+def _(t):
+    return X.search(_probing(t), _index(t), 10, by_class=True, exact=True)
+
+
+@query("e2_vector_index_recall", "SELECT COUNT(*) AS queries, TRUE AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def _(t):
+    found = X.search(_probing(t), _index(t), 10)
+    return X.recall(found, S.nearest(_probing(t), _nodes(t), 10)).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 IRI = "http://kg.example/vector/"
 RESOLVE_SQL = f"""
     WITH {CENTRES_SQL},
@@ -82,7 +118,7 @@ RESOLVE_SQL = f"""
     """
 
 
-def _resolved(t):
+def _candidates(t):
     """Known vectors by IRI, centres and coarse copies by neighbourhood, labelled documents as new."""
     cls = F.concat(F.lit("http://o/c"), "label")
     own = t.embeddings.select(F.concat(F.lit(IRI), "vec_id").alias("label"), cls.alias("ontology_class"), "embedding")
@@ -93,8 +129,15 @@ def _resolved(t):
         F.transform("v", lambda x: F.round(x.cast("double"), 2)).cast("array<float>").alias("embedding"))
     documents = t.labels.select(F.concat(F.lit("doc "), "doc_id").alias("label"), F.lit("http://o#doc").alias("ontology_class"),
                                 F.lit(None).cast("array<float>").alias("embedding"))
-    nodes = t.embeddings.select(F.concat(F.lit(IRI), "vec_id").alias("iri"), F.concat(F.lit("c"), "label").alias("class"), "embedding")
-    return S.resolve_entities(own.unionByName(centres).unionByName(copies).unionByName(documents), nodes, "acme")
+    return own.unionByName(centres).unionByName(copies).unionByName(documents)
+
+
+def _known(t):
+    return t.embeddings.select(F.concat(F.lit(IRI), "vec_id").alias("iri"), F.concat(F.lit("c"), "label").alias("class"), "embedding")
+
+
+def _resolved(t):
+    return S.resolve_entities(_candidates(t), _known(t), "acme")
 
 
 @query("e3_resolution_cascade", RESOLVE_SQL + "SELECT * FROM all_rows")
@@ -102,6 +145,13 @@ def _(t):
     return _resolved(t)
 
 
+@query("e3_resolution_indexed", RESOLVE_SQL + "SELECT * FROM all_rows")
+def _(t):
+    known = _known(t)
+    index = X.build(known.select(F.col("iri").alias("node"), F.col("embedding").alias("vector"), "class"), scratch_path(t.spark, "index"))
+    return S.resolve_entities(_candidates(t), known, "acme", index=index)
+
+
 @query("e4_canonical_iri", """
     SELECT c_custkey, 'kg://acme/entity/' || c_mktsegment || '/' || sha256(c_name) AS iri,
            'kg://acme/entity/' || c_mktsegment || '/' || left(sha256(c_name), 16) AS longer FROM customer""")
@@ -137,14 +187,15 @@ def _(t):
     WITH d AS (SELECT DISTINCT p_brand, p_name FROM part),
     c AS (SELECT p_brand, p_name AS canonical FROM d QUALIFY row_number() OVER (
         PARTITION BY p_brand ORDER BY NOT starts_with(p_name, 'red'), length(p_name), p_name) = 1)
-    SELECT p_brand, canonical, COUNT(r) AS merged, ROUND(coalesce(AVG(r), 1.0), 4) AS confidence FROM (
+    SELECT p_brand, canonical, COUNT(r) AS merged,
+        CAST(ROUND(CAST(ROUND(coalesce(AVG(r), 1.0), 9) AS DECIMAL(38,9)), 4) AS DOUBLE) AS confidence FROM (
         SELECT c.p_brand, canonical, CASE WHEN p_name <> canonical THEN 1 - levenshtein(lower(canonical), lower(p_name)) / greatest(length(canonical), length(p_name)) END AS r
         FROM c JOIN d ON d.p_brand = c.p_brand) GROUP BY 1, 2""")
 def _(t):
     return S.merge_confidence(t.part.select("p_brand", "p_name"), "p_brand", "p_name", "red")
 
 
-@query("e8_tfidf_similarity", r"""
+TFIDF_SQL = r"""
     WITH q AS (SELECT query, token, COUNT(*)::DOUBLE AS tf FROM (SELECT conv_id * 1000 + turn AS query,
                    unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM conversations) GROUP BY 1, 2),
     c AS (SELECT candidate, token, COUNT(*)::DOUBLE AS tf FROM (SELECT item_id AS candidate,
@@ -157,9 +208,12 @@ def _(t):
     full_c AS (SELECT p.query, p.candidate, c.tf, q.tf AS tq,
                       LN(n / (df + 1 + CASE WHEN q.token IS NULL THEN 0 ELSE 1 END)) + 1 AS i
                FROM pairs p JOIN c ON p.candidate = c.candidate JOIN d ON c.token = d.token
-               LEFT JOIN q ON q.query = p.query AND q.token = c.token, n)
-    SELECT f.query, candidate, ROUND(SUM(COALESCE(tq, 0) * tf * i * i) / (SQRT(ANY_VALUE(qn)) * SQRT(SUM(tf * tf * i * i))), 6) AS score
-    FROM full_c f JOIN qn ON f.query = qn.query GROUP BY 1, 2""")
+               LEFT JOIN q ON q.query = p.query AND q.token = c.token, n),
+    scores AS (SELECT f.query, candidate, SUM(COALESCE(tq, 0) * tf * i * i) / (SQRT(ANY_VALUE(qn)) * SQRT(SUM(tf * tf * i * i))) AS score
+        FROM full_c f JOIN qn ON f.query = qn.query GROUP BY 1, 2)"""
+
+
+@query("e8_tfidf_similarity", TFIDF_SQL + " SELECT query, candidate, ROUND(score, 6) AS score FROM scores")
 def _(t):
     return _turn_scores(t).withColumn("score", F.round("score", 6))
 
@@ -169,7 +223,18 @@ def _turns(t):
 
 
 def _turn_scores(t):
-    return S.tfidf_similarity(_turns(t), t.benchmark.select(F.col("item_id").alias("candidate"), "text"))
+    return S.tfidf_similarity(_turns(t), _items(t))
+
+
+def _items(t):
+    return t.benchmark.select(F.col("item_id").alias("candidate"), "text")
+
+
+@query("e8_top_k", TFIDF_SQL + """
+    SELECT query, candidate, ROUND(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query ORDER BY ROUND(score, 9) DESC, candidate) AS rank FROM scores) WHERE rank <= 3""")
+def _(t):
+    return I.top_k(_turns(t), _items(t), 3).withColumn("score", F.round("score", 6))
 
 
 @query("e9_jaccard", r"""
@@ -183,9 +248,15 @@ def _(t):
         "conv_id", "turn", S.jaccard(F.col("text"), F.col("reply")).alias("score"))
 
 
-@query("e10_class_alignment")
+@query("e10_class_alignment", TFIDF_SQL + """,
+    best AS (SELECT query, candidate, score FROM scores QUALIFY row_number() OVER (PARTITION BY query ORDER BY ROUND(score, 9) DESC, candidate) = 1)
+    SELECT conv_id * 1000 + turn AS query, CASE WHEN score >= 0.45 THEN candidate END AS matched, ROUND(coalesce(score, 0.0), 6) AS confidence,
+           CASE WHEN score >= 0.92 THEN 'exactMatch' WHEN score >= 0.8 THEN 'closeMatch' WHEN score >= 0.65 THEN 'broadMatch'
+                WHEN score >= 0.45 THEN 'relatedMatch' END AS match_type
+    FROM conversations LEFT JOIN best ON query = conv_id * 1000 + turn""")
 def _(t):
-    return S.align_classes(_turns(t), _turn_scores(t))
+    aligned = S.align_classes(_turns(t), I.top_k(_turns(t), _items(t), 1))
+    return aligned.withColumn("confidence", F.round("confidence", 6))
 
 
 @query("e10_vector_alignment", f"""
@@ -225,10 +296,11 @@ def _(t):
 
 
 @query("e12_mapping_statistics", """
-    SELECT value / 500 >= 0.75 AS accepted, COUNT(*) AS n, ROUND(AVG(value / 500), 4) AS mean FROM events GROUP BY 1""")
+    SELECT value / 500 >= 0.75 AS accepted, COUNT(*) AS n,
+        CAST(ROUND(CAST(ROUND(AVG(value / 500), 9) AS DECIMAL(38,9)), 4) AS DOUBLE) AS mean FROM events GROUP BY 1""")
 def _(t):
     m = K.accept_mappings(t.events.select((F.col("value") / 500).alias("confidence")))
-    return m.groupBy("accepted").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean"))
+    return m.groupBy("accepted").agg(F.count("*").alias("n"), K.settled(F.avg("confidence"), 4).alias("mean"))
 
 
 @query("e13_entity_search", r"""

@@ -280,3 +280,51 @@ def test_stars_over_tables_equal_joins_of_quads(spark):
         for graph in ("g1", "?g"):
             a, b = P.match(source, pattern, graph), P.match(stored, pattern, graph)
             assert rows(a, *sorted(a.columns)) == rows(b, *sorted(b.columns))
+
+
+def distances(edges, starts=None):
+    links, want = {}, set()
+    for s, t in edges:
+        links.setdefault(s, set()).add(t)
+    for start in starts if starts is not None else links:
+        depth, seen, frontier = 0, {}, {start}
+        while frontier:
+            depth += 1
+            frontier = {t for s in frontier for t in links.get(s, ())} - set(seen)
+            seen.update({t: depth for t in frontier})
+        want |= {(start, t, d) for t, d in seen.items()}
+    return want
+
+
+def rounds_of(monkeypatch):
+    made = []
+    own = V.materialise
+    monkeypatch.setattr(V, "materialise", lambda df, name="step": made.append(name) or own(df, name))
+    return made
+
+
+def test_long_paths_double(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(300)] + [(300, 250), (7, 90)]
+    made = rounds_of(monkeypatch)
+    got = {tuple(r) for r in V.reach(spark.createDataFrame(edges, "src int, tgt int")).collect()}
+    assert got == distances(edges)
+    assert made.count("reach") <= 11
+
+
+def test_seeds_cross_long_stretches_in_few_rounds(spark, monkeypatch):
+    # A chain of 10,000 links with a shortcut, a side branch, a way back to the seed, and a ring nobody reaches.
+    edges = [(i, i + 1) for i in range(10_000)] + [(40, 6000), (2000, -1), (-1, -2), (-2, -3), (10_000, 0)] + [(-10 - i, -10 - (i + 1) % 9) for i in range(9)]
+    made = rounds_of(monkeypatch)
+    got = {tuple(r) for r in V.reach(spark.createDataFrame(edges, "src int, tgt int"), spark.createDataFrame([(0,), (5,), (77_777,)], "src int")).collect()}
+    assert got == distances(edges, [0, 5])
+    assert made.count("stretch") <= 16 and len(made) < 45
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_seeded_stretches_by_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(V, "PATIENCE", 1)
+    rng = random.Random(seed)
+    edges = [(i, i + 1) for i in range(60) if rng.random() < 0.95] + [(rng.randrange(60), rng.randrange(60)) for _ in range(6)]
+    seeds = rng.sample(range(60), 3)
+    got = {tuple(r) for r in V.reach(spark.createDataFrame(edges, "src int, tgt int"), spark.createDataFrame([(s,) for s in seeds], "src int")).collect()}
+    assert got == distances(edges, seeds)
