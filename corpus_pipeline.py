@@ -16,6 +16,9 @@ from quadrille.plans.registry import table
 from quadrille.session import materialise
 
 
+BLOCK_CHARS = 1 << 21
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -42,7 +45,8 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token ids of each document, and whether they decode to its text."""
     path = public_tokenizers.path(RANKS)
     kept = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "text")
-    decoded = byte_bpe.decode(byte_bpe.encode(kept, path), path)
+    # Small blocks: workers and heaps of this stage have grown in the stages before.
+    decoded = byte_bpe.decode(byte_bpe.encode(kept, path, block_chars=BLOCK_CHARS), path)
     return decoded.select("row.doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
                           (F.sha2("decoded", 256) == F.col("row.text_sha256")).alias("round_trip"))
 

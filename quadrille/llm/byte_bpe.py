@@ -37,7 +37,9 @@ from quadrille.llm.pretokens import pattern
 BLOCK_CHARS = 1 << 23
 SLICE = 1 << 20
 # Distinct words a task remembers while it encodes lists.
-MEMORY = 1_000_000
+MEMORY = 250_000
+# Documents in one batch of a block that is put together.
+BATCH_ROWS = 256
 
 
 @lru_cache(maxsize=2)
@@ -241,7 +243,8 @@ def _assemble(path: str):
         np.cumsum(counts[places], out=done[1:])
         offsets = done[np.r_[0, np.cumsum(lengths, dtype=np.int64)]].astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, pa.int32()))
-        return pa.table({"row": rows.combine_chunks(), "ids": ids})
+        whole = pa.table({"row": rows.combine_chunks(), "ids": ids})
+        return pa.Table.from_batches(whole.to_batches(max_chunksize=BATCH_ROWS), whole.schema)
 
     return run
 
