@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +18,25 @@ CLEARANCES = ("public", "internal", "confidential", "restricted", "top_secret")
 HIGH = ("restricted", "top_secret")
 
 
+# Up to so many rules are one expression; more are a table.
+INLINE_RULES = 200
+
+
 def decide(requests: DataFrame, rules: Sequence[tuple[str, str | None, str | None]]) -> DataFrame:
     """Adds ``allow`` to requests with ``role``, ``action`` and ``context``.
 
     A rule is (role, action, context), None allowing any; what no rule allows is
-    denied. The rules become one row per role, so a request is matched once and
-    never multiplied, and a missing role is a denial.
+    denied. The caller's rules are a condition on the request itself, in the same pass as
+    whatever reads it; a long list becomes one row per role, so a request is matched
+    once and never multiplied. A missing role is a denial.
     """
-    table = requests.sparkSession.createDataFrame(list(rules), "role string, _action string, _context string")
+    rules = sorted(set(rules), key=repr)
+    if len(rules) <= INLINE_RULES:
+        each = [reduce(Column.__and__, [F.col(name) == value for name, value in zip(("role", "action", "context"), rule, strict=True)
+                                        if value is not None or name == "role"]) for rule in rules]
+        allowed = reduce(Column.__or__, each, F.lit(False))
+        return requests.withColumn("allow", F.coalesce(allowed, F.lit(False)))
+    table = requests.sparkSession.createDataFrame(rules, "role string, _action string, _context string")
     per_role = table.groupBy("role").agg(F.collect_list(F.struct("_action", "_context")).alias("_rules"))
     hit = F.exists("_rules", lambda r: (r["_action"].isNull() | (r["_action"] == F.col("action")))
                    & (r["_context"].isNull() | (r["_context"] == F.col("context"))))

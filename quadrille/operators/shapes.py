@@ -19,6 +19,7 @@ from quadrille.functions.columns import quoted, spark_type
 from quadrille.operators.metrics import EntitySpec
 from quadrille.operators.traverse import edges_of, reach
 from quadrille.operators.triples import QuadSource, explode_quads, of_predicates, quad
+from quadrille.session import scratch_path
 from quadrille.vocab import TYPE
 
 STRING = vocab.XSD + "string"
@@ -113,46 +114,90 @@ def _values(quads: QuadSource, shapes: Sequence[Shape], with_subclasses: bool) -
     return reduce(DataFrame.unionByName, parts)
 
 
-def validate(quads: QuadSource, shapes: Sequence[Shape], with_subclasses: bool = True) -> DataFrame:
+def _outcomes(rows: DataFrame, keys: Sequence[str], outcomes: Sequence[tuple[int, str, Column]]) -> DataFrame:
+    """``keys``, _shape and component of each (shape, component, condition) that holds.
+
+    Rows where none holds go before arrays are made of the rest.
+    """
+    hits = [F.when(c, F.struct(F.lit(i).alias("_shape"), F.lit(component).alias("component"))) for i, component, c in outcomes]
+    some = rows.filter(reduce(Column.__or__, [c for _, _, c in outcomes]))
+    return some.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("_o")).select(*keys, "_o.*")
+
+
+def _read_once(quads: QuadSource, shapes: Sequence[Shape], with_subclasses: bool) -> DataFrame:
+    """The quads that the shapes ask for, written by predicate to the shared folder.
+
+    Types, values and counts each read their own folders of it; the source, which
+    may build its quads from other tables, is read once.
+    """
+    wanted = sorted({s.path for s in shapes} | {TYPE} | ({vocab.SUBCLASS} if with_subclasses else set()))
+    columns = ["subject", "predicate", "object", "object_kind", "datatype", "lang"]
+    rows = of_predicates(quads, wanted).select(*columns)
+    path = scratch_path(rows.sparkSession, "shapes")
+    rows.write.partitionBy("predicate").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).select(*columns)
+
+
+def validate(quads: QuadSource, shapes: Sequence[Shape], with_subclasses: bool = True, store: bool = True) -> DataFrame:
     """One row per violation: focus, path, value, shape, component, message, severity.
 
     Values are checked where they are read, and only failing ones are joined to
     the focus nodes. Of the others the joins see one count per focus node and
     path, so a node with a large part of all values is one row.
+
+    ``store=False`` reads the source anew for types, values and counts; right for quads stored by predicate.
     """
+    if store and shapes:
+        quads = _read_once(quads, shapes, with_subclasses)
     named = [s.shape or s.target_class.rsplit("/", 1)[-1].rsplit("#", 1)[-1] + "Shape" for s in shapes]
-    # Focus nodes with the numbers of their shapes; as many entries as the caller wrote shapes.
-    numbers = {c: F.array(*[F.lit(i) for i, s in enumerate(shapes) if s.target_class == c]) for c in sorted({s.target_class for s in shapes})}
-    own = reduce(lambda col, c: F.when(F.col("class") == c, numbers[c]).otherwise(col), numbers, F.array().cast("array<int>"))
-    focus = focus_nodes(quads, list(numbers), with_subclasses).select("focus", F.explode(own).alias("_shape"))
+    classes = sorted({s.target_class for s in shapes})
+    focus = focus_nodes(quads, classes, with_subclasses)
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_shape") + 1)
 
     checked = [i for i, s in enumerate(shapes) if _failed_checks(s)]
     counted = [i for i, s in enumerate(shapes) if s.min_count or s.max_count is not None]
+    # None, one or several values decide most bounds; only others need to know how many.
+    few = [i for i in counted if (shapes[i].min_count or 0) <= 1 and (shapes[i].max_count is None or shapes[i].max_count <= 1)]
+    many = [i for i in counted if i not in few]
+    columns = ["focus", "path", "value", "_shape", "component"]
     parts = []
     if checked:
+        at = {i: F.col("path") == shapes[i].path for i in checked}
+        outcomes = [(i, component, at[i] & failed) for i in checked for component, failed in _failed_checks(shapes[i])]
+        failing = (_outcomes(_values(quads, [shapes[i] for i in checked], with_subclasses), ["focus", "path", "value"], outcomes)
+                   .distinct().withColumn("class", of([s.target_class for s in shapes])))
+        parts.append(failing.join(focus, ["focus", "class"]).select(*columns))
+    no_class = lambda chosen: [replace(shapes[i], node_class=None) for i in chosen]
+    # A value stated in two graphs is one value.
+    term = F.xxhash64("value", "object_kind", "datatype", "lang")
+    if few:
+        paths = sorted({shapes[i].path for i in few})
+        own = [F.when(F.col("path") == p, F.col("_term")) for p in paths]
+        spans = [c for k, v in enumerate(own) for c in (F.min(v).alias(f"_low{k}"), F.max(v).alias(f"_high{k}"))]
+        # One row per node, however many values it has, and one shuffle.
+        stated = _values(quads, no_class(few), with_subclasses).select("focus", "path", term.alias("_term")).groupBy("focus").agg(*spans)
         outcomes = []
-        for i in checked:
-            at = F.col("path") == shapes[i].path
-            outcomes += [F.when(at & failed, F.struct(F.lit(i).alias("_shape"), F.lit(component).alias("component")))
-                         for component, failed in _failed_checks(shapes[i])]
-        failing = (_values(quads, [shapes[i] for i in checked], with_subclasses)
-                   .select("focus", "path", "value", F.explode(F.array_compact(F.array(*outcomes))).alias("_o"))
-                   .select("focus", "path", "value", "_o.*").distinct())
-        parts.append(failing.join(focus.filter(F.col("_shape").isin(checked)), ["focus", "_shape"]).select("focus", "path", "value", "_shape", "component"))
-    if counted:
-        # A value stated in two graphs is one value.
-        terms = _values(quads, [replace(shapes[i], node_class=None) for i in counted], with_subclasses)
-        counts = terms.groupBy("focus", "path").agg(F.count_distinct(F.xxhash64("value", "object_kind", "datatype", "lang")).alias("_n"))
-        of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_shape") + 1)
-        wanted = focus.filter(F.col("_shape").isin(counted)).withColumn("path", of([s.path for s in shapes]))
+        for i in few:
+            k, mine = paths.index(shapes[i].path), F.col("class") == shapes[i].target_class
+            if shapes[i].min_count:
+                outcomes.append((i, "minCount", mine & F.col(f"_low{k}").isNull()))
+            if shapes[i].max_count is not None:
+                over = F.col(f"_low{k}") < F.col(f"_high{k}") if shapes[i].max_count else F.col(f"_low{k}").isNotNull()
+                outcomes.append((i, "maxCount", mine & F.coalesce(over, F.lit(False))))
+        found = _outcomes(focus.join(stated, "focus", "left"), ["focus"], outcomes)
+        parts.append(found.withColumn("path", of([s.path for s in shapes])).withColumn("value", F.lit(None).cast("string")).select(*columns))
+    if many:
+        counts = (_values(quads, no_class(many), with_subclasses).groupBy("focus", "path").agg(F.count_distinct(term).alias("_n")))
+        numbers = {c: F.array(*[F.lit(i) for i in many if shapes[i].target_class == c]) for c in {shapes[i].target_class for i in many}}
+        own = reduce(lambda col, c: F.when(F.col("class") == c, numbers[c]).otherwise(col), numbers, F.array().cast("array<int>"))
+        wanted = focus.select("focus", F.explode(own).alias("_shape")).withColumn("path", of([s.path for s in shapes]))
         n = F.coalesce("_n", F.lit(0))
         least, most = of([s.min_count or 0 for s in shapes]), of([2 ** 62 if s.max_count is None else s.max_count for s in shapes])
         component = F.when(n < least, "minCount").when(n > most, "maxCount")
-        # The size estimate of exploded quads is wrong, so no broadcast is chosen by it.
-        parts.append(wanted.join(counts.hint("merge"), ["focus", "path"], "left").withColumn("component", component).filter("component IS NOT NULL")
-                     .select("focus", "path", F.lit(None).cast("string").alias("value"), "_shape", "component"))
+        parts.append(wanted.join(counts, ["focus", "path"], "left").withColumn("component", component).filter("component IS NOT NULL")
+                     .withColumn("value", F.lit(None).cast("string")).select(*columns))
     if not parts:
-        parts = [focus.select("focus", F.lit("").alias("path"), F.lit("").alias("value"), "_shape", F.lit("").alias("component")).limit(0)]
+        parts = [focus.select("focus", F.lit("").alias("path"), F.lit("").alias("value"), F.lit(0).alias("_shape"), F.lit("").alias("component")).limit(0)]
     text = lambda values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), F.col("_shape") + 1)
     message = F.coalesce(text([s.message for s in shapes]), F.concat(F.lit("constraint "), "component", F.lit(" not met on "), "path"))
     return reduce(DataFrame.unionByName, parts).select(
