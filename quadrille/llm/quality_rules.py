@@ -157,7 +157,7 @@ def path(fit: DataFrame, steps: int = STEPS) -> DataFrame:
 def step_of(steps: int = STEPS) -> Column:
     """The first step of the path on which any rule rejects; ``steps`` + 1: none."""
     def first(signal: str) -> Column:
-        return F.coalesce(F.size(F.filter(f"cut_{signal}", lambda c: c > F.col(signal))), F.lit(steps + 1))
+        return F.coalesce(F.array_size(F.filter(f"cut_{signal}", lambda c: c > F.col(signal))), F.lit(steps + 1))
 
     return F.least(*map(first, SIGNALS))
 
@@ -186,7 +186,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", quality:
     worst = (labels.filter(F.col(quality).isin(0, 1)).groupBy(F.col(doc_id).alias("labelled"))
              .agg((F.min(quality) == 1).alias("good")))
     labelled = measured.join(worst, F.col(f"row.{doc_id}") == F.col("labelled")).select("stratum", "good", *SIGNALS, fits(F.col("labelled")).alias("fit"))
-    cuts = path(labelled.filter("fit"))
+    # A row per stratum: written, so that the planner sees how small it is and moves no rows to it.
+    cuts = materialise(path(labelled.filter("fit")), "path")
     holdout = labelled.filter("NOT fit AND good").join(cuts, "stratum", "left").select("stratum", step_of().alias("step"))
     chosen = chosen_steps(holdout, limit=limit, risk=risk)
     # One row per stratum and narrow: small enough for any table whose strata are languages or sources, and left to the planner if not.
