@@ -42,17 +42,13 @@ def spark_type(declared: str) -> str:
 def plain_number(col: Column) -> Column:
     """A number, or the text of one, in full: every digit it has, no exponent."""
     text = F.upper(F.trim(col.cast("string")))
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    mantissa = F.regexp_extract(text, r"^[+-]?([0-9]*\.?[0-9]*)E", 1)
-    whole, part = F.substring_index(mantissa, ".", 1), F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
-    exponent = F.regexp_extract(text, r"E([+-]?[0-9]+)$", 1).try_cast("int")
-    # Places before the point once it has moved.
-    digits, at = F.concat(whole, part), F.length(whole) + exponent
-    n = F.length(digits)
-    moved = (F.when(at <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits))
-             .when(at >= n, F.concat(digits, F.repeat(F.lit("0"), at - n), F.lit(".0")))
-             .otherwise(F.concat(F.substring(digits, F.lit(1), at), F.lit("."), F.substring(digits, at + 1, n))))
-    return F.when(text.contains("E"), F.concat(sign, moved)).otherwise(col.cast("string"))
+    # Sign, digits before and after the point, exponent.
+    part = F.split(F.regexp_replace(text, r"^([+-]?)([0-9]*)\.?([0-9]*)E([+-]?[0-9]+)$", "$1,$2,$3,$4"), ",")
+    digits, at = F.concat(F.get(part, F.lit(1)), F.get(part, F.lit(2))), F.length(F.get(part, F.lit(1))) + F.get(part, F.lit(3)).try_cast("int")
+    # With a zero where none is before or behind the point once it has moved. Little code: it is part of every cell.
+    full = F.concat(F.repeat(F.lit("0"), 1 - at), digits, F.repeat(F.lit("0"), at - F.length(digits) + 1))
+    moved = F.overlay(full, F.lit("."), F.greatest(at, F.lit(1)) + 1, F.lit(0))
+    return F.when(text.contains("E"), F.concat(F.replace(F.get(part, F.lit(0)), F.lit("+"), F.lit("")), moved)).otherwise(col.cast("string"))
 
 
 def iso_time(col: Column) -> Column:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrille import vocab
-from quadrille.functions.columns import iso_time
+from quadrille.functions.columns import iso_time, quoted
 from quadrille.operators import patterns as P
 from quadrille.operators.quality import page
 from quadrille.operators.traverse import reach
 from quadrille.operators.triples import QuadSource, explode_quads, of_predicates, quad
+from quadrille.session import materialise
 from quadrille.vocab import PROV, TYPE, XSD
 
 CONTEXT = {"prov": PROV, "xsd": XSD, "kg": vocab.ONTOLOGY}
@@ -300,6 +302,52 @@ def reference_profile(df: DataFrame, column: str, target: DataFrame, target_colu
         F.lit(name).alias("name"), "values", "missing", (F.col("missing") == 0).alias("included"))
 
 
+def discovered_references(tables: Mapping[str, DataFrame], keys_only: bool = True) -> DataFrame:
+    """(dependent, referenced, values): every pair of columns where the values of one are all among those of the other.
+
+    All tables are explored at once by an inverted list: each value of a column (whole
+    numbers and texts; long texts by their digest) is grouped with the columns that hold it, in one shuffle.
+    Values with the same set of columns then count together, and a pair is an
+    inclusion if it shares all values of the dependent column. Sets are as long as there are columns.
+    With ``keys_only`` the referenced column has no value twice.
+    """
+    parts, names, numbers = [], [], []
+    for table, df in tables.items():
+        cells = []
+        for f in df.schema.fields:
+            kind = "number" if isinstance(f.dataType, T.IntegralType) else "text" if isinstance(f.dataType, T.StringType) else None
+            if kind is None:
+                continue
+            value = quoted(f.name).cast("string")
+            if kind == "text":
+                value = F.when(F.length(value) > 64, F.sha2(value, 256)).otherwise(value)
+            cells.append(F.struct(F.lit(len(names)).alias("column"), F.lit(kind).alias("kind"), value.alias("value")))
+            names.append(f"{table}.{f.name}")
+        if cells:
+            # Each value once per column and task goes on.
+            counted = df.select(F.inline(F.array(*cells))).filter("value IS NOT NULL").groupBy("column", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+            parts.append(counted)
+    if not parts:
+        raise ValueError("no column of whole numbers or text")
+    spark = parts[0].sparkSession
+    listed = spark.createDataFrame(list(enumerate(names)), "column int, name string")
+    values = reduce(DataFrame.unionByName, parts)
+    # One row per value, then one per set of columns that occurs.
+    held = values.groupBy("kind", "value").agg(F.array_sort(F.collect_list("column")).alias("columns"),
+                                               F.collect_list(F.when(F.col("n") > 1, F.col("column"))).alias("repeated"))
+    sets = held.groupBy("columns", F.array_sort("repeated").alias("repeated")).agg(F.count(F.lit(1)).alias("n"))
+    sets = materialise(sets, "value-sets")
+    each = sets.select("n", "columns", F.explode("columns").alias("a"))
+    total = each.groupBy("a").agg(F.sum("n").alias("values"))
+    shared = each.select("n", "a", F.explode("columns").alias("b")).filter("a <> b").groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    found = shared.join(total, "a").filter(F.col("shared") == F.col("values"))
+    if keys_only:
+        found = found.join(sets.select(F.explode("repeated").alias("b")).distinct(), "b", "left_anti")
+    of = lambda c: listed.select(F.col("column").alias(c), F.col("name").alias(f"_{c}"))
+    return found.join(F.broadcast(of("a")), "a").join(F.broadcast(of("b")), "b").select(
+        F.col("_a").alias("dependent"), F.col("_b").alias("referenced"), "values")
+
+
 def service_indicators(requests: DataFrame, time: str = "ts", window: str = "5 minutes", slide: str | None = None,
                        max_error_rate: float = 0.05, min_hit_rate: float = 0.7) -> DataFrame:
     """Per window: requests, error rate, cache hit ratio, ingestion throughput, alert flags.

@@ -169,12 +169,12 @@ def distinct_mentions(extractions: DataFrame, key: str) -> DataFrame:
 
     Ungrounded extractions have no place and all stay.
     """
-    rest = [c for c in extractions.columns if c not in (key, "extraction_type", "ontology_class", "char_interval", "text_span")]
-    grounded = extractions.filter("char_interval IS NOT NULL")
-    once = grounded.groupBy(key, "extraction_type", "ontology_class", "char_interval", "text_span").agg(
-        F.min_by(F.struct(*rest), "chunk_index").alias("_rest"))
-    once = once.select(key, "extraction_type", "ontology_class", "char_interval", "text_span", "_rest.*").select(*extractions.columns)
-    return once.unionByName(extractions.filter("char_interval IS NULL"))
+    names = [key, "extraction_type", "ontology_class", "char_interval", "text_span"]
+    rest = [c for c in extractions.columns if c not in names]
+    # What has no place gets a number of its own, so that one pass over the texts serves both.
+    own = F.when(F.col("char_interval").isNull(), F.monotonically_increasing_id())
+    once = extractions.withColumn("_own", own).groupBy(*names, "_own").agg(F.min_by(F.struct(*rest), "chunk_index").alias("_rest"))
+    return once.select(*names, "_rest.*").select(*extractions.columns)
 
 
 def confidence_gate(extractions: DataFrame, confidence_threshold: float = 0.5) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAPPING_THRESHOLD = 0.75
@@ -69,3 +69,38 @@ def page(df: DataFrame, time: str, tie: str, limit: int = 50, offset: int = 0) -
     if not 0 < limit <= 500:
         raise ValueError("limit must be between 1 and 500")
     return df.orderBy(F.desc(time), F.desc(tie)).offset(offset).limit(limit)
+
+
+def page_index(df: DataFrame, time: str, grain: str = "day") -> DataFrame:
+    """(start, rows, before): how many rows each range of the time has and how many newer ones there are.
+
+    As many rows as ranges; write it beside the table. Rows without a time are the last range.
+    """
+    counts = df.groupBy(F.date_trunc(grain, time).cast(df.schema[time].dataType).alias("start")).agg(F.count(F.lit(1)).alias("rows"))
+    newest = Window.orderBy(F.desc_nulls_last("start"))
+    return counts.withColumn("before", F.sum("rows").over(newest) - F.col("rows"))
+
+
+def seek_page(df: DataFrame, index: DataFrame, time: str, tie: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    """The page that ``page`` returns, from the one or few ranges of ``index`` that hold it.
+
+    The rows before them are neither read nor sorted: the bounds are conditions on the time column, which reach the scan.
+    """
+    if not 0 < limit <= 500:
+        raise ValueError("limit must be between 1 and 500")
+    held = index.filter((F.col("before") < offset + limit) & (F.col("before") + F.col("rows") > offset))
+    # One row: the bounds and how many rows of the first range to pass over.
+    low, high, nulls, before = held.agg(F.min("start"), F.max("start"), F.count_if(F.col("start").isNull()) > 0, F.min("before")).first()
+    if before is None:
+        return df.limit(0)
+    kind = df.schema[time].dataType
+    # The range after the newest one bounds it from above.
+    above = index.filter(F.col("start") > F.lit(high).cast(kind)).agg(F.min("start")).first()[0] if high is not None else None
+    inside = F.lit(False)
+    if low is not None:
+        inside = F.col(time) >= F.lit(low).cast(kind)
+        if above is not None:
+            inside = inside & (F.col(time) < F.lit(above).cast(kind))
+    if nulls:
+        inside = inside | F.col(time).isNull()
+    return df.filter(inside).orderBy(F.desc_nulls_last(time), F.desc(tie)).offset(offset - before).limit(limit)

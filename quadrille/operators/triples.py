@@ -120,7 +120,10 @@ def explode_quads(df: DataFrame, quads: Sequence[Column], keep: Sequence[str] =
     if not quads:
         empty = [F.lit(None).cast("string").alias(c) for c in QUAD_COLUMNS]
         return df.limit(0).select(*keep, *empty)
-    return df.select(*keep, F.inline(F.array(*quads))).filter("subject IS NOT NULL AND object IS NOT NULL")
+    # Quads are made in a projection of their own: together with the generator they are more code than is compiled.
+    names = [f"_q{i}" for i in range(len(quads))]
+    made = df.select(*keep, *[q.alias(n) for q, n in zip(quads, names, strict=True)])
+    return made.select(*keep, F.inline(F.array(*names))).filter("subject IS NOT NULL AND object IS NOT NULL")
 
 
 def rows_to_triples(df: DataFrame, mapping: RowMapping, graph: str | None = None,

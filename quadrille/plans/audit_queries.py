@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import columns as C
 from quadrille.operators import audit as A
 from quadrille.plans.kg import ONT, RES
-from quadrille.plans.registry import query
+from quadrille.plans.registry import SCHEMAS, query
 from quadrille.vocab import PROV, TYPE, XSD
 
 
@@ -307,6 +307,26 @@ def _(t):
         A.reference_profile(t.events, "user_id", t.supplier, "s_suppkey", "events.user_id"))
 
 
+NUMBERS = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"],
+           "part": ["p_partkey", "p_size"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+           "events": ["event_id", "user_id"], "documents": ["doc_id", "n_chars"], "embeddings": ["vec_id", "label"], "pages": ["page_id"],
+           "benchmark": ["item_id"], "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn"]}
+TEXTS = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"],
+         "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"],
+         "documents": ["text", "lang", "source"], "pages": ["url", "html"], "benchmark": ["text"], "conversations": ["role", "text"]}
+CELLS_SQL = " UNION ALL ".join(f"SELECT '{t}.{c}' AS c, '{k}' AS k, CAST({c} AS VARCHAR) AS v, COUNT(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 3"
+                               for k, columns in (("number", NUMBERS), ("text", TEXTS)) for t, names in columns.items() for c in names)
+
+
+@query("l14_discovered_references", f"""
+    WITH cells AS ({CELLS_SQL}), total AS (SELECT c, COUNT(*) AS d, MAX(n) AS most FROM cells GROUP BY 1)
+    SELECT x.c AS dependent, y.c AS referenced, COUNT(*) AS "values" FROM cells x JOIN cells y ON x.k = y.k AND x.v = y.v AND x.c <> y.c
+    JOIN total tx ON tx.c = x.c JOIN total ty ON ty.c = y.c AND ty.most = 1 GROUP BY x.c, y.c, tx.d HAVING COUNT(*) = tx.d""")
+def _(t):
+    # Every column of whole numbers or text of every table at once.
+    return A.discovered_references({name: t[name] for name in SCHEMAS})
+
+
 def indicators(t):
     e = F.col("event_type")
     return t.events.select("ts", (e == "error").alias("is_error"), (e == "click").alias("is_hit"), (e == "view").alias("is_miss"),

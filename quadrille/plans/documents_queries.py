@@ -259,7 +259,7 @@ def _(t):
     UNION ALL SELECT '{ONT}charStart', COUNT(*) FROM (SELECT DISTINCT extraction_type, text_span, place FROM ({PLACES_SQL}))
     UNION ALL SELECT '{ONT}charEnd', COUNT(*) FROM (SELECT DISTINCT extraction_type, text_span, place + length(text_span) FROM ({PLACES_SQL}))""")
 def _(t):
-    run = D.document_run(spread(t.documents), "doc_id", CLASSES, DOC_RULES, job_id="job-1")
+    run = D.document_run(spread(t.documents), "doc_id", CLASSES, DOC_RULES, job_id="job-1", store=True)
     return run["triples"].groupBy("predicate").agg(F.count("*").alias("triples"))
 
 

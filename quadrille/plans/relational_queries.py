@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quadrille.operators import quality as K
+from quadrille.operators import sketches as H
 from quadrille.plans.registry import query
+from quadrille.session import materialise, scratch_path
 
 
 @query("j1_inner_join", """
@@ -97,6 +99,36 @@ def _(t):
     return both.select("l_returnflag", "exact", (F.abs(F.col("parts") - F.col("exact")) <= 0.08 * F.col("exact")).alias("near"))
 
 
+def _grain_sql(grain):
+    return f"""SELECT '{grain}' AS grain, CAST(date_trunc('{grain}', l_shipdate) AS DATE) AS period, l_returnflag AS flag, COUNT(*) AS "rows",
+        CAST(SUM(CAST(l_quantity AS DECIMAL(38,6))) AS DOUBLE) AS quantity, COUNT(DISTINCT l_partkey) AS parts, TRUE AS near_parts, TRUE AS near_median
+        FROM lineitem GROUP BY 1, 2, 3"""
+
+
+@query("a4_grains_from_sketches", " UNION ALL ".join(map(_grain_sql, ("month", "year"))))
+def _(t):
+    # Counts, sums, distinct counts and medians by month and year from one stored row per day and flag.
+    path = scratch_path(t.spark, "state")
+    state = H.daily_state(t.lineitem, "l_shipdate", ["l_returnflag"], ["l_quantity"], ["l_partkey"], ["l_extendedprice"])
+    H.add_load(state, path, "all")
+    state = H.read_state(t.spark, path)
+    parts = []
+    for grain in ("month", "year"):
+        rolled = H.roll_up(state, grain, ["l_returnflag"])
+        # What the estimates are held against.
+        own = t.lineitem.withColumn("period", F.date_trunc(grain, "l_shipdate").cast("date"))
+        exact = own.groupBy("period", "l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"))
+        below = own.join(rolled.select("period", "l_returnflag", F.col("percentiles_l_extendedprice")[0].alias("median")), ["period", "l_returnflag"])
+        place = below.groupBy("period", "l_returnflag").agg(F.avg((F.col("l_extendedprice") < F.col("median")).cast("int")).alias("low"),
+                                                            F.avg((F.col("l_extendedprice") <= F.col("median")).cast("int")).alias("high"))
+        both = rolled.join(exact, ["period", "l_returnflag"]).join(place, ["period", "l_returnflag"])
+        parts.append(both.select(
+            F.lit(grain).alias("grain"), "period", F.col("l_returnflag").alias("flag"), "rows", F.col("sum_l_quantity").cast("double").alias("quantity"), "parts",
+            (F.abs(F.col("distinct_l_partkey") - F.col("parts")) <= 0.06 * F.col("parts") + 1).alias("near_parts"),
+            ((F.col("low") <= 0.54) & (F.col("high") >= 0.46)).alias("near_median")))
+    return parts[0].unionByName(parts[1])
+
+
 @query("a5_score_statistics", """
     SELECT CAST(ROUND(CAST(ROUND(AVG(value / 500), 9) AS DECIMAL(38,9)), 4) AS DOUBLE) AS mean, CAST(ROUND(CAST(ROUND(MIN(value / 500), 9) AS DECIMAL(38,9)), 4) AS DOUBLE) AS min, CAST(ROUND(CAST(ROUND(MAX(value / 500), 9) AS DECIMAL(38,9)), 4) AS DOUBLE) AS max, COUNT(*) AS count
     FROM events""")
@@ -200,6 +232,17 @@ def _(t):
     return K.page(t.events.select("event_id", "ts", "event_type"), "ts", "event_id", limit=50, offset=100)
 
 
+@query("o2_deep_page", """
+    SELECT event_id, ts, event_type FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n, COUNT(*) OVER () AS total FROM events)
+    WHERE n > total * 9 // 10 AND n <= total * 9 // 10 + 50""")
+def _(t):
+    # A page far down: found by counts per day, read from the days that hold it.
+    rows = t.events.select("event_id", "ts", "event_type")
+    index = materialise(K.page_index(rows, "ts"), "pages")
+    total = index.agg(F.sum("rows")).first()[0]
+    return K.seek_page(rows, index, "ts", "event_id", limit=50, offset=total * 9 // 10)
+
+
 @query("u1_bag_union", """
     SELECT s_nationkey AS nation, 'supplier' AS kind, s_acctbal AS balance FROM supplier
     UNION ALL SELECT c_nationkey, 'customer', c_acctbal FROM customer""")

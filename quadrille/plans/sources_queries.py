@@ -38,6 +38,29 @@ def _(t):
     return tables.page_records(t.events.select(body.alias("value")), "event_id: bigint, event_type: string, value: double")
 
 
+@query("s4_unreadable_pages", """
+    SELECT CASE event_type WHEN 'error' THEN 'no json' ELSE 'no list' END AS fault, COUNT(*) AS pages FROM events
+    WHERE event_type IN ('error', 'signup', 'purchase') GROUP BY 1""")
+def _(t):
+    # Cut short, records that are none, a text in their place; views and clicks are whole, or an object without records.
+    e, row = F.col("event_type"), F.struct("event_id", "event_type", "value")
+    whole = F.to_json(F.struct(F.array(row).alias("data")))
+    body = (F.when(e == "error", F.substring(whole, F.lit(1), F.length(whole) - 3)).when(e == "signup", '{"data": {"id": 1}}').when(e == "purchase", '"text"')
+            .when(e == "view", '{"status": "empty"}').otherwise(whole))
+    lost = tables.page_faults(t.events.select(body.alias("value")), "event_id: bigint, event_type: string, value: double")
+    return lost.groupBy("fault").agg(F.count("*").alias("pages"))
+
+
+@query("s5_unreadable_bundles", """
+    SELECT CASE event_type WHEN 'error' THEN 'no json' ELSE 'no bundle' END AS fault, COUNT(*) AS bundles FROM events
+    WHERE event_type IN ('error', 'view', 'signup') GROUP BY 1""")
+def _(t):
+    e = F.col("event_type")
+    bundle = F.when(e == "error", '{"entry": [{').when(e == "view", '{"entry": 3}').when(e == "signup", '[]').when(e == "click", '{"entry": []}').otherwise(
+        F.concat(F.lit('{"entry": [{"resource": {"resourceType": "Device", "id": "'), "event_id", F.lit('"}}]}')))
+    return rdf.unreadable_bundles(t.events.select(bundle.alias("value"))).groupBy("fault").agg(F.count("*").alias("bundles"))
+
+
 @query("s5_fhir_bundles", f"""
     SELECT subject, predicate, object, kind AS object_kind, CAST(dt AS VARCHAR) AS datatype FROM (
     SELECT '{ONT}Patient/' || c_custkey AS subject, '{TYPE}' AS predicate, '{FHIR}Patient' AS object, 'iri' AS kind, NULL AS dt FROM customer
@@ -131,6 +154,21 @@ def _(t):
     return t.spark.read.schema(first.schema).parquet(path)
 
 
+@query("s9_bucketed_merge", """
+    SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0::DOUBLE ELSE c_acctbal END AS c_acctbal,
+           CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END AS version FROM customer
+    UNION ALL SELECT -1 - s_suppkey, s_acctbal, 2 FROM supplier""")
+def _(t):
+    path = scratch_path(t.spark, "buckets")
+    first = t.customer.select("c_custkey", "c_acctbal", F.lit(1).alias("version"))
+    tables.merge_buckets(first, path, ["c_custkey"], "version", 16)
+    changed = first.filter("c_acctbal < 0").select("c_custkey", F.lit(0.0).alias("c_acctbal"), F.lit(2).alias("version"))
+    stale = first.filter("c_acctbal > 0").select("c_custkey", F.lit(-1.0).alias("c_acctbal"), F.lit(0).alias("version"))
+    added = t.supplier.select((-1 - F.col("s_suppkey")).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"), F.lit(2).alias("version"))
+    tables.merge_buckets(changed.unionByName(stale).unionByName(added), path, ["c_custkey"], "version")
+    return tables.read_buckets(t.spark, path, first.schema).drop("_bucket")
+
+
 @query("s10_incremental_load", """
     SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate > (SELECT MAX(o_orderdate) FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01')""")
 def _(t):

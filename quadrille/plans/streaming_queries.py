@@ -84,6 +84,27 @@ def _(t):
     return _plain(_run(t, L.request_counts(requests, limit=2), ["minute", "tenant_id"]), "minute")
 
 
+@query("t2_late_requests", """
+    WITH e AS (SELECT ts, date_trunc('minute', ts) AS minute, 't' || (user_id % 3) AS tenant_id,
+        CAST(floor(epoch_us(ts) / 1000000 / 345600) AS BIGINT) + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS part FROM events),
+    seen AS (SELECT tenant_id, part, MAX(MAX(ts)) OVER (PARTITION BY tenant_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+        FROM e GROUP BY tenant_id, part)
+    SELECT CASE WHEN minute + INTERVAL 1 MINUTE <= newest - INTERVAL 10 MINUTE THEN 'late' ELSE 'count' END AS kind, tenant_id, minute, COUNT(*) AS requests
+    FROM e JOIN seen USING (tenant_id, part) GROUP BY 1, 2, 3""")
+def _(t):
+    # A batch per four days; every seventh event comes with the batch after its own.
+    landed, path, state = (scratch_path(t.spark, n) for n in ("landing", "updates", "state"))
+    part = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000) / (4 * 86_400))
+    rows = t.events.withColumn("part", part + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0))
+    first, last = rows.agg(F.min("part"), F.max("part")).first()
+    for p in range(first, last + 1):
+        rows.filter(F.col("part") == p).drop("part").coalesce(1).write.mode("append").parquet(landed)
+    stream = t.spark.readStream.schema(T.StructType.fromDDL(SCHEMAS["events"])).option("maxFilesPerTrigger", 1).parquet(landed)
+    requests = stream.withColumn("tenant_id", F.concat(F.lit("t"), F.col("user_id") % 3))
+    L.start_updates(L.request_counts_with_late(requests), path, state).awaitTermination()
+    return _plain(L.late_report(t.spark, path), "minute")
+
+
 @query("t4_duplicates_across_batches", "SELECT event_id, event_type FROM events")
 def _(t):
     out, state = scratch_path(t.spark, "once"), scratch_path(t.spark, "state")

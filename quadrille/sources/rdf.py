@@ -45,6 +45,19 @@ def fhir_to_triples(df: DataFrame, column: str = "value", base: str = vocab.ONTO
              XSD + "decimal", graph=graph)], more=[names]).distinct()
 
 
+def unreadable_bundles(df: DataFrame, column: str = "value") -> DataFrame:
+    """Bundles that give nothing because they cannot be read: (value, fault).
+
+    ``no json``: not JSON; ``no bundle``: JSON whose ``entry`` is missing or is not a list. A
+    list without entries, or with resources of other kinds, is no fault.
+    """
+    text = F.col(column)
+    entry = F.get_json_object(text, "$.entry")
+    fault = (F.when(F.get_json_object(text, "$").isNull(), "no json")
+             .when(entry.isNull() | ~F.trim(entry).startswith("["), "no bundle"))
+    return df.select(text.alias("value"), fault.alias("fault")).filter("fault IS NOT NULL")
+
+
 def plain_decimal(col: Column) -> Column:
     """Decimal text without trailing zeros."""
     text = col.cast("string")
