@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from quadrille.llm.common import bound_batches, with_row
+from quadrille.llm.common import bound_batches, per_process, with_row
 from quadrille.llm.pretokens import pattern
 
 # Characters of text in one block, and in one slice of a very long text.
@@ -42,14 +41,14 @@ MEMORY = 250_000
 BATCH_ROWS = 256
 
 
-@lru_cache(maxsize=2)
+@per_process
 def vocabulary(path: str) -> dict[bytes, int]:
     """Ranks by token bytes, from lines of base64 and rank."""
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=2)
+@per_process
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of each id."""
     ranks = vocabulary(path)
@@ -59,7 +58,7 @@ def token_bytes(path: str) -> list[bytes]:
     return table
 
 
-@lru_cache(maxsize=2)
+@per_process
 def _merger(path: str):
     """Ids of one word: the merges of the vocabulary, without any splitting."""
     import tiktoken

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -20,6 +22,48 @@ def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
 
 
+def per_process(make: Callable) -> Callable:
+    """Remember what ``make`` gives for its arguments as long as the process lives.
+
+    The results hang on the interpreter's own table of modules: functions of this package travel by
+    value, each time with globals of their own, to workers that cannot import it.
+    """
+    name = f"{make.__module__}.{make.__qualname__}"
+
+    def get(*args):
+        import sys
+        import types
+
+        kept = vars(sys.modules.setdefault("_kept_by_text_operators", types.ModuleType("_kept_by_text_operators")))
+        key = (name, *args)
+        if key not in kept:
+            kept[key] = make(*args)
+        return kept[key]
+
+    return get
+
+
+def shared(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast an object of this package's own classes; the function returned gives it, in tasks too.
+
+    It travels as bytes that hold its classes, and a worker keeps the last few it has read.
+    """
+    sent, name = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    def get():
+        import sys
+        import types
+
+        kept = vars(sys.modules.setdefault("_kept_by_text_operators", types.ModuleType("_kept_by_text_operators"))).setdefault("shared", {})
+        if name not in kept:
+            while len(kept) >= 4:
+                kept.pop(next(iter(kept)))
+            kept[name] = cloudpickle.loads(sent.value)
+        return kept[name]
+
+    return get
+
+
 def plain(text: str | Column) -> Column:
     """A text column with empty strings for nulls."""
     return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))

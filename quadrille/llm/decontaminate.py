@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import bound_batches, plain
+from quadrille.llm.common import bound_batches, plain, shared
 
 WINDOW = 10
 # Words of the items in one block; what a task holds is bounded by this.
@@ -132,10 +132,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                         F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"),
                         F.lit(None).cast("array<string>").alias("item_ids"))
     for items in _blocks(benchmark, item_id, item_text, block_words):
-        patterns = spark.sparkContext.broadcast(Patterns(items, window))
+        patterns = shared(spark, Patterns(items, window))
 
         def run(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
-            find = patterns.value.find
+            find = patterns().find
             for batch in batches:
                 n, spans, names = [], [], []
                 for t, s, k in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "item_ids")), strict=True):

@@ -13,7 +13,8 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Callable
-from functools import lru_cache
+
+from quadrille.llm.common import per_process
 
 # Unicode's White_Space (fixed values).
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -32,7 +33,7 @@ def _ranges(matches: list[str]) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=1)
+@per_process
 def pattern() -> re.Pattern:
     import regex
 

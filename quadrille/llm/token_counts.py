@@ -22,13 +22,12 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import bound_batches, map_texts, with_row
+from quadrille.llm.common import bound_batches, map_texts, per_process, with_row
 from quadrille.llm.pretokens import splitter
 from quadrille.session import materialise
 
@@ -89,7 +88,7 @@ class Counter:
         return [*starts, at], [*totals, before]
 
 
-@lru_cache(maxsize=2)
+@per_process
 def counter(path: str) -> Counter:
     """One counter per worker process and tokenizer."""
     import os

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quadrille.llm.common import bound_batches, plain, with_row
+from quadrille.llm.common import bound_batches, plain, shared, with_row
 from quadrille.session import materialise
 
 # Labelled rows used to fit: the documented bound of the sample.
@@ -250,13 +250,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     rows = with_row(docs, text)
-    shared = spark.sparkContext.broadcast(model)
+    sent = shared(spark, model)
     schema = StructType([rows.schema["row"], *StructType.fromDDL(
         "score double, neighbours array<struct<id:string,label:int,cosine:double>>").fields])
     kind = pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = sent()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

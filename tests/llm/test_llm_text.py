@@ -321,3 +321,41 @@ def test_toxicity_scores(spark):
     none = toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).select("score").distinct().collect()
     assert [r["score"] for r in none] == [0.5]
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from quadrille.session import local_session
+spark = local_session(2, **{"spark.sql.shuffle.partitions": "2"})
+import __spark_entry__
+queries = __spark_entry__.queries()
+
+def importable(batches):
+    import importlib.util, pyarrow as pa
+    for _ in batches:
+        yield pa.RecordBatch.from_pydict({"found": [importlib.util.find_spec("quadrille") is not None]})
+
+assert not any(r[0] for r in spark.range(4).mapInArrow(importable, "found boolean").collect())
+for n in (1, 2, 5, 6, 7, 8, 9, 11, 12, 13):
+    name = next(q for q in queries if q.startswith(f"op{n}_"))
+    print(name, len(queries[name](spark, "/root/testdata/sf0.001").collect()))
+"""
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("no test tables")
+    (tmp_path / "elsewhere.py").write_text(ELSEWHERE)
+    repo = str(Path(__file__).resolve().parents[2])
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and Path(p).resolve() != Path(repo)]
+    ran = subprocess.run([sys.executable, "elsewhere.py", repo], cwd=tmp_path, env=env | {"PYTHONPATH": os.pathsep.join(paths)}, capture_output=True,
+                         text=True, timeout=900)
+    assert ran.returncode == 0, ran.stderr[-3000:]
+    assert ran.stdout.count("op") == 10
