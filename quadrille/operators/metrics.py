@@ -15,16 +15,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.columns import (
-    filter_condition,
-    operator_condition,
-    sql_filter,
-    time_range,
-    spark_type,
-)
+    filter_condition, operator_condition, quoted, spark_type, sql_filter, time_range)
 
 AGGREGATES = ("sum", "count", "avg", "min", "max", "count_distinct", "approx_count_distinct", "latest", "custom")
 GRAINS = ("day", "week", "month", "quarter", "year")
@@ -477,37 +472,33 @@ def resolve_requests(requests: DataFrame, catalogue: DataFrame, default: str | N
 
 
 def followed_within(events: DataFrame, id_col: str, key: str, start: str, end: str, days: int) -> DataFrame:
-    """Rows for which another row of the same key starts in ``[end, end + days]``.
-
-    No pairs are formed. Starts are summed up per key and ``days``-wide bucket
-    as their smallest and largest value. An interval touches two buckets: in
-    its own one any start at or after ``end`` is inside, so the largest start
-    decides; in the next one the smallest start decides. The row itself can
-    only be in the way when it starts exactly at its end, which a count of equal
-    starts settles, or after its end, and those rows are compared directly.
+    """Rows for which another row of the same key starts in ``[end, end + days]``; ``id_col`` tells rows apart.
+
+    No pairs are formed: a sweep in one read and one shuffle. Each row is a probe at its end and a
+    start at its start, in buckets of a key that are ``days`` wide; a start stands in the bucket
+    before its own as well, so a bucket holds every start its probes can reach, and a key with
+    very many rows is as many tasks as it has buckets. Swept from the latest time on, the last start passed is the nearest
+    one at or after a probe; where that is the row's own (it starts at its end, or after it), the one passed before it counts.
     """
     width = days * 86400
     bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / width)
-    starts = (events.groupBy(F.col(key).alias("_k"), bucket(start).alias("_b"))
-              .agg(F.min(start).alias("_min"), F.max(start).alias("_max")))
-    proper = events.filter(F.col(start) <= F.col(end)).withColumn("_b", bucket(end))
-    until = F.col(end) + F.expr(f"INTERVAL {days} DAYS")
-    # One row per probe and bucket; both decide by an aggregate of that bucket.
-    probes = proper.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
-        "_b", F.col("_b") + F.when(F.col("_own"), 0).otherwise(1))
-    strictly = F.when(F.col("_own"), F.col("_max") > F.col(end)).otherwise(F.col("_min") <= until)
-    later = (probes.join(starts, (probes[key] == F.col("_k")) & (probes["_b"] == starts["_b"]))
-             .filter(strictly).select(id_col))
-    same = events.groupBy(F.col(key).alias("_k"), F.col(start).alias("_s")).agg(F.count("*").alias("_n"))
-    at_end = (proper.join(same, (proper[key] == F.col("_k")) & (proper[end] == F.col("_s")))
-              .filter(F.col("_n") > F.when(F.col(start) == F.col(end), 1).otherwise(0)).select(id_col))
-    # Rows that end before they start: as the condition is written.
-    odd, other = events.filter(F.col(start) > F.col(end)).alias("e"), events.alias("o")
-    reversed_ = odd.join(other, (F.col(f"e.{key}") == F.col(f"o.{key}")) & (F.col(f"e.{id_col}") != F.col(f"o.{id_col}"))
-                         & F.col(f"o.{start}").between(F.col(f"e.{end}"), F.col(f"e.{end}") + F.expr(f"INTERVAL {days} DAYS")),
-                         "left_semi").select(id_col)
-    hits = later.union(at_end).union(reversed_).distinct()
-    return events.join(hits, id_col, "left_semi")
+    kind = events.schema[end].dataType
+
+    def point(is_start: bool, at: str, shift: int) -> Column:
+        row = F.struct(*[quoted(c) for c in events.columns])
+        return F.struct(F.lit(is_start).alias("_start"), F.col(at).cast(kind).alias("_t"), (bucket(at) + shift).alias("_b"),
+                        F.when(F.lit(not is_start), row).alias("_row"))
+
+    points = (events.filter(F.col(key).isNotNull())
+              .select(F.col(key).alias("_k"), F.col(id_col).alias("_id"),
+                      F.inline(F.array(point(False, end, 0), point(True, start, 0), point(True, start, -1)))).filter("_t IS NOT NULL"))
+    # From the latest on, starts before probes of the same time.
+    sweep = Window.partitionBy("_k", "_b").orderBy(F.desc("_t"), F.desc("_start"))
+    passed = lambda *more: F.last(F.when(F.col("_start"), F.struct("_t", "_id", *more)), ignorenulls=True)
+    points = points.withColumn("_later", passed().over(sweep.rowsBetween(Window.unboundedPreceding, -1)))
+    points = points.withColumn("_near", passed("_later").over(sweep.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    nearest = F.when(F.col("_near._id") != F.col("_id"), F.col("_near._t")).otherwise(F.col("_near._later._t"))
+    return points.filter(~F.col("_start") & (nearest <= F.col("_t") + F.expr(f"INTERVAL {days} DAYS"))).select("_row.*")
 
 
 def in_cohort(df: DataFrame, key: str, cohort: DataFrame, cohort_key: str, condition: str) -> DataFrame:

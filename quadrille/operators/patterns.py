@@ -126,13 +126,21 @@ def scope(quads: DataFrame, graph: str | None = None, kind: str | None = None) -
     return quads
 
 
+def _may_repeat(quads: QuadSource, predicates: Sequence) -> bool:
+    """Whether a source may hold a triple of these predicates twice; a function that cannot tell sees to it itself."""
+    if isinstance(quads, DataFrame):
+        return True
+    known = None if any(is_variable(p) for p in predicates) else list(predicates)
+    return bool(getattr(quads, "repeats", lambda _: False)(known))
+
+
 def match(quads: QuadSource, patterns: Sequence[Pattern], graph: str | None = None) -> DataFrame:
     """Solutions of a basic graph pattern, one column per variable.
 
     Terms: ``?name`` is a variable, other strings are IRIs, ``Literal`` a
     constant value. ``graph`` is a graph name, or ``?g`` to require one common
     graph and return it; without it the graphs count as one set, in which a
-    triple stands once (a source given as a function has to see to that itself). All patterns on one subject join on the same key, so
+    triple stands once, also where tables are mapped into several graphs. All patterns on one subject join on the same key, so
     Spark shuffles each of them once and never the intermediate result again.
     """
     nodes, terms = _roles(patterns)
@@ -143,11 +151,12 @@ def match(quads: QuadSource, patterns: Sequence[Pattern], graph: str | None = No
         # Patterns on one subject that single rows of a table answer are one step.
         own = [i for i in range(at, len(ordered)) if ordered[i][0] == pattern[0]] if is_variable(pattern[0]) else [at]
         step = _star(quads, [ordered[i] for i in own], nodes, terms, graph)
-        if step is None:
-            step = _bindings(quads, pattern, nodes, terms, graph)
-        else:
+        step_of_rows = step is not None
+        if step_of_rows:
             done.update(own)
-        if graph is None and isinstance(quads, DataFrame) and "_ask" not in step.columns:
+        else:
+            step = _bindings(quads, pattern, nodes, terms, graph)
+        if graph is None and "_ask" not in step.columns and _may_repeat(quads, [ordered[i][1] for i in (own if step_of_rows else [at])]):
             step = step.distinct()
         if result is None:
             result = step

@@ -204,6 +204,13 @@ class mapped:  # noqa: N801 - reads as a function of predicates
         return reduce(DataFrame.unionByName, [
             rows_to_triples(self.tables[n], self.mappings[n], self.graphs.get(n), predicates) for n in able or list(self.mappings)[:1]])
 
+    def repeats(self, predicates: Sequence[str] | None) -> bool:
+        """Whether a triple with one of these predicates may come twice: from rows of one subject, or from two tables, say into two graphs."""
+        touching = [m for m in self.mappings.values() if predicates is None or set(predicates) & m.predicates()]
+        starts = [m.subject.partition("{")[0] for m in touching]
+        meet = any(a.startswith(b) for i, a in enumerate(starts) for k, b in enumerate(starts) if i != k)
+        return meet or not all(m.unique for m in touching)
+
     def star(self, predicates: Sequence[str]) -> DataFrame | None:
         """The quads of one subject with each of these predicates side by side, as columns ``q0``, ``q1``, ...
 

@@ -250,6 +250,17 @@ def test_graphs_are_one_set_unless_named(spark):
     assert P.match(q, [("?x", "p", "?y"), ("?y", "q", "?n")], "?g").count() == 2
 
 
+def test_tables_mapped_into_two_graphs_are_one_set(spark):
+    people = spark.createDataFrame([(1, "Ann", 10), (2, "Bo", 20)], "id int, name string, town int")
+    m = T.RowMapping("p/{id}", ("Person",), (T.Field("name", "name"),), (T.Link("town", "t/{town}"),), unique=True)
+    source = T.mapped({"a": people, "b": people}, {"a": m, "b": m}, {"a": "g1", "b": "g2"})
+    pattern = [("?p", TYPE, "Person"), ("?p", "name", "?n"), ("?p", "town", "?t")]
+    assert rows(P.match(source, pattern), "p", "n", "t") == [("p/1", "Ann", "t/10"), ("p/2", "Bo", "t/20")]
+    assert P.match(source, pattern, "?g").count() == 4
+    alone = T.mapped({"a": people}, {"a": m}, {"a": "g1"})
+    assert not alone.repeats(["name"]) and source.repeats(["name"]) and source.repeats(None)
+
+
 def test_rates_count_subclass_members(spark):
     q = make(spark, ("c:Sub", vocab.SUBCLASS, "c:Top"), ("a", TYPE, "c:Top"), ("b", TYPE, "c:Sub"), ("d", TYPE, "c:Sub"), ("d", TYPE, "c:Top"))
     shapes = [S.Shape("c:Top", "p", min_count=1)]

@@ -154,6 +154,24 @@ def test_followed_within_by_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_followed_within_edges_in_one_shuffle(spark):
+    rng = random.Random(3)
+    day = datetime(2024, 3, 1)
+    at = lambda: None if rng.random() < 0.05 else day + timedelta(hours=6 * rng.randrange(600))
+    stays = []
+    for i in range(400):
+        # Rows without length, rows that end before they start, equal times, missing times and keys.
+        s = at()
+        stays.append((i, None if i % 40 == 7 else i % 5, s, s if i % 3 == 0 else at(), "payload"))
+    df = spark.createDataFrame(stays, "id int, key int, s timestamp_ntz, e timestamp_ntz, more string")
+    found = M.followed_within(df, "id", "key", "s", "e", 2)
+    want = [a for a in stays if a[3] is not None and any(
+        b[1] == a[1] is not None and b[0] != a[0] and b[2] is not None and a[3] <= b[2] <= a[3] + timedelta(days=2) for b in stays)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_resolve_requests(spark):
     catalogue = spark.createDataFrame([("one", "risk"), ("two", "risk"), ("two", "finance")], "metric string, context string")
     requests = spark.createDataFrame([(1, "one", None), (2, "two", None), (3, "two", "risk"), (4, "one", "nope"), (5, "zero", None)],
