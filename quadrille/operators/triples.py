@@ -144,14 +144,17 @@ def merge_quads(existing: DataFrame, new: DataFrame) -> DataFrame:
 def append_quads(new: DataFrame, path: str) -> DataFrame:
     """Add the quads of ``new`` that are not stored yet; returns the count per graph.
 
-    Stored by predicate, so that a pattern reads only its own files.
+    Stored by predicate, so that a pattern reads only its own files; so does this: the new quads are compared
+    with the folders of their own predicates.
     """
     from quadrille.session import materialise
 
     spark = new.sparkSession
-    fresh = new.dropDuplicates(QUAD_COLUMNS)
+    fresh = materialise(new.dropDuplicates(QUAD_COLUMNS), "offered-quads")
     try:
-        stored = read_quads(spark, path)
+        # As many names as folders; the null-safe comparison below would not choose them.
+        own = [r["predicate"] for r in fresh.select("predicate").distinct().collect()]
+        stored = read_quads(spark, path).filter(F.col("predicate").isin(own))
     except Exception as exc:
         if "PATH_NOT_FOUND" not in str(exc):
             raise

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quadrille import vocab
+from quadrille.functions import tables as B
 from quadrille.operators import documents as D
 from quadrille.operators import retrieval as R
 from quadrille.operators import traverse as V
@@ -84,6 +85,17 @@ def _(t):
     return both.groupBy("doc_id").agg(F.bool_and(same).alias("exact"), F.sum("token_count").alias("tokens"))
 
 
+@query("d2_chunks_in_sql", r"""
+    SELECT doc_id, TRUE AS exact, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS tokens FROM documents
+    WHERE regexp_matches(text, '\S')""")
+def _(t):
+    # The same chunks by a table function, in SQL text.
+    B.register(t.spark)
+    return t.spark.sql("""
+        SELECT doc_id, bool_and(substr(text, char_start + 1, char_end - char_start) = chunk) AS exact, CAST(sum(token_count) AS BIGINT) AS tokens
+        FROM {documents}, LATERAL text_chunks(text, 512, 0) GROUP BY doc_id""", documents=spread(t.documents))
+
+
 def _gated(t, threshold=0.5):
     found = D.rebase(D.extract(D.chunk(spread(t.documents), "doc_id"), "doc_id", DOC_RULES))
     return D.confidence_gate(D.distinct_mentions(found, "doc_id"), threshold)
@@ -126,6 +138,16 @@ def _(t):
     return found.groupBy("doc_id", "ontology_class", "confidence_score").agg(F.count("*").alias("n"))
 
 
+@query("f1_caller_function_in_sql", """
+    SELECT doc_id, 'Secret' AS extraction_type, s[2:41] AS text_span, COUNT(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '"[0-9a-f]{40}"')) AS s FROM documents) GROUP BY ALL""")
+def _(t):
+    B.register(t.spark, _quoted_secrets)
+    return t.spark.sql("""
+        SELECT doc_id, extraction_type, text_span, count(*) AS n FROM {documents}, LATERAL text_findings(text)
+        WHERE substr(text, char_start + 1, char_end - char_start) = text_span GROUP BY ALL""", documents=spread(t.documents))
+
+
 @query("d4_rebased_spans", f"""
     SELECT doc_id, extraction_type, TRUE AS exact, COUNT(*) AS n FROM ({COUNTS_SQL}) GROUP BY 1, 2""")
 def _(t):

@@ -150,3 +150,19 @@ def test_overlap_finds_a_mention_once_and_attributes_stay(spark):
                       "extraction_type string, text_span string, ontology_class string, attributes map<string,string>, "
                       "char_interval struct<start:int,end:int>, confidence_score double, model_id string, chunk_index int, id int"), "id", {}).collect()
     assert len(made) == 1 and made[0]["attributes"] == {"a": "1", "b": "3"} and made[0]["mentions"] == 2 and made[0]["char_start"] == 5
+
+
+def test_table_functions_in_sql(spark):
+    from quadrille.functions import tables as B
+
+    texts = [(1, "One two. Three four five. Six."), (2, ""), (3, None), (4, "a b c d")]
+    docs = spark.createDataFrame(texts, "id int, text string")
+    B.register(spark, lambda text: [{"extraction_type": "Word", "text_span": w, "attributes": {"n": len(w)}} for w in text.split()[:1]])
+    got = rows(spark.sql("SELECT id, c.* FROM {docs}, LATERAL text_chunks(text, 4, 2) c", docs=docs), "id", "chunk_index", "char_start", "char_end", "token_count", "chunk")
+    want = rows(D.chunk(docs, "id", size=4, overlap=2), "id", "chunk_index", "char_start", "char_end", "token_count", "text")
+    assert got == want and len(got) == 3
+    found = rows(spark.sql("SELECT id, text_span, char_start, confidence, attributes['n'] AS n FROM {docs}, LATERAL text_findings(text)", docs=docs))
+    assert found == [(1, "One", None, 1.0, "3"), (4, "a", None, 1.0, "1")]
+    for wrong in ("text_chunks(text, 4, 4)", "text_chunks(id)", "text_chunks(text, id)"):
+        with pytest.raises(Exception, match="overlap must|takes a text|constant"):
+            spark.sql(f"SELECT * FROM {{docs}}, LATERAL {wrong}", docs=docs).collect()
