@@ -37,6 +37,25 @@ def _(t):
                          "word_count", F.length("text").alias("length"), F.sha2("text", 256).alias("digest"))
 
 
+def _entities_sql(text: str) -> str:
+    for name, value in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;?", "&")):
+        text = f"regexp_replace({text}, '{name}', '{value}', 'g')"
+    return text
+
+
+# Markup taken out by pattern instead of a parser: what is left are the words of the text, and of the one heading.
+@query("d1_page_text", f"""
+    WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1,
+        regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>|<head>.*?</head>', '', 'g'), '<[^>]*>', ' ', 'g') AS body FROM pages),
+    w AS (SELECT page_id, trim({_entities_sql('h1')}) AS heading, regexp_extract_all({_entities_sql('body')}, '\S+') AS words FROM p)
+    SELECT page_id, CAST(len(words) AS INTEGER) AS words, sha256(array_to_string(words, ' ')) AS digest, heading, 1 AS level FROM w""")
+def _(t):
+    parsed = D.parse_pages(spread(t.pages.select("page_id", "html")))
+    words = F.regexp_extract_all(F.regexp_replace("text", r"(?m)^#+ ", ""), F.lit(r"(\S+)"), 1)
+    return parsed.select("page_id", F.size(words).alias("words"), F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("digest"),
+                         F.col("sections")[0]["heading"].alias("heading"), F.col("sections")[0]["level"].cast("int").alias("level"))
+
+
 @query("d1_section_offsets", """
     SELECT page_id, TRUE AS exact FROM pages""")
 def _(t):
