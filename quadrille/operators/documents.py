@@ -133,11 +133,12 @@ def _rule_extractor(rules: Sequence[Rule]) -> Extractor:
 
 
 def extract(chunks: DataFrame, key: str, rules: Sequence[Rule] = RULES, extractor: Extractor | None = None,
-            model_id: str = "rules") -> DataFrame:
+            model_id: str = "rules", mark_chunks: bool = False) -> DataFrame:
     """Extractions of every chunk, by rules or by the caller's own function.
 
     A missing confidence counts as 1.0; a confidence of zero stays zero. Spans
-    are relative to the chunk; ``rebase`` moves them to the document.
+    are relative to the chunk; ``rebase`` moves them to the document. With ``mark_chunks``
+    each chunk gives one more row, without a type, so that chunks can be counted in the same pass.
     """
     run = extractor or _rule_extractor(rules)
     schema = _schema([chunks.schema[key]], "_offset int, " + EXTRACTION)
@@ -146,6 +147,8 @@ def extract(chunks: DataFrame, key: str, rules: Sequence[Rule] = RULES, extracto
         for batch in batches:
             rows = []
             for k, index, offset, text in zip(batch[key], batch["chunk_index"], batch["char_start"], batch["text"]):
+                if mark_chunks:
+                    rows.append((k, offset, None, None, None, None, None, None, None, index))
                 for x in run(text):
                     attributes = {a: None if v is None else str(v) for a, v in dict(x.get("attributes") or {}).items()}
                     cls = attributes.pop("class", None) or x.get("ontology_class") or x["extraction_type"]
@@ -299,15 +302,13 @@ def run_triples(spark, job_id: str, model_id: str, started: str, graph: str, bas
         quad(a, vocab.PROV + "wasAssociatedWith", g, "iri", graph=graph)])
 
 
-def run_summary(chunks: DataFrame, gated: DataFrame, key: str) -> DataFrame:
-    """One row: chunks, extractions, passed, quarantined, entities."""
+def run_summary(marked: DataFrame, key: str) -> DataFrame:
+    """One row: chunks, extractions, passed, quarantined, entities; from gated extractions with marked chunks, in one pass."""
     iri = entity_iri(F.col("ontology_class"), F.col("text_span"))
-    ok = F.col("decision") == "PASS"
-    counts = gated.agg(F.count("*").alias("extractions"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("quarantined"),
-                       F.count_distinct(F.when(ok, iri)).alias("entities"))
-    n = chunks.agg(F.count("*").alias("chunks"))
-    # Two rows of totals, joined on a constant.
-    return n.withColumn("_k", F.lit(1)).join(counts.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    mark = F.col("extraction_type").isNull()
+    ok = ~mark & (F.col("decision") == "PASS")
+    return marked.agg(F.count_if(mark).alias("chunks"), F.count_if(~mark).alias("extractions"), F.count_if(ok).alias("passed"),
+                      F.count_if(~mark & (F.col("decision") != "PASS")).alias("quarantined"), F.count_distinct(F.when(ok, iri)).alias("entities"))
 
 
 def document_run(df: DataFrame, key: str, classes: Classes, rules: Sequence[Rule] = RULES, html: str | None = None, threshold: float = 0.5,

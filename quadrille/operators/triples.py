@@ -280,12 +280,13 @@ def drop_stored_graph(spark, path: str, graph: str) -> None:
     """
     from quadrille.session import materialise
 
-    # As many rows as the graph has predicates.
-    mine = read_quads(spark, path).filter(F.col("graph") == graph).select("predicate").distinct()
-    touched = [r["predicate"] for r in mine.collect()]
-    stored = spark.read.schema(vocab.QUAD_DDL).parquet(path).filter(F.col("predicate").isin(touched))
-    folders = {r["predicate"]: r["_dir"] for r in stored.select(
-        "predicate", F.regexp_extract("_metadata.file_path", "^(.*)/[^/]+$", 1).alias("_dir")).distinct().collect()}
+    # One row per predicate of the graph, with its folder.
+    whole = spark.read.schema(vocab.QUAD_DDL).parquet(path)
+    folder = F.regexp_extract("_metadata.file_path", "^(.*)/[^/]+$", 1).alias("_dir")
+    folders = {r["predicate"]: r["_dir"] for r in whole.select("predicate", "graph", folder).filter(F.col("graph") == graph)
+               .select("predicate", "_dir").distinct().collect()}
+    touched = sorted(folders)
+    stored = whole.filter(F.col("predicate").isin(touched))
     kept = materialise(drop_graph(stored.select(*QUAD_COLUMNS), graph), "kept")
     alive = {r["predicate"] for r in kept.select("predicate").distinct().collect()}
     if alive:

@@ -115,8 +115,8 @@ def _(t):
         FROM {documents}, LATERAL text_chunks(text, 512, 0) GROUP BY doc_id""", documents=spread(t.documents))
 
 
-def _gated(t, threshold=0.5):
-    found = D.rebase(D.extract(D.chunk(spread(t.documents), "doc_id"), "doc_id", DOC_RULES))
+def _gated(t, threshold=0.5, mark_chunks=False):
+    found = D.rebase(D.extract(D.chunk(spread(t.documents), "doc_id"), "doc_id", DOC_RULES, mark_chunks=mark_chunks))
     return D.confidence_gate(D.distinct_mentions(found, "doc_id"), threshold)
 
 
@@ -285,9 +285,12 @@ def _(t):
 @query("d9_run_summary", f"""
     SELECT COUNT(*) AS extractions, CAST(COUNT_IF(confidence >= 0.5) AS BIGINT) AS passed,
            CAST(COUNT_IF(confidence < 0.5) AS BIGINT) AS quarantined,
-           COUNT(DISTINCT CASE WHEN confidence >= 0.5 THEN extraction_type || text_span END) AS entities FROM ({COUNTS_SQL})""")
+           COUNT(DISTINCT CASE WHEN confidence >= 0.5 THEN extraction_type || text_span END) AS entities, TRUE AS all_chunks FROM ({COUNTS_SQL})""")
 def _(t):
-    return D.run_summary(D.chunk(spread(t.documents), "doc_id"), _gated(t), "doc_id").drop("chunks")
+    # The number of chunks is not for SQL; it is that of the chunks themselves.
+    chunks = D.chunk(spread(t.documents), "doc_id").agg(F.count("*").alias("n"))
+    return D.run_summary(_gated(t, mark_chunks=True), "doc_id").join(chunks, F.col("chunks") == F.col("n"), "left").select(
+        "extractions", "passed", "quarantined", "entities", F.col("n").isNotNull().alias("all_chunks"))
 
 
 @query("d10_document_run", f"""
