@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quadrille import vocab
@@ -29,6 +31,23 @@ def _(t):
     return df.filter("o_totalprice > 450000").select("o_orderkey", "o_totalprice", "o_orderdate")
 
 
+@query("s3_database_tables", """
+    SELECT c_custkey, c_name, c_acctbal, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey > (SELECT COUNT(*) // 2 FROM customer)""")
+def _(t):
+    # Two tables go to a database and are read back from the cursor on, one of them by four tasks. The embedded
+    # database lives in one process; on a cluster name one that all machines reach.
+    url = t.spark.conf.get("spark.quadrille.jdbc", f"jdbc:derby:memory:db{uuid.uuid4().hex};create=true")
+    count = t.customer.count()
+    names = {"customers": t.customer.select("c_custkey", "c_name", "c_acctbal", "c_nationkey"), "nations": t.nation.select("n_nationkey", "n_name")}
+    for name, df in names.items():
+        df.select([F.col(c).alias(c.upper()) for c in df.columns]).coalesce(1).write.mode("overwrite").jdbc(url, name.upper())
+    customers = tables.read_jdbc(t.spark, url, ["CUSTOMERS"], cursor="C_CUSTKEY", since=count // 2, partition_column="C_CUSTKEY", partitions=4,
+                                 bounds=(0, count))["CUSTOMERS"]
+    nations = tables.read_jdbc(t.spark, url, ["NATIONS"])["NATIONS"]
+    return customers.join(nations, F.col("C_NATIONKEY") == F.col("N_NATIONKEY")).select(
+        F.col("C_CUSTKEY").alias("c_custkey"), F.col("C_NAME").alias("c_name"), F.col("C_ACCTBAL").alias("c_acctbal"), F.col("N_NAME").alias("n_name"))
+
+
 @query("s4_api_pages", "SELECT event_id, event_type, value FROM events")
 def _(t):
     # A page is an event object, a bare list, or an object with the list under "data".
