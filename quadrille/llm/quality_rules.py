@@ -166,15 +166,15 @@ def chosen_steps(holdout: DataFrame, steps: int = STEPS, limit: float = LIMIT, r
     """The last step passed for each stratum, -1 for none, from the ``step`` of each good row of the holdout."""
     counts = holdout.groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("c"))
     per = counts.groupBy("stratum").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("step", "c"))).alias("at"))
-    strata = per.agg(F.count(F.lit(1)).alias("strata"))
+    strata = per.select(F.count(F.lit(1))).scalar()
 
     @F.pandas_udf("double")
     def tail(k: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([binomial_tail(int(a), int(b), limit) for a, b in zip(k, n, strict=True)])
 
-    each = per.crossJoin(F.broadcast(strata)).select("stratum", "n", "strata", "at", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
+    each = per.select("stratum", "n", "at", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
     lost = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("step")), lambda i: F.coalesce(F.element_at("at", i), F.lit(0))), F.lit(0).cast("long"), lambda a, b: a + b)
-    tested = each.select("stratum", "step", (tail(lost, F.col("n")) <= F.lit(risk) / F.col("strata")).alias("passed"))
+    tested = each.select("stratum", "step", (tail(lost, F.col("n")) <= F.lit(risk) / strata).alias("passed"))
     return tested.groupBy("stratum").agg((F.coalesce(F.min(F.when(~F.col("passed"), F.col("step"))), F.lit(steps + 1)) - 1).alias("chosen"))
 
 
