@@ -44,7 +44,7 @@ def _entities_sql(text: str) -> str:
 
 
 # Markup taken out by pattern instead of a parser: what is left are the words of the text, and of the one heading.
-@query("d1_page_text", f"""
+@query("d1_page_text", rf"""
     WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1,
         regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>|<head>.*?</head>', '', 'g'), '<[^>]*>', ' ', 'g') AS body FROM pages),
     w AS (SELECT page_id, trim({_entities_sql('h1')}) AS heading, regexp_extract_all({_entities_sql('body')}, '\S+') AS words FROM p)
