@@ -223,28 +223,39 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
-TEMPLATES_SQL = ", ".join(f"({i}, '{name}', '{body.replace(chr(39), chr(39) * 2)}')" for i, (name, body) in enumerate(licenses.TEMPLATES))
+TEMPLATES_SQL = ", ".join("({}, '{}', '{}', [{}]::VARCHAR[])".format(i, name, body.replace("'", "''"), ", ".join(f"'{k}'" for k in licenses.key_phrases(body)))
+                          for i, (name, body) in enumerate(licenses.TEMPLATES))
 SHARE_SQL = "(CAST(0.8 AS DOUBLE) / (2 - CAST(0.8 AS DOUBLE)))"
 
 
 @named("op10_license_scan", rf"""
-WITH t AS (SELECT template, license, string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS words
-           FROM (VALUES {TEMPLATES_SQL}) v(template, license, body)),
-tb AS (SELECT template, license, len(words) - 1 AS size, pair, COUNT(*) AS times
-       FROM (SELECT *, unnest([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS pair FROM t) GROUP BY ALL),
+WITH RECURSIVE t AS (SELECT template, license, string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS words,
+             [string_split(trim(regexp_replace(lower(k), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') FOR k IN keys] AS keys
+           FROM (VALUES {TEMPLATES_SQL}) v(template, license, body, keys)),
+kb AS (SELECT DISTINCT template, unnest([k[i] || ' ' || k[i + 1] FOR i IN range(1, len(k))]) AS pair FROM (SELECT template, unnest(keys) AS k FROM t)),
+tb AS (SELECT *, coalesce(SUM(times) FILTER (key) OVER (PARTITION BY template), 0) AS needed
+       FROM (SELECT template, license, len(words) - 1 AS size, pair, COUNT(*) AS times, (template, pair) IN (SELECT (template, pair) FROM kb) AS key
+             FROM (SELECT template, license, words, unnest([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS pair FROM t) GROUP BY ALL)),
 b AS (SELECT doc_id, i - 1 AS place, words[i] || ' ' || words[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(words))) AS i
       FROM (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+') AS words FROM documents))),
 h AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template, pair ORDER BY place) AS r FROM b JOIN tb USING (pair)
       QUALIFY COUNT(*) OVER (PARTITION BY doc_id, template) >= size * {SHARE_SQL} - 1e-9),
 f AS (SELECT h.*, coalesce(p.place, -1) AS filled FROM h LEFT JOIN h p ON p.doc_id = h.doc_id AND p.template = h.template AND p.pair = h.pair AND p.r = h.r - h.times),
-seg AS (SELECT a.doc_id, a.template, a.license, a.size, a.place AS first, z.place AS last FROM f a JOIN f z ON z.doc_id = a.doc_id AND z.template = a.template
+seg AS (SELECT a.doc_id, a.template, a.license, a.size, a.needed, a.place AS first, z.place AS last FROM f a JOIN f z ON z.doc_id = a.doc_id AND z.template = a.template
         AND z.place >= a.place AND z.place - a.place + 1 BETWEEN a.size * {SHARE_SQL} - 1e-9 AND a.size / {SHARE_SQL} + 1e-9),
 scored AS (SELECT s.doc_id, s.template, s.license, first, last, round(CAST(2 * COUNT(*) AS DOUBLE) / (last - first + 1 + s.size), 12) AS dice
            FROM seg s JOIN f c ON c.doc_id = s.doc_id AND c.template = s.template AND c.place BETWEEN first AND last AND c.filled < first
-           GROUP BY s.doc_id, s.template, s.license, s.size, first, last)
-SELECT doc_id, license, template, round(dice, 6) AS dice, CAST(first AS BIGINT) AS first_word, CAST(last + 1 AS BIGINT) AS last_word
-FROM scored WHERE dice >= 0.8 - 1e-9
-QUALIFY row_number() OVER (PARTITION BY doc_id, template ORDER BY dice DESC, first, last) = 1
+           GROUP BY s.doc_id, s.template, s.license, s.size, s.needed, first, last HAVING COUNT_IF(c.key) >= s.needed),
+ends AS (SELECT doc_id, template, license, first, last + 1 AS last, dice FROM scored WHERE dice >= 0.8 - 1e-9
+         QUALIFY row_number() OVER (PARTITION BY doc_id, template, first ORDER BY dice DESC, last) = 1),
+picked AS (
+  SELECT doc_id, CASE WHEN len(rest) < 0 THEN rest[1] END AS got, rest FROM (SELECT doc_id, list({{'template': template, 'license': license, 'first': first, 'last': last, 'dice': dice}}
+                                   ORDER BY dice DESC, last - first DESC, first, template) AS rest FROM ends GROUP BY doc_id)
+  UNION ALL
+  SELECT doc_id, rest[1], list_filter(rest, lambda x: x.first > rest[1].last OR x.last < rest[1].first) FROM picked WHERE len(rest) > 0)
+SELECT doc_id, got.license AS license, got.template AS template, round(got.dice, 6) AS dice, CAST(got.first AS BIGINT) AS first_word,
+       CAST(got.last AS BIGINT) AS last_word
+FROM picked WHERE got IS NOT NULL
 """)
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.license_matches(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -54,37 +54,58 @@ def test_random_strings_stay_and_made_up_names_go(spark):
     assert sum(i < 1000 for i in found) >= 185 and not any(i >= 1000 for i in found)
 
 
-def best_dice(words, template):
-    grams = list(zip(words, words[1:], strict=False))
-    own = Counter(zip(template, template[1:], strict=False))
-    size, best = sum(own.values()), 0.0
-    for i in range(len(grams)):
-        seen = Counter()
-        for j in range(i, len(grams)):
-            seen[grams[j]] += 1
-            best = max(best, 2 * sum((seen & own).values()) / (j - i + 1 + size))
-    return best
+def best_stretches(words, templates):
+    """(license, dice, first, last) by trying every stretch; ``templates`` are (name, words, key bigrams)."""
+    found = []
+    for number, (name, body, keys) in enumerate(templates):
+        own = Counter(zip(body, body[1:], strict=False))
+        needed, size = sum(own[k] for k in set(keys)), sum(own.values())
+        grams = list(zip(words, words[1:], strict=False))
+        for i in range(len(grams)):
+            if grams[i] not in own:
+                continue
+            seen, best = Counter(), (0, None)
+            for j in range(i, len(grams)):
+                seen[grams[j]] += 1
+                common = seen & own
+                dice = 2 * sum(common.values()) / (j - i + 1 + size)
+                if grams[j] in own and dice > best[0] and sum(common[k] for k in set(keys)) >= needed:
+                    best = dice, j
+            if best[0] >= 0.8 - 1e-9:
+                found.append((-round(best[0], 12), i - best[1] - 1, i, number, best[1] + 1, name))
+    taken = []
+    for dice, _, first, _, last, name in sorted(found):
+        if all(first > b or last < a for _, _, a, b in taken):
+            taken.append((name, round(-dice, 6), first, last))
+    return taken
 
 
 def test_licenses(spark):
     rng = random.Random(2)
-    templates = [("X", "one two three four five six seven eight nine ten"), ("Y", "Alpha, beta gamma delta?"), ("Z", "single")]
+    templates = [("X", "one two three four five six seven eight nine ten"), ("Y", "Alpha, beta gamma delta?"), ("Z", "single"),
+                 ("V2", "alpha beta gamma {delta 2}"), ("W", "two three four {five 5 five} six seven eight nine ten")]
     texts = ["", None, "one", "alpha beta", " -- Alpha\nBETA; gamma (delta)"]
     for _ in range(150):
-        body = rng.choice(templates[:2])[1].split()
-        for _ in range(rng.randrange(0, 4)):
-            i = rng.randrange(len(body))
-            body[i:i + 1] = rng.choice([[], ["other"], [body[i], "more"]])
-        texts.append(" ".join([rng.choice("pqrst") for _ in range(5)] + body + ["two", "three"][:rng.randrange(3)] + [rng.choice("pqrst") for _ in range(4)]))
+        words = []
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            body = re.sub("[{}?,]", "", rng.choice(templates)[1]).split()
+            for _ in range(rng.randrange(0, 4)):
+                i = rng.randrange(len(body))
+                body[i:i + 1] = rng.choice([[], ["other"], [body[i], "more"]]) or body[:1]
+            words += [rng.choice("pqrst") for _ in range(rng.randrange(5))] + body + ["two", "three"][:rng.randrange(3)]
+        texts.append(" ".join(words))
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)] + [(6, texts[6], 0.5)], "doc_id long, text string, dice double")
-    got = Counter((r["doc_id"], r["license"]) for r in licenses.report(licenses.license_matches(docs, templates)).collect())
-    words = lambda t: re.sub("[^a-z0-9]+", " ", (t or "").lower()).split()
+    got = Counter(tuple(r) for r in licenses.report(licenses.license_matches(docs, templates))
+                  .select("doc_id", "license", "dice", "first_word", "last_word").collect())
+    words = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).split()
+    parsed = [(name, words(body), [p for k in licenses.key_phrases(body) for p in zip(words(k), words(k)[1:], strict=False)]) for name, body in templates]
     want = Counter()
     for i, t in [*enumerate(texts), (6, texts[6])]:
-        for name, body in templates[:2]:
-            if best_dice(words(t), words(body)) >= 0.8 - 1e-9:
-                want[i, name] += 1
-    assert got == want and len(want) > 30
+        # A piece before a first separator counts as a word.
+        before = int(bool(t) and not t[0].isalnum())
+        want.update((i, name, dice, a + before, b + before) for name, dice, a, b in best_stretches(words(t or ""), parsed))
+    assert got == want and len(want) > 100
+    assert {name for _, name, *_ in want} == {"X", "Y", "V2", "W"}
     assert licenses.license_matches(docs.limit(0)).count() == 0
 
 
@@ -94,6 +115,25 @@ def test_default_templates_match_themselves(spark):
     assert all(found[i, i] == 1.0 for i in range(len(licenses.TEMPLATES)))
 
 
+@pytest.mark.parametrize("text, want", [
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0-only"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0-only"]),
+    ("Covered by CC BY-NC-SA 4.0. Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"] * 2),
+    ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+    ("Licensed under CC BY 2.0.", []),
+    ("Released under the MIT License. Some words between. Released under the MIT License.", ["MIT", "MIT"]),
+    ("Released under the MIT License. Released under the MIT License. Licensed under the Mozilla Public License, version 2.0", ["MIT", "MIT", "MPL-2.0"]),
+    (licenses.GNU_NOTICE.format(name="the GNU Affero General Public License", version="version 3"), ["AGPL-3.0-or-later"]),
+    (licenses.GNU_NOTICE.format(name="the GNU General Public License", version="version 2"), ["GPL-2.0-or-later"]),
+    (licenses.GNU_NOTICE.format(name="the GNU Lesser General Public License", version="version 2.1"), ["LGPL-2.1-or-later"]),
+    (licenses.BSD_NOTICE, ["BSD-2-Clause"]),
+])
+def test_versions_and_variants(spark, text, want):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = licenses.report(licenses.license_matches(docs)).orderBy("first_word").collect()
+    assert [r["license"] for r in found] == want
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
