@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -15,6 +16,8 @@ from pyspark.sql.types import StructType
 # Arrow batches towards Python end at this many bytes, so that a run of very
 # long texts cannot fill a worker.
 BATCH_BYTES = 16 << 20
+# Broadcast objects that a worker keeps.
+KEPT = 4
 
 
 def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
@@ -48,7 +51,12 @@ def shared(spark: SparkSession, value: object) -> Callable[[], object]:
 
     It travels as bytes that hold its classes, and a worker keeps the last few it has read.
     """
-    sent, name = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+    return shared_bytes(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
+
+
+def shared_bytes(sent: Broadcast) -> Callable[[], object]:
+    """The same for an object that is in a broadcast as bytes."""
+    name = uuid.uuid4().hex
 
     def get():
         import sys
@@ -56,7 +64,7 @@ def shared(spark: SparkSession, value: object) -> Callable[[], object]:
 
         kept = vars(sys.modules.setdefault("_kept_by_text_operators", types.ModuleType("_kept_by_text_operators"))).setdefault("shared", {})
         if name not in kept:
-            while len(kept) >= 4:
+            while len(kept) >= KEPT:
                 kept.pop(next(iter(kept)))
             kept[name] = cloudpickle.loads(sent.value)
         return kept[name]

@@ -7,8 +7,12 @@ shift of zero leads to the bucket of windows with that last pair, which are
 compared word by word. Words that no item has can end no window, so most of a
 clean document is skipped a whole window at a time.
 
-Items are cut into blocks of a bounded number of words; the documents pass the
-blocks one after another, without a shuffle, and carry their findings along.
+Items are cut into pieces that share all but one word of a window, and pieces
+dealt out to blocks of a bounded number of words. A task builds the tables of a
+block and writes them; the driver only hands one block after another on. The
+documents pass a few blocks at a time, without a shuffle, and carry their
+findings along, which are written before the next blocks are sent and the
+earlier ones released.
 
 Defined results: null has no words and is never contaminated; items without
 words have no window; items with a null id are passed over in ``item_ids`` but
@@ -18,17 +22,19 @@ documents give no rows, no items leave every document clean.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import bound_batches, plain, shared
+from quadrille.llm.common import KEPT, bound_batches, plain, shared_bytes
+from quadrille.session import materialise
 
 WINDOW = 10
-# Words of the items in one block; what a task holds is bounded by this.
-BLOCK_WORDS = 1_000_000
+# Words of the items in one block; what a task holds is bounded by this. Tables are written in parts of so many bytes.
+BLOCK_WORDS, PART = 1_000_000, 8 << 20
 
 # A-Z to a-z, other ASCII characters that are not letters or digits to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -73,12 +79,12 @@ class WuManber:
 class Patterns:
     """All windows of a block of items."""
 
-    def __init__(self, items: list[tuple[str | None, str]], window: int):
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int):
         self.numbers: dict[bytes, int] = {}
         self.names: list[str | None] = []
         by_length: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        for name, text in items:
-            ids = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text))
+        for name, words in items:
+            ids = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words)
             if not ids:
                 continue
             self.names.append(name)
@@ -108,18 +114,33 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str | None, str]]]:
-    """Items in blocks of a bounded number of words, an item of more in a block of its own."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), plain(text).alias("text")).distinct()
-    held, size = [], 0
-    for r in rows.toLocalIterator():
-        n = len(words_of(r["text"]))
-        if held and size + n > limit:
-            yield held
-            held, size = [], 0
-        held.append((r["item"], r["text"]))
-        size += n
-    yield held
+def _tables(benchmark: DataFrame, item: str, text: str, window: int, limit: int) -> DataFrame:
+    """(block, part, bytes): the search tables of each block of items, in parts."""
+    # A block has half as many words as allowed on average, so that chance may fill it unevenly.
+    ahead = max(1, max(limit // 4, 2 * window) - window + 1)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = words_of(t)
+                for at in range(0, max(len(words) - window + 1, min(len(words), 1)), ahead):
+                    piece = words[at:at + ahead + window - 1]
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([b" ".join(piece)], pa.binary()),
+                                                      pa.array([len(piece)], pa.int64())], names=["item", "words", "n"])
+
+    def build(table: pa.Table) -> pa.Table:
+        names, pieces = table.column("item").to_pylist(), table.column("words").to_pylist()
+        data = cloudpickle.dumps(Patterns(((k, w.split()) for k, w in zip(names, pieces, strict=True)), window))
+        parts = [data[i:i + PART] for i in range(0, len(data), PART)]
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(parts), pa.int64()),
+                         "part": pa.array(range(len(parts)), pa.int64()), "bytes": pa.array(parts, pa.binary())})
+
+    items = benchmark.select(F.col(item).cast("string").alias("item"), plain(text).alias("text")).distinct()
+    pieces = materialise(items.mapInArrow(cut, "item string, words binary, n long"), "items")
+    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = -(-2 * total // limit) if total > limit else 1
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
+    return materialise(dealt.groupBy("block").applyInArrow(build, "block long, part long, bytes binary"), "windows")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -131,8 +152,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     state = docs.select(F.struct("*").alias("row"), plain(text).alias("text"), F.lit(None).cast("long").alias("n_words"),
                         F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"),
                         F.lit(None).cast("array<string>").alias("item_ids"))
-    for items in _blocks(benchmark, item_id, item_text, block_words):
-        patterns = shared(spark, Patterns(items, window))
+    tables = _tables(benchmark, item_id, item_text, window, block_words)
+    sent: list = []
+    # Without any window one empty block counts the words.
+    for block in sorted(r["block"] for r in tables.select("block").distinct().collect()) or [None]:
+        if len(sent) == KEPT - 1:
+            state = materialise(state, "found")
+            while sent:
+                sent.pop().destroy()
+        parts = [bytes(r["bytes"]) for r in tables.filter(F.col("block") == block).orderBy("part").collect()]
+        sent.append(spark.sparkContext.broadcast(b"".join(parts) or cloudpickle.dumps(Patterns((), window))))
+        patterns = shared_bytes(sent[-1])
 
         def run(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
             find = patterns().find
