@@ -44,6 +44,8 @@ ROUNDS = 12
 RECALL, NEIGHBOURS, TRIALS = 0.95, 10, 256
 # Angles are compared with some room for rounding of scores to 6 places.
 SLACK = 1e-5
+# Pairs of a vector and a cell that a task holds at once; each may become a row with the vector.
+PAIRS = 32_768
 
 
 @dataclass(frozen=True)
@@ -111,6 +113,14 @@ def _cosines(vectors: pd.Series, centres: np.ndarray) -> np.ndarray:
     return _unit(vectors) @ centres.T if centres.shape[1] else np.zeros((len(vectors), len(centres)))
 
 
+def _slices(batches: Iterator[pd.DataFrame], cells: int) -> Iterator[pd.DataFrame]:
+    """Rows in slices of at most PAIRS pairs with the cells, one row at least."""
+    step = max(1, PAIRS // max(1, cells))
+    for batch in batches:
+        for at in range(0, len(batch), step):
+            yield batch.iloc[at : at + step]
+
+
 def _angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1.0, 1.0))
 
@@ -121,11 +131,10 @@ def _assigned(nodes: DataFrame, centres: np.ndarray) -> DataFrame:
     schema = T.StructType([*nodes.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                cosines = _cosines(batch["vector"], shared.value)
-                cell = cosines.argmax(axis=1)
-                yield batch.assign(cell=cell.astype("int32"), angle=_angles(cosines[np.arange(len(cell)), cell]))
+        for part in _slices(batches, len(shared.value)):
+            cosines = _cosines(part["vector"], shared.value)
+            cell = cosines.argmax(axis=1)
+            yield part.assign(cell=cell.astype("int32"), angle=_angles(cosines[np.arange(len(cell)), cell]))
 
     return nodes.mapInPandas(run, schema)
 
@@ -185,19 +194,17 @@ def _probes(queries: DataFrame, centres: np.ndarray, probes: int, radii: np.ndar
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centres, radii = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            cosines = _cosines(batch["vector"], centres)
+        for part in _slices(batches, len(centres)):
+            cosines = _cosines(part["vector"], centres)
             order = np.argsort(-cosines, axis=1, kind="stable")
             visit = np.zeros(cosines.shape, bool)
             np.put_along_axis(visit, order[:, :probes], True, axis=1)
             if radii is not None:
                 # The kth score so far, or no score at all, which every cell can better.
-                reach = np.where(batch["floor"].isna(), np.pi, _angles(batch["floor"].fillna(-1).to_numpy() - SLACK))
+                reach = np.where(part["floor"].isna(), np.pi, _angles(part["floor"].fillna(-1).to_numpy() - SLACK))
                 visit = ~visit & (_angles(cosines) <= reach[:, None] + radii[None, :] + SLACK)
             row, cell = np.nonzero(visit)
-            yield batch.iloc[row].assign(cell=cell.astype("int32"))
+            yield part.iloc[row].assign(cell=cell.astype("int32"))
 
     return queries.mapInPandas(run, schema)
 

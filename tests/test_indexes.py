@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quadrille.operators import similarity as S
@@ -130,3 +131,12 @@ def test_empty_text_index(spark):
     q = spark.createDataFrame([(1, "some words")], "query int, text string")
     assert I.top_k(q, spark.createDataFrame([], "candidate int, text string"), 2).count() == 0
     assert I.top_k(q.limit(0), q.withColumnRenamed("query", "candidate"), 2).count() == 0
+
+
+def test_pairs_with_cells_are_bounded():
+    # Every row of a batch may visit every cell, each time with its vector.
+    batches = [pd.DataFrame({"query": range(n)}) for n in (10_000, 0, 3)]
+    parts = list(X._slices(iter(batches), X.MAX_CELLS))
+    assert max(len(p) for p in parts) * X.MAX_CELLS <= X.PAIRS
+    assert pd.concat(parts)["query"].tolist() == [*range(10_000), *range(3)]
+    assert [len(p) for p in X._slices(iter(batches), 10 * X.PAIRS)] == [1] * 10_003
