@@ -81,13 +81,31 @@ def mime_type(path: Column) -> Column:
     return result
 
 
+# Characters of text that a task works on at once.
+SLICE_CHARS = 1 << 20
+
+
+def _slices(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
+    """Rows in slices of at most SLICE_CHARS characters of ``text``, one row at least: what is made of them can be many times as large."""
+    for batch in batches:
+        begin = size = 0
+        for at, value in enumerate(batch[text]):
+            chars = len(value or "")
+            if at > begin and size + chars > SLICE_CHARS:
+                yield batch.iloc[begin:at]
+                begin, size = at, 0
+            size += chars
+        if begin < len(batch):
+            yield batch.iloc[begin:]
+
+
 def parse_pages(df: DataFrame, html: str = "html") -> DataFrame:
     """HTML column to ``text``, ``sections``, ``tables``, ``word_count``; other columns stay."""
     keep = [c for c in df.columns if c != html]
     schema = _schema([df.schema[c] for c in keep], f"text string, sections {SECTIONS}, tables {TABLES}, word_count int")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches, html):
             parsed = [parse_html(h or "") for h in batch[html]]
             out = batch[keep].copy()
             for name in ("text", "sections", "tables"):
@@ -105,7 +123,7 @@ def chunk(df: DataFrame, key: str, text: str = "text", size: int = 512, overlap:
     schema = _schema([df.schema[key]], "chunk_index int, text string, char_start int, char_end int, token_count int")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches, text):
             rows = [(k, i, body[a:b], a, b, n) for k, body in zip(batch[key], batch[text]) if body
                     for i, (a, b, n) in enumerate(chunk_spans(body, size, overlap))]
             yield pd.DataFrame(rows, columns=schema.names)
@@ -144,7 +162,7 @@ def extract(chunks: DataFrame, key: str, rules: Sequence[Rule] = RULES, extracto
     schema = _schema([chunks.schema[key]], "_offset int, " + EXTRACTION)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches, "text"):
             rows = []
             for k, index, offset, text in zip(batch[key], batch["chunk_index"], batch["char_start"], batch["text"]):
                 if mark_chunks:

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,10 @@ def test_table_functions_in_sql(spark):
     for wrong in ("text_chunks(text, 4, 4)", "text_chunks(id)", "text_chunks(text, id)"):
         with pytest.raises(Exception, match="overlap must|takes a text|constant"):
             spark.sql(f"SELECT * FROM {{docs}}, LATERAL {wrong}", docs=docs).collect()
+
+
+def test_slices_are_bounded_by_characters():
+    texts = ["x" * 300_000] * 8 + [None, "", "y" * (2 * D.SLICE_CHARS)] + ["z"] * 5
+    parts = list(D._slices(iter([pd.DataFrame({"text": texts}), pd.DataFrame({"text": []})]), "text"))
+    assert [t for p in parts for t in p["text"]] == texts
+    assert all(len(p) == 1 or sum(len(t or "") for t in p["text"]) <= D.SLICE_CHARS for p in parts) and len(parts) > 3
