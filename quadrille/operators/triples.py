@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from quadrille import vocab
 from quadrille.functions.columns import iso_time, local_name, plain_number, quoted, template
+from quadrille.session import deal, materialise
 from quadrille.vocab import QUAD_COLUMNS, TYPE
 
 # Quads are a table, or a function from a list of predicates (None for all) to
@@ -138,7 +139,7 @@ def rows_to_triples(df: DataFrame, mapping: RowMapping, graph: str | None = None
 
 def merge_quads(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Set union: a quad already present is not added again."""
-    return existing.unionByName(new).dropDuplicates(QUAD_COLUMNS)
+    return deal(existing.unionByName(new), *QUAD_COLUMNS).dropDuplicates(QUAD_COLUMNS)
 
 
 def append_quads(new: DataFrame, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ from quadrille.vocab import TYPE
     SELECT graph, COUNT(*) AS triples FROM (SELECT DISTINCT * FROM (
         {sql_quads('customer')} UNION ALL {sql_quads('customer', 'supplier')})) GROUP BY 1""")
 def _(t):
-    return T.graph_counts(T.merge_quads(quads(t, "customer"), quads(t, "customer", "supplier")))
+    return T.graph_counts(T.merge_quads(quads(t, "customer", dealt=True), quads(t, "customer", "supplier", dealt=True)))
 
 
 @query("g1_append_quads", f"""

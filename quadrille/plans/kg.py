@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille import vocab
+from quadrille.functions.columns import template
 from quadrille.operators.triples import Field, Link, RowMapping, mapped, rows_to_triples
+from quadrille.session import deal
 
 RES, ONT, XSD = vocab.RESOURCE, vocab.ONTOLOGY, vocab.XSD
 BANK = ONT + "finance/Bank"
@@ -53,9 +55,18 @@ def source(t, name: str) -> DataFrame:
     return df
 
 
-def quads(t, *names: str, predicates=None) -> DataFrame:
-    """Quads of the named tables (all five without names), built lazily."""
-    parts = [rows_to_triples(source(t, n), MAPPINGS[n], graph_of(n), predicates) for n in names or MAPPINGS]
+# Source rows that one task makes quads of where tables are dealt out first.
+ROWS_TO_QUADS = 50_000
+
+
+def quads(t, *names: str, predicates=None, dealt: bool = False) -> DataFrame:
+    """Quads of the named tables (all five without names), built lazily.
+
+    ``dealt`` spreads the rows of the tables over tasks before they become quads, for plans that sort
+    or hash all of them: a few MB of a file are a million rows.
+    """
+    rows = lambda n: deal(source(t, n), template(MAPPINGS[n].subject), rows=ROWS_TO_QUADS) if dealt else source(t, n)
+    parts = [rows_to_triples(rows(n), MAPPINGS[n], graph_of(n), predicates) for n in names or MAPPINGS]
     return reduce(DataFrame.unionByName, parts)
 
 

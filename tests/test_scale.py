@@ -1,7 +1,13 @@
 """What one task holds does not grow with the table."""
 
-from quadrille.plans.registry import QUERIES
+import pytest
+from pyspark.sql import functions as F
+
+from quadrille import session, vocab
+from quadrille.operators import triples as T
 from quadrille.plans import load_all
+from quadrille.plans.registry import QUERIES
+from tests.conftest import rows
 
 DIR = "/root/testdata/sf0.001"
 
@@ -13,3 +19,24 @@ def test_approximate_and_exact_counts_are_made_apart(spark, capsys):
     sketches = [line for line in lines if "approx_count_distinct" in line and "keys=" in line]
     # One sketch for each flag and part was made before.
     assert sketches and not any("l_partkey" in line.split("keys=")[1].split("]")[0] for line in sketches)
+
+
+@pytest.fixture
+def few(monkeypatch):
+    """Ten rows for a task."""
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 10, raising=False)
+
+
+def quads_of(spark, n, predicate="p"):
+    made = [F.concat(F.lit("s"), "id"), F.lit(predicate), F.lit("o"), F.lit("iri"), F.lit(None), F.lit(None), F.lit("g")]
+    return spark.range(n).select(*[c.cast("string").alias(name) for c, name in zip(made, vocab.QUAD_COLUMNS, strict=True)])
+
+
+def most_rows(df):
+    """Of one task."""
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_merged_quads_are_dealt_by_their_number(spark, few):
+    merged = T.merge_quads(quads_of(spark, 600), quads_of(spark, 1000))
+    assert merged.count() == 1000 and merged.rdd.getNumPartitions() >= 160 and most_rows(merged) <= 40
