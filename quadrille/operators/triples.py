@@ -173,7 +173,8 @@ def append_quads(new: DataFrame, path: str) -> DataFrame:
 
 
 def write_quads(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.select(*QUAD_COLUMNS).write.mode(mode).partitionBy("predicate").parquet(path)
+    # Each task sorts its rows by predicate.
+    deal(df.select(*QUAD_COLUMNS), *QUAD_COLUMNS).write.mode(mode).partitionBy("predicate").parquet(path)
 
 
 def read_quads(spark, path: str) -> DataFrame:
@@ -279,8 +280,6 @@ def drop_stored_graph(spark, path: str, graph: str) -> None:
     Partitions that keep quads are rewritten through the shared folder with
     dynamic overwrite; those left empty are deleted.
     """
-    from quadrille.session import materialise
-
     # One row per predicate of the graph, with its folder.
     whole = spark.read.schema(vocab.QUAD_DDL).parquet(path)
     folder = F.regexp_extract("_metadata.file_path", "^(.*)/[^/]+$", 1).alias("_dir")
@@ -291,7 +290,7 @@ def drop_stored_graph(spark, path: str, graph: str) -> None:
     kept = materialise(drop_graph(stored.select(*QUAD_COLUMNS), graph), "kept")
     alive = {r["predicate"] for r in kept.select("predicate").distinct().collect()}
     if alive:
-        (kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("predicate").parquet(path))
+        (deal(kept, *QUAD_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("predicate").parquet(path))
     for predicate in set(touched) - alive:
         folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folders[predicate]))
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -40,3 +40,12 @@ def most_rows(df):
 def test_merged_quads_are_dealt_by_their_number(spark, few):
     merged = T.merge_quads(quads_of(spark, 600), quads_of(spark, 1000))
     assert merged.count() == 1000 and merged.rdd.getNumPartitions() >= 160 and most_rows(merged) <= 40
+
+
+def test_stored_quads_are_written_by_many_tasks(spark, few, tmp_path):
+    path = str(tmp_path / "quads")
+    T.write_quads(quads_of(spark, 600).union(quads_of(spark, 600, "q").withColumn("graph", F.lit("h"))), path)
+    files = len(list((tmp_path / "quads").rglob("*.parquet")))
+    assert files >= 100
+    T.drop_stored_graph(spark, path, "h")
+    assert rows(T.graph_counts(T.read_quads(spark, path))) == [("g", 600)]
