@@ -146,26 +146,22 @@ def append_quads(new: DataFrame, path: str) -> DataFrame:
     """Add the quads of ``new`` that are not stored yet; returns the count per graph.
 
     Stored by predicate, so that a pattern reads only its own files; so does this: the new quads are compared
-    with the folders of their own predicates.
+    with the folders of their own predicates. ``new`` is read twice and must give the same rows.
     """
-    from quadrille.session import materialise
-
     spark = new.sparkSession
-    fresh = materialise(new.dropDuplicates(QUAD_COLUMNS), "offered-quads")
+    # As many names as folders.
+    own = {r["predicate"]: r["count"] for r in new.groupBy("predicate").count().collect()}
+    total, offered = sum(own.values()), new.select(*QUAD_COLUMNS, F.lit(False).alias("_stored"))
     try:
-        # As many names as folders; the null-safe comparison below would not choose them.
-        own = [r["predicate"] for r in fresh.select("predicate").distinct().collect()]
-        stored = read_quads(spark, path).filter(F.col("predicate").isin(own))
+        stored = read_quads(spark, path).filter(F.col("predicate").isin(list(own)))
+        total += stored.count()
+        offered = offered.unionByName(stored.withColumn("_stored", F.lit(True)))
     except Exception as exc:
         if "PATH_NOT_FOUND" not in str(exc):
             raise
-        stored = None
-    if stored is not None:
-        same = [fresh[c].eqNullSafe(stored[c]) for c in QUAD_COLUMNS]
-        condition = same[0]
-        for c in same[1:]:
-            condition = condition & c
-        fresh = fresh.join(stored, condition, "left_anti")
+    # One shuffle drops repeats and what is stored; nulls meet nulls.
+    fresh = (deal(offered, *QUAD_COLUMNS, total=total).groupBy(*QUAD_COLUMNS).agg(F.max("_stored").alias("_stored"))
+             .filter("NOT _stored").drop("_stored"))
     # The new rows are fixed before the table they were compared with changes.
     fresh = materialise(fresh, "new-quads")
     write_quads(fresh, path, "append")
@@ -181,7 +177,7 @@ def read_quads(spark, path: str) -> DataFrame:
     return spark.read.schema(vocab.QUAD_DDL).parquet(path).select(*QUAD_COLUMNS)
 
 
-def property_table(quads: DataFrame, class_iri: str, predicates: Mapping[str, str],
+def property_table(quads: QuadSource, class_iri: str, predicates: Mapping[str, str],
                    by_graph: bool = False) -> DataFrame:
     """Wide rows of a class: one column per listed predicate (smallest value if several).
 
@@ -191,7 +187,9 @@ def property_table(quads: DataFrame, class_iri: str, predicates: Mapping[str, st
     keys = ["graph", "subject"] if by_graph else ["subject"]
     p, o = F.col("predicate"), F.col("object")
     member = (p == TYPE) & (o == class_iri)
-    return (quads.filter(member | p.isin(list(predicates.values())))
+    read = of_predicates(quads, [TYPE, *predicates.values()]).filter(member | p.isin(list(predicates.values())))
+    # Smallest texts are found by a sort.
+    return (deal(read.select(*keys, "predicate", "object"), *keys)
             .groupBy(*keys)
             .agg(F.max(member).alias("_member"),
                  *[F.min(F.when(p == iri, o)).alias(name) for name, iri in predicates.items()])

@@ -25,9 +25,9 @@ def _(t):
     SELECT graph, COUNT(*) AS inserted FROM ({sql_quads('orders')}) GROUP BY 1""")
 def _(t):
     path = scratch_path(t.spark, "quads")
-    T.append_quads(quads(t, "customer", "supplier"), path)
+    T.append_quads(quads(t, "customer", "supplier", dealt=True), path)
     # Customers are stored already; only the orders are new.
-    return T.append_quads(quads(t, "customer", "orders"), path)
+    return T.append_quads(quads(t, "customer", "orders", dealt=True), path)
 
 
 @query("g2_rows_to_triples", sql_quads())
@@ -46,7 +46,7 @@ def _(t):
            CAST(c_acctbal AS VARCHAR) AS balance, '{RES}nation/' || c_nationkey AS nation
     FROM customer""")
 def _(t):
-    return T.property_table(quads(t), ONT + "Account", {
+    return T.property_table(graph(t), ONT + "Account", {
         "name": ONT + "name", "segment": ONT + "segment", "balance": ONT + "balance", "nation": ONT + "inNation"})
 
 

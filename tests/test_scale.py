@@ -49,3 +49,19 @@ def test_stored_quads_are_written_by_many_tasks(spark, few, tmp_path):
     assert files >= 100
     T.drop_stored_graph(spark, path, "h")
     assert rows(T.graph_counts(T.read_quads(spark, path))) == [("g", 600)]
+
+
+def test_wide_rows_of_a_class_are_dealt_by_their_number(spark, few):
+    typed = quads_of(spark, 600, vocab.TYPE)
+    wide = T.property_table(lambda predicates: typed.unionByName(quads_of(spark, 600)).filter(F.col("predicate").isin(predicates)), "o", {"x": "p"})
+    assert wide.filter("x = 'o'").count() == 600 and wide.rdd.getNumPartitions() >= 120
+
+
+def test_appended_quads_meet_the_stored_ones_in_one_shuffle(spark, few, tmp_path):
+    path = str(tmp_path / "quads")
+    # Nulls, repeats, quads stored and not, and a predicate of its own.
+    first, more = quads_of(spark, 300), quads_of(spark, 500).union(quads_of(spark, 500)).union(quads_of(spark, 5, "q"))
+    assert rows(T.append_quads(first, path)) == [("g", 300)]
+    assert rows(T.append_quads(more, path)) == [("g", 205)] and T.append_quads(more, path).count() == 0
+    assert T.read_quads(spark, path).distinct().count() == T.read_quads(spark, path).count() == 505
+    assert len(list((tmp_path / "quads").rglob("*.parquet"))) >= 40
