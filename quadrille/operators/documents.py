@@ -20,7 +20,7 @@ from quadrille import vocab
 from quadrille.functions.columns import plain_number, short_class
 from quadrille.functions.text import chunk_spans, parse_html
 from quadrille.operators.triples import explode_quads, quad
-from quadrille.session import materialise
+from quadrille.session import ROWS_TO_QUADS, deal, materialise
 from quadrille.vocab import TYPE
 
 SECTIONS = "array<struct<heading:string,level:int,char_start:int,char_end:int>>"
@@ -295,17 +295,22 @@ def extraction_triples(extractions: DataFrame, job_id: str, source: Column, grap
         F.col("char_interval.start").cast("string").alias("a"), F.col("char_interval.end").cast("string").alias("b"),
         plain_number(F.col("confidence_score")).alias("score"),
         "attributes")
+    # Stored, so that the number of quads is known without reading the texts again.
+    rows = materialise(rows, "grounded")
+    total = rows.select(F.sum(8 + F.greatest(F.coalesce(F.size("attributes"), F.lit(0)), F.lit(0)))).first()[0] or 0
+    rows = deal(rows, *rows.columns[:-1], rows=ROWS_TO_QUADS)
     s = F.col("s")
     attributes = F.transform(F.map_entries("attributes"), lambda e: quad(s, F.concat(F.lit(base), e["key"]), e["value"], graph=graph))
     # Attributes go through the same pass, so that texts are read once.
-    return explode_quads(rows, [
+    made = explode_quads(rows, [
         quad(s, TYPE, F.col("cls"), "iri", graph=graph), quad(s, TYPE, F.lit(vocab.NAMED_INDIVIDUAL), "iri", graph=graph),
         quad(s, vocab.LABEL, F.col("text_span"), graph=graph),
         quad(s, vocab.PROV + "wasGeneratedBy", F.lit(activity), "iri", graph=graph),
         quad(s, vocab.PROV + "wasDerivedFrom", F.col("src"), "iri", graph=graph),
         quad(s, base + "charStart", F.col("a"), "literal", integer, graph=graph),
         quad(s, base + "charEnd", F.col("b"), "literal", integer, graph=graph),
-        quad(s, base + "confidenceScore", F.col("score"), "literal", decimal, graph=graph)], more=[attributes]).distinct()
+        quad(s, base + "confidenceScore", F.col("score"), "literal", decimal, graph=graph)], more=[attributes])
+    return deal(made, *vocab.QUAD_COLUMNS, total=total).distinct()
 
 
 def run_triples(spark, job_id: str, model_id: str, started: str, graph: str, base: str = vocab.ONTOLOGY) -> DataFrame:

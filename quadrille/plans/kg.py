@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quadrille import vocab
 from quadrille.functions.columns import template
 from quadrille.operators.triples import Field, Link, RowMapping, mapped, rows_to_triples
-from quadrille.session import deal
+from quadrille.session import ROWS_TO_QUADS, deal
 
 RES, ONT, XSD = vocab.RESOURCE, vocab.ONTOLOGY, vocab.XSD
 BANK = ONT + "finance/Bank"
@@ -55,10 +55,6 @@ def source(t, name: str) -> DataFrame:
     return df
 
 
-# Source rows that one task makes quads of where tables are dealt out first.
-ROWS_TO_QUADS = 50_000
-
-
 def quads(t, *names: str, predicates=None, dealt: bool = False) -> DataFrame:
     """Quads of the named tables (all five without names), built lazily.
 
