@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille import vocab
-from quadrille.session import materialise
+from quadrille.session import deal, materialise
 from quadrille.operators.triples import QuadSource, of_predicates, quad
 from quadrille.vocab import QUAD_COLUMNS, TYPE
 
@@ -257,6 +257,8 @@ def rdfs_closure(quads: DataFrame) -> DataFrame:
     by_predicate = tagged.groupBy(F.col("src").alias("predicate")).agg(listed("up"), listed("domain"), listed("range"))
     by_class = super_class.groupBy(F.col("src").alias("_class")).agg(F.collect_set("tgt").alias("_classes"))
 
+    # Stored, their size is known: what is small is broadcast, and the data is not sorted by a few predicates.
+    by_predicate, by_class = materialise(by_predicate, "by-predicate"), materialise(by_class, "by-class")
     none = F.array().cast("array<string>")
     rows = quads.select(*QUAD_COLUMNS).join(by_predicate, "predicate", "left")
     is_type = (F.col("predicate") == TYPE) | F.array_contains(F.coalesce("_up", none), TYPE)
@@ -280,7 +282,7 @@ def rdfs_closure(quads: DataFrame) -> DataFrame:
         pairs.withColumn("rel", F.lit(p)) for pairs, p in ((super_class, vocab.SUBCLASS), (super_property, vocab.SUBPROPERTY))
     ]).join(links.select("src", "tgt", "rel"), ["src", "tgt", "rel"], "left_anti")
     hierarchy = new_links.select(quad(F.col("src"), F.col("rel"), F.col("tgt"), "iri").alias("_q")).select("_q.*")
-    return entailed.unionByName(hierarchy).dropDuplicates(QUAD_COLUMNS)
+    return deal(entailed.unionByName(hierarchy), *QUAD_COLUMNS).dropDuplicates(QUAD_COLUMNS)
 
 
 def import_closure(imports: DataFrame, roots: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from quadrille.operators import traverse as V
 from quadrille.operators import triples as T
 from quadrille.plans.kg import BANK, ONT, RES, graph, graph_of, quads, sql_quads
 from quadrille.plans.registry import query
-from quadrille.session import scratch_path
+from quadrille.session import ROWS_TO_QUADS, deal, scratch_path
 from quadrille.vocab import TYPE
 
 
@@ -319,10 +319,10 @@ def _schema(t):
     UNION ALL SELECT '{vocab.SUBPROPERTY}', NULL, 3
     UNION ALL SELECT '{vocab.DOMAIN}', NULL, 1 UNION ALL SELECT '{vocab.RANGE}', NULL, 1""")
 def _(t):
-    typed = T.explode_quads(t.customer, [T.quad(
+    typed = T.explode_quads(deal(t.customer, "c_custkey", rows=ROWS_TO_QUADS), [T.quad(
         F.concat(F.lit(RES + "customer/"), "c_custkey"), TYPE, F.concat(F.lit(ONT + "segment/"), "c_mktsegment"), "iri",
         graph=graph_of("customer"))])
-    closed = V.rdfs_closure(quads(t, "customer", "supplier").unionByName(typed).unionByName(_schema(t)))
+    closed = V.rdfs_closure(quads(t, "customer", "supplier", dealt=True).unionByName(typed).unionByName(_schema(t)))
     return (closed.groupBy("predicate", F.when(F.col("predicate") == TYPE, F.col("object")).alias("class"))
             .agg(F.count("*").alias("n")))
 
