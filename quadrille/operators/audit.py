@@ -161,14 +161,16 @@ def transitive_lineage(quads: QuadSource, entities: DataFrame) -> DataFrame:
     return reach(lineage_edges(quads), seeds).select(F.col("src").alias("entity"), F.col("tgt").alias("origin"), "depth")
 
 
-def provenance_by_hash(quads: DataFrame, hashes: DataFrame, base: str = vocab.ONTOLOGY) -> DataFrame:
+def provenance_by_hash(quads: QuadSource, hashes: DataFrame, base: str = vocab.ONTOLOGY) -> DataFrame:
     """Triples of the activities with these query hashes and of what they generated."""
     activities = (P.match(quads, [("?activity", base + "queryHash", "?query_hash")])
                   .join(hashes.select("query_hash").distinct(), "query_hash", "left_semi").select("activity").distinct())
-    own = quads.join(activities, quads["subject"] == activities["activity"], "left_semi")
+    # Read again below.
+    activities = materialise(activities, "activities")
     made = P.match(quads, [("?entity", PROV + "wasGeneratedBy", "?activity")]).join(activities, "activity", "left_semi")
-    theirs = quads.join(made.select(F.col("entity").alias("subject")).distinct(), "subject", "left_semi")
-    return own.unionByName(theirs).dropDuplicates(vocab.QUAD_COLUMNS)
+    wanted = activities.select(F.col("activity").alias("subject")).union(made.select("entity"))
+    # All quads are made and compared once.
+    return of_predicates(quads, None).join(wanted, "subject", "left_semi").dropDuplicates(vocab.QUAD_COLUMNS)
 
 
 def export_window(quads: DataFrame, tenant: str, start: str, end: str, base: str = vocab.ONTOLOGY) -> DataFrame:

@@ -193,7 +193,7 @@ def _(t):
     SELECT {QUAD} FROM ({RUN_TRIPLES_SQL} UNION ALL {DERIVED_SQL}) WHERE event_id IN (SELECT event_id FROM events WHERE event_type = 'purchase')""")
 def _(t):
     hashes = query_runs(t).filter("context = 'purchase'").select("query_hash")
-    return A.provenance_by_hash(prov_quads(t), hashes)
+    return A.provenance_by_hash(prov_source(t), hashes)
 
 
 @query("l8_export_window", f"""

@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille import session, vocab
+from quadrille.operators import audit as A
+from quadrille.operators import documents as D
+from quadrille.operators import traverse as V
 from quadrille.operators import triples as T
 from quadrille.plans import load_all
 from quadrille.plans.registry import QUERIES
@@ -65,3 +68,31 @@ def test_appended_quads_meet_the_stored_ones_in_one_shuffle(spark, few, tmp_path
     assert rows(T.append_quads(more, path)) == [("g", 205)] and T.append_quads(more, path).count() == 0
     assert T.read_quads(spark, path).distinct().count() == T.read_quads(spark, path).count() == 505
     assert len(list((tmp_path / "quads").rglob("*.parquet"))) >= 40
+
+
+def test_extraction_triples_are_dealt_by_their_number(spark, few):
+    found = spark.range(200).select(
+        F.concat(F.lit("t"), "id").alias("text_span"), F.lit("kg:Firm").alias("ontology_class"), F.lit(0.5).alias("confidence_score"),
+        F.struct(F.lit(0).alias("start"), F.lit(2).alias("end")).alias("char_interval"), F.create_map(F.lit("k"), F.lit("v")).alias("attributes"))
+    made = D.extraction_triples(found.union(found), "job", F.lit("file:a"), "g", {})
+    assert made.count() == 200 * 9 and made.rdd.getNumPartitions() >= 180 and most_rows(made) <= 40
+
+
+def test_entailed_quads_are_dealt_by_their_number(spark, few):
+    schema = quads_of(spark, 1, vocab.DOMAIN).withColumn("subject", F.lit("p")).withColumn("object", F.lit("C"))
+    closed = V.rdfs_closure(quads_of(spark, 600).union(schema))
+    assert closed.count() == 1201 and closed.rdd.getNumPartitions() >= 120 and most_rows(closed) <= 40
+
+
+def test_provenance_makes_all_quads_once(spark):
+    rows_of = [("a1", "b/queryHash", "h1", "literal"), ("a2", "b/queryHash", "h2", "literal"), ("e1", vocab.PROV + "wasGeneratedBy", "a1", "iri"),
+               ("e2", vocab.PROV + "wasGeneratedBy", "a2", "iri"), ("e1", "b/x", "y", "iri"), ("e1", "b/x", "y", "iri")]
+    quads = spark.createDataFrame([(*r, None, None, "g") for r in rows_of], vocab.QUAD_DDL)
+    asked = []
+
+    def source(predicates):
+        asked.append(predicates)
+        return quads if predicates is None else quads.filter(F.col("predicate").isin(predicates))
+
+    got = A.provenance_by_hash(source, spark.createDataFrame([("h1",)], "query_hash string"), "b/")
+    assert rows(got, "subject", "object") == [("a1", "h1"), ("e1", "a1"), ("e1", "y")] and asked.count(None) == 1
