@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from quadrille import session
 from quadrille.operators import similarity as S
 from quadrille.operators import text_index as I
 from quadrille.operators import vector_index as X
@@ -118,6 +119,27 @@ def test_top_k_texts_by_brute_force(spark, texts, k):
     assert rows(I.top_k(q, c, k), "query", "candidate", "rank") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("sent", [0, 200_000])
+@pytest.mark.parametrize("k", [1, 4, 300])
+def test_top_k_texts_by_thresholds_and_dealt_lists(spark, texts, k, sent, monkeypatch):
+    monkeypatch.setattr(I, "DIRECT", 0)
+    monkeypatch.setattr(I, "LISTS_SENT", sent)
+    test_top_k_texts_by_brute_force(spark, texts, k)
+
+
+@pytest.mark.parametrize("sent", [0, 200_000])
+def test_texts_are_dealt_by_the_pairs_they_make(spark, texts, sent, monkeypatch):
+    monkeypatch.setattr(I, "LISTS_SENT", sent)
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 200)
+    queries, candidates = texts
+    q, c = spark.createDataFrame(queries, "query int, text string"), spark.createDataFrame(candidates, "candidate int, text string")
+    best = I.top_k(q, c, 3)
+    every = brute_scores(queries, candidates)
+    assert best.count() == sum(min(3, len(found)) for found in every.values())
+    # Some 6,000 pairs; three tasks had them all, whatever their number.
+    assert best.rdd.getNumPartitions() >= sum(map(len, every.values())) / 200
+
+
 def test_lists_of_stop_words_are_not_read(spark, texts):
     queries, candidates = texts
     index = I.index_texts(spark.createDataFrame(candidates, "candidate int, text string"))
