@@ -140,6 +140,19 @@ def test_texts_are_dealt_by_the_pairs_they_make(spark, texts, sent, monkeypatch)
     assert best.rdd.getNumPartitions() >= sum(map(len, every.values())) / 200
 
 
+def test_scores_are_made_once_for_an_alignment(spark):
+    drafts = spark.createDataFrame([("a",), ("b",), ("none",), ("a",)], "query string")
+    scores = spark.range(400).selectExpr(
+        "if(id % 2 = 0, 'a', 'b') AS query", "concat('c', id) AS candidate",
+        "if(id % 2 = 1, null, if(id IN (20, 100, 300), 0.9 + id * 1e-13, 0.5)) AS score")
+    got = S.align_classes(drafts, scores)
+    # Equal at 9 places: the smallest candidate (of strings) and the best score.
+    assert rows(got.selectExpr("query", "matched", "confidence = 0.9 + 300 * 1e-13 AS best", "match_type")) == [
+        ("a", "c100", True, "closeMatch")] * 2 + [("b", None, False, None), ("none", None, False, None)]
+    # Read twice before, so that all texts were scored twice.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
 def test_lists_of_stop_words_are_not_read(spark, texts):
     queries, candidates = texts
     index = I.index_texts(spark.createDataFrame(candidates, "candidate int, text string"))
