@@ -136,10 +136,21 @@ def test_texts_are_dealt_by_the_pairs_they_make(spark, texts, sent, monkeypatch)
     best = I.top_k(q, c, 3)
     every = brute_scores(queries, candidates)
     assert best.count() == sum(min(3, len(found)) for found in every.values())
-    # Some 6,000 pairs; three tasks had them all, whatever their number.
+    # Some 6,000 pairs; three tasks at most had them all, whatever their number.
     assert best.rdd.getNumPartitions() >= sum(map(len, every.values())) / 200
 
 
+def test_all_scores_are_dealt_by_their_number(spark, texts, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 200)
+    queries, candidates = texts
+    got = S.tfidf_similarity(spark.createDataFrame(queries, "query int, text string"), spark.createDataFrame(candidates, "candidate int, text string"))
+    want = sorted((q, c, -s) for q, found in brute_scores(queries, candidates).items() for s, c in found)
+    assert rows(got.selectExpr("query", "candidate", "round(score, 9) + 0.0 AS score")) == [
+        (q, c, pytest.approx(s, abs=2e-9)) for q, c, s in sorted(want, key=repr)]
+    # One task before.
+    assert got.rdd.getNumPartitions() >= len(want) / 200
+
+
 def test_scores_are_made_once_for_an_alignment(spark):
     drafts = spark.createDataFrame([("a",), ("b",), ("none",), ("a",)], "query string")
     scores = spark.range(400).selectExpr(
